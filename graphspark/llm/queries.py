@@ -7,20 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import simhash
+from graphspark.llm import embed, simhash, sql, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fixed values of the url contract.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op2_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES).drop("alias_verdict")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024.0)
+
+
+def op9_subspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_groups(_read(spark, sf_dir, "documents"), radius=3, width=3, seed=42)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_redirects": op2_redirects,
+    "op4_topk": op4_topk,
+    "op9_subspaces": op9_subspaces,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_redirects": sql.OP2,
+    "op4_topk": sql.OP4,
+    "op9_subspaces": sql.OP9,
+}
