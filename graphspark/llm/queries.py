@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import embed, licenses, simhash, sql, topk, urls
+from graphspark.llm import embed, langid, licenses, simhash, sql, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,18 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024.0)
 
 
+def public_vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = langid.vocabulary(public_vocabulary("piece_bpe_32k.model"))
+    return langid.identify(_read(spark, sf_dir, "documents"), pieces)
+
+
 def op9_subspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -50,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_redirects": op2_redirects,
     "op3_licenses": op3_licenses,
     "op4_topk": op4_topk,
+    "op6_langid": op6_langid,
     "op9_subspaces": op9_subspaces,
     "op10_simhash": op10_simhash,
 }
