@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import embed, langid, licenses, simhash, sql, topk, urls
+from graphspark.llm import embed, langid, licenses, packing, simhash, spm, sql, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,18 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"), pieces)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"), window=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its ids' number and crc32 (as for packing), and the decoded text's crc32."""
+    vocab = spm.Vocabulary.load(public_vocabulary("piece_bpe_32k.model"))
+    encoded = spm.encode(_read(spark, sf_dir, "documents"), vocab)
+    return spm.decode(encoded, vocab, digest=True)
+
+
 def op9_subspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -63,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_topk": op4_topk,
     "op6_langid": op6_langid,
+    "op7_packing": op7_packing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_subspaces": op9_subspaces,
     "op10_simhash": op10_simhash,
 }
