@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import embed, langid, licenses, packing, simhash, spm, sql, topk, urls
+from graphspark.llm import embed, langid, licenses, packing, simhash, spm, sql, substring, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.shared_passages(_read(spark, sf_dir, "documents"), k=5, min_words=50, similarity=0.8)
+
+
 #: Fixed values of the url contract.
 URL_RULES = [
     ("allow", "org/"),
@@ -71,6 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_redirects": op2_redirects,
     "op3_licenses": op3_licenses,
     "op4_topk": op4_topk,
