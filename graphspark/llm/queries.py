@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import embed, langid, licenses, packing, simhash, spm, sql, substring, topk, urls
+from graphspark.llm import embed, langid, licenses, packing, pii, simhash, spm, sql, substring, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,13 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024.0)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(_read(spark, sf_dir, "documents"))
+    return out.withColumn("base_sha256", F.sha2("base", 256)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"
+    )
+
+
 def public_vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_redirects": op2_redirects,
     "op3_licenses": op3_licenses,
     "op4_topk": op4_topk,
+    "op5_pii": op5_pii,
     "op6_langid": op6_langid,
     "op7_packing": op7_packing,
     "op8_sentencepiece": op8_sentencepiece,
