@@ -11,6 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Probability of a single character that no piece covers, the same in every language.
 FLOOR = 1e-7
@@ -269,22 +270,41 @@ def identify(docs: DataFrame, pieces: Sequence[str], docs_per_language: int = 40
     """
     columns = docs.select("doc_id", "text", "lang")
     model = train(columns.where(~held_out(F.col("doc_id"))), pieces, docs_per_language)
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return without_text(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score")
+    )
 
 
 
-def predict(docs: DataFrame, model: LanguageModel, *carry: str) -> DataFrame:
-    """(doc_id, lang_pred, score) and the columns ``carry`` for every row of ``docs``."""
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """All columns of ``docs`` with _lang_pred string and _score double behind them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+    names = [*docs.columns, "_lang_pred", "_score"]
 
     def run(batches):
         known = shared.value
         for batch in batches:
-            langs, scores = known.predict(batch.column("_text").to_pylist())
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
-
-    source = docs.select("doc_id", *carry, F.col("text").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double")
+            langs, scores = known.predict(batch.column(at).to_pylist())
+            columns = [*(batch.column(i) for i in range(batch.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def without_text(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """(doc_id, _lang_pred, _score) of every row; the text does not come back from the workers."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            langs, scores = known.predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                ["doc_id", "_lang_pred", "_score"],
+            )
+
+    source = docs.select("doc_id", "text")
+    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())]))

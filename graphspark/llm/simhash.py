@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from graphspark.llm.common import Forest, cut, sorted_groups
 from graphspark.llm.components import connected_components
@@ -197,3 +197,120 @@ def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3, seed: int =
     parts = connected_components(links(nodes, radius, shard_rows))
     named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def sketch(text: bytes | None, width: int = 2) -> bytes:
+    """A 128-bit SimHash, as 16 bytes, of ``width``-word shingles hashed by XXH3; blank texts give 0."""
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(16)
+    n = max(1, len(words) - width + 1)
+    ones = np.zeros(128, np.int64)
+    for lo in range(0, n, _BLOCK):
+        hi = min(n, lo + _BLOCK)
+        shingles = map(b" ".join, zip(*(words[lo + i : hi + i] for i in range(min(width, len(words))))))
+        part = np.frombuffer(b"".join(map(xxh3_128_digest, shingles)), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def _shingle_set(text: str | None, width: int) -> set:
+    words = (text or "").encode().lower().split()
+    if len(words) <= width:
+        return {tuple(words)}
+    return set(zip(*(words[i:] for i in range(width))))
+
+
+def shingle_similarity(a: str | None, b: str | None, width: int = 5) -> float:
+    """The Jaccard index of two texts' sets of ``width``-word shingles (a shorter text is one)."""
+    p, q = _shingle_set(a, width), _shingle_set(b, width)
+    return len(p & q) / len(p | q)
+
+
+def _tables(count: int, differ: float, miss: float) -> tuple[int, int]:
+    """(bits, tables): samples of so many bits, about one to a bucket, that miss few similar pairs."""
+    bits = min(48, max(12, count.bit_length()))
+    hit = (1 - differ) ** bits
+    return bits, max(1, int(np.ceil(np.log(miss) / np.log(1 - hit))))
+
+
+def similar_groups(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 26, differ: float = 0.1, miss: float = 0.005, shard_rows: int = 65536
+) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``: near-duplicates at a shingle similarity.
+
+    Two documents link if the Jaccard index of their sets of ``width``-word shingles is at least
+    ``similarity``. Candidates come from 128-bit SimHashes of word pairs, of which similar texts
+    share all but a tenth of the bits (``differ``) or fewer: tables of sampled bits, sized so that
+    a table's bucket holds about one unrelated text and all tables together miss a pair with a
+    chance of about ``miss``, are the shards. In each a BK-tree of leaders takes what lies within
+    ``radius`` bits of one as that leader's candidate, and the rest as leaders, so a group gives
+    rows in proportion to its members. Candidates are then compared exactly. Texts of one SimHash
+    are one class. A row with a null id is its own component, null; null texts count as empty;
+    repeated rows stay, and no rows give none.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            data = np.frombuffer(b"".join(sketch(t) for t in batch.column("text").to_pylist()), ">i8").reshape(-1, 2)
+            f0, f1 = (pa.array(data[:, i].astype(np.int64)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), f0, f1], ["doc_id", "f0", "f1"])
+
+    fps = cut(source.mapInArrow(run, "doc_id long, f0 long, f1 long"))
+    nodes = cut(fps.where("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node")))
+    bits, tables = _tables(nodes.count(), differ, miss)
+    rng = np.random.default_rng(17)
+    keys = []
+    for t in range(tables):
+        chosen = rng.choice(128, bits, replace=False)
+        masks = [int(np.array([sum(1 << int(b) % 64 for b in chosen if b // 64 == half)], np.uint64).view(np.int64)[0]) for half in (0, 1)]
+        keys.append(F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(masks[0])), F.col("f1").bitwiseAND(F.lit(masks[1]))))
+    routed = nodes.select("node", "f0", "f1", F.posexplode(F.array(*keys)).alias("table", "key"))
+    shared = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cells = routed.join(shared, "key").select(
+        F.xxhash64("key", F.pmod(F.xxhash64("table", "node"), F.ceil(F.col("n") / shard_rows))).alias("cell"), "node", "f0", "f1"
+    )
+
+    def lead(batches):
+        out_a: list[int] = []
+        out_b: list[int] = []
+        for _, group in sorted_groups(batches, "cell"):
+            ids = group.column("node").to_pylist()
+            low = (1 << 64) - 1
+            values = [(a & low) << 64 | (b & low) for a, b in zip(group.column("f0").to_pylist(), group.column("f1").to_pylist())]
+            leaders, owner = BKTree(), {}
+            for n, v in zip(ids, values):
+                hits = leaders.within(v, radius)
+                if hits:
+                    out_a += [n] * len(hits)
+                    out_b += [owner[h] for h in hits]
+                else:
+                    leaders.add(v)
+                    owner[v] = n
+            if len(out_a) > 50_000:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                out_a, out_b = [], []
+        yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    candidates = cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(lead, "a long, b long")
+    candidates = cut(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    named = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id").groupBy("id").agg(F.min("text").alias("text"))
+    texts = cut(texts)
+
+    def verify(batches):
+        for batch in batches:
+            alike = [
+                shingle_similarity(p, q, width) >= similarity
+                for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    pairs = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("p")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("text").alias("q")), "b"
+    )
+    parts = connected_components(pairs.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"))
+    labels = nodes.join(parts, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("component_id"))
+    out = fps.join(labels, ["f0", "f1"], "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
