@@ -110,25 +110,44 @@ class _Subspaces:
         return math.sqrt(self.budgets[b]) + _SLACK
 
 
-def _pairs_of_cell(x: np.ndarray, home: np.ndarray, b: int, space: _Subspaces):
+def _tiles(x: np.ndarray, idx: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows ``idx`` in groups of at most ``size``, by medians along the widest axes."""
+    if len(idx) == 0:
+        return []
+    if len(idx) <= size:
+        return [idx]
+    axis = int(np.argmax(np.ptp(x[idx], axis=0)))
+    order = idx[np.argpartition(x[idx, axis], len(idx) // 2)]
+    half = len(idx) // 2
+    return _tiles(x, order[:half], size) + _tiles(x, order[half:], size)
+
+
+def _pairs_of_cell(x: np.ndarray, home: np.ndarray, b: int, space: _Subspaces, tile: int = 256):
     """Yield arrays (i, j) of linked rows that this cell answers for; i is at home here."""
     y = _normal(x)
     z = y @ space.turn
     lo, hi = space.ranges[b]
-    part = z[:, lo:hi].astype(np.float32)
-    norm = (part * part).sum(1)
-    order = np.argsort(~home, kind="stable")
-    homes = int(home.sum())
-    y, z, part, norm = y[order], z[order], part[order], norm[order]
-    reach = space.radius(b) ** 2 + 1e-4
-    step = max(64, 2_000_000 // max(1, len(y)))
-    for at in range(0, homes, step):
-        end = min(homes, at + step)
-        # Each pair of homes once: only what follows a row is looked at.
-        near = norm[at:end, None] + norm[None, at:] - 2 * (part[at:end] @ part[at:].T) <= reach
-        i, j = np.nonzero(near)
-        keep = j > i
-        i, j = i[keep] + at, j[keep] + at
+    part = np.ascontiguousarray(z[:, lo:hi], np.float32)
+    half = 0.5 * (part * part).sum(1, keepdims=True)
+    one = np.ones_like(half)
+    # One product gives -1/2 squared distance.
+    left, right = np.hstack([part, -half, -one]), np.hstack([part, one, half])
+    reach = np.float32(-0.5 * space.radius(b) ** 2 - 1e-5)
+    tiles = _tiles(part, np.flatnonzero(home), tile)
+    homes = len(tiles)
+    tiles += _tiles(part, np.flatnonzero(~home), tile)
+    low, high = (np.array([how(part[t], axis=0) for t in tiles]) for how in (np.min, np.max))
+    place = np.empty(len(x), np.int64)
+    place[np.concatenate(tiles)] = np.arange(len(x))
+    for t in range(homes):
+        # Tiles in reach of this one; each pair of homes once.
+        apart = np.maximum(0, np.maximum(low[t:] - high[t], low[t] - high[t:]))
+        other = np.concatenate([tiles[t + u] for u in np.flatnonzero((apart * apart).sum(1) <= -2 * reach)])
+        mine = tiles[t]
+        hits = np.flatnonzero(left[mine] @ right[other].T >= reach)
+        i, j = mine[hits // len(other)], other[hits % len(other)]
+        keep = place[j] > place[i]
+        i, j = i[keep], j[keep]
         for s in range(0, len(i), 500_000):
             p, q = i[s : s + 500_000], j[s : s + 500_000]
             same = np.einsum("ij,ij->i", y[p], y[q]) >= space.threshold
@@ -139,12 +158,12 @@ def _pairs_of_cell(x: np.ndarray, home: np.ndarray, b: int, space: _Subspaces):
                 lo_c, hi_c = space.ranges[c]
                 within = _square(z[p, lo_c:hi_c] - z[q, lo_c:hi_c]) <= space.budgets[c] + 1e-9
                 first[(first < 0) & within] = c
-            mine = first == b
-            yield order[p[mine]], order[q[mine]]
+            answer = first == b
+            yield p[answer], q[answer]
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, block: int = 8, leaf_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, threshold: float = 0.9, block: int = 8, leaf_rows: int = 32768, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(vec_id long, n_links long, component_id long, kept boolean), one row for every row.
 
