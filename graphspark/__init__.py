@@ -1,0 +1 @@
+"""Analytics over collections of small graphs and the text written about them, on Spark."""
