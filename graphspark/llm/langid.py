@@ -30,15 +30,16 @@ def words_of(text: str | None) -> list[str]:
 
 
 def vocabulary(model_file: str) -> list[str]:
-    """The ordinary pieces of a SentencePiece model file."""
+    """The pieces of a SentencePiece model file that a lower-cased word of letters can hold."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    return [
+    ordinary = (
         sp.id_to_piece(i)
         for i in range(sp.vocab_size())
         if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))
-    ]
+    )
+    return [p for p in ordinary if p == p.lower() and regex.fullmatch(r"▁?[\p{L}\p{M}]*", p)]
 
 
 class Pieces:
@@ -57,7 +58,7 @@ class Pieces:
         for j in range(1, n + 1):
             ends = []
             for i in range(max(0, j - self.longest), j):
-                rows = np.fromiter((get(w[i:j], 0) for w in words), np.int32, len(words))
+                rows = np.array([get(w[i:j], 0) for w in words], np.int32)
                 if i == j - 1 or rows.any():
                     ends.append((i, rows))
             at.append(ends)
@@ -173,12 +174,11 @@ class LanguageModel:
     def __setstate__(self, state: dict) -> None:
         self.__init__(state["languages"], Pieces(state["pieces"]), state["prob"])
 
-    def _learn(self, words: Iterable[str]) -> None:
-        fresh = [w for w in set(words) if w not in self._index]
+    def _learn(self, words: set[str]) -> None:
         if len(self._index) > KEEP:
             self._index, self._scores = {}, self._scores[:0]
-            fresh = list(set(words))
-        if fresh:
+        fresh = [w for w in words if w not in self._index]
+        if fresh and self.languages:
             at = len(self._index)
             self._index.update(zip(fresh, range(at, at + len(fresh))))
             self._scores = np.concatenate([self._scores, log_likelihoods(fresh, self.vocab, self.prob)])
@@ -190,24 +190,25 @@ class LanguageModel:
         letter, and where no language was learned.
         """
         langs, scores = [], []
-        for text in texts:
-            words = words_of(text)
-            if not words or not self.languages:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            total = np.zeros(len(self.languages))
-            for lo in range(0, len(words), 50_000):
-                part = words[lo : lo + 50_000]
-                try:
-                    rows = [self._index[w] for w in part]
-                except KeyError:
-                    self._learn(part)
-                    rows = [self._index[w] for w in part]
-                total += self._scores[rows].sum(0)
-            best = int(np.argmax(total))
-            langs.append(self.languages[best])
-            scores.append(float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum()))
+        lo = 0
+        while lo < len(texts):
+            # As many texts as make a few million characters, so that unseen words go together.
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < 4_000_000):
+                size += len(texts[hi] or "")
+                hi += 1
+            split = [words_of(t) for t in texts[lo:hi]]
+            self._learn({w for words in split for w in words})
+            for words in split:
+                if not words or not self.languages:
+                    langs.append("und")
+                    scores.append(0.0)
+                    continue
+                total = self._scores[[self._index[w] for w in words]].sum(0)
+                best = int(np.argmax(total))
+                langs.append(self.languages[best])
+                scores.append(float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum()))
+            lo = hi
         return langs, scores
 
 
