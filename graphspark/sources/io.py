@@ -28,9 +28,14 @@ EXCLUDED = r"/archive/|/smoke-[^/]*$|\.redo\.shard[^/]*$"
 
 def read_json_lines(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
     """Records of JSON-lines files under a fixed schema; blank and torn lines are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    keep = F.col("_corrupt_record").isNull()
-    return rows.where(keep).drop("_corrupt_record")
+    return _parsed(spark, paths, schema).drop("file")
+
+
+def _parsed(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).where(F.length(F.trim("value")) > 0)
+    record = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.select("file", record.alias("r")).where("r._corrupt_record is null")
+    return rows.select("r.*", "file").drop("_corrupt_record")
 
 
 def read_with_lines(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
@@ -40,7 +45,7 @@ def read_with_lines(spark: SparkSession, paths: str | Sequence[str], schema: str
 
 def read_runs(spark: SparkSession, paths: str | Sequence[str], schema: str = RESPONSE) -> DataFrame:
     """Records with their file, without excluded paths."""
-    rows = read_json_lines(spark, paths, schema).withColumn("file", F.col("_metadata.file_path"))
+    rows = _parsed(spark, paths, schema)
     return rows.where(~F.col("file").rlike(EXCLUDED))
 
 
@@ -76,7 +81,7 @@ def read_graphml(spark: SparkSession, path: str, max_nodes: int = 20) -> tuple[D
     rows = files.select("graph_id", ids.alias("ids"), pairs.alias("pairs")).where(F.size("ids") <= max_nodes)
     end = lambda name: F.regexp_extract("e", rf'{name}="([0-9]+)"', 1).cast("int")
     edges = rows.select("graph_id", F.explode("pairs").alias("e")).select("graph_id", F.least(end("source"), end("target")).alias("u"), F.greatest(end("source"), end("target")).alias("v"))
-    return edges.distinct(), rows.select("graph_id", F.explode("ids").cast("int").alias("node"))
+    return edges.distinct(), rows.select("graph_id", F.explode("ids").alias("n")).select("graph_id", F.col("n").cast("int").alias("node"))
 
 
 def graphml(edges: DataFrame, nodes: DataFrame) -> DataFrame:
