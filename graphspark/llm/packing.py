@@ -3,30 +3,34 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphspark.llm.common import cut
 
-#: Words whose ids a worker keeps.
-KEEP = 400_000
+#: Words, and runs between white space, whose ids a worker keeps.
+KEEP = 500_000
 
-#: Characters that lower-casing and composition treat one by one, so that words can be looked up.
-_PLAIN = regex.compile(r"[\t-\r\x20-~¡-ÖØ-įı-ſ‐-‧]*")
-#: Fixed value: what the word tokenizer splits text into.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Any character but those that lower-casing and composition treat one by one, and white space
+#: that all libraries agree on.
+_UNUSUAL = re.compile("[^\t-\r\x20-~¡-ÖØ-įı-ſ‐-‧]")
+#: Fixed value: what the word tokenizer splits text into, said for lower-case text without unusual
+#: characters.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
+_WORDS = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
 class WordTokenizer:
     """Ids of texts under a word-level BPE tokenizer file, remembering those of words.
 
-    Special tokens' strings count as ordinary text. Texts of characters outside a plain range go
+    Special tokens' strings count as ordinary text. White space parts words, so what stands between
+    is looked up as a whole first, then its words. Texts with characters outside a plain range go
     through the tokenizer whole.
     """
 
@@ -36,24 +40,45 @@ class WordTokenizer:
 
         self.full = Tokenizer.from_file(path)
         self.full.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if _PLAIN.fullmatch(text) is None:
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = _WORDS.findall(text.lower())
-        memo = self.memo
-        try:
-            return np.frombuffer(b"".join([memo[w] for w in words]), "<u4")
-        except KeyError:
-            if len(memo) > KEEP:
-                memo.clear()
-            fresh = [w for w in set(words) if w not in memo]
-            for w, e in zip(fresh, self.full.encode_batch_fast(fresh, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-            return np.frombuffer(b"".join([memo[w] for w in words]), "<u4")
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null and empty texts have none."""
+        plain = [text.lower().split() if text and _UNUSUAL.search(text) is None else None for text in texts]
+        memo = self.runs
+        if len(memo) > KEEP:
+            memo.clear()
+        fresh = {r for runs in plain if runs for r in runs if r not in memo}
+        if fresh:
+            self._learn(list(fresh))
+        out = []
+        for text, runs in zip(texts, plain):
+            if runs is not None:
+                out.append(np.frombuffer(b"".join([memo[r] for r in runs]), "<u4"))
+            elif text:
+                out.append(np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32))
+            else:
+                out.append(np.zeros(0, np.uint32))
+        return out
+
+    def _learn(self, runs: list[str]) -> None:
+        known = self.words
+        split = [_WORDS.findall(r) for r in runs]
+        if len(known) > KEEP:
+            known.clear()
+        fresh = list({w for words in split for w in words if w not in known})
+        # One call for all: the words of a line do not touch each other.
+        for lo in range(0, len(fresh), 4096):
+            part = fresh[lo : lo + 4096]
+            line = self.full.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(line.ids, "<u4")
+            cuts = np.searchsorted(np.array(line.word_ids), np.arange(len(part) + 1)).tolist()
+            data = ids.tobytes()
+            for w, x, y in zip(part, cuts[:-1], cuts[1:]):
+                known[w] = data[4 * x : 4 * y]
+        for r, words in zip(runs, split):
+            self.runs[r] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -89,8 +114,8 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 1, max_queues:
                 piece = batch.slice(lo, 512)
                 queues = piece.column("queue").to_pylist()
                 before, sizes, data, wide = [], [], [], []
-                for q, text in zip(queues, piece.column("text").to_pylist()):
-                    ids = np.append(tok.encode(text), np.uint32(end_id))
+                for q, ids in zip(queues, tok.encode(piece.column("text").to_pylist())):
+                    ids = np.append(ids, np.uint32(end_id))
                     before.append(used.get(q, 0))
                     used[q] = before[-1] + len(ids)
                     sizes.append(len(ids))
@@ -183,49 +208,56 @@ def pack(
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            data: list[bytes] = []
-            names: list[str] = []
-
-            def flush():
-                arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols[1:]]
-                doc = pa.array([d for d, m in cols[0] for _ in range(m)], pa.int64())
-                out = pa.RecordBatch.from_arrays(
-                    [doc, *arrays[:2], pa.array(data, pa.binary()), *arrays[2:5], pa.array(names, pa.string())],
-                    ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "queue"],
-                )
-                for c in (*cols, data, names):
-                    c.clear()
-                return out
-
-            ids_of = batch.column("ids")
-            wide = batch.column("wide").to_pylist()
-            for i, (doc, q, a, n) in enumerate(
-                zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "at", "n")))
-            ):
-                ids = np.frombuffer(ids_of[i].as_buffer(), "<u4" if wide[i] else "<u2").astype("<u4")
-                js = np.arange(a // quantum, (a + n - 1) // quantum + 1)
-                starts = np.maximum(js * quantum, a)
-                ends = np.minimum((js + 1) * quantum, a + n)
-                place = plan.place(number[q], js) + (starts - js * quantum)
-                # Cut again where the stream passes from one sequence to the next.
-                s, e, g = _cut_at(starts, ends, place, window, first_tail, bounds)
-                tail = g >= first_tail
-                which = np.searchsorted(bounds, g, "right") - 1 if len(bounds) else np.zeros(len(g), np.int64)
-                seq = np.where(tail, first_tail // window + which, g // window)
-                start_of = np.where(tail, bounds[np.maximum(which, 0)] if len(bounds) else 0, g - g % window)
-                cols[0].append((doc, len(s)))
-                cols[1].append(s - a)
-                cols[2].append(e - s)
-                cols[3].append(np.full(len(s), n))
-                cols[4].append(seq)
-                cols[5].append(g - start_of)
-                names += [q] * len(s)
-                data += [ids[x:y].tobytes() for x, y in zip((s - a).tolist(), (e - a).tolist())]
-                if len(data) > 8192:
-                    yield flush()
-            if data:
-                yield flush()
+            lo = 0
+            sizes = batch.column("n").to_pylist()
+            while lo < len(sizes):
+                hi, held = lo, 0
+                while hi < len(sizes) and (hi == lo or held + sizes[hi] <= 1 << 22):
+                    held += sizes[hi]
+                    hi += 1
+                yield pieces(batch.slice(lo, hi - lo))
+                lo = hi
+
+    def pieces(batch):
+        a, n = (batch.column(c).to_numpy() for c in ("at", "n"))
+        queue = np.array([number[q] for q in batch.column("queue").to_pylist()])
+        wide = batch.column("wide").to_pylist()
+        ids = [np.frombuffer(x.as_buffer(), "<u4" if w else "<u2").astype("<u4") for x, w in zip(batch.column("ids"), wide)]
+        # The quanta that each document has a part of.
+        first = a // quantum
+        count = (a + n - 1) // quantum - first + 1
+        doc = np.repeat(np.arange(len(n)), count)
+        j = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
+        starts = np.maximum(j * quantum, a[doc])
+        ends = np.minimum((j + 1) * quantum, (a + n)[doc])
+        place = starts - j * quantum
+        for q in np.unique(queue[doc]):
+            own = queue[doc] == q
+            place[own] += plan.place(int(q), j[own])
+        doc, s, e, g = _cut_at(doc, starts, ends, place, window, first_tail, bounds)
+        if len(bounds):
+            tail = g >= first_tail
+            which = np.maximum(np.searchsorted(bounds, g, "right") - 1, 0)
+            seq = np.where(tail, first_tail // window + which, g // window)
+            start_of = np.where(tail, bounds[which], g - g % window)
+        else:
+            seq, start_of = g // window, g - g % window
+        # Pieces in order of document and start hold the ids in the order they came in.
+        offsets = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32) * 4
+        data = pa.py_buffer(np.concatenate(ids).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").take(pa.array(doc)),
+                pa.array(s - a[doc]),
+                pa.array(e - s),
+                pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets), data]),
+                pa.array(n[doc]),
+                pa.array(seq),
+                pa.array(g - start_of),
+                batch.column("queue").take(pa.array(doc)),
+            ],
+            ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "queue"],
+        )
 
     placed = tokens.join(offsets.select("queue", "part", "base"), ["queue", "part"]).select(
         "doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "wide", "ids"
@@ -236,21 +268,21 @@ def pack(
     )
 
 
-def _cut_at(starts, ends, place, window, first_tail, bounds):
-    """Split intervals at window boundaries, and in the tail at ``bounds``."""
+def _cut_at(doc, starts, ends, place, window, first_tail, bounds):
+    """Split intervals at window boundaries, and in the tail at ``bounds``; by document and start."""
     while True:
-        tail = place >= first_tail
         nxt = (place // window + 1) * window
         if len(bounds):
             at = np.searchsorted(bounds, place, "right")
             after = np.where(at < len(bounds), bounds[np.minimum(at, len(bounds) - 1)], np.iinfo(np.int64).max)
-            nxt = np.where(tail, after, nxt)
+            nxt = np.where(place >= first_tail, after, nxt)
         over = place + (ends - starts) > nxt
         if not over.any():
-            order = np.argsort(starts, kind="stable")
-            return starts[order], ends[order], place[order]
+            order = np.lexsort((starts, doc))
+            return doc[order], starts[order], ends[order], place[order]
         middle = starts + (nxt - place)
-        starts, ends, place = (
+        doc, starts, ends, place = (
+            np.concatenate([doc, doc[over]]),
             np.concatenate([starts, middle[over]]),
             np.concatenate([np.where(over, middle, ends), ends[over]]),
             np.concatenate([place, nxt[over]]),
