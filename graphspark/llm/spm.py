@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ SPACE = "▁"
 #: Stands for a space mark of the text itself; no valid text holds a lone surrogate.
 _LITERAL = "\udfff"
 #: Segments whose ids a worker keeps, and the longest one it does.
-KEEP, KEEP_LENGTH = 300_000, 32
+KEEP, KEEP_LENGTH = 400_000, 48
 #: A character that no piece covers costs this much more than the worst piece.
 UNKNOWN_MARGIN = 10.0
 
@@ -199,7 +200,10 @@ class Codec:
         # at either side of a line break. A vocabulary without that property is never cut ahead.
         crosses = any("\n" in p or regex.search(f"[^{SPACE}]{SPACE}", p) for p in vocab.pieces)
         self.cut = None if crosses else regex.compile(f"\\n|{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+")
+        self.joined = {p[i : i + 2] for p in vocab.pieces for i in range(len(p) - 1)}
         self.memo: dict[str, bytes] = {}
+        self.run_memo: dict[str, bytes] = {}
+        self.bytes_of = {i: p.replace(SPACE, " ").encode() for i, p in self.piece.items()} | {i: bytes([b]) for i, b in self.byte.items()}
 
     def _ids(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
@@ -215,14 +219,56 @@ class Codec:
     def viterbi(self) -> StreamingViterbi:
         return StreamingViterbi(self.scores, self.tails, self.longest, self.merges, self.unknown)
 
+    def _run(self, run: str) -> bytes:
+        """The ids of characters that only meet inside."""
+        if len(run) > KEEP_LENGTH or self.merges is None:
+            search = self.viterbi()
+            return array("i", self._ids(search.feed(run) + search.finish())).tobytes()
+        # The same search, short enough to hold: one surviving piece for each boundary.
+        scores, tails, known, follows = self.scores, self.tails, self.merges.memo, self.merges.follows
+        last = [""]
+        for end in range(1, len(run) + 1):
+            start = end - 1
+            piece = chosen = run[start]
+            while piece in tails or start == end - 1:
+                if piece in scores or start == end - 1:
+                    before = last[start]
+                    if not before:
+                        if start == 0:
+                            chosen = piece
+                            break
+                    else:
+                        ok = known.get((before, piece))
+                        if ok if ok is not None else follows(before, piece):
+                            chosen = piece
+                            break
+                start -= 1
+                if start < 0:
+                    break
+                piece = run[start:end]
+            last.append(chosen)
+        pieces, end = [], len(run)
+        while end:
+            pieces.append(last[end])
+            end -= len(last[end])
+        return array("i", self._ids(pieces[::-1])).tobytes()
+
     def _segment(self, segment: str) -> bytes:
-        search = self.viterbi()
-        if len(segment) <= KEEP_LENGTH:
-            search._extend(segment)
-            pieces = search.finish()
-        else:
-            pieces = search.feed(segment) + search.finish()
-        return np.array(self._ids(pieces), "<i4").tobytes()
+        """The ids of a segment: parted where no piece joins two neighbouring characters."""
+        joined, memo = self.joined, self.run_memo
+        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in joined]
+        if len(memo) > KEEP:
+            memo.clear()
+        out = []
+        for lo, hi in zip([0, *cuts], [*cuts, len(segment)]):
+            run = segment[lo:hi]
+            ids = memo.get(run)
+            if ids is None:
+                ids = self._run(run)
+                if hi - lo <= KEEP_LENGTH:
+                    memo[run] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text: a space mark goes in front and stands for every space.
@@ -252,13 +298,7 @@ class Codec:
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids. Unknown ids raise."""
-        out = bytearray()
-        for i in ids:
-            p = self.piece.get(i)
-            if p is not None:
-                out += p.replace(SPACE, " ").encode()
-            else:
-                out.append(self.byte[i])
+        out = b"".join(map(self.bytes_of.__getitem__, ids))
         text = out.decode("utf-8")
         return text[1:] if text.startswith(" ") else text
 
@@ -303,7 +343,7 @@ def decode(encoded: DataFrame, vocab: Vocabulary, digest: bool = False) -> DataF
                 if not digest:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
                     continue
-                sums = [None if i is None else zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids]
+                sums = [None if i is None else zlib.crc32(array("I", i).tobytes()) for i in ids]
                 back = [None if t is None else zlib.crc32(t.encode()) for t in texts]
                 sizes = [None if i is None else len(i) for i in ids]
                 yield pa.RecordBatch.from_arrays(
