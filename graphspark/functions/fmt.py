@@ -6,18 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Whether the i-th tie (2 i + 1) / 200 is rounded up when its binary neighbour is written out.
+_TIES = "".join("1" if f"{(2 * i + 1) / 200:.2f}" == f"{(i + 1) / 100:.2f}" else "0" for i in range(100))
+
+
 def two_decimals(value: Column) -> Column:
     """Two decimals of a number in [0, 1e6), rounded to six places first, exact ties as binary floats do.
 
     An odd multiple of 1/200 is a tie in decimal, but its binary neighbour lies on one side or the
-    other, so those come from a table made by rule; everything else has one nearest value.
+    other, so those come from a table made by rule (below 1; above, ties go up); everything else has
+    one nearest value.
     """
-    ties = F.array(*(F.lit(f"{(2 * i + 1) / 200:.2f}") for i in range(100)))
     v = F.round(value, 6)
     steps = F.round(v * 200, 4)
-    tie = (steps == F.floor(steps)) & (F.pmod(steps, F.lit(2.0)) == 1) & (v < 1)
-    at = ((F.floor(steps).cast("int") - 1) / 2 + 1).cast("int")
-    return F.when(tie, F.element_at(ties, F.greatest(F.lit(1), F.least(F.lit(100), at)))).otherwise(F.format_string("%.2f", v))
+    whole = steps.cast("long")
+    below = ((whole - 1) / 2).cast("long")
+    tie = (steps == whole) & (whole % 2 == 1) & (v < 1)
+    up = F.substring(F.lit(_TIES), (below + 1).cast("int"), F.lit(1)).cast("int")
+    hundredths = F.when(tie, below + up).otherwise(F.round(v * 100).cast("long"))
+    return F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
 
 
 def one_decimal_even(value: Column) -> Column:

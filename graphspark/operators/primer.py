@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.functions.fmt import join_phrases, two_decimals
-from graphspark.operators.structure import clustering, component_count, return_probabilities
+from graphspark.operators.structure import component_count, degrees, statistics_by_graph
 
 #: The parts of each condition.
 CONDITIONS: dict[str, tuple[str, ...]] = {
@@ -35,7 +35,7 @@ SENTENCE = (
 
 def node_statistics(edges: DataFrame, nodes: DataFrame, k_max: int = 3) -> DataFrame:
     """(graph_id, node, degree, clustering, rwse2..): what primers are made of."""
-    return clustering(edges, nodes).join(return_probabilities(edges, nodes, k_max), ["graph_id", "node"])
+    return statistics_by_graph(edges, nodes, k_max)
 
 
 def degree_phrase(d: Column) -> Column:
@@ -77,9 +77,7 @@ def render(edges: DataFrame, nodes: DataFrame, condition: str, k_max: int = 3) -
         return component_count(edges, nodes).select("graph_id", components_sentence(F.col("n_components")).alias("primer"))
     rows = nodes
     if parts != ("filler",):
-        rows = clustering(edges, nodes)
-        if "rwse" in parts:
-            rows = rows.join(return_probabilities(edges, nodes, k_max), ["graph_id", "node"])
+        rows = degrees(edges, nodes) if parts == ("degree",) else statistics_by_graph(edges, nodes, k_max)
     said = rows.select("graph_id", F.struct("node", _node_sentence(parts, k_max).alias("s")).alias("x"))
     listed = said.groupBy("graph_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     return listed.select("graph_id", F.array_join(F.transform("xs", lambda x: x["s"]), " ").alias("primer"))

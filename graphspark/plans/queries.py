@@ -29,85 +29,91 @@ def _round(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
+def _graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The order tables' graphs, kept while a query reads them several times; lost parts are made again."""
+    edges, nodes = graphs.order_graphs(spark, d)
+    return edges.persist(), nodes.persist()
+
+
 # --- the graph collection of the order tables ----------------------------------------------------
 
 
 @query
 def node_degree(spark, d):
-    return structure.degrees(*graphs.order_graphs(spark, d))
+    return structure.degrees(*_graphs(spark, d))
 
 
 @query
 def edge_count(spark, d):
-    return structure.edge_count(*graphs.order_graphs(spark, d))
+    return structure.edge_count(*_graphs(spark, d))
 
 
 @query
 def node_count(spark, d):
-    return structure.node_count(graphs.order_graphs(spark, d)[1])
+    return structure.node_count(_graphs(spark, d)[1])
 
 
 @query
 def neighbor_list(spark, d):
-    near = structure.neighbours(graphs.order_graphs(spark, d)[0])
+    near = structure.neighbours(_graphs(spark, d)[0])
     return near.select("graph_id", "node", F.array_join(F.transform("nbrs", lambda n: n.cast("string")), ", ").alias("answer"))
 
 
 @query
 def triangle_count(spark, d):
-    return structure.triangle_count(*graphs.order_graphs(spark, d))
+    return structure.triangle_count(*_graphs(spark, d))
 
 
 @query
 def clustering_coeff(spark, d):
-    return _round(structure.clustering(*graphs.order_graphs(spark, d)), "clustering")
+    return _round(structure.clustering(*_graphs(spark, d)), "clustering")
 
 
 @query
 def rwse2(spark, d):
-    return _round(structure.return_probabilities(*graphs.order_graphs(spark, d), steps=2), "rwse2")
+    return _round(structure.return_probabilities(*_graphs(spark, d), steps=2), "rwse2")
 
 
 @query
 def rwse3(spark, d):
-    return _round(structure.return_probabilities(*graphs.order_graphs(spark, d), steps=3).drop("rwse2"), "rwse3")
+    return _round(structure.return_probabilities(*_graphs(spark, d), steps=3).drop("rwse2"), "rwse3")
 
 
 @query
 def component_count(spark, d):
-    return structure.component_count(*graphs.order_graphs(spark, d))
+    return structure.component_count(*_graphs(spark, d))
 
 
 @query
 def shortest_path(spark, d):
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     return structure.distances(edges, nodes).groupBy("graph_id", "dist").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query
 def modal_degree_share(spark, d):
-    return _round(structure.modal_degree_share(*graphs.order_graphs(spark, d)), "share")
+    return _round(structure.modal_degree_share(*_graphs(spark, d)), "share")
 
 
 @query
 def rendered_clustering_sd(spark, d):
-    c = structure.clustering(*graphs.order_graphs(spark, d))
+    c = structure.clustering(*_graphs(spark, d))
     return _round(c.groupBy("graph_id").agg(F.stddev_pop(fmt.two_decimals(F.col("clustering")).cast("double")).alias("sd")), "sd", places=6)
 
 
 @query
 def topology_row(spark, d):
-    return _round(structure.topology(*graphs.order_graphs(spark, d)), "density_real", "mean_degree", "mean_clustering")
+    return _round(structure.topology(*_graphs(spark, d)), "density_real", "mean_degree", "mean_clustering")
 
 
 @query
 def rwse_degree_corr(spark, d):
-    return _round(structure.rwse_degree_correlation(*graphs.order_graphs(spark, d)), "r", places=6)
+    return _round(structure.rwse_degree_correlation(*_graphs(spark, d)), "r", places=6)
 
 
 def _gold(task: str) -> Query:
     def run(spark, d):
-        edges, nodes = graphs.order_graphs(spark, d)
+        edges, nodes = _graphs(spark, d)
         return tasks.gold(task, edges, nodes, tasks.targets(nodes)).select("graph_id", "a", "b", "gold")
 
     return run
@@ -119,20 +125,20 @@ for _task in ("edge_existence", "reachability", "cycle_check", "connected_nodes"
 
 @query
 def common_neighbors(spark, d):
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     return structure.common_neighbours(edges, edges.select("graph_id", F.col("u").alias("a"), F.col("v").alias("b")))
 
 
 @query
 def corpus_report(spark, d):
-    report = structure.corpus_report(structure.topology(*graphs.order_graphs(spark, d)))
+    report = structure.corpus_report(structure.topology(*_graphs(spark, d)))
     return _round(report.drop("density_deciles"), "connected", "edgeless", "triangle_free", "mean_clustering")
 
 
 @query
 def multiset_diff(spark, d):
     """Graphs (by node count and edge list) that even customers have more often than odd ones."""
-    keys = structure.graph_keys(*graphs.order_graphs(spark, d))
+    keys = structure.graph_keys(*_graphs(spark, d))
     even, odd = keys.where("graph_id % 2 = 0"), keys.where("graph_id % 2 = 1")
     return structure.multiset_difference(even, odd)[0]
 
@@ -140,7 +146,7 @@ def multiset_diff(spark, d):
 @query
 def rewire_triangles(spark, d):
     """Triangles before and after rewiring either way; degrees stay."""
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     low, high = (rewiring.rewire(edges, nodes, up, times=1) for up in (False, True))
     count = lambda e, name: structure.triangle_count(e, nodes).select("graph_id", F.col("n_triangles").alias(name))
     return count(edges, "before").join(count(low, "low"), "graph_id").join(count(high, "high"), "graph_id")
@@ -171,7 +177,7 @@ def exact_island(spark, d):
 
 def _text(encoder: str) -> Query:
     def run(spark, d):
-        return encode.encode(*graphs.order_graphs(spark, d), encoder)
+        return encode.encode(*_graphs(spark, d), encoder)
 
     return run
 
@@ -182,7 +188,7 @@ for _encoder in ("adjacency", "incident", "friendship", "triples"):
 
 def _primer(condition: str) -> Query:
     def run(spark, d):
-        return primer.render(*graphs.order_graphs(spark, d), condition)
+        return primer.render(*_graphs(spark, d), condition)
 
     return run
 
@@ -194,7 +200,7 @@ for _condition in ("components", "degree", "filler", "clustering", "rwse", "all"
 @query
 def primer_roundtrip_check(spark, d):
     """Nodes whose degree does not come back from the text: none."""
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     parsed = primer.parse(primer.render(edges, nodes, "degree")).select("graph_id", F.explode("degree").alias("node", "said"))
     both = structure.degrees(edges, nodes).join(parsed, ["graph_id", "node"], "full")
     return both.where("said is null or degree is null or said <> degree").select("graph_id", "node", "degree", "said")
@@ -202,7 +208,7 @@ def primer_roundtrip_check(spark, d):
 
 @query
 def primer_parse_degree(spark, d):
-    parsed = primer.parse(primer.render(*graphs.order_graphs(spark, d), "degree"))
+    parsed = primer.parse(primer.render(*_graphs(spark, d), "degree"))
     total = F.aggregate(F.map_values("degree"), F.lit(0), lambda s, x: s + x)
     return parsed.select("graph_id", F.size("ns").alias("n"), total.alias("degree_sum"))
 
@@ -210,7 +216,7 @@ def primer_parse_degree(spark, d):
 @query
 def prompt_stats(spark, d):
     """Median characters that each condition's primer adds."""
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     rows = None
     for c in ("components", "degree", "filler"):
         one = primer.render(edges, nodes, c).select(F.lit(c).alias("condition"), F.length("primer").alias("chars"))
@@ -220,7 +226,7 @@ def prompt_stats(spark, d):
 
 @query
 def prompt_build(spark, d):
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     asked = tasks.targets(nodes).select("graph_id", "a", "b", tasks.question("node_degree").alias("question"))
     texts = primer.render(edges, nodes, "degree").join(encode.encode(edges, nodes), "graph_id").join(asked, "graph_id")
     return texts.select("graph_id", primer.build_prompt(F.col("primer"), F.col("text"), F.col("question")).alias("prompt"))
@@ -231,7 +237,7 @@ def prompt_build(spark, d):
 
 def _contexts(spark: SparkSession, d: str, task: str, condition: str) -> DataFrame:
     """Parsed primers with targets and gold answers; n is granted, m is not."""
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     gold = tasks.gold(task, edges, nodes, tasks.targets(nodes)).select("graph_id", "a", "b", F.substring_index("gold", ",", 1 if task == "cycle_check" else -1).alias("short"), "gold")
     parsed = primer.parse(primer.render(edges, nodes, condition))
     rows = parsed.join(gold, "graph_id").withColumn("m", F.lit(None).cast("int"))
@@ -254,8 +260,7 @@ def solver_bars(spark, d):
     """Accuracy of theorems with the majority answer behind them, for stated degrees."""
     out = None
     for task in ("edge_existence", "edge_count", "node_degree"):
-        edges, nodes = graphs.order_graphs(spark, d)
-        rows = _contexts(spark, d, task, "degree") if task != "edge_count" else _contexts(spark, d, "edge_count", "degree")
+        rows = _contexts(spark, d, task, "degree")
         base = inference.majority(rows, [], "gold", largest=True)
         one = solver.solve(rows, task, base).agg(F.avg((F.col("solved") == F.col("gold")).cast("double")).alias("bar"), F.count(F.lit(1)).alias("n"))
         one = one.select(F.lit(task).alias("task"), "bar", "n")
@@ -287,7 +292,7 @@ def solver_threshold_fit(spark, d):
 @query
 def solver_line_fit(spark, d):
     """Edge counts from node counts, by least squares."""
-    topo = structure.node_count(graphs.order_graphs(spark, d)[1]).join(structure.edge_count(*graphs.order_graphs(spark, d)), "graph_id")
+    topo = structure.node_count(_graphs(spark, d)[1]).join(structure.edge_count(*_graphs(spark, d)), "graph_id")
     return _round(solver.fit_line(topo, "n_nodes", "n_edges"), "slope", "intercept", places=6)
 
 
@@ -357,7 +362,7 @@ def extract_boolean(spark, d):
 
 @query
 def extract_node_list(spark, d):
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     rows = tasks.gold("connected_nodes", edges, nodes, tasks.targets(nodes))
     text = F.concat(F.lit("Looking at node "), F.col("a").cast("string"), F.lit(".\nSo node "), F.col("a").cast("string"), F.lit(" is connected to: **"), F.col("gold"), F.lit("**."))
     return rows.select("graph_id", answers.list_answer(text).alias("answer"))
@@ -371,7 +376,7 @@ def score_rows(spark, d):
 @query
 def score_set_f1(spark, d):
     """F1 of the neighbours of one target read for another's."""
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     near = structure.neighbours(edges).select("graph_id", "node", "nbrs")
     t = tasks.targets(nodes)
     two = t.join(near.select("graph_id", F.col("node").alias("a"), F.col("nbrs").alias("na")), ["graph_id", "a"], "left").join(
@@ -592,7 +597,7 @@ def phrase_topk(spark, d):
 @query
 def named_cycles(spark, d):
     """Closed walks that a text names on a graph, and how many are real."""
-    edges, nodes = graphs.order_graphs(spark, d)
+    edges, nodes = _graphs(spark, d)
     said = structure.triangles(edges).groupBy("graph_id").agg(F.min(F.struct("a", "b", "c")).alias("t"))
     arrow = F.lit(" -> ")
     s = lambda c: F.col(f"t.{c}").cast("string")
