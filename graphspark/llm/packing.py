@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from graphspark.llm.common import cut
 
-#: Words, and runs between white space, whose ids a worker keeps.
-KEEP = 500_000
+#: Runs between white space, and words, whose ids a worker keeps.
+KEEP_RUNS, KEEP_WORDS = 600_000, 800_000
+#: Rows of partition offsets up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 #: Any character but those that lower-casing and composition treat one by one, and white space
 #: that all libraries agree on.
@@ -47,7 +49,7 @@ class WordTokenizer:
         """The ids of each text; null and empty texts have none."""
         plain = [text.lower().split() if text and _UNUSUAL.search(text) is None else None for text in texts]
         memo = self.runs
-        if len(memo) > KEEP:
+        if len(memo) > KEEP_RUNS:
             memo.clear()
         fresh = {r for runs in plain if runs for r in runs if r not in memo}
         if fresh:
@@ -65,7 +67,7 @@ class WordTokenizer:
     def _learn(self, runs: list[str]) -> None:
         known = self.words
         split = [_WORDS.findall(r) for r in runs]
-        if len(known) > KEEP:
+        if len(known) > KEEP_WORDS:
             known.clear()
         fresh = list({w for words in split for w in words if w not in known})
         # One call for all: the words of a line do not touch each other.
@@ -191,8 +193,8 @@ def pack(
     of two, so that no sequence is padded. ``ids`` is binary, little-endian unsigned 32-bit.
     Repeated rows are packed as often as they come; a null doc_id stays null. No rows give none.
 
-    Ids are cut off to the checkpoint folder once and never shuffled unless the small table of
-    partition offsets is too large to broadcast.
+    Ids are written to the checkpoint folder once, and shuffled only if the partitions' offsets, a row
+    for each partition and queue, are more than BROADCAST_ROWS.
     """
     tokens = cut(tokenize(docs, tokenizer_file, end_id, max_queues))
     sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("m"))
@@ -259,7 +261,10 @@ def pack(
             ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "queue"],
         )
 
-    placed = tokens.join(offsets.select("queue", "part", "base"), ["queue", "part"]).select(
+    small = offsets.select("queue", "part", "base")
+    if small.count() <= BROADCAST_ROWS:
+        small = F.broadcast(small)
+    placed = tokens.join(small, ["queue", "part"]).select(
         "doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "wide", "ids"
     )
     return placed.mapInArrow(
