@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphspark.operators.inference import majority
 
@@ -57,10 +59,7 @@ def theorems() -> dict[str, list[tuple[str, Column]]]:
         "connected_nodes": [
             ("degree_zero_no_nodes", F.when(_deg(a) == 0, F.lit("No nodes"))),
             ("rwse_zero_no_nodes", F.when(rise(a), F.lit("No nodes"))),
-            (
-                "degree_full_all_nodes",
-                F.when(_deg(a) == n - 1, F.array_join(F.transform(F.filter("ns", lambda x: x != a), lambda x: x.cast("string")), ", ")),
-            ),
+            ("degree_peel", F.when(F.size("degree") == F.size("ns"), peeled_neighbours(F.map_keys("degree"), F.map_values("degree"), a))),
         ],
         "cycle_check": [
             ("clustering_triangle", F.when(F.exists(F.map_values("clustering"), lambda c: c > 0), yes)),
@@ -94,6 +93,45 @@ def theorem_table(rows: DataFrame, task: str, gold: str = "gold") -> DataFrame:
     return out.groupBy(F.col("x.rule").alias("rule")).agg(F.count("x.answer").alias("fired"), F.sum(F.when(right, 1).otherwise(0)).alias("right"))
 
 
+@F.pandas_udf(T.StringType())
+def peeled_neighbours(nodes: pd.Series, degree: pd.Series, target: pd.Series) -> pd.Series:
+    """The neighbour list of a node that stated degrees alone force, else null.
+
+    ``nodes`` and ``degree`` are arrays side by side. Sorted by degree, the largest of what is left
+    either joins all others or, if the smallest has none, that one joins nobody; both ends close in
+    until neither holds, and whoever was taken by then has all its neighbours settled.
+    """
+
+    def one(ns, ds, t) -> str | None:
+        if ns is None or ds is None or t is None or len(ns) != len(ds):
+            return None
+        order = sorted(range(len(ns)), key=lambda i: (ds[i], -ns[i]))
+        lo, hi, joined = 0, len(order) - 1, 0  # joined: nodes taken from the top, adjacent to all left
+        top: list[int] = []
+        free: list[int] = []
+        while lo <= hi:
+            if ds[order[hi]] - joined == hi - lo:
+                top.append(order[hi])
+                free.append(lo)
+                hi -= 1
+                joined += 1
+            elif ds[order[lo]] == joined:
+                lo += 1
+            else:
+                break
+        place = {ns[i]: r for r, i in enumerate(order)}
+        if t not in place or lo <= place[t] <= hi:
+            return None
+        if place[t] < lo:  # taken from the bottom: adjacent to those taken from the top before it
+            near = [ns[i] for i, at in zip(top, free) if at <= place[t]]
+        else:  # taken from the top: to all but the bottom ones taken before
+            at = free[[ns[i] for i in top].index(t)]
+            near = [ns[order[r]] for r in range(at, len(order)) if ns[order[r]] != t]
+        return ", ".join(map(str, sorted(near))) if near else "No nodes"
+
+    return pd.Series([one(*row) for row in zip(nodes, degree, target)], dtype=object)
+
+
 def fit_lookup(fit: DataFrame, keys: Sequence[str], gold: str = "gold") -> DataFrame:
     """(keys, answer, share): the majority gold answer by key, ties to the largest."""
     return majority(fit, keys, gold, largest=True)
