@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def only_memo(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Said by a worker's function as it starts: what other operators remember in this worker goes.
+
+    ``clear`` forgets what this one is about to remember. Workers are used again by later stages, so
+    without this their memos would add up.
+    """
+    for other in [n for n in _MEMOS if n != name]:
+        _MEMOS.pop(other)()
+    if clear is not None:
+        _MEMOS[name] = clear
+
+
 def sorted_groups(
     batches: Iterable[pa.RecordBatch], key: str
 ) -> Iterator[tuple[int, pa.Table]]:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphspark.llm.common import only_memo
+
 #: Probability of a single character that no piece covers, the same in every language.
 FLOOR = 1e-7
 #: Words longer than this are summed piecewise in log space instead of in a batch.
@@ -226,6 +228,11 @@ def train(labelled: DataFrame, pieces: Sequence[str], docs_per_language: int = 4
     )
     order = Window.partitionBy("lang").orderBy("h", "d")
     keyed = rows.select("d", "lang", F.xxhash64(F.lit(11), "d").alias("h"))
+    # Hashes spread evenly, so four times the share that is needed holds all that can be chosen; with
+    # fewer rows than that, all stay. Without this a task would rank what every partition sends it.
+    counts = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    share = (F.col("h") / 2.0**64 + 0.5) * F.col("all") < 4 * docs_per_language
+    keyed = keyed.join(F.broadcast(counts), "lang").where(share).drop("all")
     chosen = keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
     chosen = chosen.groupBy("d", "lang").agg(F.count(F.lit(1)).alias("n")).drop("n")
 
@@ -284,6 +291,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     names = [*docs.columns, "_lang_pred", "_score"]
 
     def run(batches):
+        only_memo("langid")
         known = shared.value
         for batch in batches:
             langs, scores = known.predict(batch.column(at).to_pylist())
@@ -299,6 +307,7 @@ def without_text(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        only_memo("langid")
         known = shared.value
         for batch in batches:
             langs, scores = known.predict(batch.column("text").to_pylist())

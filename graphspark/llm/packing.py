@@ -12,10 +12,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import cut
+from graphspark.llm.common import cut, only_memo
 
 #: Runs between white space, and words, whose ids a worker keeps.
-KEEP_RUNS, KEEP_WORDS = 600_000, 800_000
+KEEP_RUNS, KEEP_WORDS = 400_000, 400_000
 #: Rows of partition offsets up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -108,6 +108,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 1, max_queues:
         source = source.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
 
     def run(batches):
+        only_memo("packing", _TOKENIZERS.clear)
         tok = _tokenizer(tokenizer_file)
         part = TaskContext.get().partitionId()
         used: dict[str, int] = {}

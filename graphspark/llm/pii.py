@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import cut
+from graphspark.llm.common import cut, only_memo
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -167,6 +167,7 @@ _EXTRACTED = (
 
 def _extract(docs: DataFrame) -> DataFrame:
     def run(batches):
+        only_memo("pii")
         part = TaskContext.get().partitionId()
         row = part << 40
         for batch in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from graphspark.llm.common import Forest, cut, sorted_groups
+from graphspark.llm.common import Forest, cut, only_memo, sorted_groups
 from graphspark.llm.components import connected_components
 
 #: Shingles whose bits are counted at a time, so that a very long text needs bounded memory.
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id long, fp long): the SimHash of every text, as a signed 64-bit integer."""
 
     def run(batches):
+        only_memo("simhash")
         for batch in batches:
             fps = [fingerprint(t, width, seed) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
@@ -252,6 +253,7 @@ def similar_groups(
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def run(batches):
+        only_memo("simhash")
         for batch in batches:
             data = np.frombuffer(b"".join(sketch(t) for t in batch.column("text").to_pylist()), ">i8").reshape(-1, 2)
             f0, f1 = (pa.array(data[:, i].astype(np.int64)) for i in (0, 1))

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphspark.llm.common import only_memo
+
 SPACE = "▁"
 #: Stands for a space mark of the text itself; no valid text holds a lone surrogate.
 _LITERAL = "\udfff"
@@ -313,6 +315,7 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
+        only_memo("spm", _CODECS.clear)
         codec = _codec(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -334,6 +337,7 @@ def decode(encoded: DataFrame, vocab: Vocabulary, digest: bool = False) -> DataF
     shared = encoded.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
+        only_memo("spm", _CODECS.clear)
         codec = _codec(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
