@@ -107,6 +107,35 @@ def test_edit_distance():
     assert substring.edit_distance(list("aaaa"), list("bbbb"), 3) is None
 
 
+def test_passages_of_one_pair_far_apart(spark):
+    rng = random.Random(21)
+    head, foot = _prose(rng, 60), _prose(rng, 60)
+    texts = [f"{_prose(rng, 30)} {head} {_prose(rng, 200)} {foot} {_prose(rng, 30)}" for _ in range(2)]
+    found = substring.shared_passages(_docs(spark, texts)).collect()
+    assert sorted(texts[1][r.start : r.end] for r in found) == sorted([head, foot])
+    assert all((r.doc_id, r.ref_doc_id, r.n_words, r.similarity) == (1, 0, 60, 1.0) for r in found)
+
+
+def test_longest_similar_parts_of_a_chain():
+    rng = random.Random(22)
+    for _ in range(50):
+        blocks, edits, i, p = [], [], 0, 0
+        for _ in range(12):
+            n, x, y = rng.randint(1, 30), rng.randint(0, 12), rng.randint(0, 12)
+            blocks.append((i, p, n))
+            edits.append(x + y)
+            i, p = i + n + x, p + n + y
+        edits.pop()
+        good = []
+        for s in range(12):
+            for t in range(s, 12):
+                size = sum(blocks[t][m] + blocks[t][2] - blocks[s][m] for m in (0, 1))
+                if sum(edits[s:t]) <= 0.2 * size + 1e-9:
+                    good.append((s, t))
+        want = [(s, t) for s, t in good if not any((u, v) != (s, t) and u <= s and t <= v for u, v in good)]
+        assert substring._stretches(blocks, edits, 0.8) == want
+
+
 def test_identical_documents_in_a_large_group(spark):
     text = _prose(random.Random(4), 120)
     docs = _docs(spark, [text] * 40)
