@@ -116,6 +116,35 @@ def test_passages_of_one_pair_far_apart(spark):
     assert all((r.doc_id, r.ref_doc_id, r.n_words, r.similarity) == (1, 0, 60, 1.0) for r in found)
 
 
+def test_passages_that_repeat_themselves(spark):
+    rng = random.Random(23)
+    line = _prose(rng, 8)
+    short, long = f"{line} {line}", " ".join([line] * 40)
+    texts = [f"{_prose(rng, 40)} {short} {_prose(rng, 40)} {long} {_prose(rng, 40)}", f"{_prose(rng, 70)} {long} {_prose(rng, 30)}"]
+    texts += [f"{_prose(rng, 50)} {'again ' * 70} {_prose(rng, 50)}" for _ in range(2)]
+    found = substring.shared_passages(_docs(spark, texts)).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in found} == {(1, 0), (3, 2)}
+    covered = set().union(*(range(r.start, r.end) for r in found if r.doc_id == 1))
+    at = texts[1].index(long)
+    assert covered >= set(range(at, at + len(long)))
+
+
+def test_a_single_seed_is_enough(spark):
+    rng = random.Random(24)
+    shared = _prose(rng, 60)
+    words = shared.split()
+    for i in range(5, 60, 8):
+        words[i] = f"changed{i}"
+    for _ in range(30):
+        texts = [f"{_prose(rng, 60)} {s} {_prose(rng, 60)}" for s in (shared, " ".join(words))]
+        h = [{int(x) for x in substring.seeds_of([t.encode()], 5, 30, 50)[1]} for t in texts]
+        if len(h[0] & h[1]) == 1:
+            break
+    assert len(h[0] & h[1]) == 1
+    found = substring.shared_passages(_docs(spark, texts), window=30).collect()
+    assert [(r.doc_id, r.ref_doc_id) for r in found] == [(1, 0)] and found[0].n_words >= 50
+
+
 def test_longest_similar_parts_of_a_chain():
     rng = random.Random(22)
     for _ in range(50):
