@@ -129,6 +129,17 @@ def test_passages_that_repeat_themselves(spark):
     assert covered >= set(range(at, at + len(long)))
 
 
+def test_a_passage_in_halves_of_smaller_documents(spark):
+    rng = random.Random(25)
+    left, right = _prose(rng, 40), _prose(rng, 40)
+    texts = [f"{_prose(rng, 50)} {s} {_prose(rng, 50)}" for s in (f"{left} ", right, f"{left} {right}", f"{left} {right}")]
+    # Every seed of the whole has a smaller holder: the seam is in a third document.
+    seam = " ".join([*left.split()[-20:], *right.split()[:20]])
+    docs = _docs(spark, [texts[0], texts[1], f"{_prose(rng, 50)} {seam} {_prose(rng, 50)}", *texts[2:]], ids=[10, 11, 12, 20, 30])
+    found = [r for r in substring.shared_passages(docs).collect() if (r.doc_id, r.ref_doc_id) == (30, 20)]
+    assert [texts[3][r.start : r.end] for r in found] == [f"{left} {right}"]
+
+
 def test_a_single_seed_is_enough(spark):
     rng = random.Random(24)
     shared = _prose(rng, 60)
