@@ -246,7 +246,8 @@ def similar_groups(
     a table's bucket holds about one unrelated text and all tables together miss a pair with a
     chance of about ``miss``, are the shards. In each a BK-tree of leaders takes what lies within
     ``radius`` bits of one as that leader's candidate, and the rest as leaders, so a group gives
-    rows in proportion to its members. Candidates are then compared exactly. Texts of one SimHash
+    rows in proportion to its members. A bucket of more than ``shard_rows`` is dealt into parts, any two
+    of which meet. Candidates are then compared exactly. Texts of one SimHash
     are one class. A row with a null id is its own component, null; null texts count as empty;
     repeated rows stay, and no rows give none.
     """
@@ -270,9 +271,11 @@ def similar_groups(
         keys.append(F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(masks[0])), F.col("f1").bitwiseAND(F.lit(masks[1]))))
     routed = nodes.select("node", "f0", "f1", F.posexplode(F.array(*keys)).alias("table", "key"))
     shared = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = routed.join(shared, "key").select(
-        F.xxhash64("key", F.pmod(F.xxhash64("table", "node"), F.ceil(F.col("n") / shard_rows))).alias("cell"), "node", "f0", "f1"
-    )
+    parted = routed.join(shared, "key").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+    parted = parted.withColumn("own", F.pmod(F.xxhash64("table", "node"), F.col("parts")).cast("int"))
+    # A part alone meets itself; of several, any two meet.
+    parted = parted.withColumn("other", F.explode(F.expr("if(parts = 1, array(0), filter(sequence(0, parts - 1), x -> x <> own))")))
+    cells = parted.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "f0", "f1")
 
     def lead(batches):
         out_a: list[int] = []

@@ -536,3 +536,11 @@ def test_similar_groups_link_at_the_similarity(spark):
     assert [got[5 + i] for i in range(5)] == list(range(5)) and {got[10 + i] for i in range(4)} == {0}
     assert all(got[14 + i] == 14 + i for i in range(10)) and got[24] == got[25] == 24
     assert hashlib.md5(simhash.sketch(b"a b c")).hexdigest() == hashlib.md5(simhash.sketch(b"A  B\nC")).hexdigest()
+
+
+def test_parts_of_a_large_bucket_meet(spark):
+    rng = random.Random(31)
+    base = _prose(rng, 200)
+    texts = [f"{base} end{i}" for i in range(40)]
+    got = simhash.similar_groups(_docs(spark, texts), miss=0.5, shard_rows=1).collect()
+    assert {r.component_id for r in got} == {0}
