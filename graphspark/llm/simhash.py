@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import repeat
+from collections import Counter, defaultdict
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -247,7 +248,10 @@ def similar_groups(
     chance of about ``miss``, are the shards. In each a BK-tree of leaders takes what lies within
     ``radius`` bits of one as that leader's candidate, and the rest as leaders, so a group gives
     rows in proportion to its members. A bucket of more than ``shard_rows`` is dealt into parts, any two
-    of which meet. Candidates are then compared exactly. Texts of one SimHash
+    of which meet. Candidates are then compared exactly. Where a bucket's members are in several
+    components after that, all its pairs of different components within ``radius`` are compared too,
+    so no pair of followers is lost; that is a square only of members that are alike in their
+    SimHash and not in their shingles. Texts of one SimHash
     are one class. A row with a null id is its own component, null; null texts count as empty;
     repeated rows stay, and no rows give none.
     """
@@ -277,32 +281,50 @@ def similar_groups(
     parted = parted.withColumn("other", F.explode(F.expr("if(parts = 1, array(0), filter(sequence(0, parts - 1), x -> x <> own))")))
     cells = parted.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "f0", "f1")
 
-    def lead(batches):
-        out_a: list[int] = []
-        out_b: list[int] = []
-        for _, group in sorted_groups(batches, "cell"):
-            ids = group.column("node").to_pylist()
-            low = (1 << 64) - 1
-            values = [(a & low) << 64 | (b & low) for a, b in zip(group.column("f0").to_pylist(), group.column("f1").to_pylist())]
-            leaders, owner = BKTree(), {}
-            for n, v in zip(ids, values):
-                hits = leaders.within(v, radius)
-                if hits:
-                    out_a += [n] * len(hits)
-                    out_b += [owner[h] for h in hits]
-                else:
-                    leaders.add(v)
-                    owner[v] = n
-            if len(out_a) > 50_000:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-                out_a, out_b = [], []
-        yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    cells = cut(cells)
 
-    candidates = cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(lead, "a long, b long")
-    candidates = cut(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    named = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id").groupBy("id").agg(F.min("text").alias("text"))
-    texts = cut(texts)
+    def members(group):
+        low = (1 << 64) - 1
+        return [(a & low) << 64 | (b & low) for a, b in zip(group.column("f0").to_pylist(), group.column("f1").to_pylist())]
+
+    def emitted(pairs):
+        while block := list(islice(pairs, 50_000)):
+            a, b = zip(*block)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def lead(batches):
+        def pairs():
+            for _, group in sorted_groups(batches, "cell"):
+                leaders, owner = BKTree(), {}
+                for n, v in zip(group.column("node").to_pylist(), members(group)):
+                    hits = leaders.within(v, radius)
+                    yield from ((n, owner[h]) for h in hits)
+                    if not hits:
+                        leaders.add(v)
+                        owner[v] = n
+
+        return emitted(pairs())
+
+    def others(batches):
+        def pairs():
+            for _, group in sorted_groups(batches, "cell"):
+                parts = group.column("part").to_pylist()
+                size = Counter(parts)
+                if len(size) == 1:
+                    continue
+                ids, values = group.column("node").to_pylist(), members(group)
+                order = {p: i for i, (p, _) in enumerate(size.most_common())}
+                tree, held = BKTree(), defaultdict(list)
+                for n, v, p in zip(ids, values, parts):
+                    tree.add(v)
+                    held[v].append((n, p))
+                # The largest component asks no one: each pair comes from its smaller side.
+                for n, v, p in zip(ids, values, parts):
+                    if order[p]:
+                        for hit in tree.within(v, radius):
+                            yield from ((n, m) for m, q in held[hit] if order[q] < order[p])
+
+        return emitted(pairs())
 
     def verify(batches):
         for batch in batches:
@@ -312,10 +334,24 @@ def similar_groups(
             ]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    pairs = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("p")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("q")), "b"
-    )
-    parts = connected_components(pairs.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"))
+    def compared(candidates: DataFrame) -> DataFrame:
+        named = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id").groupBy("id").agg(F.min("text").alias("text"))
+        texts = cut(texts)
+        pairs = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("p")), "a").join(
+            texts.select(F.col("id").alias("b"), F.col("text").alias("q")), "b"
+        )
+        return cut(pairs.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    first = cut(ordered(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(lead, "a long, b long")))
+    linked = compared(first)
+    named = cells.join(connected_components(linked), "node", "left").select("cell", "node", "f0", "f1", F.coalesce("component", "node").alias("part"))
+    second = ordered(named.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(others, "a long, b long"))
+    second = cut(second.join(first, ["a", "b"], "left_anti"))
+    parts = connected_components(linked.union(compared(second)))
     labels = nodes.join(parts, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("component_id"))
     out = fps.join(labels, ["f0", "f1"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

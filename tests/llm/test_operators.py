@@ -544,3 +544,28 @@ def test_parts_of_a_large_bucket_meet(spark):
     texts = [f"{base} end{i}" for i in range(40)]
     got = simhash.similar_groups(_docs(spark, texts), miss=0.5, shard_rows=1).collect()
     assert {r.component_id for r in got} == {0}
+
+
+def test_followers_of_one_leader_are_compared(spark):
+    rng = random.Random(32)
+    texts = []
+    for _ in range(40):
+        leader = _prose(rng, 200).split()
+        one = leader[:]
+        for i in range(10, 200, 24):
+            one[i] = "edited"
+        two = one[:]
+        two[100] = "again"
+        texts += [" ".join(x) for x in (leader, one, two)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(_docs(spark, texts), miss=0.9).collect()}
+    bits, tables = simhash._tables(120, 0.1, 0.9)
+    assert (bits, tables) == (12, 1)
+    chosen = np.random.default_rng(17).choice(128, bits, replace=False)
+
+    def key(text):
+        halves = [int.from_bytes(simhash.sketch(text.encode())[8 * h : 8 * h + 8], "big") for h in (0, 1)]
+        return [halves[b // 64] >> int(b % 64) & 1 for b in chosen]
+
+    met = [i for i in range(0, 120, 3) if key(texts[i + 1]) == key(texts[i + 2])]
+    assert any(key(texts[i]) == key(texts[i + 1]) for i in met)
+    assert all(got[i + 2] == got[i + 1] == i + 1 for i in met)
