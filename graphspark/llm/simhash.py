@@ -202,18 +202,17 @@ def simhash_groups(docs: DataFrame, radius: int = 3, width: int = 3, seed: int =
 
 
 def sketch(text: bytes | None, width: int = 2) -> bytes:
-    """A 128-bit SimHash, as 16 bytes, of ``width``-word shingles hashed by XXH3; blank texts give 0."""
+    """A 128-bit SimHash, as 16 bytes, of the distinct ``width``-word shingles hashed by XXH3; blank texts give 0."""
     words = (text or b"").lower().split()
     if not words:
         return bytes(16)
-    n = max(1, len(words) - width + 1)
+    width = min(width, len(words))
+    hashes = list(set(map(xxh3_128_digest, map(b" ".join, zip(*(words[i:] for i in range(width)))))))
     ones = np.zeros(128, np.int64)
-    for lo in range(0, n, _BLOCK):
-        hi = min(n, lo + _BLOCK)
-        shingles = map(b" ".join, zip(*(words[lo + i : hi + i] for i in range(min(width, len(words))))))
-        part = np.frombuffer(b"".join(map(xxh3_128_digest, shingles)), np.uint8).reshape(-1, 16)
+    for lo in range(0, len(hashes), _BLOCK):
+        part = np.frombuffer(b"".join(hashes[lo : lo + _BLOCK]), np.uint8).reshape(-1, 16)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n).tobytes()
+    return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
 def _shingle_set(text: str | None, width: int) -> set:
@@ -251,7 +250,7 @@ def similar_groups(
     of which meet. Candidates are then compared exactly. Where a bucket's members are in several
     components after that, all its pairs of different components within ``radius`` are compared too,
     so no pair of followers is lost; that is a square only of members that are alike in their
-    SimHash and not in their shingles. Texts of one SimHash
+    SimHash and not in their shingles. Texts of the same words
     are one class. A row with a null id is its own component, null; null texts count as empty;
     repeated rows stay, and no rows give none.
     """
@@ -260,12 +259,14 @@ def similar_groups(
     def run(batches):
         only_memo("simhash")
         for batch in batches:
-            data = np.frombuffer(b"".join(sketch(t) for t in batch.column("text").to_pylist()), ">i8").reshape(-1, 2)
+            texts = batch.column("text").to_pylist()
+            data = np.frombuffer(b"".join(sketch(t) for t in texts), ">i8").reshape(-1, 2)
             f0, f1 = (pa.array(data[:, i].astype(np.int64)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), f0, f1], ["doc_id", "f0", "f1"])
+            same = pa.array([xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), f0, f1, same], ["doc_id", "f0", "f1", "same"])
 
-    fps = cut(source.mapInArrow(run, "doc_id long, f0 long, f1 long"))
-    nodes = cut(fps.where("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node")))
+    fps = cut(source.mapInArrow(run, "doc_id long, f0 long, f1 long, same binary"))
+    nodes = cut(fps.where("doc_id is not null").groupBy("same", "f0", "f1").agg(F.min("doc_id").alias("node")))
     bits, tables = _tables(nodes.count(), differ, miss)
     rng = np.random.default_rng(17)
     keys = []
@@ -295,7 +296,7 @@ def similar_groups(
     def lead(batches):
         def pairs():
             for _, group in sorted_groups(batches, "cell"):
-                leaders, owner = BKTree(), {}
+                leaders, owner = BKTree(), {}  # equal sketches: the first one leads
                 for n, v in zip(group.column("node").to_pylist(), members(group)):
                     hits = leaders.within(v, radius)
                     yield from ((n, owner[h]) for h in hits)
@@ -352,6 +353,6 @@ def similar_groups(
     second = ordered(named.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(others, "a long, b long"))
     second = cut(second.join(first, ["a", "b"], "left_anti"))
     parts = connected_components(linked.union(compared(second)))
-    labels = nodes.join(parts, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(labels, ["f0", "f1"], "left")
+    labels = nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    out = fps.join(labels, "same", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

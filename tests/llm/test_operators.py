@@ -569,3 +569,10 @@ def test_followers_of_one_leader_are_compared(spark):
     met = [i for i in range(0, 120, 3) if key(texts[i + 1]) == key(texts[i + 2])]
     assert any(key(texts[i]) == key(texts[i + 1]) for i in met)
     assert all(got[i + 2] == got[i + 1] == i + 1 for i in met)
+
+
+def test_a_frequent_pair_does_not_make_texts_equal(spark):
+    rng = random.Random(33)
+    texts = [f"{'. ' * 1000}{_prose(rng, 300)}" for _ in range(2)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(_docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1}
