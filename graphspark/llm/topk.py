@@ -13,24 +13,23 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, float64 matrix) of the vectors of an Arrow list column that are usable.
+def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, float64 matrix) of each length of the usable vectors of an Arrow list column.
 
-    Vectors that are null, empty, or hold null or non-finite components are left out. So are
-    vectors of another length than the first usable one of the column.
+    Vectors that are null, empty, or hold null or non-finite components are left out.
     """
     lengths = np.array([len(v) if v is not None else 0 for v in column.to_pylist()]) if column.null_count else np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, int)
     if not lengths.any():
-        return np.zeros(0, int), np.zeros((0, 0))
+        return []
     finite = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
     good = (lengths > 0) & (finite[starts + lengths] == finite[starts])
-    if not good.any():
-        return np.zeros(0, int), np.zeros((0, 0))
-    d = lengths[np.flatnonzero(good)[0]]
-    rows = np.flatnonzero(good & (lengths == d))
-    return rows, flat[starts[rows][:, None] + np.arange(d)]
+    out = []
+    for d in np.unique(lengths[good]):
+        rows = np.flatnonzero(good & (lengths == d))
+        out.append((rows, flat[starts[rows][:, None] + np.arange(d)]))
+    return out
 
 
 def segment_features(x: np.ndarray, parts: int) -> np.ndarray:
@@ -154,8 +153,7 @@ def top_k(
 
             def usable():
                 for batch in batches:
-                    at, x = _matrix(batch.column("v"))
-                    if len(at):
+                    for at, x in _matrices(batch.column("v")):
                         yield batch.column("id").to_numpy(zero_copy_only=False)[at], np.floor(scale * x)
 
             if len(blocks) == 1:

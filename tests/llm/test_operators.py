@@ -274,6 +274,17 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(few, few.where("vec_id = 1")).count() == 3
 
 
+def test_top_k_of_mixed_lengths(spark):
+    rng = np.random.default_rng(34)
+    rows = [(i, rng.normal(size=4 if i % 2 else 6).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    y = {i: np.floor(1024 * np.array(v)) for i, v in rows}
+    for q in (2, 3):
+        got = [(r.vec_id, r.score) for r in topk.top_k(df, df.where(f"vec_id = {q}"), k=30).orderBy("rank").collect()]
+        want = sorted((-int(y[q] @ y[c]), c) for c in y if c != q and len(y[c]) == len(y[q]))
+        assert got == [(c, -n) for n, c in want]
+
+
 def test_segment_bounds_hold():
     x = np.random.default_rng(6).normal(size=(40, 30))
     for parts in (1, 4, 7):
