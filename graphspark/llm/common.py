@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -26,24 +28,62 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on the shared checkpoint folder and forget how it was made."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` on the shared checkpoint folder and forget how it was made.
+
+    Shuffle files and older checkpoints that nothing refers to any more go when the driver collects
+    its garbage, which a driver with room seldom does by itself; so that a long job does not fill its
+    executors' disks, it is asked to here.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
+_HELD: dict[str, Callable[[], None]] = {}
 
 
-_MEMOS: dict[str, Callable[[], None]] = {}
+def _give_back() -> None:
+    """Return what Arrow and the C library hold in reserve to the system, as far as they can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
-def only_memo(name: str, clear: Callable[[], None] | None = None) -> None:
-    """Said by a worker's function as it starts: what other operators remember in this worker goes.
+def _begin(name: str, leave: Callable[[], None] | None) -> None:
+    for other in [n for n in _HELD if n != name]:
+        _HELD.pop(other)()
+    if leave is not None:
+        _HELD[name] = leave
 
-    ``clear`` forgets what this one is about to remember. Workers are used again by later stages, so
-    without this their memos would add up.
+
+def in_worker(name: str, run: Callable, end: Callable[[], None] | None = None, leave: Callable[[], None] | None = None) -> Callable:
+    """``run`` for mapInArrow, which leaves no more in a worker than it found.
+
+    Workers are used again by later tasks and stages. ``end`` is called after every task, and is to
+    forget what the task has remembered; ``leave`` when another operator begins in the worker, and
+    is to drop tables that ``name``'s tasks share. Both must be functions of a module, or else they
+    work on copies that travel with the task.
     """
-    for other in [n for n in _MEMOS if n != name]:
-        _MEMOS.pop(other)()
-    if clear is not None:
-        _MEMOS[name] = clear
+
+    def bounded(batches):
+        _begin(name, leave)
+        # A task makes many containers and no cycles to speak of; what there is goes at its end.
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if end is not None:
+                end()
+            gc.enable()
+            _give_back()
+
+    return bounded
 
 
 def sorted_groups(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from array import array
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import cut, only_memo
+from graphspark.llm.common import cut, in_worker
 
 #: Runs between white space, and words, whose ids a worker keeps.
-KEEP_RUNS, KEEP_WORDS = 400_000, 400_000
+KEEP_RUNS, KEEP_WORDS = 600_000, 300_000
+#: Characters of texts that are tokenized together.
+BLOCK = 1_000_000
 #: Rows of partition offsets up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -27,13 +30,29 @@ _UNUSUAL = re.compile("[^\t-\r\x20-~¡-ÖØ-įı-ſ‐-‧]")
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾"
 _WORDS = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
+#: The sign that stands for each byte in a byte-level vocabulary: itself if it can be printed, else
+#: the next one from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+class _Memo(dict):
+    """Remembers what ``learn`` says of a string."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        out = self[key] = self.learn(key)
+        return out
+
 
 class WordTokenizer:
     """Ids of texts under a word-level BPE tokenizer file, remembering those of words.
 
-    Special tokens' strings count as ordinary text. White space parts words, so what stands between
-    is looked up as a whole first, then its words. Texts with characters outside a plain range go
-    through the tokenizer whole.
+    White space parts words, so what stands between is looked up as a whole first, then its words.
+    Texts with characters outside a plain range, or with the string of a special token, go through
+    the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,47 +60,44 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """The ids of each text; null and empty texts have none."""
-        plain = [text.lower().split() if text and _UNUSUAL.search(text) is None else None for text in texts]
-        memo = self.runs
-        if len(memo) > KEEP_RUNS:
-            memo.clear()
-        fresh = {r for runs in plain if runs for r in runs if r not in memo}
-        if fresh:
-            self._learn(list(fresh))
+        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        #: Ids take two bytes where the vocabulary allows it.
+        self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
+        code, tokenize = "H" if self.dtype.itemsize == 2 else "I", self.full.model.tokenize
+
+        def word(w: str) -> bytes:
+            # A plain word is lower-case, composed and split already: its bytes go to the model as they are.
+            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            return array(code, [t.id for t in tokenize(spelled)]).tobytes()
+
+        self.words = _Memo(word)
+        known, split = self.words.__getitem__, _WORDS.findall
+        self.runs = _Memo(lambda run: b"".join(map(known, split(run))))
+
+    def forget(self) -> None:
+        self.runs.clear()
+        self.words.clear()
+
+    def _plain(self, text: str) -> bool:
+        return _UNUSUAL.search(text) is None and not any(s in text for s in self.special)
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of each text as ``dtype``; null and empty texts have none."""
+        known = self.runs.__getitem__
         out = []
-        for text, runs in zip(texts, plain):
-            if runs is not None:
-                out.append(np.frombuffer(b"".join([memo[r] for r in runs]), "<u4"))
-            elif text:
-                out.append(np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32))
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif self._plain(text):
+                out.append(b"".join(map(known, text.lower().split())))
             else:
-                out.append(np.zeros(0, np.uint32))
+                out.append(np.array(self.full.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+            if len(self.runs) > KEEP_RUNS:
+                self.runs.clear()
+            if len(self.words) > KEEP_WORDS:
+                self.words.clear()
         return out
 
-    def _learn(self, runs: list[str]) -> None:
-        known = self.words
-        split = [_WORDS.findall(r) for r in runs]
-        if len(known) > KEEP_WORDS:
-            known.clear()
-        fresh = list({w for words in split for w in words if w not in known})
-        # One call for all: the words of a line do not touch each other.
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            line = self.full.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(line.ids, "<u4")
-            cuts = np.searchsorted(np.array(line.word_ids), np.arange(len(part) + 1)).tolist()
-            data = ids.tobytes()
-            for w, x, y in zip(part, cuts[:-1], cuts[1:]):
-                known[w] = data[4 * x : 4 * y]
-        for r, words in zip(runs, split):
-            self.runs[r] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -92,11 +108,21 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 1, max_queues: int = 1000) -> DataFrame:
+def _forget() -> None:
+    for tok in _TOKENIZERS.values():
+        tok.forget()
+
+
+def _leave() -> None:
+    _TOKENIZERS.clear()
+
+
+def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 1, max_queues: int = 1000, apart: Sequence[str] = ()) -> DataFrame:
     """(doc_id, queue, part, before, n, ids) of every row: its ids and its place in its queue.
 
     ``part`` is the partition and ``before`` the ids that the partition's earlier rows put into the
-    same queue. ids are little-endian, in 4 bytes where ``wide``, else in 2.
+    same queue. ids are little-endian, in 2 bytes where the vocabulary allows it, else in 4.
+    More than ``max_queues`` sources are hashed into as many queues, but for those of ``apart``.
     """
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -105,25 +131,32 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 1, max_queues:
     )
     names = source.select("queue").distinct().limit(max_queues + 1).count()
     if names > max_queues:
-        source = source.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
+        hashed = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
+        source = source.withColumn("queue", F.when(F.col("queue").isin(list(apart)), F.col("queue")).otherwise(hashed))
 
     def run(batches):
-        only_memo("packing", _TOKENIZERS.clear)
         tok = _tokenizer(tokenizer_file)
+        size = tok.dtype.itemsize
+        end = np.array([end_id], tok.dtype).tobytes()
         part = TaskContext.get().partitionId()
         used: dict[str, int] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                piece = batch.slice(lo, 512)
-                queues = piece.column("queue").to_pylist()
-                before, sizes, data, wide = [], [], [], []
-                for q, ids in zip(queues, tok.encode(piece.column("text").to_pylist())):
-                    ids = np.append(ids, np.uint32(end_id))
-                    before.append(used.get(q, 0))
-                    used[q] = before[-1] + len(ids)
-                    sizes.append(len(ids))
-                    wide.append(bool(ids.max() > 0xFFFF))
-                    data.append(ids.astype("<u4" if wide[-1] else "<u2").tobytes())
+            texts = batch.column("text").to_pylist()
+            lo = 0
+            while lo < len(texts):
+                hi, held = lo, 0
+                while hi < len(texts) and (hi == lo or held + len(texts[hi] or "") <= BLOCK):
+                    held += len(texts[hi] or "")
+                    hi += 1
+                piece = batch.slice(lo, hi - lo)
+                data = [ids + end for ids in tok.encode(texts[lo:hi])]
+                texts[lo:hi] = [None] * (hi - lo)
+                sizes = [len(d) // size for d in data]
+                before = []
+                for q, n in zip(piece.column("queue").to_pylist(), sizes):
+                    at = used.get(q, 0)
+                    before.append(at)
+                    used[q] = at + n
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"),
@@ -131,44 +164,68 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = 1, max_queues:
                         pa.array([part] * piece.num_rows, pa.int64()),
                         pa.array(before, pa.int64()),
                         pa.array(sizes, pa.int64()),
-                        pa.array(wide, pa.bool_()),
                         pa.array(data, pa.binary()),
                     ],
-                    ["doc_id", "queue", "part", "before", "n", "wide", "ids"],
+                    ["doc_id", "queue", "part", "before", "n", "ids"],
                 )
+                lo = hi
 
-    return source.mapInArrow(run, "doc_id long, queue string, part long, before long, n long, wide boolean, ids binary")
+    worker = in_worker("packing", run, _forget, _leave)
+    return source.mapInArrow(worker, "doc_id long, queue string, part long, before long, n long, ids binary")
 
 
 class Schedule:
     """Where each queue's ids stand in the interleaved stream, in closed form.
 
-    A queue sends quanta of ``quantum`` ids. Deficit round-robin at its target share has quantum j of
-    a queue with K quanta fall due at (j + 1/2) / K of the whole, ties in order of the queues; so
-    after any number of quanta each queue is within one quantum of its share, and what it lacks at
-    the end of a window or partition is carried to the next. The place of a quantum is the sum of
-    what all queues have sent before, which any task works out for itself.
+    Queues send quanta of ``quantum`` ids in proportion to ``weights``, by default to their lengths.
+    After v rounds a queue of weight w is entitled to v * w quanta; what it has not sent of them is
+    its deficit, which is carried on. Quantum j is sent when the deficit reaches a half, at
+    v = (j + 1/2) / w, of several queues the first in order; so at any place of the stream each
+    queue that has ids left is within one quantum of its share, wherever windows or partitions end.
+    A queue that is empty leaves its turns to the others, in proportion. The place of a quantum is
+    the sum of what all queues have sent before, which any task works out for itself.
+
+    Weights count to 24 bits, so that all of this is done in whole numbers.
     """
 
-    def __init__(self, totals: Sequence[int], quantum: int) -> None:
+    def __init__(self, totals: Sequence[int], quantum: int, weights: Sequence[float] | None = None) -> None:
         self.totals = list(totals)
         self.quantum = quantum
         self.counts = [-(-t // quantum) for t in self.totals]
         self.total = sum(self.totals)
+        if weights is None:
+            shift = max(0, max(self.counts, default=0).bit_length() - 24)
+            self.weights = [max(1, c >> shift) for c in self.counts]
+        else:
+            if any(not w > 0 for w in weights):
+                raise ValueError("weights must be positive")
+            top = max(weights, default=1)
+            self.weights = [max(1, round(w / top * (1 << 24))) for w in weights]
+
+    def sent(self, other: int, queue: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many quanta of ``other`` come before quanta ``j`` of queues ``queue``."""
+        k = np.array(self.weights, np.int64)[queue]
+        # Quanta i of the other queue with (2i + 1) / its weight before (2j + 1) / k.
+        scaled = (2 * j + 1) * self.weights[other] - k
+        sent = np.where(other < queue, scaled // (2 * k) + 1, -((-scaled) // (2 * k)))
+        return np.clip(sent, 0, self.counts[other])
+
+    def place(self, queue: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The stream positions at which quanta ``j`` of ``queue`` start: one pass over the queues for all."""
+        queue, j = np.asarray(queue, np.int64), np.asarray(j, np.int64)
+        out = np.zeros(len(j), np.int64)
+        for other, tokens in enumerate(self.totals):
+            out += np.minimum(self.sent(other, queue, j) * self.quantum, tokens)
+        return out
+
 
-    def place(self, queue: int, j: np.ndarray) -> np.ndarray:
-        """The stream position at which quanta ``j`` of ``queue`` start."""
-        k = self.counts[queue]
-        big = 2 * max(self.counts, default=1) * max(k, 1) >= 1 << 62
-        due = (2 * j.astype(object if big else np.int64) + 1)
-        out = np.zeros(len(j), object if big else np.int64)
-        for other, (count, tokens) in enumerate(zip(self.counts, self.totals)):
-            # Quanta i of the other queue with (2i + 1) / count before due / k.
-            scaled = due * count - k
-            sent = scaled // (2 * k) + 1 if other < queue else -((-scaled) // (2 * k))
-            sent = np.clip(sent, 0, count)
-            out += np.minimum(sent * self.quantum, tokens)
-        return out.astype(np.int64)
+def _weights(totals: dict[str, int], targets: dict[str, float] | None) -> list[float] | None:
+    """A weight for each queue: its target, or its part of what the targets leave."""
+    if targets is None:
+        return None
+    rest = max(1 - sum(targets.values()), 0.001)
+    other = sum(t for q, t in totals.items() if q not in targets)
+    return [targets.get(q, rest * t / max(other, 1)) for q, t in totals.items()]
 
 
 def _tail_cuts(total: int, window: int) -> list[tuple[int, int]]:
@@ -182,28 +239,38 @@ def _tail_cuts(total: int, window: int) -> list[tuple[int, int]]:
 
 
 def pack(
-    docs: DataFrame, tokenizer_file: str, window: int = 2048, quantum: int = 256, end_id: int = 1, max_queues: int = 1000
+    docs: DataFrame,
+    tokenizer_file: str,
+    window: int = 2048,
+    quantum: int = 256,
+    end_id: int = 1,
+    max_queues: int = 1000,
+    targets: dict[str, float] | None = None,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset, queue) of packed sequences.
 
     Every row of ``docs`` (doc_id, text, source) becomes its tokens and ``end_id``; null and empty
-    texts are ``end_id`` alone. A source is a queue, a null source the one without a name; more
+    texts are ``end_id`` alone. A source is a queue, a null source the one without a name (""); more
     than ``max_queues`` sources are hashed into as many queues. Queues take turns by ``Schedule``,
-    at shares in proportion to their tokens, so that all end together and nothing is left out, and
-    the stream is cut every ``window`` ids. What is left at the end is cut into sequences of powers
-    of two, so that no sequence is padded. ``ids`` is binary, little-endian unsigned 32-bit.
-    Repeated rows are packed as often as they come; a null doc_id stays null. No rows give none.
+    and the stream is cut every ``window`` ids, so every window holds the target proportions to
+    within a quantum a queue. ``targets`` are the sources' proportions; without it they are those of
+    the corpus, so that all sources end together. Sources that ``targets`` does not name share what
+    it leaves of 1 in proportion to their tokens (at least a thousandth). Nothing is left out: what a
+    source has beyond its target comes after the sources that end first. What is left at the end is
+    cut into sequences of powers of two, so that no sequence is padded. ``ids`` is binary,
+    little-endian unsigned 32-bit. Repeated rows are packed as often as they come; a null doc_id
+    stays null. No rows give none.
 
     Ids are written to the checkpoint folder once, and shuffled only if the partitions' offsets, a row
     for each partition and queue, are more than BROADCAST_ROWS.
     """
-    tokens = cut(tokenize(docs, tokenizer_file, end_id, max_queues))
+    tokens = cut(tokenize(docs, tokenizer_file, end_id, max_queues, list(targets or ())))
     sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("m"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(sums.withColumn("base", F.coalesce(F.sum("m").over(earlier), F.lit(0))))
     totals = {r.queue: r.m for r in offsets.groupBy("queue").agg(F.sum("m").alias("m")).collect()}
     queues = sorted(totals)
-    plan = Schedule([totals[q] for q in queues], quantum)
+    plan = Schedule([totals[q] for q in queues], quantum, _weights({q: totals[q] for q in queues}, targets))
     number = {q: i for i, q in enumerate(queues)}
     tails = _tail_cuts(plan.total, window)
     first_tail = plan.total - plan.total % window
@@ -224,8 +291,8 @@ def pack(
     def pieces(batch):
         a, n = (batch.column(c).to_numpy() for c in ("at", "n"))
         queue = np.array([number[q] for q in batch.column("queue").to_pylist()])
-        wide = batch.column("wide").to_pylist()
-        ids = [np.frombuffer(x.as_buffer(), "<u4" if w else "<u2").astype("<u4") for x, w in zip(batch.column("ids"), wide)]
+        size = sum(map(len, raw := batch.column("ids").to_pylist())) // max(1, int(n.sum()))
+        ids = np.frombuffer(b"".join(raw), f"<u{size or 2}").astype("<u4")
         # The quanta that each document has a part of.
         first = a // quantum
         count = (a + n - 1) // quantum - first + 1
@@ -233,10 +300,7 @@ def pack(
         j = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
         starts = np.maximum(j * quantum, a[doc])
         ends = np.minimum((j + 1) * quantum, (a + n)[doc])
-        place = starts - j * quantum
-        for q in np.unique(queue[doc]):
-            own = queue[doc] == q
-            place[own] += plan.place(int(q), j[own])
+        place = starts - j * quantum + plan.place(queue[doc], j)
         doc, s, e, g = _cut_at(doc, starts, ends, place, window, first_tail, bounds)
         if len(bounds):
             tail = g >= first_tail
@@ -247,7 +311,7 @@ def pack(
             seq, start_of = g // window, g - g % window
         # Pieces in order of document and start hold the ids in the order they came in.
         offsets = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32) * 4
-        data = pa.py_buffer(np.concatenate(ids).tobytes())
+        data = pa.py_buffer(ids.tobytes())
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").take(pa.array(doc)),
@@ -266,10 +330,10 @@ def pack(
     if small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
     placed = tokens.join(small, ["queue", "part"]).select(
-        "doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "wide", "ids"
+        "doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids"
     )
     return placed.mapInArrow(
-        run,
+        in_worker("packing", run),
         "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string",
     )
 
