@@ -13,13 +13,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import only_memo
+from graphspark.llm.common import in_worker
 
 SPACE = "▁"
 #: Stands for a space mark of the text itself; no valid text holds a lone surrogate.
 _LITERAL = "\udfff"
 #: Segments whose ids a worker keeps, and the longest one it does.
-KEEP, KEEP_LENGTH = 400_000, 48
+KEEP, KEEP_LENGTH = 500_000, 48
+#: Pairs of pieces that a worker keeps from task to task.
+KEEP_PAIRS = 200_000
+#: Characters of texts that are encoded together.
+BLOCK = 2_000_000
 #: A character that no piece covers costs this much more than the worst piece.
 UNKNOWN_MARGIN = 10.0
 
@@ -89,7 +93,7 @@ class Merges:
     def follows(self, a: str, b: str) -> bool:
         known = self.memo.get((a, b))
         if known is None:
-            if len(self.memo) > KEEP:
+            if len(self.memo) > KEEP_PAIRS:
                 self.memo.clear()
             known = self.memo[(a, b)] = self.merged(a + b) == [a, b]
         return known
@@ -111,11 +115,13 @@ class StreamingViterbi:
     ) -> None:
         self.scores, self.tails, self.longest = scores, tails, longest
         self.merges, self.unknown, self.every = merges, unknown, every
+        self.widest = 0
+        self._start()
+
+    def _start(self) -> None:
         self.text = ""
         self.total = [0.0]
-        self.back: list[int] = [-1]
         self.last = [""]
-        self.widest = 0
 
     def feed(self, chars: str) -> list[str]:
         """Take more characters; return the pieces that are certain now."""
@@ -126,28 +132,52 @@ class StreamingViterbi:
         return out
 
     def finish(self) -> list[str]:
-        """The pieces of what is left."""
+        """The pieces of what is left, after which no piece goes on."""
         return self._commit(len(self.text))
 
+    def between(self, chars: str) -> list[str]:
+        """The pieces of a run between two boundaries that no piece goes over.
+
+        All surviving paths meet in its end, so its pieces are certain. What a short run's window
+        holds is kept until the next run, and serves for the part of that which begins alike.
+        """
+        if len(chars) > self.every:
+            self._start()
+            return self.feed(chars) + self.finish()
+        text, n = self.text, min(len(self.text), len(chars))
+        same = 0
+        while same < n and text[same] == chars[same]:
+            same += 1
+        del self.total[same + 1 :], self.last[same + 1 :]
+        self.text = text[:same]
+        self._extend(chars[same:])
+        return self._path(len(chars))
+
     def _extend(self, chars: str) -> None:
         text = self.text = self.text + chars
-        total, back, last, get = self.total, self.back, self.last, self.scores.get
-        tails, merges, unknown = self.tails, self.merges, self.unknown
-        for end in range(len(back), len(text) + 1):
-            best, origin, chosen = -np.inf, end - 1, text[end - 1]
+        self.widest = max(self.widest, len(text))
+        scores, tails, last, total = self.scores, self.tails, self.last, self.total
+        merges, unknown = self.merges, self.unknown
+        known = merges.memo if merges is not None else {}
+        for end in range(len(last), len(text) + 1):
             start = end - 1
-            piece = chosen
+            piece = chosen = text[start]
+            best = -np.inf
             while True:
-                score = get(piece)
-                if score is None and start == end - 1:
-                    score = unknown
-                if score is not None:
+                if piece in scores or start == end - 1:
+                    before = last[start]
                     if merges is None:
-                        if total[start] + score >= best:
-                            best, origin, chosen = total[start] + score, start, piece
-                    elif not last[start] or merges.follows(last[start], piece):
-                        origin, chosen = start, piece
+                        through = total[start] + scores.get(piece, unknown)
+                        if through >= best:
+                            best, chosen = through, piece
+                    elif not before:
+                        chosen = piece
                         break
+                    else:
+                        ok = known.get((before, piece))
+                        if ok if ok is not None else merges.follows(before, piece):
+                            chosen = piece
+                            break
                 start -= 1
                 if start < 0:
                     break
@@ -155,10 +185,7 @@ class StreamingViterbi:
                 if piece not in tails:
                     break
             total.append(best)
-            back.append(origin)
             last.append(chosen)
-        if len(text) > self.widest:
-            self.widest = len(text)
 
     def _meeting(self) -> int:
         """The last boundary that every path still open goes through."""
@@ -167,165 +194,161 @@ class StreamingViterbi:
         while len(front) > 1:
             last = max(front)
             front.remove(last)
-            front.add(self.back[last])
-        return max(0, front.pop())
+            front.add(last - len(self.last[last]))
+        return front.pop()
 
-    def _commit(self, boundary: int) -> list[str]:
+    def _path(self, boundary: int) -> list[str]:
         pieces = []
-        at = boundary
-        while at > 0:
-            pieces.append(self.text[self.back[at] : at])
-            at = self.back[at]
+        while boundary:
+            pieces.append(self.last[boundary])
+            boundary -= len(pieces[-1])
+        return pieces[::-1]
+
+    def _commit(self, boundary: int) -> list[str]:
+        pieces = self._path(boundary)
         if boundary:
             base = self.total[boundary]
             self.text = self.text[boundary:]
             self.total = [s - base for s in self.total[boundary:]] if self.merges is None else self.total[boundary:]
             self.last = self.last[boundary:]
-            self.back = [-1] + [b - boundary for b in self.back[boundary + 1 :]]
-        return pieces[::-1]
+        return pieces
 
 
 class Codec:
-    """Encodes text to ids and back. Encoding and decoding are exact inverses on any text."""
+    """Encodes text to ids and back. Encoding and decoding are exact inverses on any text.
+
+    Texts go through a ``StreamingViterbi`` segment by segment; the ids of a short segment are
+    remembered, so that it is searched once however often it occurs.
+    """
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
-        self.table = dict(zip(vocab.pieces, vocab.ids))
+        byte_ids = vocab.byte_ids
         self.scores = dict(zip(vocab.pieces, vocab.scores))
         self.merges = Merges(self.scores) if vocab.merge_type else None
         self.longest = max(map(len, vocab.pieces))
         self.tails = {p[i:] for p in vocab.pieces for i in range(len(p))}
         self.unknown = min(vocab.scores) - UNKNOWN_MARGIN
-        self.piece = dict(zip(vocab.ids, vocab.pieces))
-        self.byte = {i: b for b, i in enumerate(vocab.byte_ids)}
+        self.search = self.viterbi()
+        #: The ids of every piece, packed; of other characters, as they come, those of their bytes.
+        self.packed = {p: array("i", [i]).tobytes() for p, i in zip(vocab.pieces, vocab.ids)}
+        self.byte_ids = [array("i", [i]).tobytes() for i in byte_ids]
         # Where no piece crosses, all paths meet: before a space mark after another character, and
         # at either side of a line break. A vocabulary without that property is never cut ahead.
-        crosses = any("\n" in p or regex.search(f"[^{SPACE}]{SPACE}", p) for p in vocab.pieces)
-        self.cut = None if crosses else regex.compile(f"\\n|{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+")
+        crosses = any(("\n" in p and len(p) > 1) or regex.search(f"[^{SPACE}]{SPACE}", p) for p in vocab.pieces)
+        self.cut = None if crosses else regex.compile(f"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*")
         self.joined = {p[i : i + 2] for p in vocab.pieces for i in range(len(p) - 1)}
         self.memo: dict[str, bytes] = {}
         self.run_memo: dict[str, bytes] = {}
-        self.bytes_of = {i: p.replace(SPACE, " ").encode() for i, p in self.piece.items()} | {i: bytes([b]) for i, b in self.byte.items()}
-
-    def _ids(self, pieces: Iterable[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            hit = self.table.get(p)
-            if hit is not None:
-                out.append(hit)
-            else:
-                text = SPACE if p == _LITERAL else p
-                out += [self.vocab.byte_ids[b] for b in text.encode()]
-        return out
+        self.bytes_of = {i: p.replace(SPACE, " ").encode() for p, i in zip(vocab.pieces, vocab.ids)} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+
+    def forget(self) -> None:
+        self.memo.clear()
+        self.run_memo.clear()
 
     def viterbi(self) -> StreamingViterbi:
         return StreamingViterbi(self.scores, self.tails, self.longest, self.merges, self.unknown)
 
-    def _run(self, run: str) -> bytes:
-        """The ids of characters that only meet inside."""
-        if len(run) > KEEP_LENGTH or self.merges is None:
-            search = self.viterbi()
-            return array("i", self._ids(search.feed(run) + search.finish())).tobytes()
-        # The same search, short enough to hold: one surviving piece for each boundary.
-        scores, tails, known, follows = self.scores, self.tails, self.merges.memo, self.merges.follows
-        last = [""]
-        for end in range(1, len(run) + 1):
-            start = end - 1
-            piece = chosen = run[start]
-            while piece in tails or start == end - 1:
-                if piece in scores or start == end - 1:
-                    before = last[start]
-                    if not before:
-                        if start == 0:
-                            chosen = piece
-                            break
-                    else:
-                        ok = known.get((before, piece))
-                        if ok if ok is not None else follows(before, piece):
-                            chosen = piece
-                            break
-                start -= 1
-                if start < 0:
-                    break
-                piece = run[start:end]
-            last.append(chosen)
-        pieces, end = [], len(run)
-        while end:
-            pieces.append(last[end])
-            end -= len(last[end])
-        return array("i", self._ids(pieces[::-1])).tobytes()
-
-    def _segment(self, segment: str) -> bytes:
-        """The ids of a segment: parted where no piece joins two neighbouring characters."""
-        joined, memo = self.joined, self.run_memo
-        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in joined]
-        if len(memo) > KEEP:
-            memo.clear()
-        out = []
-        for lo, hi in zip([0, *cuts], [*cuts, len(segment)]):
-            run = segment[lo:hi]
-            ids = memo.get(run)
-            if ids is None:
-                ids = self._run(run)
-                if hi - lo <= KEEP_LENGTH:
-                    memo[run] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _bytes(self, char: str) -> bytes:
+        return b"".join([self.byte_ids[b] for b in (SPACE if char == _LITERAL else char).encode()])
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text: a space mark goes in front and stands for every space.
+    def _ids(self, pieces: Iterable[str]) -> bytes:
+        packed = self.packed
+        return b"".join([packed[p] if p in packed else self._bytes(p) for p in pieces])
 
-        Characters that are no piece, and a space mark in the text itself, become UTF-8 bytes. Null
-        and empty texts have no ids.
+    def _runs(self, segment: str) -> list[str]:
+        """A segment's runs between characters that no piece joins."""
+        joined = self.joined
+        cuts = [i for i, (a, b) in enumerate(zip(segment, segment[1:]), 1) if a + b not in joined]
+        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)])] if cuts else [segment]
+
+    def _learn(self, segments: Sequence[str]) -> None:
+        split = [self._runs(s if s[:1] == "\n" else SPACE + s) for s in segments]
+        known, between, ids = self.run_memo, self.search.between, self._ids
+        # In order, so that runs that begin alike follow each other.
+        for run in sorted(set().union(*split).difference(known)):
+            known[run] = ids(between(run))
+        get = known.__getitem__
+        self.memo.update(zip(segments, [get(r[0]) if len(r) == 1 else b"".join(map(get, r)) for r in split]))
+
+    def _split(self, text: str | None) -> list[str]:
+        """The segments of a text, each without the one space mark that opens it.
+
+        A segment starts with a line break, or else had a space mark in front.
         """
         if not text:
-            return np.zeros(0, np.int32)
+            return []
+        if self.cut is not None and text[0] != " " and "  " not in text and SPACE not in text:
+            if "\n" not in text:
+                return text.split(" ")
+            if " \n" not in text:
+                return text.replace("\n", " \n").split(" ")
         marked = SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)
-        segments = [marked] if self.cut is None else self.cut.findall(marked)
+        parts = [marked] if self.cut is None else self.cut.findall(marked)
+        return [p if p[0] == "\n" else p[1:] for p in parts]
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """The ids of each text: a space mark goes in front and stands for every space.
+
+        Characters that are no piece, and a space mark in the text itself, become UTF-8 bytes. Null
+        and empty texts have no ids.
+        """
+        split = list(map(self._split, texts))
         memo = self.memo
-        try:
-            parts = [memo[s] for s in segments]
-        except KeyError:
-            if len(memo) > KEEP:
-                memo.clear()
-            parts = []
-            for s in segments:
-                ids = memo.get(s)
-                if ids is None:
-                    ids = self._segment(s)
-                    if len(s) <= KEEP_LENGTH:
-                        memo[s] = ids
-                parts.append(ids)
-        return np.frombuffer(b"".join(parts), "<i4")
+        if len(memo) > KEEP:
+            memo.clear()
+            self.run_memo.clear()
+        fresh = list(set().union(*split).difference(memo))
+        if fresh:
+            self._learn(fresh)
+        known = memo.__getitem__
+        out = [np.frombuffer(b"".join(map(known, s)), "<i4") for s in split]
+        if any(len(s) > KEEP_LENGTH for s in fresh):
+            for held in (memo, self.run_memo):
+                for s in [s for s in held if len(s) > KEEP_LENGTH]:
+                    del held[s]
+        return out
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def decode_bytes(self, ids: Sequence[int]) -> bytes:
+        """The UTF-8 of the text of ids. Unknown ids raise."""
+        return b"".join(map(self.bytes_of.__getitem__, ids)).removeprefix(b" ")
 
     def decode(self, ids: Sequence[int]) -> str:
-        """The text of ids. Unknown ids raise."""
-        out = b"".join(map(self.bytes_of.__getitem__, ids))
-        text = out.decode("utf-8")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_bytes(ids).decode("utf-8")
 
 
 def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """(doc_id long, ids array<int>), one row per row of ``docs``; null and empty texts have no ids.
 
-    Whole texts are encoded, in memory that depends on the longest piece, not on the text: where no
-    piece crosses a boundary, paths converge and ids are committed; elsewhere the search keeps its
-    window. Copies and order do not matter; other columns are ignored.
+    Whole texts are encoded. Where no piece crosses a boundary, paths converge and ids are
+    committed; elsewhere the search keeps a window that depends on the longest piece, not on the
+    text. A text and its ids are one row, and are held as such. Copies and order do not matter; other
+    columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
-        only_memo("spm", _CODECS.clear)
         codec = _codec(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [codec.encode(t) for t in part.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            lo = 0
+            while lo < len(texts):
+                hi, held = lo, 0
+                while hi < len(texts) and (hi == lo or held + len(texts[hi] or "") <= BLOCK):
+                    held += len(texts[hi] or "")
+                    hi += 1
+                ids = codec.encode_all(texts[lo:hi])
+                texts[lo:hi] = [None] * (hi - lo)
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32))
-                flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
+                column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), column], ["doc_id", "ids"])
+                lo = hi
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return rows.mapInArrow(in_worker("spm", run, _forget, _leave), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary, digest: bool = False) -> DataFrame:
@@ -337,35 +360,46 @@ def decode(encoded: DataFrame, vocab: Vocabulary, digest: bool = False) -> DataF
     shared = encoded.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches):
-        only_memo("spm", _CODECS.clear)
         codec = _codec(shared.value)
         for batch in batches:
+            column = batch.column("ids")
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = part.column("ids").to_pylist()
-                texts = [None if i is None else codec.decode(i) for i in ids]
-                if not digest:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
-                    continue
-                sums = [None if i is None else zlib.crc32(array("I", i).tobytes()) for i in ids]
-                back = [None if t is None else zlib.crc32(t.encode()) for t in texts]
-                sizes = [None if i is None else len(i) for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, sums, back))],
-                    ["doc_id", "n_ids", "ids_crc32", "text_crc32"],
-                )
-
+                hi = min(lo + 256, batch.num_rows)
+                own = column.slice(lo, hi - lo).is_valid().to_pylist()
+                ids = [values[a:b] if ok else None for a, b, ok in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], own)]
+                texts = [None if i is None else codec.decode_bytes(i.tolist()) for i in ids]
+                if digest:
+                    sums = [None if i is None else zlib.crc32(i.astype("<u4").tobytes()) for i in ids]
+                    back = [None if t is None else zlib.crc32(t) for t in texts]
+                    sizes = [None if i is None else len(i) for i in ids]
+                    columns = [pa.array(x, pa.int64()) for x in (sizes, sums, back)]
+                else:
+                    columns = [pa.array([None if t is None else t.decode("utf-8") for t in texts], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *columns], names)
+
+    names = ["doc_id", "n_ids", "ids_crc32", "text_crc32"] if digest else ["doc_id", "text"]
     schema = "doc_id long, n_ids long, ids_crc32 long, text_crc32 long" if digest else "doc_id long, text string"
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, schema)
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
+    return rows.mapInArrow(in_worker("spm", run, _forget, _leave), schema)
 
 
 _CODECS: dict[int, Codec] = {}
 
 
 def _codec(vocab: Vocabulary) -> Codec:
-    """One codec a worker and vocabulary, so that its memo outlives a task."""
+    """One codec a worker and vocabulary; what it remembers is forgotten after each task."""
     key = hash(vocab)
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(vocab)
     return _CODECS[key]
+
+
+def _forget() -> None:
+    for codec in _CODECS.values():
+        codec.forget()
+
+
+def _leave() -> None:
+    _CODECS.clear()
