@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import Forest, cut, sorted_groups
+from graphspark.llm.common import Forest, cut, in_worker, sorted_groups
 from graphspark.llm.components import connected_components
 
 #: Vectors that a subspace's cells are fitted on, at most; every vector is routed and compared.
 SAMPLE = 4096
 _SLACK = 1e-6
+#: Bits of a part's number in the key of a place where parts meet.
+_PART_BITS = 15
+_PART_MASK = (1 << _PART_BITS) - 1
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -122,8 +125,11 @@ def _tiles(x: np.ndarray, idx: np.ndarray, size: int) -> list[np.ndarray]:
     return _tiles(x, order[:half], size) + _tiles(x, order[half:], size)
 
 
-def _pairs_of_cell(x: np.ndarray, home: np.ndarray, b: int, space: _Subspaces, tile: int = 256):
-    """Yield arrays (i, j) of linked rows that this cell answers for; i is at home here."""
+def _pairs_of_cell(x: np.ndarray, home: np.ndarray, b: int, space: _Subspaces, part_of: np.ndarray | None = None, tile: int = 256):
+    """Yield arrays (i, j) of linked rows that this cell answers for; i is at home here.
+
+    With ``part_of``, only pairs of two different parts.
+    """
     y = _normal(x)
     z = y @ space.turn
     lo, hi = space.ranges[b]
@@ -147,6 +153,8 @@ def _pairs_of_cell(x: np.ndarray, home: np.ndarray, b: int, space: _Subspaces, t
         hits = np.flatnonzero(left[mine] @ right[other].T >= reach)
         i, j = mine[hits // len(other)], other[hits % len(other)]
         keep = place[j] > place[i]
+        if part_of is not None:
+            keep &= part_of[i] != part_of[j]
         i, j = i[keep], j[keep]
         for s in range(0, len(i), 500_000):
             p, q = i[s : s + 500_000], j[s : s + 500_000]
@@ -179,7 +187,8 @@ def near_duplicates(
     is at most 2 - 2 * threshold for a linked pair, so some subspace holds at most its share. Each
     subspace is cut into boxes (fitted on at most SAMPLE vectors); a vector goes to its own box and
     to the higher-numbered ones within reach, and whole vectors travel, so a box verifies its pairs
-    at once and returns link counts and a spanning forest instead of links.
+    at once and returns link counts and a spanning forest instead of links. A box of more than twice
+    ``leaf_rows`` is dealt into parts, any two of which meet, so that no task holds a hot box whole.
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must lie between 0.5 and 1")
@@ -240,6 +249,37 @@ def _cell_results(classes: DataFrame, space: _Subspaces, leaf_rows: int) -> Data
     arrow = pa.float32() if kind == "float" else pa.float64()
     width = arrow.bit_width // 8
 
+    def census(batches):
+        held = np.zeros((len(space.ranges), 1 + max(c.leaves for c in cells)), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, space.d)
+                z = _normal(x.astype(np.float64)) @ space.turn
+                for b, (lo, hi) in enumerate(space.ranges):
+                    held[b] += np.bincount(cells[b].route(z[:, lo:hi], space.radius(b))[1], minlength=held.shape[1])
+        b, leaf = np.nonzero(held)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(leaf * len(space.ranges) + b), "n": pa.array(held[b, leaf])})
+
+    # At most SAMPLE / 8 boxes a subspace, so their sizes are few.
+    parts: dict[int, int] = {}
+    if total > 2 * leaf_rows:
+        sizes = classes.select("v").mapInArrow(census, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        parts = {r.cell: -(-r.n // leaf_rows) for r in sizes.where(F.col("n") > 2 * leaf_rows).collect()}
+        if max(parts.values(), default=1) >= 1 << _PART_BITS:
+            raise ValueError("a box has too many parts: raise leaf_rows")
+
+    def dealt(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, part): the places in which rows of cells meet; two parts of a cell share one."""
+        key, row = cell << 2 * _PART_BITS, np.arange(len(cell))
+        if not parts:
+            return row, key, np.zeros(len(cell), np.int32)
+        count = np.array([parts.get(c, 1) for c in cell.tolist()])
+        own = (node * 0x9E3779B1 % (1 << 31)) % count
+        row = np.repeat(row, count)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        low, high = np.minimum(own[row], other), np.maximum(own[row], other)
+        return row, key[row] | low << _PART_BITS | high, own[row].astype(np.int32)
+
     def route(batches):
         for batch in batches:
             n = batch.num_rows
@@ -252,11 +292,14 @@ def _cell_results(classes: DataFrame, space: _Subspaces, leaf_rows: int) -> Data
             copies = batch.column("copies").to_numpy()
             for b, (lo, hi) in enumerate(space.ranges):
                 row, leaf, home = cells[b].route(z[:, lo:hi], space.radius(b))
+                place, key, part = dealt(leaf * len(space.ranges) + b, node[row])
+                row, home = row[place], home[place]
                 offsets = pa.py_buffer((np.arange(len(row) + 1) * space.d * width).astype(np.int32))
                 data = pa.py_buffer(np.ascontiguousarray(packed[row]))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "cell": pa.array(leaf * len(space.ranges) + b),
+                        "cell": pa.array(key),
+                        "part": pa.array(part),
                         "home": pa.array(home),
                         "node": pa.array(node[row]),
                         "copies": pa.array(copies[row]),
@@ -276,7 +319,9 @@ def _cell_results(classes: DataFrame, space: _Subspaces, leaf_rows: int) -> Data
             copies = table.column("copies").to_numpy()
             counts = np.zeros(n, np.int64)
             forest = Forest()
-            for i, j in _pairs_of_cell(x, home, cell % len(space.ranges), space):
+            low, high = cell >> _PART_BITS & _PART_MASK, cell & _PART_MASK
+            part_of = None if low == high else table.column("part").to_numpy()
+            for i, j in _pairs_of_cell(x, home, (cell >> 2 * _PART_BITS) % len(space.ranges), space, part_of):
                 np.add.at(counts, i, copies[j])
                 np.add.at(counts, j, copies[i])
                 for a, b in zip(i.tolist(), j.tolist()):
@@ -290,6 +335,6 @@ def _cell_results(classes: DataFrame, space: _Subspaces, leaf_rows: int) -> Data
                 [pa.array(node[a]), pa.nulls(len(a), pa.int64()), pa.array(node[b])], ["node", "links", "other"]
             )
 
-    routed = classes.select("node", "copies", "v").mapInArrow(route, "cell long, home boolean, node long, copies long, x binary")
+    routed = classes.select("node", "copies", "v").mapInArrow(in_worker("embed", route), "cell long, part int, home boolean, node long, copies long, x binary")
     near = routed.repartition("cell").sortWithinPartitions("cell")
-    return near.mapInArrow(compare, "node long, links long, other long")
+    return near.mapInArrow(in_worker("embed", compare), "node long, links long, other long")

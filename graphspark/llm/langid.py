@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.llm.common import only_memo
+from graphspark.llm.common import in_worker
 
 #: Probability of a single character that no piece covers, the same in every language.
 FLOOR = 1e-7
-#: Words longer than this are summed piecewise in log space instead of in a batch.
-LONG = 48
-#: Words whose scores a worker keeps.
-KEEP = 300_000
+#: Words longer than this are summed in log space: products of so many small factors would vanish.
+LONG = 32
+#: Letters of a word that are held at a time in the fit, which splits longer ones there.
+STRETCH = 1000
+#: Words whose scores a worker keeps, and characters of texts that are judged together.
+KEEP, BLOCK = 300_000, 4_000_000
 MAX_LANGUAGES = 500
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -87,11 +89,27 @@ def _forward(lattice, prob: np.ndarray, m: int) -> list[np.ndarray]:
     return alpha
 
 
+def _log_sums(terms: list[tuple[int, np.ndarray]], known: list[np.ndarray]) -> np.ndarray:
+    """log of the sum over (i, log p) of exp(known[i] + log p)."""
+    stacked = np.stack([known[i] + p for i, p in terms])
+    top = stacked.max(0)
+    return top + np.log(np.exp(stacked - top).sum(0))
+
+
+def _log_lattice(lattice, prob: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
+    """(start, log probabilities) for each end, where 0 stands for no piece and is as good as -inf."""
+    with np.errstate(divide="ignore"):
+        logs = np.maximum(np.log(prob), -1e30)
+    none, floor = np.full(prob.shape[1], -1e30), math.log(FLOOR)
+    return [[(i, np.where((rows == 0)[:, None], floor if i == j - 1 else none, logs[rows])) for i, rows in ends] for j, ends in enumerate(lattice)]
+
+
 def log_likelihoods(words: Sequence[str], vocab: Pieces, prob: np.ndarray) -> np.ndarray:
     """log P(word | language) for every word (rows) and language (columns).
 
     The forward algorithm: the probability of a prefix is the sum over its last piece, so all
-    segmentations of the marked word count. Words of one length go together.
+    segmentations of the marked word count. Words of one length go together; longer ones one by one,
+    rescaled at every character, so that memory does not depend on their length.
     """
     out = np.empty((len(words), prob.shape[1]))
     place = {w: i for i, w in enumerate(words)}
@@ -103,8 +121,7 @@ def log_likelihoods(words: Sequence[str], vocab: Pieces, prob: np.ndarray) -> np
         for lo in range(0, len(group), 4096):
             part = group[lo : lo + 4096]
             lattice = vocab.lattice(["▁" + w for w in part])
-            with np.errstate(divide="ignore"):
-                out[[place[w] for w in part]] = np.log(_forward(lattice, prob, len(part))[-1])
+            out[[place[w] for w in part]] = np.log(_forward(lattice, prob, len(part))[-1])
     return out
 
 
@@ -128,35 +145,66 @@ def _long(word: str, vocab: Pieces, prob: np.ndarray) -> np.ndarray:
     return scale
 
 
+def _expected(lattice, weight: np.ndarray, prob: np.ndarray, expected: np.ndarray) -> None:
+    """Add the expected counts of the pieces of words of one length, which occur ``weight`` times."""
+    m, n = len(weight), len(lattice) - 1
+    alpha = _forward(lattice, prob, m)
+    beta = [np.zeros((m, 1)) for _ in range(n)] + [np.ones((m, 1))]
+    for j in range(n, 0, -1):
+        for i, rows in lattice[j]:
+            p = prob[rows]
+            if i == j - 1:
+                p = np.where((rows == 0)[:, None], FLOOR, p)
+            through = beta[j] * p
+            beta[i] += through
+            gain = (alpha[i] * through / alpha[n])[:, 0] * weight
+            expected += np.bincount(rows, gain, len(expected))
+
+
+def _expected_long(lattice, weight: np.ndarray, prob: np.ndarray, expected: np.ndarray) -> None:
+    """The same in log space."""
+    m, n = len(weight), len(lattice) - 1
+    steps = _log_lattice(lattice, prob)
+    alpha = [np.zeros((m, 1))]
+    for ends in steps[1:]:
+        alpha.append(_log_sums(ends, alpha))
+    onward: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
+    for j, ends in enumerate(steps):
+        for i, p in ends:
+            onward[i].append((j, p))
+    beta = [np.zeros((m, 1))] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        beta[i] = _log_sums(onward[i], beta)
+    for j in range(1, n + 1):
+        for (i, rows), (_, p) in zip(lattice[j], steps[j]):
+            gain = np.exp(alpha[i] + p + beta[j] - alpha[n])[:, 0] * weight
+            expected += np.bincount(rows, gain, len(expected))
+
+
 def fit_pieces(counts: dict[str, int], vocab: Pieces, rounds: int = 3, smooth: float = 0.05) -> np.ndarray:
     """Piece probabilities of one language from its word counts, by expectation-maximisation.
 
     Expected piece counts come from forward and backward sums over all segmentations. Every piece
-    of the vocabulary keeps ``smooth`` counts.
+    of the vocabulary keeps ``smooth`` counts. Of a word of more than STRETCH letters each stretch of
+    so many is a word's part of its own; only a piece that spans two of them is not seen.
     """
     size = len(vocab.pieces) + 1
+    parts: Counter = Counter()
+    for w, n in counts.items():
+        marked = "▁" + w
+        for lo in range(0, len(marked), STRETCH):
+            parts[marked[lo : lo + STRETCH]] += n
     groups = []
-    for n, group in _by_length(w for w in counts if len(w) <= LONG).items():
-        for lo in range(0, len(group), 4096):
-            part = group[lo : lo + 4096]
-            lattice = vocab.lattice(["▁" + w for w in part])
-            groups.append((lattice, np.array([counts[w] for w in part], float)))
+    for n, group in _by_length(parts).items():
+        for lo in range(0, len(group), max(1, 140_000 // n)):
+            part = group[lo : lo + max(1, 140_000 // n)]
+            groups.append((vocab.lattice(part), np.array([parts[w] for w in part], float), n > LONG))
     prob = np.full((size, 1), 1.0 / size)
+    prob[0] = 0.0
     for _ in range(rounds):
         expected = np.full(size, smooth)
-        for lattice, weight in groups:
-            m, n = len(weight), len(lattice) - 1
-            alpha = _forward(lattice, prob, m)
-            beta = [np.zeros((m, 1)) for _ in range(n)] + [np.ones((m, 1))]
-            for j in range(n, 0, -1):
-                for i, rows in lattice[j]:
-                    p = prob[rows]
-                    if i == j - 1:
-                        p = np.where((rows == 0)[:, None], FLOOR, p)
-                    through = beta[j] * p
-                    beta[i] += through
-                    gain = (alpha[i] * through / np.maximum(alpha[n], 1e-300))[:, 0] * weight
-                    expected += np.bincount(rows, gain, size)
+        for lattice, weight, long in groups:
+            (_expected_long if long else _expected)(lattice, weight, prob, expected)
         expected[0] = 0.0
         prob = (expected / expected.sum())[:, None]
     return prob[:, 0]
@@ -176,9 +224,12 @@ class LanguageModel:
     def __setstate__(self, state: dict) -> None:
         self.__init__(state["languages"], Pieces(state["pieces"]), state["prob"])
 
+    def forget(self) -> None:
+        self._index, self._scores = {}, np.empty((0, len(self.languages)))
+
     def _learn(self, words: set[str]) -> None:
         if len(self._index) > KEEP:
-            self._index, self._scores = {}, self._scores[:0]
+            self.forget()
         fresh = [w for w in words if w not in self._index]
         if fresh and self.languages:
             at = len(self._index)
@@ -196,17 +247,18 @@ class LanguageModel:
         while lo < len(texts):
             # As many texts as make a few million characters, so that unseen words go together.
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < 4_000_000):
+            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < BLOCK):
                 size += len(texts[hi] or "")
                 hi += 1
             split = [words_of(t) for t in texts[lo:hi]]
-            self._learn({w for words in split for w in words})
+            self._learn(set().union(*split))
+            place = self._index.__getitem__
             for words in split:
                 if not words or not self.languages:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                total = self._scores[[self._index[w] for w in words]].sum(0)
+                total = self._scores[np.fromiter(map(place, words), np.int64, len(words))].sum(0)
                 best = int(np.argmax(total))
                 langs.append(self.languages[best])
                 scores.append(float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum()))
@@ -214,14 +266,14 @@ class LanguageModel:
         return langs, scores
 
 
-def train(labelled: DataFrame, pieces: Sequence[str], docs_per_language: int = 400) -> LanguageModel:
+def train(labelled: DataFrame, pieces: Sequence[str], docs_per_language: int = 400, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     """Fit piece probabilities on at most ``docs_per_language`` whole texts of every language.
 
     ``labelled`` has doc_id, text and lang; rows with a null in any of them are no examples. The
     rows with the smallest hashes of doc_id are taken, whatever their order; of rows that share an id
     and a language the smallest text counts. A language is
-    a value of lang; more than MAX_LANGUAGES of them raise. Without examples the model has no
-    languages.
+    a value of lang; of more than ``max_languages`` those with the most rows are learned, ties by name,
+    so that the model has a bounded size. Without examples the model has no languages.
     """
     rows = labelled.select(F.col("doc_id").alias("d"), F.col("lang").cast("string").alias("lang"), "text").where(
         "d is not null and lang is not null and text is not null"
@@ -230,7 +282,7 @@ def train(labelled: DataFrame, pieces: Sequence[str], docs_per_language: int = 4
     keyed = rows.select("d", "lang", F.xxhash64(F.lit(11), "d").alias("h"))
     # Hashes spread evenly, so four times the share that is needed holds all that can be chosen; with
     # fewer rows than that, all stay. Without this a task would rank what every partition sends it.
-    counts = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    counts = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("all")).orderBy(F.desc("all"), "lang").limit(max_languages)
     share = (F.col("h") / 2.0**64 + 0.5) * F.col("all") < 4 * docs_per_language
     keyed = keyed.join(F.broadcast(counts), "lang").where(share).drop("all")
     chosen = keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
@@ -255,8 +307,6 @@ def train(labelled: DataFrame, pieces: Sequence[str], docs_per_language: int = 4
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in words.toLocalIterator():
         counts.setdefault(lang, {})[word] = n
-        if len(counts) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     vocab = Pieces(pieces)
     languages = sorted(counts)
     prob = [fit_pieces(counts[lang], vocab) for lang in languages]
@@ -278,43 +328,31 @@ def identify(docs: DataFrame, pieces: Sequence[str], docs_per_language: int = 40
     """
     columns = docs.select("doc_id", "text", "lang")
     model = train(columns.where(~held_out(F.col("doc_id"))), pieces, docs_per_language)
-    return without_text(docs, model).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score")
-    )
-
+    judged = predict(docs.select("doc_id", "text"), model, "doc_id")
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with _lang_pred string and _score double behind them."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-    names = [*docs.columns, "_lang_pred", "_score"]
-
-    def run(batches):
-        only_memo("langid")
-        known = shared.value
-        for batch in batches:
-            langs, scores = known.predict(batch.column(at).to_pylist())
-            columns = [*(batch.column(i) for i in range(batch.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+def predict(docs: DataFrame, model: LanguageModel, kept: str | None = None) -> DataFrame:
+    """(row, lang_pred string, score double) of every row: ``row`` is a struct of all columns of ``docs``.
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
-
-
-def without_text(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, _lang_pred, _score) of every row; the text does not come back from the workers."""
+    With ``kept``, the name of a column, that column comes back instead, under its own name, and the
+    text does not. Names of ``docs`` can't clash with those of the result. Null texts and texts
+    without a letter are ``und`` with score 0; repeated rows stay, and no rows give none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(kept, "text") if kept else docs.select(F.struct("*").alias("row"))
+    name = kept or "row"
 
     def run(batches):
-        only_memo("langid")
         known = shared.value
-        for batch in batches:
-            langs, scores = known.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "_lang_pred", "_score"],
-            )
-
-    source = docs.select("doc_id", "text")
-    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())]))
+        try:
+            for batch in batches:
+                first = batch.column(0)
+                texts = (batch.column(1) if kept else first.field("text")).to_pylist()
+                langs, scores = known.predict(texts)
+                yield pa.RecordBatch.from_arrays([first, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [name, "lang_pred", "score"])
+        finally:
+            known.forget()
+
+    schema = T.StructType([rows.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(in_worker("langid", run), schema)

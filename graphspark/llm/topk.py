@@ -130,7 +130,7 @@ def top_k(
     Components become floor(scale * x). Both tables need ``id_col`` and ``vector_col``; other
     columns are ignored. A query's own id is no candidate of it. Fewer than k candidates give all;
     ties go to the smaller id; repeated rows with one id count once, with their best score, and a
-    repeated query id is asked once, with its smallest vector. Rows with a null id, a null or
+    repeated query id is asked once, with its smallest usable vector. Rows with a null id, a null or
     empty vector, or null or non-finite components take no part, as do candidates of another
     length than the query. Scores must lie below 2^53 in size to be exact. Empty tables give no rows.
 
@@ -141,7 +141,7 @@ def top_k(
     spark = vectors.sparkSession
     asked = (
         queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector_col).cast("array<double>").alias("v"))
-        .where("q is not null and v is not null")
+        .where("q is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
         .groupBy("q")
         .agg(F.min("v").alias("v"))
     )
