@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest, xxh64_intdigest
 
-from graphspark.llm.common import Forest, cut, only_memo, sorted_groups
+from graphspark.llm.common import Forest, cut, in_worker, sorted_groups
 from graphspark.llm.components import connected_components
 
 #: Shingles whose bits are counted at a time, so that a very long text needs bounded memory.
 _BLOCK = 1 << 16
+#: Parts of a text's shingles in ``minhashes``, and deviations below a similarity at which an estimate gives up.
+BINS, DOUBT = 128, 3.5
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -46,7 +47,6 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id long, fp long): the SimHash of every text, as a signed 64-bit integer."""
 
     def run(batches):
-        only_memo("simhash")
         for batch in batches:
             fps = [fingerprint(t, width, seed) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(in_worker("simhash", run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -215,6 +215,25 @@ def sketch(text: bytes | None, width: int = 2) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
+def minhashes(text: bytes | None, width: int = 5) -> tuple[bytes, int]:
+    """One byte of the smallest hash in each of BINS parts of a text's shingles, and how many parts have one.
+
+    An empty part takes the next one's, changed by the distance, so that two texts agree in a part
+    with the chance of their shingle sets' Jaccard index (and 1 in 256).
+    """
+    words = (text or b"").lower().split()
+    width = min(width, max(1, len(words)))
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if words else [b""]
+    hashes = np.unique(np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64))
+    part, first = np.unique(hashes % BINS, return_index=True)
+    small = hashes[first]  # sorted, so the first of a part is its smallest
+    every = np.arange(BINS, dtype=np.uint64)
+    at = np.searchsorted(part, every)
+    far = np.where(at < len(part), part[at % len(part)] - every, part[0] + np.uint64(BINS) - every)
+    value = (small[at % len(part)] + far) * np.uint64(0x9E3779B97F4A7C15)
+    return (value >> np.uint64(56)).astype(np.uint8).tobytes(), len(part)
+
+
 def _shingle_set(text: str | None, width: int) -> set:
     words = (text or "").encode().lower().split()
     if len(words) <= width:
@@ -228,6 +247,19 @@ def shingle_similarity(a: str | None, b: str | None, width: int = 5) -> float:
     return len(p & q) / len(p | q)
 
 
+def _from_the_middle(group: pa.Table) -> list[int]:
+    """The rows of a shard, those nearest to its majority sketch first: the best of leaders."""
+    n = group.num_rows
+    if n < 4:
+        return list(range(n))
+    bits = np.stack([group.column(c).to_numpy() for c in ("f0", "f1")], 1).view(np.uint64)
+    ones = np.zeros(128, np.int64)
+    for lo in range(0, n, _BLOCK):
+        ones += np.unpackbits(bits[lo : lo + _BLOCK].view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    middle = np.packbits(2 * ones > n).view(np.uint64)
+    return np.argsort(np.bitwise_count(bits ^ middle[None, :]).sum(1), kind="stable").tolist()
+
+
 def _tables(count: int, differ: float, miss: float) -> tuple[int, int]:
     """(bits, tables): samples of so many bits, about one to a bucket, that miss few similar pairs."""
     bits = min(48, max(12, count.bit_length()))
@@ -235,38 +267,77 @@ def _tables(count: int, differ: float, miss: float) -> tuple[int, int]:
     return bits, max(1, int(np.ceil(np.log(miss) / np.log(1 - hit))))
 
 
-def similar_groups(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 26, differ: float = 0.1, miss: float = 0.005, shard_rows: int = 65536
-) -> DataFrame:
+def _text_keys() -> list[Column]:
+    return [F.xxhash64(F.lit(i), F.col("text")).alias(f"key{i}") for i in (1, 2)]
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, **search) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs``: near-duplicates at a shingle similarity.
 
+    ``component_id`` is the smallest doc_id of the row's group. A row with a null id is its own
+    component, null; null texts count as empty; repeated rows stay, and no rows give none. See
+    ``_marked`` for the search and its parameters.
+    """
+    return _marked(docs, width, similarity, **search).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, **search) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, and the rows without an id.
+
+    The row with the smallest doc_id stays, of several with that id (in the same group) the one
+    with the smallest text hash, and of rows equal in both the one whose other columns come first
+    as JSON. Texts decide, not ids: different texts that share an id are different documents. No
+    rows give none; other columns may have any names.
+    """
+    kept = _marked(docs, width, similarity, **search).where("kept").select("doc_id", "key1", "key2").distinct()
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(
+        F.struct("*").alias("row"), F.to_json(F.struct(*rest)).alias("order"), F.col("doc_id").cast("long").alias("doc_id"), *_text_keys()
+    )
+    place = Window.partitionBy("doc_id", "key1", "key2").orderBy("order")
+    found = rows.join(kept, ["doc_id", "key1", "key2"], "left_semi").withColumn("n", F.row_number().over(place)).where("n = 1")
+    return found.select("row.*").unionByName(docs.where("doc_id is null"))
+
+
+def _marked(
+    docs: DataFrame, width: int, similarity: float, radius: int = 26, differ: float = 0.1, miss: float = 0.005, shard_rows: int = 65536
+) -> DataFrame:
+    """(doc_id, key1, key2, component_id, kept) for every row of ``docs``.
+
     Two documents link if the Jaccard index of their sets of ``width``-word shingles is at least
     ``similarity``. Candidates come from 128-bit SimHashes of word pairs, of which similar texts
     share all but a tenth of the bits (``differ``) or fewer: tables of sampled bits, sized so that
     a table's bucket holds about one unrelated text and all tables together miss a pair with a
-    chance of about ``miss``, are the shards. In each a BK-tree of leaders takes what lies within
-    ``radius`` bits of one as that leader's candidate, and the rest as leaders, so a group gives
-    rows in proportion to its members. A bucket of more than ``shard_rows`` is dealt into parts, any two
+    chance of about ``miss``, are the shards. In each a BK-tree of leaders, those in the middle of the
+    shard first, takes what lies within ``radius`` bits of one as that leader's candidate, and the
+    rest as leaders, so a group gives rows in proportion to its members. A bucket of more than ``shard_rows`` is dealt into parts, any two
     of which meet. Candidates are then compared exactly. Where a bucket's members are in several
-    components after that, all its pairs of different components within ``radius`` are compared too,
-    so no pair of followers is lost; that is a square only of members that are alike in their
-    SimHash and not in their shingles. Texts of the same words
-    are one class. A row with a null id is its own component, null; null texts count as empty;
-    repeated rows stay, and no rows give none.
+    components after that, all its pairs of different components within ``radius`` are compared too, by
+    MinHashes of their shingles; those that may be similar (an estimate no more than DOUBT deviations
+    below) are compared exactly, so that of followers a pair in thousands is lost, and rows are made
+    only of texts that are alike. Texts of the same words are one class, a node of the graph.
+    ``kept`` marks the row of each component that has the smallest id, of several the smallest text
+    hash (``key1``, ``key2``); rows equal in both are marked alike.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), "text")
+    source = texts_of.withColumn("text", F.col("text").cast("binary"))
 
     def run(batches):
-        only_memo("simhash")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             data = np.frombuffer(b"".join(sketch(t) for t in texts), ">i8").reshape(-1, 2)
             f0, f1 = (pa.array(data[:, i].astype(np.int64)) for i in (0, 1))
             same = pa.array([xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), f0, f1, same], ["doc_id", "f0", "f1", "same"])
+            small, filled = zip(*(minhashes(t, width) for t in texts)) if texts else ((), ())
+            kept = [batch.column(c) for c in ("doc_id", "key1", "key2")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, f0, f1, same, pa.array(small, pa.binary()), pa.array(filled, pa.int32())], ["doc_id", "key1", "key2", "f0", "f1", "same", "small", "filled"]
+            )
 
-    fps = cut(source.mapInArrow(run, "doc_id long, f0 long, f1 long, same binary"))
-    nodes = cut(fps.where("doc_id is not null").groupBy("same", "f0", "f1").agg(F.min("doc_id").alias("node")))
+    fps = cut(source.mapInArrow(in_worker("simhash", run), "doc_id long, key1 long, key2 long, f0 long, f1 long, same binary, small binary, filled int"))
+    whose = F.struct("doc_id", "key1", "key2")
+    nodes = fps.where("doc_id is not null").groupBy("same", "f0", "f1").agg(F.min(whose).alias("first"), F.min("small").alias("small"), F.min("filled").alias("filled"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     bits, tables = _tables(nodes.count(), differ, miss)
     rng = np.random.default_rng(17)
     keys = []
@@ -288,44 +359,43 @@ def similar_groups(
         low = (1 << 64) - 1
         return [(a & low) << 64 | (b & low) for a, b in zip(group.column("f0").to_pylist(), group.column("f1").to_pylist())]
 
-    def emitted(pairs):
-        while block := list(islice(pairs, 50_000)):
-            a, b = zip(*block)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
     def lead(batches):
         def pairs():
-            for _, group in sorted_groups(batches, "cell"):
+            for cell, group in sorted_groups(batches, "cell"):
                 leaders, owner = BKTree(), {}  # equal sketches: the first one leads
-                for n, v in zip(group.column("node").to_pylist(), members(group)):
-                    hits = leaders.within(v, radius)
-                    yield from ((n, owner[h]) for h in hits)
+                ids, values = group.column("node").to_pylist(), members(group)
+                for i in _from_the_middle(group):
+                    hits = leaders.within(values[i], radius)
+                    yield from ((cell, ids[i], owner[h]) for h in hits)
                     if not hits:
-                        leaders.add(v)
-                        owner[v] = n
+                        leaders.add(values[i])
+                        owner[values[i]] = ids[i]
 
-        return emitted(pairs())
+        found = pairs()
+        while block := list(islice(found, 50_000)):
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip(("cell", "a", "b"), zip(*block))})
 
     def others(batches):
-        def pairs():
-            for _, group in sorted_groups(batches, "cell"):
-                parts = group.column("part").to_pylist()
-                size = Counter(parts)
-                if len(size) == 1:
-                    continue
-                ids, values = group.column("node").to_pylist(), members(group)
-                order = {p: i for i, (p, _) in enumerate(size.most_common())}
-                tree, held = BKTree(), defaultdict(list)
-                for n, v, p in zip(ids, values, parts):
-                    tree.add(v)
-                    held[v].append((n, p))
-                # The largest component asks no one: each pair comes from its smaller side.
-                for n, v, p in zip(ids, values, parts):
-                    if order[p]:
-                        for hit in tree.within(v, radius):
-                            yield from ((n, m) for m, q in held[hit] if order[q] < order[p])
-
-        return emitted(pairs())
+        for _, group in sorted_groups(batches, "cell"):
+            _, code, size = np.unique(group.column("part").to_numpy(), return_inverse=True, return_counts=True)
+            if len(size) == 1:
+                continue
+            # The largest component asks no one: each pair comes from its smaller side.
+            rank = np.argsort(np.argsort(-size, kind="stable"), kind="stable")[code]
+            node, filled = group.column("node").to_numpy(), group.column("filled").to_numpy()
+            bits = np.stack([group.column(c).to_numpy() for c in ("f0", "f1")], 1).view(np.uint64)
+            small = np.frombuffer(b"".join(group.column("small").to_pylist()), np.uint8).reshape(-1, BINS)
+            asking = np.flatnonzero(rank > 0)
+            step = max(1, (1 << 21) // len(node))
+            for lo in range(0, len(asking), step):
+                own = asking[lo : lo + step]
+                far = np.bitwise_count(bits[own][:, None, :] ^ bits[None, :, :]).sum(2)
+                i, j = np.nonzero((far <= radius) & (rank[None, :] < rank[own][:, None]))
+                for at in range(0, len(i), 1 << 17):
+                    p, q = own[i[at : at + (1 << 17)]], j[at : at + (1 << 17)]
+                    least = similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / np.minimum(filled[p], filled[q]))
+                    keep = (small[p] == small[q]).mean(1) >= least
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(node[p[keep]]), "b": pa.array(node[q[keep]])})
 
     def verify(batches):
         for batch in batches:
@@ -336,23 +406,32 @@ def similar_groups(
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     def compared(candidates: DataFrame) -> DataFrame:
-        named = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id").groupBy("id").agg(F.min("text").alias("text"))
-        texts = cut(texts)
-        pairs = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("p")), "a").join(
-            texts.select(F.col("id").alias("b"), F.col("text").alias("q")), "b"
+        named = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+        asked = nodes.join(named, "node").select("node", "first.*")
+        texts = cut(texts_of.join(asked, ["doc_id", "key1", "key2"]).groupBy("node").agg(F.first("text").alias("text")))
+        pairs = candidates.join(texts.select(F.col("node").alias("a"), F.col("text").alias("p")), "a").join(
+            texts.select(F.col("node").alias("b"), F.col("text").alias("q")), "b"
         )
         return cut(pairs.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    first = cut(ordered(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(lead, "a long, b long")))
+    met = cut(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(in_worker("simhash", lead), "cell long, a long, b long"))
+    first = cut(ordered(met))
     linked = compared(first)
-    named = cells.join(connected_components(linked), "node", "left").select("cell", "node", "f0", "f1", F.coalesce("component", "node").alias("part"))
-    second = ordered(named.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(others, "a long, b long"))
+    # Where nobody has a leader, all are leaders, and no two of them are near.
+    led = cells.join(met.select("cell").distinct(), "cell", "left_semi")
+    named = led.join(connected_components(linked), "node", "left").join(nodes.select("node", "small", "filled"), "node")
+    named = named.select("cell", "node", "f0", "f1", F.coalesce("component", "node").alias("part"), "small", "filled")
+    second = ordered(named.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(in_worker("simhash", others), "a long, b long"))
     second = cut(second.join(first, ["a", "b"], "left_anti"))
     parts = connected_components(linked.union(compared(second)))
-    labels = nodes.join(parts, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    labels = nodes.join(parts, "node", "left").select("same", "first", F.coalesce("component", "node").alias("component"))
+    firsts = labels.groupBy("component").agg(F.min("first").alias("leader"))
+    labels = labels.join(firsts, "component").select("same", "leader")
     out = fps.join(labels, "same", "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = F.col("doc_id").isNotNull()
+    return out.select(
+        "doc_id", "key1", "key2", F.when(named, F.col("leader.doc_id")).alias("component_id"), (named & (whose == F.col("leader"))).alias("kept")
+    )
