@@ -17,11 +17,16 @@ INTEGER = r"-?[0-9]+"
 NODE_REFERENCE = r"(?i)\bnodes?\s+-?[0-9]+\b"
 NOT_A_NO = r"(?i)\bno\s+nodes?\b|\bno\s+repeated\b"
 YES_NO = r"(?i)\b(yes|no)\b"
+EMPTY = r"(?i)\bno\s+nodes?\b"
 NO_NODES = r"(?i)\bno\s+nodes?\b|\bnone\.?\s*$|\[\s*\]\s*$"
 DECORATION = r"(?:\s*(?:\*+|`+|\.|\([^()]*\)))+\s*$"
 NODE_RUN = r"[0-9]+(?:\s*(?:,\s*and\s+|,\s*|\s+and\s+)[0-9]+)*"
-EDGE_STATED = r"(?i)\ban?\s+edge\s+(?:does\s+)?exists?\b|\b(?:is|are)\s+(?:directly\s+)?connected\b"
-HEDGE = r"(?i)\b(?:whether|if|does|determine|check)\b[^.]*$"
+EDGE_EXISTS = r"\bedge\s+exists?\b"
+CONNECTED = r"\b(?:is|are)\s+connected\s+to\b"
+LEAD_IN = r"\b(?:if|whether|does|do|did|can|could|would|should|check|determine|examine|verify|confirm)\b[\w\s]{0,12}"
+BOXED = r"boxed\{(?:\s*\\text\{)?\s*(-?[0-9]+)\s*\}"
+#: An edge stated, not asked about: no question or hedge leads up to it.
+STATED_EDGE = f"(?iU)(?<!{LEAD_IN})(?:{EDGE_EXISTS}|{CONNECTED})"
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -41,10 +46,13 @@ def has_marker(text: Column) -> Column:
     return F.coalesce(text.rlike(MARKER), F.lit(False))
 
 
-def last_line(text: Column) -> Column:
-    """The last line that is not blank; null if all are."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), strip), lambda x: F.length(x) > 0)
-    return _pick(lines, True)
+def _lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), strip), lambda x: F.length(x) > 0)
+
+
+def last_line(text: Column, last: bool = True) -> Column:
+    """The last (first) line that is not blank; null if all are."""
+    return _pick(_lines(text), last)
 
 
 def integer_answer(text: Column, last: bool = True) -> Column:
@@ -58,23 +66,22 @@ def integer_answer(text: Column, last: bool = True) -> Column:
     near = _pick(_all(F.regexp_replace(sentence, NODE_REFERENCE, " "), INTEGER), last)
     near = F.when(~tail.endswith(":"), near)
     masked = _pick(_all(F.regexp_replace(text, NODE_REFERENCE, " "), INTEGER), last)
-    return F.coalesce(near, masked, _pick(_all(text, INTEGER), last))
+    anywhere = _pick(_all(text, INTEGER), last)
+    return F.coalesce(near, masked, anywhere) if last else F.coalesce(near, anywhere)
 
 
 def boolean_answer(text: Column, paraphrase: Column | None = None, last: bool = True) -> Column:
     """``Yes`` or ``No``: the last (first) such word after the marker, else anywhere.
 
-    Where ``paraphrase`` holds and there is no such word, a last line that states an edge without a
-    question before it is a Yes.
+    Where ``paraphrase`` holds and there is no such word, an edge stated in the last (first) line of
+    either, with no question or hedge before it, is a Yes.
     """
     tail = marker_tail(text, last)
     word = lambda scope: F.initcap(_pick(_all(F.regexp_replace(scope, NOT_A_NO, " "), YES_NO, 1), last))
     answer = F.coalesce(word(tail), word(text))
     if paraphrase is None:
         return answer
-    line = F.coalesce(last_line(tail), last_line(text))
-    lead = F.regexp_extract(line, r"(?is)^(.*?)(?:" + EDGE_STATED[4:] + ")", 1)
-    stated = line.rlike(EDGE_STATED) & ~lead.rlike(HEDGE)
+    stated = F.coalesce(last_line(tail, last).rlike(STATED_EDGE), F.lit(False)) | F.coalesce(last_line(text, last).rlike(STATED_EDGE), F.lit(False))
     return F.coalesce(answer, F.when(paraphrase & stated, F.lit("Yes")))
 
 
@@ -92,8 +99,7 @@ def _list_of(line: Column) -> Column:
 
 def list_answer(text: Column, last: bool = True) -> Column:
     """The node list of the last (first) line that has one, ``No nodes`` for any spelling of none."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), strip), lambda x: F.length(x) > 0)
-    found = F.filter(F.transform(lines, _list_of), lambda x: x.isNotNull())
+    found = F.filter(F.transform(_lines(text), _list_of), lambda x: x.isNotNull())
     return F.coalesce(_pick(found, last), _list_of(marker_tail(text, last)))
 
 
@@ -105,7 +111,7 @@ def answer(text: Column, task: Column, last: bool = True) -> Column:
         .when(task.isin(*LIST_TASKS), list_answer(text, last))
         .otherwise(F.raise_error(F.concat(F.lit("unknown task "), task)))
     )
-    return F.when(F.length(text) > 0, known)
+    return F.when(F.length(strip(text)) > 0, known)
 
 
 def answer_part(text: Column) -> Column:
@@ -118,7 +124,7 @@ def trace_part(text: Column) -> Column:
 
 
 def boxed_integer(text: Column) -> Column:
-    return _pick(_all(text, r"\\boxed\{\s*(-?[0-9]+)\s*\}", 1), True)
+    return _pick(_all(text, BOXED, 1), True)
 
 
 def normalise(text: Column) -> Column:
@@ -127,7 +133,15 @@ def normalise(text: Column) -> Column:
 
 
 def node_set(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(_all(text, INTEGER), lambda x: x.cast("int"))))
+    """The distinct integers of an answer, sorted; none for an answer that says so."""
+    ids = F.array_sort(F.array_distinct(F.transform(_all(text, INTEGER), lambda x: x.cast("int"))))
+    return F.when(text.rlike(EMPTY), F.array().cast("array<int>")).otherwise(ids)
+
+
+def yes_no(text: Column) -> Column:
+    """``Yes`` or ``No`` as an answer says, ``no nodes`` aside; null for neither."""
+    plain = F.regexp_replace(text, EMPTY, " ")
+    return F.when(plain.rlike(r"(?i)\byes\b"), "Yes").when(plain.rlike(r"(?i)\bno\b"), "No")
 
 
 def set_f1(predicted: Column, gold: Column) -> Column:
@@ -140,9 +154,10 @@ def set_f1(predicted: Column, gold: Column) -> Column:
 def score(predicted: Column, gold: Column, task: Column) -> Column:
     """struct(parsed, exact, primary, absolute_error) of an answer against a gold answer."""
     p, g = normalise(predicted), normalise(gold)
-    listed, counted = task.isin(*LIST_TASKS), task.isin(*INTEGER_TASKS)
+    listed, counted, asked = task.isin(*LIST_TASKS), task.isin(*INTEGER_TASKS), task.isin(*BOOLEAN_TASKS)
     f1 = set_f1(node_set(p), node_set(g))
-    exact = F.when(listed, (node_set(p) == node_set(g)).cast("double")).otherwise((F.lower(p) == F.lower(g)).cast("double"))
+    same = F.when(listed, node_set(p) == node_set(g)).when(asked, yes_no(predicted) == yes_no(gold)).otherwise(p == g)
+    exact = same.cast("double")
     exact = F.coalesce(exact, F.lit(0.0))
     return F.struct(
         predicted.isNotNull().alias("parsed"),

@@ -15,16 +15,21 @@ NAMES = {
     "popular": (
         "James Robert John Michael David Mary Patricia Jennifer Linda Elizabeth William Richard Joseph Thomas "
         "Christopher Barbara Susan Jessica Sarah Karen Daniel Lisa Matthew Nancy Anthony Betty Mark Margaret Donald "
-        "Sandra Steven Ashley Paul Kimberly Andrew Emily Joshua Donna Kenneth Michelle Kevin Carol"
+        "Sandra Steven Ashley Paul Kimberly Andrew Emily Joshua Donna Kenneth Michelle Kevin Carol Brian Amanda George "
+        "Melissa Edward Deborah Ronald Stephanie Timothy Rebecca Jason Sharon Jeffrey Laura Ryan Cynthia Jacob Dorothy "
+        "Gary Olivia Nicholas Emma Eric Sophia Jonathan Ava Stephen Isabella Scott Mia Justin Abigail Brandon Madison "
+        "Frank Chloe Benjamin Victoria Samuel Lauren Gregory Hannah Alexander Grace Frank Alexis Raymond Alice Patrick "
+        "Samantha Jack Natalie Dennis Anna Jerry Taylor Tyler Kayla Henry Hailey Douglas Jasmine Peter Nicole Adam Amy "
+        "Nathan Christina Zachary Andrea Jose Leah Walter Angelina Harold Valerie Kyle Veronica Ethan Carl Arthur Roger "
+        "Noah"
     ).split(),
     "south_park": (
         "Eric Kenny Kyle Stan Tolkien Heidi Bebe Liane Sharon Linda Gerald Veronica Michael Jimbo Herbert Malcolm "
         "Gary Steve Chris Wendy"
     ).split(),
     "got": (
-        "Ned Catelyn Daenerys Jon Bran Sansa Arya Cersei Jaime Petyr Robert Jorah Viserys Joffrey Maester Theon "
-        "Rodrik Lysa Stannis Osha Tyrion Brienne Davos Varys Tormund Podrick Missandei Margaery Loras Oberyn Ellaria "
-        "Melisandre Gendry Meera Jojen Ygritte Grenn Samwell Gilly Shireen"
+        "Ned Cat Daenerys Jon Bran Sansa Arya Cersei Jaime Petyr Robert Jorah Viserys Joffrey Maester Theon Rodrik Lysa "
+        "Stannis Osha"
     ).split(),
     "politician": (
         "Barack Jimmy Arnold Bernie Bill Kamala Hillary Elizabeth John Ben Joe Alexandria George Nancy Pete Madeleine "
@@ -35,13 +40,14 @@ NAMES = {
 
 
 def name_of(node: Column, scheme: str = "integer") -> Column:
-    """The name of a node id; an id past the end of its scheme is its number."""
-    if scheme == "integer":
+    """The name of a node id; an id past the end of its scheme raises."""
+    if scheme in ("integer", "nx_node_name"):
         return node.cast("string")
     if scheme not in NAMES:
         raise ValueError(f"unknown naming {scheme!r}")
     names = F.array(*(F.lit(n) for n in NAMES[scheme]))
-    return F.coalesce(F.try_element_at(names, (node + 1).cast("int")), node.cast("string"))
+    missing = F.raise_error(F.concat(F.lit(f"no name in {scheme!r} for node "), node.cast("string")))
+    return F.coalesce(F.try_element_at(names, (node + 1).cast("int")), F.when(node.isNotNull(), missing))
 
 
 def graph_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:

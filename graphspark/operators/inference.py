@@ -180,3 +180,27 @@ def slope_within(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataF
     w = Window.partitionBy(*group)
     d = rows.select((F.col(x) - F.avg(x).over(w)).alias("dx"), (F.col(y) - F.avg(y).over(w)).alias("dy"))
     return d.agg((F.sum(F.col("dx") * F.col("dy")) / F.sum(F.col("dx") * F.col("dx"))).alias("slope"), F.count(F.lit(1)).alias("n"))
+
+
+def running_sums(rows: DataFrame, order: str, sums: dict[str, str], group: Sequence[str] = (), following: str | None = None, bins: int = 200) -> DataFrame:
+    """``rows`` with running sums (new name -> column) up to and including each row in the order of a column.
+
+    Rows of equal ``order`` must not share a group. Values are dealt into bins at approximate
+    percentiles, summed within a bin, and begin at what earlier bins hold, so that no task sorts all
+    rows of a group. ``following`` names the next row's ``order``, null for the last.
+    """
+    part = list(group)
+    edges = rows.groupBy(*part).agg(F.percentile_approx(order, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_edges"))
+    binned = rows.join(F.broadcast(edges), part or None, "inner") if part else rows.crossJoin(F.broadcast(edges))
+    binned = binned.withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    totals = binned.groupBy(*part, "_bin").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()), F.min(order).alias("_low"))
+    before = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    start = totals.select(
+        *part, "_bin", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums), F.lead("_low").over(Window.partitionBy(*part).orderBy("_bin")).alias("_next")
+    )
+    inside = Window.partitionBy(*part, "_bin").orderBy(order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = binned.join(F.broadcast(start), [*part, "_bin"]).withColumns({n: F.sum(c).over(upto) + F.col(f"_s_{n}") for n, c in sums.items()})
+    if following:
+        out = out.withColumn(following, F.coalesce(F.lead(order).over(inside), F.col("_next")))
+    return out.drop("_bin", "_next", *(f"_s_{n}" for n in sums))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.operators.inference import majority
+from graphspark.functions.answers import normalise
+from graphspark.operators.inference import majority, running_sums
 
 
 def _deg(node: Column) -> Column:
@@ -60,6 +64,7 @@ def theorems() -> dict[str, list[tuple[str, Column]]]:
             ("degree_zero_no_nodes", F.when(_deg(a) == 0, F.lit("No nodes"))),
             ("rwse_zero_no_nodes", F.when(rise(a), F.lit("No nodes"))),
             ("degree_peel", F.when(F.size("degree") == F.size("ns"), peeled_neighbours(F.map_keys("degree"), F.map_values("degree"), a))),
+            ("all_arm_reconstruction", F.when((F.size("degree") == F.size("ns")) & (F.size("rwse") > 0), reconstructed_neighbours(F.map_entries("degree"), F.map_entries("clustering"), F.map_entries("rwse"), a))),
         ],
         "cycle_check": [
             ("clustering_triangle", F.when(F.exists(F.map_values("clustering"), lambda c: c > 0), yes)),
@@ -93,43 +98,166 @@ def theorem_table(rows: DataFrame, task: str, gold: str = "gold") -> DataFrame:
     return out.groupBy(F.col("x.rule").alias("rule")).agg(F.count("x.answer").alias("fired"), F.sum(F.when(right, 1).otherwise(0)).alias("right"))
 
 
+def _peel(ns: Sequence[int], ds: Sequence[int], t: int) -> tuple[bool, list[int], list[int]]:
+    """(settled, joined, apart): what stated degrees alone force about the neighbours of ``t``.
+
+    Sorted by degree, the largest of what is left either joins all others or, if the smallest has
+    none, that one joins nobody; both ends close in until neither holds. Whoever is taken by then has
+    all its neighbours settled, and they are ``joined``; for one that is left, ``joined`` are the
+    neighbours and ``apart`` the others among the taken.
+    """
+    order = sorted(range(len(ns)), key=lambda i: (ds[i], -ns[i]))
+    lo, hi = 0, len(order) - 1
+    top: list[int] = []
+    free: list[int] = []
+    while lo <= hi:
+        if ds[order[hi]] - len(top) == hi - lo:
+            top.append(order[hi])
+            free.append(lo)
+            hi -= 1
+        elif ds[order[lo]] == len(top):
+            lo += 1
+        else:
+            break
+    place = {ns[i]: r for r, i in enumerate(order)}
+    if t not in place:
+        return False, [], []
+    if lo <= place[t] <= hi:
+        return False, [ns[i] for i in top], [ns[order[r]] for r in range(lo)]
+    if place[t] < lo:  # taken from the bottom: adjacent to those taken from the top before it
+        return True, sorted(ns[i] for i, at in zip(top, free) if at <= place[t]), []
+    at = free[[ns[i] for i in top].index(t)]  # taken from the top: to all but the bottom ones taken before
+    return True, sorted(ns[order[r]] for r in range(at, len(order)) if ns[order[r]] != t), []
+
+
+def _listed(nodes: Sequence[int]) -> str:
+    return ", ".join(map(str, sorted(nodes))) if len(nodes) else "No nodes"
+
+
 @F.pandas_udf(T.StringType())
 def peeled_neighbours(nodes: pd.Series, degree: pd.Series, target: pd.Series) -> pd.Series:
     """The neighbour list of a node that stated degrees alone force, else null.
 
-    ``nodes`` and ``degree`` are arrays side by side. Sorted by degree, the largest of what is left
-    either joins all others or, if the smallest has none, that one joins nobody; both ends close in
-    until neither holds, and whoever was taken by then has all its neighbours settled.
+    ``nodes`` and ``degree`` are arrays side by side.
     """
 
     def one(ns, ds, t) -> str | None:
         if ns is None or ds is None or t is None or len(ns) != len(ds):
             return None
-        order = sorted(range(len(ns)), key=lambda i: (ds[i], -ns[i]))
-        lo, hi, joined = 0, len(order) - 1, 0  # joined: nodes taken from the top, adjacent to all left
-        top: list[int] = []
-        free: list[int] = []
-        while lo <= hi:
-            if ds[order[hi]] - joined == hi - lo:
-                top.append(order[hi])
-                free.append(lo)
-                hi -= 1
-                joined += 1
-            elif ds[order[lo]] == joined:
-                lo += 1
+        settled, joined, _ = _peel(ns, ds, t)
+        return _listed(joined) if settled else None
+
+    return pd.Series([one(*row) for row in zip(nodes, degree, target)], dtype=object)
+
+
+def _fitting_sums(values: list[float], need: int, low: float, high: float) -> Iterator[list[int]]:
+    """Indices of the ``need`` values, sorted ascending, whose sum lies in [low, high]: a search that
+    leaves a branch as soon as its smallest or largest completion misses."""
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    n = len(values)
+    eps = 1e-12
+
+    def extend(start: int, left: int, so_far: float, taken: list[int]) -> Iterator[list[int]]:
+        if left == 0:
+            if low <= so_far <= high:
+                yield list(taken)
+            return
+        for i in range(start, n - left + 1):
+            least = so_far + total[i + left] - total[i]
+            if least > high + eps:
+                return
+            if so_far + values[i] + total[n] - total[n - left + 1] < low - eps:
+                continue
+            taken.append(i)
+            yield from extend(i + 1, left - 1, so_far + values[i], taken)
+            taken.pop()
+
+    return extend(0, need, 0.0, [])
+
+
+#: Half of the last printed decimal, with room for exact ties; candidate sets up to which a search is made.
+_HALF, _ROOM, CANDIDATES = 0.005, 1e-9, 400_000
+
+
+def _reconstructed(degree: dict[int, int], clustering: dict[int, float], back: dict[int, dict[int, float]], t: int) -> str | None:
+    """The one neighbour list of ``t`` that degrees, clustering and return probabilities leave."""
+    if t not in degree:
+        return None
+    settled, joined, apart = _peel(list(degree), list(degree.values()), t)
+    if settled:
+        return _listed(joined)
+    d, own = degree[t], back.get(t, {}).get(2)
+    if own is None or d == 0:
+        return None
+    free = sorted((v for v in degree if v != t and degree[v] > 0 and v not in joined and v not in apart), key=lambda v: (-degree[v], v))
+    need = d - len(joined)
+    if need < 0 or need > len(free) or math.comb(len(free), need) > CANDIDATES:
+        return None
+    # Two steps back: d times the probability is the sum of 1/degree over the neighbours.
+    inverse = {v: 1.0 / x for v, x in degree.items() if x > 0}
+    rest = d * own - sum(inverse[v] for v in joined)
+    room = _HALF * d + _ROOM
+
+    # What every other node's own sum leaves for a place among, or apart from, t's neighbours.
+    allowed: dict[int, tuple[bool, bool]] = {}
+    for j in degree:
+        said = back.get(j, {}).get(2)
+        if j == t or degree[j] == 0 or said is None:
+            continue
+        pool = sorted(x for v, x in inverse.items() if v not in (j, t))
+        fits = []
+        for beside in (True, False):
+            count = degree[j] - beside
+            if 0 <= count <= len(pool):
+                wanted = degree[j] * said - (inverse[t] if beside else 0.0)
+                slack = _HALF * degree[j] + _ROOM
+                fits.append(sum(pool[:count]) - slack <= wanted <= sum(pool[len(pool) - count :]) + slack)
             else:
-                break
-        place = {ns[i]: r for r, i in enumerate(order)}
-        if t not in place or lo <= place[t] <= hi:
+                fits.append(False)
+        allowed[j] = (fits[0], fits[1])
+
+    def closes(chosen: list[int]) -> bool:
+        """Clustering tells the edges among the neighbours, three steps back the sum of their products."""
+        c, three = clustering.get(t), back.get(t, {}).get(3)
+        if d < 2 or c is None or three is None:
+            return True
+        pairs = d * (d - 1) / 2
+        least, most = max(0, int((c - _HALF) * pairs - _ROOM + 1)), int((c + _HALF) * pairs + _ROOM)
+        if most < least:
+            least = most = round(c * pairs)
+        products = sorted(inverse[x] * inverse[y] for i, x in enumerate(chosen) for y in chosen[i + 1 :])
+        run = np.concatenate([[0.0], np.cumsum(products)])
+        slack, wanted = _HALF * d / 2 + _ROOM, d * three / 2
+        return any(run[k] - slack <= wanted <= run[-1] - run[len(products) - k] + slack for k in range(least, min(most, len(products)) + 1))
+
+    found: list[list[int]] = []
+    for picked in _fitting_sums([inverse[v] for v in free], need, rest - room, rest + room):
+        chosen = sorted([*joined, *(free[i] for i in picked)])
+        inside = set(chosen)
+        if closes(chosen) and all(ok[0] if j in inside else ok[1] for j, ok in allowed.items()):
+            found.append(chosen)
+            if len(found) > 1:
+                return None
+    return _listed(found[0]) if found else None
+
+
+@F.pandas_udf(T.StringType())
+def reconstructed_neighbours(degree: pd.Series, clustering: pd.Series, rwse: pd.Series, target: pd.Series) -> pd.Series:
+    """The neighbour list of a node that a whole primer leaves as the only one, else null.
+
+    The columns are entries of the parsed maps (arrays of key and value; rwse keys are ``node:steps``).
+    """
+
+    def one(ds, cs, rs, t) -> str | None:
+        if ds is None or not len(ds) or t is None or t != t:
             return None
-        if place[t] < lo:  # taken from the bottom: adjacent to those taken from the top before it
-            near = [ns[i] for i, at in zip(top, free) if at <= place[t]]
-        else:  # taken from the top: to all but the bottom ones taken before
-            at = free[[ns[i] for i in top].index(t)]
-            near = [ns[order[r]] for r in range(at, len(order)) if ns[order[r]] != t]
-        return ", ".join(map(str, sorted(near))) if near else "No nodes"
+        back: dict[int, dict[int, float]] = {}
+        for e in rs if rs is not None else ():
+            node, steps = e["key"].split(":")
+            back.setdefault(int(node), {})[int(steps)] = e["value"]
+        return _reconstructed({e["key"]: e["value"] for e in ds}, {e["key"]: e["value"] for e in cs if cs is not None}, back, int(t))
 
-    return pd.Series([one(*row) for row in zip(nodes, degree, target)], dtype=object)
+    return pd.Series([one(*row) for row in zip(degree, clustering, rwse, target)], dtype=object)
 
 
 def fit_lookup(fit: DataFrame, keys: Sequence[str], gold: str = "gold") -> DataFrame:
@@ -145,12 +273,11 @@ def apply_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> Data
 def fit_threshold(fit: DataFrame, feature: str, gold: str, yes: str = "Yes") -> DataFrame:
     """(threshold, above, hits, n): the split of a feature that answers best, the first of equals.
 
-    Rows meet by feature value first, so the cumulative sums run over distinct values.
+    Rows meet by feature value first, so the running sums go over distinct values, in bins side by side.
     """
-    values = fit.where(F.col(feature).isNotNull()).groupBy(F.col(feature).alias("x")).agg(F.sum((F.col(gold) == yes).cast("int")).alias("y"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    values = fit.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("double").alias("x")).agg(F.sum((F.col(gold) == yes).cast("int")).alias("y"), F.count(F.lit(1)).alias("n"))
     whole = values.agg(F.sum("y").alias("Y"), F.sum("n").alias("N"))
-    cum = values.select("x", F.coalesce(F.sum("y").over(w), F.lit(0)).alias("yb"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("nb")).crossJoin(F.broadcast(whole))
+    cum = running_sums(values, "x", {"yb": "y", "nb": "n"}).select("x", (F.col("yb") - F.col("y")).alias("yb"), (F.col("nb") - F.col("n")).alias("nb")).crossJoin(F.broadcast(whole))
     up = F.col("Y") - F.col("yb") + F.col("nb") - F.col("yb")
     both = cum.select(
         "x", F.explode(F.array(F.struct(F.lit(True).alias("above"), up.alias("hits")), F.struct(F.lit(False).alias("above"), (F.col("N") - up).alias("hits")))).alias("o"), "N"
@@ -165,6 +292,39 @@ def apply_threshold(rows: DataFrame, fitted: DataFrame, feature: str) -> DataFra
     return rows.crossJoin(f).withColumn("answer", F.when(F.col(feature).isNotNull(), said)).drop("threshold", "above", "hits", "n")
 
 
+def fit_cut(fit: DataFrame, feature: Column, gold: Column, yes: str = "Yes") -> float | None:
+    """The cut between two neighbouring values above which a Yes is right most often, the lowest of equals."""
+    rows = fit.select(feature.cast("double").alias("x"), (gold == yes).cast("int").alias("y")).where("x is not null")
+    values = rows.groupBy("x").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    # Right answers of a cut just above x: every No up to x, every Yes beyond.
+    cum = running_sums(values, "x", {"ys": "y", "ns": "n"}, following="next")
+    whole = F.broadcast(values.agg(F.sum("y").alias("Y")))
+    scored = cum.crossJoin(whole).select("x", "next", (F.col("ns") - F.col("ys") + F.col("Y") - F.col("ys")).alias("hits"))
+    best = scored.agg(
+        F.min_by((F.col("x") + F.col("next")) / 2, F.when(F.col("next").isNotNull(), F.struct(-F.col("hits"), F.col("x")))).alias("cut"), F.min("x").alias("only")
+    ).first()
+    return best.cut if best.cut is not None else best.only
+
+
+def fit_least_squares(fit: DataFrame, features: Sequence[Column], target: Column, least: int = 8) -> list[float] | None:
+    """Coefficients of a least-squares fit, from sums of products; null under ``least`` rows."""
+    xs = [f.cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    rows = fit.select(*xs, target.try_cast("double").alias("y")).dropna()
+    k = len(xs)
+    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i, k)] + [F.sum(F.col(f"x{i}") * F.col("y")) for i in range(k)]
+    got = rows.agg(F.count(F.lit(1)), *sums).first()
+    if got[0] < least:
+        return None
+    a, at = np.zeros((k, k)), 1
+    for i in range(k):
+        for j in range(i, k):
+            a[i, j] = a[j, i] = got[at]
+            at += 1
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))  # columns of one size, so that small ones count
+    solved = np.linalg.lstsq(a / np.outer(scale, scale), np.array(got[at:], float) / scale, rcond=None)[0] / scale
+    return [float(x) for x in solved]
+
+
 def fit_line(fit: DataFrame, x: str, y: str) -> DataFrame:
     """(slope, intercept, n) by least squares; null under 8 rows."""
     ok = F.count(F.lit(1)) >= 8
@@ -173,14 +333,183 @@ def fit_line(fit: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def solve(rows: DataFrame, task: str, fallback: DataFrame) -> DataFrame:
-    """``rows`` with ``solved``: theorems in order, then the majority answer of (task, answer)."""
+# --- fitted rules --------------------------------------------------------------------------------
+
+
+def _mean(values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda t, v: t + v) / F.size(values))
+
+
+def features() -> dict[str, Column]:
+    """What fitted rules read off a parsed primer; null where it is not stated or granted."""
+    a, b, n, m = F.col("a"), F.col("b"), _nodes_known(), _edges_known()
+    two = F.map_values(F.map_filter("rwse", lambda k, v: k.endswith(":2")))
+    pairs = n * (n - 1) / 2
+    clustered = _mean(F.map_values("clustering"))
+    return {
+        "components": F.col("components"),
+        "n": n,
+        "max_degree": F.when(F.size("degree") > 0, F.array_max(_degrees())),
+        "mean_clustering": clustered,
+        "mean_rwse2": _mean(two),
+        "chung_lu": F.when(m > 0, _deg(a) * _deg(b) / (2.0 * m)),
+        "degree_margin": _deg(a) + _deg(b) - (n - 1),
+        "walk2": 2.0 * m * _returns(a, 2),
+        "walk3": 2.0 * m * F.coalesce(_returns(a, 3), F.lit(0.0)),
+        "pairs": pairs,
+        "clustered_pairs": clustered * pairs,
+    }
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule with parameters: ``lookup`` (majority by ``reads``), ``cut`` (Yes above), ``line`` or ``sign``."""
+
+    name: str
+    task: str
+    how: str
+    reads: tuple[str, ...]
+    most: Callable[[], Column] = field(default=lambda: F.lit(float("inf")), compare=False)
+
+
+#: In the order of their names' fixed list; ``sign`` has nothing to fit.
+RULES = (
+    Rule("degree_sum_exceeds_n", "edge_existence", "sign", ("degree_margin",)),
+    Rule("cycle_lookup_c", "cycle_check", "lookup", ("components",)),
+    Rule("cycle_lookup_c_n", "cycle_check", "lookup", ("components", "n")),
+    Rule("node_count_from_max_degree", "node_count", "lookup", ("max_degree",)),
+    Rule("edge_existence_clustering_density", "edge_existence", "cut", ("mean_clustering",)),
+    Rule("edge_existence_rwse_density", "edge_existence", "cut", ("mean_rwse2",)),
+    Rule("edge_existence_chung_lu", "edge_existence", "cut", ("chung_lu",)),
+    Rule("node_degree_stationary", "node_degree", "line", ("walk2", "walk3"), lambda: F.coalesce(_nodes_known() - 1, F.lit(100))),
+    Rule("edge_count_from_clustering", "edge_count", "line", ("clustered_pairs", "pairs"), lambda: features()["pairs"]),
+)
+
+
+class Fitted:
+    """A rule with what its fitting rows taught it; ``answers`` adds its answer to rows."""
+
+    def __init__(self, rule: Rule, fit: DataFrame, gold: str = "gold") -> None:
+        self.rule = rule
+        read = features()
+        self.table: DataFrame | None = None
+        self.value: float | list[float] | None = None
+        if rule.how == "lookup":
+            keys = [read[r].alias(f"_{r}") for r in rule.reads]
+            rows = fit.select(*keys, F.col(gold)).dropna(subset=[f"_{r}" for r in rule.reads])
+            self.table = fit_lookup(rows, [f"_{r}" for r in rule.reads], gold)
+        elif rule.how == "cut":
+            self.value = fit_cut(fit, read[rule.reads[0]], F.col(gold))
+        elif rule.how == "line":
+            self.value = fit_least_squares(fit, [*(read[r] for r in rule.reads), F.lit(1.0)], F.col(gold))
+
+    def answers(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with the rule's answer as a column ``name``; null where it does not apply."""
+        rule, read = self.rule, features()
+        x = read[rule.reads[0]]
+        if rule.how == "lookup":
+            keys = [f"_{r}" for r in rule.reads]
+            keyed = rows.withColumns({k: read[r] for k, r in zip(keys, rule.reads)})
+            return keyed.join(self.table.select(*keys, F.col("answer").alias(name)), keys, "left").drop(*keys)
+        if rule.how == "sign":
+            return rows.withColumn(name, F.when(x.isNotNull(), F.when(x > 0, "Yes").otherwise("No")))
+        if self.value is None:
+            return rows.withColumn(name, F.lit(None).cast("string"))
+        if rule.how == "cut":
+            return rows.withColumn(name, F.when(x.isNotNull(), F.when(x > self.value, "Yes").otherwise("No")))
+        raw = sum((read[r] * c for r, c in zip(rule.reads, self.value)), F.lit(self.value[-1]))
+        bounded = F.least(F.greatest(raw, F.lit(0.0)), rule.most())
+        known = raw.isNotNull()
+        return rows.withColumn(name, F.when(known, F.bround(bounded).cast("long").cast("string")))
+
+
+def fit_rules(task: str, fit: DataFrame, gold: str = "gold") -> list[Fitted]:
+    """The task's rules fitted, best first: by accuracy where they answer, ties by name; silent ones last."""
+    fitted = [Fitted(r, fit, gold) for r in RULES if r.task == task]
+    if not fitted:
+        return []
+    rows = fit
+    for i, f in enumerate(fitted):
+        rows = f.answers(rows, f"_r{i}")
+    right = [F.avg((normalise(F.col(f"_r{i}")) == normalise(F.col(gold))).cast("double")) for i in range(len(fitted))]
+    got = rows.agg(*right).first()
+    order = sorted(range(len(fitted)), key=lambda i: (-(got[i] if got[i] is not None else -1.0), fitted[i].rule.name))
+    return [fitted[i] for i in order]
+
+
+def solve(rows: DataFrame, task: str, fallback: DataFrame, fitted: Sequence[Fitted] = ()) -> DataFrame:
+    """``rows`` with ``solved``: theorems in order, then fitted rules, then the majority answer."""
     said = apply_theorems(rows, task)
-    base = F.broadcast(fallback.select("answer"))
-    return said.crossJoin(base).withColumn("solved", F.coalesce("theorem_answer", "answer")).drop("answer")
+    for i, f in enumerate(fitted):
+        said = f.answers(said, f"_f{i}")
+    base = F.broadcast(fallback.select(F.col("answer").alias("_base")))
+    answer = F.coalesce("theorem_answer", *(f"_f{i}" for i in range(len(fitted))), "_base")
+    return said.join(base, how="left").withColumn("solved", answer).drop("_base", *(f"_f{i}" for i in range(len(fitted))))
+
+
+def score_cell(fit: DataFrame, test: DataFrame, task: str, gold: str = "gold") -> DataFrame:
+    """(rows, baseline_answer, baseline, shortcut) of one condition and task: parameters never see ``test``."""
+    base = majority(fit, [], gold, largest=True)
+    solved = solve(test, task, base, fit_rules(task, fit, gold))
+    out = solved.join(F.broadcast(base.select(F.col("answer").alias("_said"))), how="left")
+    hit = lambda c: F.avg((normalise(F.col(c)) == normalise(F.col(gold))).cast("double"))
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.max("_said").alias("baseline_answer"), hit("_said").alias("baseline"), hit("solved").alias("shortcut"))
+
+
+def rule_table(fit: DataFrame, test: DataFrame, task: str, gold: str = "gold") -> DataFrame:
+    """(rule, how, place, coverage, accuracy) of a task's fitted rules on held-out rows."""
+    fitted = fit_rules(task, fit, gold)
+    rows = test
+    for i, f in enumerate(fitted):
+        rows = f.answers(rows, f"_r{i}")
+    said = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(f.rule.name).alias("rule"), F.lit(f.rule.how).alias("how"), F.col(f"_r{i}").alias("answer")) for i, f in enumerate(fitted)))
+    out = rows.select(F.explode(said).alias("x"), F.col(gold).alias("gold")).select("x.*", "gold")
+    right = (normalise(F.col("answer")) == normalise(F.col("gold"))).cast("double")
+    return out.groupBy("place", "rule", "how").agg((F.count("answer") / F.count(F.lit(1))).alias("coverage"), F.avg(right).alias("accuracy"))
+
+
+def inflation(fit: DataFrame, test: DataFrame, task: str, gold: str = "gold") -> DataFrame:
+    """(rule, in_sample, out_of_sample): a rule's accuracy on ``test`` fitted there or on ``fit``.
+
+    Rows it says nothing about get the fitting rows' majority answer on both sides.
+    """
+    base = majority(fit, [], gold, largest=True)
+    rules = [r for r in RULES if r.task == task and r.how != "sign"]
+    rows = test.join(F.broadcast(base.select(F.col("answer").alias("_base"))), how="left")
+    for i, r in enumerate(rules):
+        rows = Fitted(r, test, gold).answers(Fitted(r, fit, gold).answers(rows, f"_o{i}"), f"_i{i}")
+    hit = lambda c: (normalise(F.coalesce(c, "_base")) == normalise(F.col(gold))).cast("double")
+    said = F.array(*(F.struct(F.lit(r.name).alias("rule"), hit(f"_i{i}").alias("i"), hit(f"_o{i}").alias("o")) for i, r in enumerate(rules)))
+    return rows.select(F.explode(said).alias("x")).groupBy(F.col("x.rule").alias("rule")).agg(F.avg("x.i").alias("in_sample"), F.avg("x.o").alias("out_of_sample"))
 
 
 def exact_island(graphs: DataFrame) -> DataFrame:
     """(graphs, classes, determined): labelled graphs, degree arrays, and those with one graph only."""
     per = graphs.groupBy("degrees").agg(F.count(F.lit(1)).alias("k"))
     return per.agg(F.sum("k").alias("graphs"), F.count(F.lit(1)).alias("classes"), F.sum((F.col("k") == 1).cast("int")).alias("determined"))
+
+
+def island_answers(graphs: DataFrame, answer: Column) -> DataFrame:
+    """(degrees, answer, k): how many labelled graphs of a degree array give each answer."""
+    return graphs.groupBy("degrees", answer.alias("answer")).agg(F.count(F.lit(1)).alias("k"))
+
+
+def island_bounds(answers: DataFrame) -> DataFrame:
+    """(rows, determined, bayes): over all labelled graphs, the share whose degrees leave one answer, and
+    the best expected accuracy of anyone who sees the degrees alone."""
+    per = answers.groupBy("degrees").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max("k").alias("best"))
+    return per.agg(
+        F.sum("n").alias("rows"), (F.sum(F.when(F.col("kinds") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("determined"), (F.sum("best") / F.sum("n")).alias("bayes")
+    )
+
+
+def island_posterior(answers: DataFrame, said: DataFrame) -> DataFrame:
+    """(rows, bayes, rule, worst_excess) of a rule's answers (degrees, said) held against the posterior.
+
+    A right rule never exceeds the best answer's share of the graphs that a degree array leaves.
+    """
+    both = answers.join(said, "degrees", "left")
+    per = both.groupBy("degrees").agg(F.sum("k").alias("n"), F.max("k").alias("best"), F.sum(F.when(F.col("said") == F.col("answer"), F.col("k")).otherwise(0)).alias("hit"))
+    return per.agg(
+        F.sum("n").alias("rows"), (F.sum("best") / F.sum("n")).alias("bayes"), (F.sum("hit") / F.sum("n")).alias("rule"), F.max((F.col("hit") - F.col("best")) / F.col("n")).alias("worst_excess")
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from graphspark.operators.encode import NAMES
+from graphspark.plans.study import MARKED, NODE_REFERENCE, NOT_A_NO, STRIPPED
+
 #: The graph collection of the order tables.
 GRAPHS = """
 bought AS (
@@ -82,20 +85,32 @@ resp AS (
     CAST(user_id % 20 AS VARCHAR) AS gold, event_id % 40 AS node, CAST(floor(value) AS BIGINT) AS v,
     event_id % 13 = 0 AS hit_cap, CAST(floor(value * 10) AS BIGINT) AS n_tokens
   FROM events
+), meant AS (
+  SELECT *, CASE WHEN v % 10 < 6 THEN CAST(gold AS BIGINT) ELSE CAST(gold AS BIGINT) + 1 + v % 3 END AS meant FROM resp
+), texts AS (
+  SELECT *, CASE event_id % 5 WHEN 0 THEN concat('The degree of node ', node, ' is **', meant, '**.')
+    WHEN 1 THEN concat('Node ', node, ' is connected to node 3.', chr(10), 'The answer is ', meant, '. This is because node 99 is far.')
+    WHEN 2 THEN concat('Final answer: ', meant) WHEN 3 THEN concat('I count ', meant, ' edges at node ', node, '.') ELSE concat('Answer: it is ', meant, '. Not ', meant + 7, '.') END AS response FROM meant
+), marks AS (
+  SELECT *, regexp_extract_all(response, '@MARK', 1) AS ms, regexp_extract_all(regexp_replace(response, '@NODE', ' ', 'g'), '-?[0-9]+') AS masked, regexp_extract_all(response, '-?[0-9]+') AS ints FROM texts
+), tails AS (SELECT *, @LAST AS tail, @FIRST AS head FROM marks), near AS (
+  SELECT *, regexp_extract_all(regexp_replace(regexp_extract(tail, '^[^.]*\\.?'), '@NODE', ' ', 'g'), '-?[0-9]+') AS nl, regexp_extract_all(regexp_replace(regexp_extract(head, '^[^.]*\\.?'), '@NODE', ' ', 'g'), '-?[0-9]+') AS nf FROM tails
 ), said AS (
-  SELECT *, CASE WHEN v % 10 < 6 THEN CAST(gold AS BIGINT) ELSE CAST(gold AS BIGINT) + 1 + v % 3 END AS said FROM resp
+  SELECT *, coalesce(CASE WHEN NOT ends_with(tail, ':') THEN nl[-1] END, masked[-1], ints[-1]) AS pred, coalesce(CASE WHEN NOT ends_with(head, ':') THEN nf[1] END, ints[1]) AS pred_first FROM near
 ), first AS (
   SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY arm, unit, condition ORDER BY event_id) = 1
 ), frame AS (
-  SELECT *, CAST(said AS VARCHAR) AS pred, CAST(CAST(said AS VARCHAR) = gold AS INTEGER) AS exact, CAST(abs(said - CAST(gold AS BIGINT)) AS INTEGER) AS abs_error,
-    CASE WHEN hit_cap THEN 'truncated' WHEN CAST(said AS VARCHAR) = gold THEN 'correct' ELSE 'wrong' END AS outcome,
-    CAST(NOT hit_cap AND CAST(said AS VARCHAR) = gold AS INTEGER) AS correct, CAST(hit_cap AS INTEGER) AS truncated FROM first
+  SELECT *, CAST(pred = gold AS INTEGER) AS exact, CAST(abs(CAST(pred AS BIGINT) - CAST(gold AS BIGINT)) AS INTEGER) AS abs_error,
+    CASE WHEN hit_cap THEN 'truncated' WHEN pred = gold THEN 'correct' ELSE 'wrong' END AS outcome,
+    CAST(NOT hit_cap AND pred = gold AS INTEGER) AS correct, CAST(hit_cap AS INTEGER) AS truncated FROM first
 ), pairs AS (
   SELECT a.arm, a.unit, b.condition, a.correct AS correct_a, b.correct AS correct_b, a.truncated AS truncated_a, b.truncated AS truncated_b
   FROM frame a JOIN frame b ON a.arm = b.arm AND a.unit = b.unit WHERE a.condition = 'none' AND b.condition <> 'none'
 )
 """
 
+FRAME = FRAME.replace("@MARK", MARKED).replace("@NODE", NODE_REFERENCE).replace("@LAST", STRIPPED.format("ms[-1]")).replace("@FIRST", STRIPPED.format("ms[1]"))
+
 _COUNTS = """count(*) AS n, avg(correct_a) AS share_a, avg(correct_b) AS share_b, 100 * (avg(correct_b) - avg(correct_a)) AS delta,
   CAST(sum(CASE WHEN correct_a = 1 AND correct_b = 0 THEN 1 ELSE 0 END) AS BIGINT) AS broke, CAST(sum(CASE WHEN correct_a = 0 AND correct_b = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fixed,
   100 * (avg(truncated_b) - avg(truncated_a)) AS d_truncated"""
@@ -203,7 +218,10 @@ SQL: dict[str, str] = {
     "primer_clustering": _on_graphs(_primer(f"'Node ' || node || ' has ' || {_CLUS} || '.'", "clus")),
     "primer_rwse": _on_graphs(_primer(f"'Node ' || node || ' has ' || {_RWSE} || '.'", "rw")),
     "primer_all": _on_graphs(_primer(f"'Node ' || node || ' has degree ' || degree || ', ' || {_CLUS} || ', and ' || {_RWSE} || '.'", "(SELECT * FROM clus JOIN rw USING (graph_id, node))")),
-    "primer_roundtrip_check": "SELECT 0::BIGINT AS graph_id, 0 AS node, 0 AS degree, 0 AS said WHERE false",
+    "primer_roundtrip_check": _on_graphs(
+        f""", p AS ({_primer("'Node ' || node || ' has degree ' || degree || '.'", "deg")}), r AS (SELECT graph_id, CAST(unnest(regexp_extract_all(primer, 'Node ([0-9]+) has degree ([0-9]+)', 1)) AS INTEGER) AS node, CAST(unnest(regexp_extract_all(primer, 'Node ([0-9]+) has degree ([0-9]+)', 2)) AS INTEGER) AS said FROM p)
+        SELECT coalesce(d.graph_id, r.graph_id) AS graph_id, coalesce(d.node, r.node) AS node, degree, said FROM deg d FULL JOIN r ON r.graph_id = d.graph_id AND r.node = d.node WHERE said IS NULL OR degree IS NULL OR said <> degree"""
+    ),
     "primer_parse_degree": _on_graphs("SELECT graph_id, CAST(count(*) AS INTEGER) AS n, CAST(sum(degree) AS INTEGER) AS degree_sum FROM deg GROUP BY ALL"),
     "prompt_stats": _on_graphs(
         f""", t AS (SELECT 'components' AS condition, length('This graph has ' || count(*) || ' connected component' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || '.') AS chars FROM labels WHERE node = component GROUP BY graph_id
@@ -238,9 +256,15 @@ SQL: dict[str, str] = {
           LEFT JOIN edges e ON e.graph_id = t.graph_id AND e.u = least(a, b) AND e.v = greatest(a, b)),
         maj AS (SELECT gold FROM ee GROUP BY gold ORDER BY count(*) DESC, gold DESC LIMIT 1)
         SELECT 'edge_existence' AS task, round(avg(CAST(coalesce(said, (SELECT gold FROM maj)) = gold AS INTEGER)), 9) AS bar, count(*) AS n FROM ee
-        UNION ALL SELECT 'edge_count', 1.0, count(*) FROM nn UNION ALL SELECT 'node_degree', 1.0, count(*) FROM nn"""
+        UNION ALL SELECT 'edge_count', round(avg(CAST(h = m AS INTEGER)), 9), count(*) FROM (SELECT graph_id, CAST(sum(degree) / 2 AS BIGINT) AS h FROM deg GROUP BY graph_id) JOIN (SELECT n.graph_id, count(e.u) AS m FROM nn n LEFT JOIN edges e USING (graph_id) GROUP BY n.graph_id) USING (graph_id)
+        UNION ALL SELECT 'node_degree', round(avg(CAST(degree = k AS INTEGER)), 9), count(*) FROM tg JOIN deg ON deg.graph_id = tg.graph_id AND deg.node = tg.a JOIN (SELECT t.graph_id, count(x.nbr) AS k FROM tg t LEFT JOIN arcs x ON x.graph_id = t.graph_id AND x.node = t.a GROUP BY t.graph_id) USING (graph_id)"""
     ),
-    "extract_integer": _on_frame("SELECT event_id, CAST(said AS VARCHAR) AS pred, CAST(said AS VARCHAR) AS pred_first FROM said"),
+    "extract_integer": _on_frame("SELECT event_id, pred, pred_first FROM said"),
+    "extract_boolean": rf"""
+        WITH t AS (SELECT conv_id, turn, concat(text, CASE turn % 3 WHEN 0 THEN ' Answer: Yes.' WHEN 1 THEN ' There are no nodes. So no' ELSE '' END) AS x FROM conversations),
+        m AS (SELECT *, {STRIPPED.format(f"regexp_extract_all(x, '{MARKED}', 1)[-1]")} AS tail FROM t),
+        w AS (SELECT *, coalesce(regexp_extract_all(regexp_replace(tail, '{NOT_A_NO}', ' ', 'g'), '(?i)\b(yes|no)\b', 1)[-1], regexp_extract_all(regexp_replace(x, '{NOT_A_NO}', ' ', 'g'), '(?i)\b(yes|no)\b', 1)[-1]) AS a FROM m)
+        SELECT conv_id, turn, upper(a[1]) || lower(a[2:]) AS answer FROM w""",
     "extract_node_list": _on_graphs("SELECT t.graph_id, coalesce(string_agg(CAST(nbr AS VARCHAR), ', ' ORDER BY nbr), 'No nodes') AS answer FROM tg t LEFT JOIN arcs x ON x.graph_id = t.graph_id AND x.node = a GROUP BY t.graph_id"),
     "score_set_f1": _on_graphs(
         """, na AS (SELECT t.graph_id, a, b, (SELECT count(*) FROM arcs x WHERE x.graph_id = t.graph_id AND x.node = a) AS p, (SELECT count(*) FROM arcs x WHERE x.graph_id = t.graph_id AND x.node = b) AS q,
@@ -305,10 +329,51 @@ SQL: dict[str, str] = {
     "slope_within_arm": _on_frame(
         ", d AS (SELECT n_tokens - avg(n_tokens) OVER (PARTITION BY arm) AS dx, correct - avg(correct) OVER (PARTITION BY arm) AS dy FROM frame) SELECT round(sum(dx * dy) / sum(dx * dx), 9) AS slope, count(*) AS n FROM d"
     ),
-    "route_classes": _on_frame("SELECT arm, CASE WHEN event_id % 5 = 1 THEN 'enumerate' ELSE 'assert' END AS route, count(*) AS n FROM resp GROUP BY ALL"),
+    "route_classes": _on_frame(
+        r"""SELECT arm, CASE WHEN NOT regexp_matches(response, concat('[Nn]ode ', node, '\**\s+is connected to|connected to (?:the following )?nodes|(?:nodes|edges) (?:directly )?connected to (?:\*\*)?node ', node, '\b,? (?:which|that) are')) THEN 'retrieve'
+        WHEN len(regexp_extract_all(response, '(?m)^\s*(?:[0-9]+\.|[-*])\s*\**[0-9]+\**\s*$')) >= 5 THEN 'enumerate' ELSE 'assert' END AS route, count(*) AS n FROM said GROUP BY ALL"""
+    ),
     "marker_shares": _on_frame(
-        "SELECT arm, CAST(sum(CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 3 THEN 1 ELSE 0 END) AS BIGINT) AS mentions, CAST(sum(CAST(event_id % 5 = 1 AS INTEGER)) AS BIGINT) AS neighbours, CAST(sum(CAST(event_id % 5 IN (1, 2, 4) AS INTEGER)) AS BIGINT) AS marked FROM resp GROUP BY ALL"
+        rf"""SELECT arm, CAST(sum(len(regexp_extract_all(response, '(?i)\bNode\s+[0-9]+'))) AS BIGINT) AS mentions,
+        CAST(sum(CAST(regexp_matches(response, '(?i)\baccording to\b|\bas (?:given|stated|listed|provided)\b|\bthe (?:list|description|primer) (?:says|states)\b') AS INTEGER)) AS BIGINT) AS neighbours,
+        CAST(sum(CAST(regexp_matches(response, '{MARKED}') AS INTEGER)) AS BIGINT) AS marked FROM said GROUP BY ALL"""
+    ),
+    "named_cycles": _on_graphs(
+        r""", t AS (SELECT graph_id, min([a, b, c]) AS t FROM tri GROUP BY graph_id), w AS (SELECT graph_id, regexp_extract_all(concat('Take ', t[1], ' -> ', t[2], ' -> ', t[3], ' -> ', t[1], ', a cycle.'), '[0-9]+(?:\s*->\s*[0-9]+){2,}')[1] AS walk FROM t),
+        s AS (SELECT graph_id, CAST(unnest(regexp_extract_all(walk, '[0-9]+')[:-2]) AS INTEGER) AS x, CAST(unnest(regexp_extract_all(walk, '[0-9]+')[2:]) AS INTEGER) AS y FROM w)
+        SELECT s.graph_id, count(*) AS steps, count(e.u) AS "real" FROM s LEFT JOIN edges e ON e.graph_id = s.graph_id AND e.u = least(x, y) AND e.v = greatest(x, y) GROUP BY s.graph_id"""
+    ),
+    "stated_edges": _on_frame(
+        r""", c AS (SELECT unnest(regexp_extract_all(response, '(?i)\bnode [0-9]+ is connected to node [0-9]+')) AS s FROM said), k AS (SELECT CAST(regexp_extract_all(s, '[0-9]+')[1] AS INTEGER) AS x, CAST(regexp_extract_all(s, '[0-9]+')[2] AS INTEGER) AS b FROM c)
+        SELECT b, count(*) AS n FROM k WHERE x <> b GROUP BY b"""
+    ),
+    "ngram_shifts": _on_frame(
+        r""", tok AS (SELECT event_id, arm, regexp_extract_all(regexp_replace(regexp_replace(lower(response), '[0-9]+\.[0-9]+', '<dec>', 'g'), '[0-9]+', '<num>', 'g'), '<dec>|<num>|[a-z]+|[+=→|/×*√]') AS w FROM said),
+        g AS (SELECT DISTINCT event_id, arm, concat(w[i], ' ', w[i + 1]) AS gram FROM (SELECT event_id, arm, w, unnest(range(1, len(w))) AS i FROM tok))
+        SELECT gram, count(*) FILTER (arm = 'm0') AS m0, count(*) FILTER (arm = 'm1') AS m1, count(*) FILTER (arm = 'm2') AS m2, count(*) FILTER (arm = 'm3') AS m3 FROM g GROUP BY gram"""
+    ),
+    "phrase_topk": r"""
+        WITH tok AS (SELECT conv_id, turn, row_number() OVER () AS r, regexp_extract_all(regexp_replace(regexp_replace(lower(text), '[0-9]+\.[0-9]+', '<dec>', 'g'), '[0-9]+', '<num>', 'g'), '<dec>|<num>|[a-z]+|[+=→|/×*√]') AS w FROM conversations),
+        g AS (SELECT DISTINCT r, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM tok))
+        SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 10""",
+    "friendship_text": _on_graphs(
+        f""", nm(node, name) AS (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(NAMES['popular'][:40]))}),
+        names AS (SELECT graph_id, list(name ORDER BY nodes.node) AS ns FROM nodes JOIN nm ON nm.node = nodes.node GROUP BY graph_id)
+        SELECT n.graph_id, 'G describes a friendship graph among nodes ' || {_JOINED} || '.' || chr(10) || CASE WHEN e.t IS NULL THEN '' ELSE 'We have the following edges in G:' || chr(10) || e.t END AS text
+        FROM names n LEFT JOIN (SELECT graph_id, string_agg(x.name || ' and ' || y.name || ' are friends.' || chr(10), '' ORDER BY u, v) AS t FROM edges JOIN nm x ON x.node = u JOIN nm y ON y.node = v GROUP BY graph_id) e USING (graph_id)"""
+    ),
+    "solver_theorems": _on_graphs(
+        """, nn AS (SELECT graph_id, count(*) AS n, CAST(sum(degree) / 2 AS BIGINT) AS m, count(*) FILTER (degree > 0) AS live, count(*) FILTER (degree >= 2) AS branching FROM deg GROUP BY graph_id),
+        full_ AS (SELECT graph_id, count(*) AS f FROM deg JOIN nn USING (graph_id) WHERE degree = n - 1 GROUP BY graph_id), comp AS (SELECT graph_id, count(*) AS c FROM labels WHERE node = component GROUP BY graph_id),
+        q AS (SELECT t.graph_id, n, m, live, branching, coalesce(f, 0) AS f, c, x.degree AS da, y.degree AS db, b, CASE WHEN e.u IS NULL THEN 'No' ELSE 'Yes' END AS edge FROM tg t JOIN nn USING (graph_id) JOIN comp USING (graph_id) LEFT JOIN full_ USING (graph_id)
+          JOIN deg x ON x.graph_id = t.graph_id AND x.node = a LEFT JOIN deg y ON y.graph_id = t.graph_id AND y.node = b LEFT JOIN edges e ON e.graph_id = t.graph_id AND e.u = least(a, b) AND e.v = greatest(a, b)),
+        r AS (SELECT 'edge_existence' AS task, 'degree_zero_no_edge' AS rule, CASE WHEN da = 0 OR db = 0 THEN 'No' END AS said, edge AS gold FROM q WHERE b IS NOT NULL
+          UNION ALL SELECT 'edge_existence', 'degree_full_edge', CASE WHEN da = n - 1 OR db = n - 1 THEN 'Yes' END, edge FROM q WHERE b IS NOT NULL
+          UNION ALL SELECT 'edge_existence', 'rwse_zero_no_edge', NULL, edge FROM q WHERE b IS NOT NULL
+          UNION ALL SELECT 'node_degree', 'stated_degree', CAST(da AS VARCHAR), CAST(da AS VARCHAR) FROM q UNION ALL SELECT 'node_degree', 'full_count', CASE WHEN f = n THEN CAST(n - 1 AS VARCHAR) END, CAST(da AS VARCHAR) FROM q
+          UNION ALL SELECT 'cycle_check', x.rule, CASE x.rule WHEN 'cycle_from_degrees' THEN CASE WHEN live > 0 AND m >= live THEN 'Yes' WHEN branching <= 2 THEN 'No' END WHEN 'edges_at_least_nodes' THEN CASE WHEN m >= n THEN 'Yes' END END,
+            CASE WHEN m - n + c > 0 THEN 'Yes' ELSE 'No' END FROM q, (VALUES ('clustering_triangle'), ('rwse_triangle'), ('circuit_rank'), ('edges_at_least_nodes'), ('cycle_from_degrees')) x(rule))
+        SELECT task, rule, count(said) AS fired, CAST(sum(CASE WHEN said = gold THEN 1 ELSE 0 END) AS BIGINT) AS "right" FROM r GROUP BY ALL""",
+        True,
     ),
-    "named_cycles": _on_graphs("SELECT graph_id, 3::BIGINT AS steps, 3::BIGINT AS real FROM tri GROUP BY graph_id"),
-    "stated_edges": _on_frame("SELECT 3 AS b, true AS stated, count(*) AS n FROM resp WHERE event_id % 5 = 1"),
 }

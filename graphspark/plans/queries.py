@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.functions import answers, detect, fmt, probability
+from graphspark.functions import answers, claims, detect, fmt, probability
 from graphspark.operators import encode, inference, primer, resample, solver, structure, tasks
 from graphspark.operators import rewire as rewiring
 from graphspark.sources import graphs
@@ -354,10 +354,10 @@ def extract_integer(spark, d):
 
 @query
 def extract_boolean(spark, d):
-    """Yes or no in turns of conversations, by role."""
+    """Yes or no in every turn of conversations, some of which are given one."""
     turns = _read(spark, d, "conversations")
     text = F.concat(F.col("text"), F.when(F.col("turn") % 3 == 0, " Answer: Yes.").when(F.col("turn") % 3 == 1, " There are no nodes. So no").otherwise(""))
-    return turns.select("role", answers.boolean_answer(text).alias("a")).groupBy("role", "a").agg(F.count(F.lit(1)).alias("n"))
+    return turns.select("conv_id", "turn", answers.boolean_answer(text).alias("answer"))
 
 
 @query
@@ -575,7 +575,7 @@ def route_classes(spark, d):
 
 @query
 def marker_shares(spark, d):
-    m = detect.marker_counts(F.col("response"))
+    m = detect.marker_counts(F.col("response"), F.lit(40))
     rows = responses(spark, d).select("arm", m.alias("m"), answers.has_marker(F.col("response")).alias("marked"))
     return rows.groupBy("arm").agg(F.sum("m.node_mentions").alias("mentions"), F.sum(F.col("m.neighbours").cast("int")).alias("neighbours"), F.sum(F.col("marked").cast("int")).alias("marked"))
 
@@ -611,8 +611,9 @@ def named_cycles(spark, d):
 
 @query
 def stated_edges(spark, d):
-    rows = responses(spark, d).select(F.explode(detect.edge_statements(F.col("response"))).alias("x"))
-    return rows.groupBy(F.col("x.b").alias("b"), F.col("x.stated").alias("stated")).agg(F.count(F.lit(1)).alias("n"))
+    """Edges that responses state, by the neighbour named."""
+    rows = responses(spark, d).select(F.explode(claims.statements("response")).alias("x"))
+    return rows.select(F.explode("x.nbrs").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

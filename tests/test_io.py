@@ -2,11 +2,18 @@ from __future__ import annotations
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from graphspark.operators.structure import degrees
 from graphspark.sources import io
 from graphspark.streaming import responses
 
 
+def ten(offset: int, length: int) -> list[dict]:
+    return [{"n": i} for i in range(offset, min(10, offset + length))]
+
+
 def fetch(offset: int, length: int) -> list[dict]:
     return [{"n": offset + i} for i in range(length)]
 
@@ -22,8 +29,16 @@ def _row(i, **more):
 def test_torn_lines_duplicates_and_resume(spark, tmp_path):
     _write(tmp_path / "a.jsonl", [_row(1), _row(1), _row(2)], torn='{"instance_id": "node_de')
     (tmp_path / "smoke-x.jsonl").write_text(json.dumps(_row(9)))
-    rows = io.read_runs(spark, str(tmp_path)).drop("file")
-    assert rows.count() == 3
+    with pytest.raises(Exception, match="malformed line"):
+        io.read_runs(spark, str(tmp_path)).collect()
+    assert io.read_finished(spark, str(tmp_path / "a.jsonl")).count() == 3
+    _write(tmp_path / "a.jsonl", [_row(1), _row(1), _row(2)])
+    rows = io.read_runs(spark, str(tmp_path)).drop("file", "rank")
+    assert rows.count() == 3 and io.one_row_a_key(rows, ["instance_id"]).count() == 2
+    assert io.read_runs(spark, str(tmp_path), tasks=["edge_count"]).count() == 0 and io.read_runs(spark, str(tmp_path), names="^b").count() == 0
+    clash = rows.unionByName(rows.withColumn("response", F.lit("other")))
+    with pytest.raises(Exception, match="conflicting rows"):
+        io.one_row_a_key(clash, ["instance_id"]).collect()
     assert io.conflicting_duplicates(rows, ["instance_id"]).count() == 0
     assert io.first_wins(rows, ["instance_id"], ["response"]).count() == 2
     prompts = spark.createDataFrame([(f"node_degree/{i}",) for i in range(4)], "instance_id string")
@@ -45,6 +60,26 @@ def test_paged_source_and_maps(spark, tmp_path):
     assert {r.key: r.value for r in io.read_map(spark, str(tmp_path / "bars.json")).collect()} == {"a/none": 0.5, "b/none": 1.0}
     reader = io._PagedReader({"total": "7", "page": "3", "fetch": "test_io:fetch"})
     assert [len(list(reader.read(p))) for p in reader.partitions()] == [3, 3, 1]
+    short = io._PagedReader({"page": "4", "fetch": "test_io:ten"})
+    assert [r[0] for p in short.partitions() for r in short.read(p)] == list(range(10))
+    few = io._PagedReader({"page": "4", "limit": "6", "fetch": "test_io:ten"})
+    assert len([r for p in few.partitions() for r in few.read(p)]) == 6
+
+
+def test_sinks_and_report_text(spark, tmp_path):
+    rows = spark.createDataFrame([("x", 0, "first 1"), ("x", 1, "more 2"), ("y", 2, "only 3")], "tag string, place int, line string")
+    io.write_json_lines(rows, str(tmp_path / "j"))
+    assert io.read_json_lines(spark, str(tmp_path / "j"), "tag string, place int, line string").count() == 3
+    io.write_csv(rows, str(tmp_path / "c"), bom=True)
+    assert io.read_csv(spark, str(tmp_path / "c"), "tag string, place int, line string", ["tag", "line"]).count() == 3
+    text = "\n".join(r.text for r in io.report_text(rows).orderBy("place").collect())
+    assert text == "[x] first 1\n  more 2\n[y] only 3"
+    back = io.report_blocks(spark.createDataFrame([(text,)], "value string"))
+    assert sorted((r.tag, r.place, r.line) for r in back.collect()) == [("x", 0, "first 1"), ("x", 1, "more 2"), ("y", 0, "only 3")]
+    assert io.tagged_path("a/b.csv", "got") == "a/b.got.csv" == io.tagged_path("a/b.got.csv", "got") and io.tagged_path("a.csv", "integer") == "a.csv"
+    body = io.latex_body(rows, ["tag", "line"], ["place"]).first().body
+    document = "% begin t\nold\n% end t\n"
+    assert body.startswith("x & first 1 \\\\") and io.is_stale(document, "t", body) and not io.is_stale(io.replace_body(document, "t", body), "t", body)
 
 
 def test_response_stream(spark, tmp_path):

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from graphspark.functions.fmt import join_phrases, two_decimals
 from graphspark.operators import encode, primer, structure, tasks
-from graphspark.operators.rewire import degree_changes, rewire
 from graphspark.sources import graphs
 
-#: Small graphs with known values: nodes, edges.
+#: Small graphs: nodes, edges. The last is a fixed value: one of its return probabilities is an exact
+#: tie of two decimals.
 GOLDEN = {
-    1: ([0, 1], [(0, 1)]),
-    2: ([0, 1, 2, 3, 4], [(0, 1), (0, 2), (2, 3), (2, 4)]),
-    3: ([0, 1, 2, 5], [(0, 1), (0, 2), (1, 2)]),
-    4: ([0, 1, 2, 3, 4, 5], [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)]),
+    1: ([3, 4], [(3, 4)]),
+    2: ([0, 1, 2, 3, 4, 5], [(0, 1), (1, 2), (1, 3), (3, 4), (3, 5)]),
+    3: ([1, 2, 3, 9], [(1, 2), (1, 3), (2, 3)]),
+    4: ([0, 1, 2, 3, 4, 5, 6], [(0, 1), (0, 2), (1, 2), (3, 4), (4, 5), (5, 6), (3, 6), (3, 5)]),
     5: (list(range(8)), [(0, 2), (0, 3), (0, 5), (1, 4), (1, 7), (2, 3), (2, 5), (3, 4), (3, 5), (3, 7)]),
 }
 
@@ -58,19 +58,19 @@ def test_components_distances_topology(golden):
     edges, nodes = golden
     assert {r.graph_id: r.n_components for r in structure.component_count(edges, nodes).collect()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 2}
     far = {(r.graph_id, r.src, r.dst): r.dist for r in structure.distances(edges, nodes).collect()}
-    assert far[2, 1, 4] == 3 and (4, 0, 3) not in far
+    assert far[2, 0, 4] == 3 and (4, 0, 3) not in far
     top = {r.graph_id: r for r in structure.topology(edges, nodes).collect()}
-    assert (top[4].n_triangles, top[4].largest_cc, top[3].n_edges) == (2, 3, 3)
+    assert (top[4].n_triangles, top[4].largest_cc, top[3].n_edges) == (3, 4, 3)
 
 
 def test_primer_texts_round_trip(golden):
     edges, nodes = golden
     text = {r.graph_id: r.primer for r in primer.render(edges, nodes, "all").collect()}
-    assert text[1].startswith("Node 0 has degree 1, clustering coefficient 0.00, and return probability 1.00 after 2 steps and 0.00 after 3 steps.")
+    assert text[1].startswith("Node 3 has degree 1, clustering coefficient 0.00, and return probability 1.00 after 2 steps and 0.00 after 3 steps.")
     assert {r.graph_id: r.primer for r in primer.render(edges, nodes, "components").collect()}[3] == "This graph has 2 connected components."
     parsed = {r.graph_id: r for r in primer.parse(primer.render(edges, nodes, "all")).collect()}
     assert parsed[5].clustering[3] == 0.3 and parsed[5].rwse["3:2"] == 0.4 and parsed[5].degree[3] == 5
-    assert parsed[3].ns == [0, 1, 2, 5]
+    assert parsed[3].ns == [1, 2, 3, 9]
 
 
 def test_primer_parse_is_strict(spark):
@@ -127,15 +127,6 @@ def test_gold_answers_against_brute_force(spark, seed):
                 assert rows["shortest_path"][r.graph_id].gold == str(seen[r.b])
 
 
-def test_rewiring_keeps_degrees_and_moves_triangles(spark):
-    keys = graphs.sweep_keys(spark, (14,), (0.4,), 4, seed=3)
-    edges, nodes = graphs.generate(spark, keys)
-    low, high = (rewire(edges, nodes, up) for up in (False, True))
-    assert degree_changes(edges, low, nodes).count() == 0 and degree_changes(edges, high, nodes).count() == 0
-    total = lambda e: structure.triangle_count(e, nodes).agg(F.sum("n_triangles")).first()[0]
-    assert total(low) < total(edges) < total(high)
-
-
 def test_max_flow_and_formatting(spark):
     arcs = spark.createDataFrame([(1, 0, 1, 3), (1, 1, 2, 2), (1, 0, 2, 4)], "graph_id long, u int, v int, weight int")
     asked = spark.createDataFrame([(1, 0, 2), (1, 0, 9)], "graph_id long, src int, dst int")
