@@ -212,5 +212,5 @@ def example_sets(edges: DataFrame, nodes: DataFrame, names: list[str], encoders:
 
 def task_accuracy(rows: DataFrame, group: list[str]) -> DataFrame:
     """(group, n, accuracy): the share of answers that open with the expected one, case aside."""
-    hit = F.lower(F.trim("prediction")).startswith(F.lower(F.rtrim(F.lit("."), F.trim("answer"))))
+    hit = F.lower(F.trim("prediction")).startswith(F.lower(F.rtrim(F.trim("answer"), F.lit("."))))
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("accuracy"))

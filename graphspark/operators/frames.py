@@ -239,4 +239,4 @@ def balanced_pick(rows: DataFrame, factors: Sequence[str], k: int, key: str) ->
                 u[pdf.at[i, f]] = u.get(pdf.at[i, f], 0) + 1
         return pdf.loc[taken]
 
-    return few.groupBy(F.lit(0)).applyInPandas(choose, few.schema)
+    return few.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: choose(pdf.drop(columns="_all")), few.schema)

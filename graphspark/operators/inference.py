@@ -187,12 +187,12 @@ def running_sums(rows: DataFrame, order: str, sums: dict[str, str], group: Seque
 
     Rows of equal ``order`` must not share a group. Values are dealt into bins at approximate
     percentiles, summed within a bin, and begin at what earlier bins hold, so that no task sorts all
-    rows of a group. ``following`` names the next row's ``order``, null for the last.
+    rows of a group. Group columns must not be null. ``following`` names the next row's ``order``, null for the last.
     """
     part = list(group)
-    edges = rows.groupBy(*part).agg(F.percentile_approx(order, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_edges"))
+    edges = rows.groupBy(*part).agg(F.percentile_approx(order, F.array(*(F.lit(i / bins) for i in range(1, max(bins, 2))))).alias("_edges"))
     binned = rows.join(F.broadcast(edges), part or None, "inner") if part else rows.crossJoin(F.broadcast(edges))
-    binned = binned.withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    binned = binned.withColumn("_bin", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(order))), F.lit(0))).drop("_edges")
     totals = binned.groupBy(*part, "_bin").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()), F.min(order).alias("_low"))
     before = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     start = totals.select(

@@ -275,7 +275,7 @@ def fit_threshold(fit: DataFrame, feature: str, gold: str, yes: str = "Yes") ->
 
     Rows meet by feature value first, so the running sums go over distinct values, in bins side by side.
     """
-    values = fit.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("double").alias("x")).agg(F.sum((F.col(gold) == yes).cast("int")).alias("y"), F.count(F.lit(1)).alias("n"))
+    values = fit.where(F.col(feature).isNotNull()).groupBy(F.col(feature).alias("x")).agg(F.sum((F.col(gold) == yes).cast("int")).alias("y"), F.count(F.lit(1)).alias("n"))
     whole = values.agg(F.sum("y").alias("Y"), F.sum("n").alias("N"))
     cum = running_sums(values, "x", {"yb": "y", "nb": "n"}).select("x", (F.col("yb") - F.col("y")).alias("yb"), (F.col("nb") - F.col("n")).alias("nb")).crossJoin(F.broadcast(whole))
     up = F.col("Y") - F.col("yb") + F.col("nb") - F.col("yb")
@@ -298,8 +298,8 @@ def fit_cut(fit: DataFrame, feature: Column, gold: Column, yes: str = "Yes") ->
     values = rows.groupBy("x").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
     # Right answers of a cut just above x: every No up to x, every Yes beyond.
     cum = running_sums(values, "x", {"ys": "y", "ns": "n"}, following="next")
-    whole = F.broadcast(values.agg(F.sum("y").alias("Y")))
-    scored = cum.crossJoin(whole).select("x", "next", (F.col("ns") - F.col("ys") + F.col("Y") - F.col("ys")).alias("hits"))
+    whole = F.broadcast(values.agg(F.sum("y").alias("total")))
+    scored = cum.crossJoin(whole).select("x", "next", (F.col("ns") - F.col("ys") + F.col("total") - F.col("ys")).alias("hits"))
     best = scored.agg(
         F.min_by((F.col("x") + F.col("next")) / 2, F.when(F.col("next").isNotNull(), F.struct(-F.col("hits"), F.col("x")))).alias("cut"), F.min("x").alias("only")
     ).first()

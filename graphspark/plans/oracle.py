@@ -257,7 +257,7 @@ SQL: dict[str, str] = {
         maj AS (SELECT gold FROM ee GROUP BY gold ORDER BY count(*) DESC, gold DESC LIMIT 1)
         SELECT 'edge_existence' AS task, round(avg(CAST(coalesce(said, (SELECT gold FROM maj)) = gold AS INTEGER)), 9) AS bar, count(*) AS n FROM ee
         UNION ALL SELECT 'edge_count', round(avg(CAST(h = m AS INTEGER)), 9), count(*) FROM (SELECT graph_id, CAST(sum(degree) / 2 AS BIGINT) AS h FROM deg GROUP BY graph_id) JOIN (SELECT n.graph_id, count(e.u) AS m FROM nn n LEFT JOIN edges e USING (graph_id) GROUP BY n.graph_id) USING (graph_id)
-        UNION ALL SELECT 'node_degree', round(avg(CAST(degree = k AS INTEGER)), 9), count(*) FROM tg JOIN deg ON deg.graph_id = tg.graph_id AND deg.node = tg.a JOIN (SELECT t.graph_id, count(x.nbr) AS k FROM tg t LEFT JOIN arcs x ON x.graph_id = t.graph_id AND x.node = t.a GROUP BY t.graph_id) USING (graph_id)"""
+        UNION ALL SELECT 'node_degree', round(avg(CAST(degree = k AS INTEGER)), 9), count(*) FROM tg JOIN deg ON deg.graph_id = tg.graph_id AND deg.node = tg.a JOIN (SELECT t.graph_id AS g, count(x.nbr) AS k FROM tg t LEFT JOIN arcs x ON x.graph_id = t.graph_id AND x.node = t.a GROUP BY t.graph_id) ON g = tg.graph_id"""
     ),
     "extract_integer": _on_frame("SELECT event_id, pred, pred_first FROM said"),
     "extract_boolean": rf"""

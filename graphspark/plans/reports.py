@@ -43,7 +43,8 @@ def report(body: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[fn.__name__] = fn
         if body is not None:
-            SQL[fn.__name__] = f"{_WITH} {body}"
+            # Spark's rounding has no negative zero.
+            SQL[fn.__name__] = f"{_WITH} {body}".replace(" round(", " 0.0 + round(")
         return fn
 
     return add
@@ -73,13 +74,14 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 # --- the frame --------------------------------------------------------------------------------
 
 
-@report("SELECT event_id, arm, task, condition, density, graph_id, pred, exact, round(f1, 9) AS f1, abs_error, signed_error, parsed, outcome, gold_is_yes, uses_degree_sum, narrates_neighbors, n_node_mentions, resp_chars, target_degree, n_nodes, n_edges FROM frame")
+@report("SELECT event_id, arm, task, condition, density, graph_id, pred, exact, round(f1, 9) AS f1, coalesce(abs_error, -1) AS abs_error, coalesce(signed_error, 0) AS signed_error, parsed, outcome, coalesce(gold_is_yes, -1) AS gold_is_yes, uses_degree_sum, narrates_neighbors, n_node_mentions, resp_chars, target_degree, n_nodes, n_edges FROM frame")
 def frame_main(spark, d):
     """Scored responses of all tasks with the facts of their graphs."""
     rows = study.frame(spark, d).select(
         "event_id", "arm", "task", "condition", "density", "graph_id", "pred", "exact", "f1", "abs_error", "signed_error", "parsed", "outcome", "gold_is_yes", "uses_degree_sum", "narrates_neighbors",
         "n_node_mentions", "resp_chars", "target_degree", "n_nodes", "n_edges",
     )
+    rows = rows.withColumns({"abs_error": F.coalesce("abs_error", F.lit(-1)), "signed_error": F.coalesce("signed_error", F.lit(0)), "gold_is_yes": F.coalesce("gold_is_yes", F.lit(-1))})
     return _round(rows, "f1")
 
 
@@ -139,8 +141,8 @@ def report_splithalf(spark, d):
 @report(
     _FOLDS
     + """, routes AS (SELECT * FROM points WHERE ((task = 'node_degree' AND condition IN ('degree', 'all', 'rwse')) OR (task = 'edge_count' AND condition IN ('degree', 'all'))) AND baseline IS NOT NULL AND delta IS NOT NULL),
-  both AS (SELECT task, baseline, delta FROM routes UNION ALL SELECT 'pooled', baseline, delta FROM routes)
-  SELECT task, count(*) AS points, round(corr(baseline, delta), 9) AS r, round(regr_slope(delta, baseline), 6) AS slope FROM both GROUP BY task"""
+  pooled AS (SELECT task, baseline, delta FROM routes UNION ALL SELECT 'pooled', baseline, delta FROM routes)
+  SELECT task, count(*) AS points, round(corr(baseline, delta), 9) AS r, round(regr_slope(delta, baseline), 6) AS slope FROM pooled GROUP BY task"""
 )
 def report_lcross(spark, d):
     """Cross-fitted baseline against effect on cells whose primer gives a route."""
@@ -546,10 +548,10 @@ def report_pdsource(spark, d):
     return rows.select("arm", "condition", kind.alias("source")).groupBy("arm", "condition", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@report(f", e AS (SELECT condition, density, {_EFF} FROM paired GROUP BY GROUPING SETS ((condition, density), (condition))) SELECT condition, density, n, round(delta, 9) AS delta, broke, fixed, round({_P}, 9) AS p FROM e")
+@report(f", e AS (SELECT condition, density, {_EFF} FROM paired GROUP BY GROUPING SETS ((condition, density), (condition))) SELECT condition, coalesce(density, 0) AS density, n, round(delta, 9) AS delta, broke, fixed, round({_P}, 9) AS p FROM e")
 def report_levels(spark, d):
-    """Effects by density and pooled."""
-    return _round(reports.levels(_pairs(spark, d)), "delta", "p")
+    """Effects by density, and pooled as density 0."""
+    return _round(reports.levels(_pairs(spark, d)).withColumn("density", F.coalesce("density", F.lit(0))), "delta", "p")
 
 
 @report(_CELLS + " SELECT arm, task, condition, round(regr_slope(delta, density / 100.0), 6) AS slope, round(var_pop(delta), 6) AS \"between\", count(*) AS levels FROM cells GROUP BY ALL HAVING count(*) >= 2")
@@ -640,7 +642,7 @@ def retrieval_probe(spark, d):
 
 
 def _known_contexts(spark: SparkSession, d: str, task: str) -> DataFrame:
-    """Contexts with the statistics that a primer states, as parsed, folds by parity."""
+    """Contexts with the statistics that a primer states, as parsed, folds by parity; kept, as fits read them often."""
     from graphspark.operators import primer
 
     edges, nodes = graphs.order_graphs(spark, d)
@@ -648,7 +650,7 @@ def _known_contexts(spark: SparkSession, d: str, task: str) -> DataFrame:
     gold = tasks.gold(task, edges, nodes, asked).select("graph_id", "a", "b", F.substring_index("gold", ",", 1 if task == "cycle_check" else -1).alias("gold"))
     parsed = primer.parse(primer.render(edges, nodes, "all"))
     rows = parsed.join(gold, "graph_id").where("b is not null").withColumn("m", F.lit(None).cast("int")).withColumn("fold", F.col("graph_id") % 2)
-    return rows.withColumn("n", F.size("ns").cast("int"))
+    return rows.withColumn("n", F.size("ns").cast("int")).persist()
 
 
 def solver_ranked(spark, d):
