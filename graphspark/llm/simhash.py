@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import islice, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from graphspark.llm.components import connected_components
 
 #: Shingles whose bits are counted at a time, so that a very long text needs bounded memory.
 _BLOCK = 1 << 16
+#: Spread fingerprints that a shard may hold on average before keys take more bits.
+SHARD_GOAL = 256
 #: Parts of a text's shingles in ``minhashes``, and deviations below a similarity at which an estimate gives up.
 BINS, DOUBT = 128, 3.5
 
@@ -44,7 +46,10 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id long, fp long): the SimHash of every text, as a signed 64-bit integer."""
+    """(doc_id long, fp long): the SimHash of every text, as a signed 64-bit integer.
+
+    Null and empty texts have 0; null ids and repeated rows stay, other columns are ignored.
+    """
 
     def run(batches):
         for batch in batches:
@@ -98,23 +103,28 @@ class BKTree:
         return found
 
 
+def _masks(count: int, radius: int) -> list[int]:
+    """The bits that make a shard's key, one mask a way to choose them.
+
+    Of ``radius + agree`` blocks two fingerprints within ``radius`` bits share ``agree``; every choice
+    of so many is a key. As many are taken as keep shards of ``count`` spread fingerprints small.
+    """
+    for agree in range(1, 5):
+        cuts = np.linspace(0, 64, radius + agree + 1).astype(int).tolist()
+        if count <= SHARD_GOAL << 64 * agree // (radius + agree):
+            break
+    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts[:-1], cuts[1:])]
+    return [sum(chosen) for chosen in combinations(blocks, agree)]
+
+
 def _cells(nodes: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     """Route every distinct fingerprint to the shards it has to be compared in.
 
-    Two fingerprints at most ``radius`` bits apart agree on one of ``radius + 1`` bit ranges. Each
-    (range, value) is a shard; one with more than ``shard_rows`` members is dealt into parts, and
-    its members meet in one cell for each pair of parts.
+    A shard is the value of some bits, as ``_masks`` chooses them; one with more than ``shard_rows``
+    members is dealt into parts, and its members meet in one cell for each pair of parts.
     """
-    bands = radius + 1
-    width = 64 // bands
-    mask = (1 << width) - 1
-    keys = [
-        F.struct(
-            F.lit(i).alias("band"),
-            F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask if i < bands - 1 else (1 << (64 - i * width)) - 1)).alias("value"),
-        )
-        for i in range(bands)
-    ]
+    signed = [int(np.array([m], np.uint64).view(np.int64)[0]) for m in _masks(nodes.count(), radius)]
+    keys = [F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)]
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("k")).select("node", "fp", "k.band", "k.value")
     large = (
         rows.groupBy("band", "value")
@@ -299,8 +309,38 @@ def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, **sea
     return found.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
+def _links_of(p: list[int], q: list[int], part: list[int], texts: pa.ChunkedArray, width: int, similarity: float) -> list[tuple[int, int]]:
+    """Those of the pairs (p, q) that are similar and not connected already, by their parts or by earlier ones."""
+    sets: dict[int, set] = {}
+
+    def shingles(i: int) -> set:
+        if i not in sets:
+            sets[i] = _shingle_set(texts[i].as_py(), width)
+        return sets[i]
+
+    forest, out = Forest(), []
+    for i, j in zip(p, q):
+        if forest.find(part[i]) == forest.find(part[j]):
+            continue
+        a, b = shingles(i), shingles(j)
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+            continue
+        both = len(a & b)
+        if both / (len(a) + len(b) - both) >= similarity:
+            forest.join(part[i], part[j])
+            out.append((i, j))
+    return out
+
+
 def _marked(
-    docs: DataFrame, width: int, similarity: float, radius: int = 26, differ: float = 0.1, miss: float = 0.005, shard_rows: int = 65536
+    docs: DataFrame,
+    width: int,
+    similarity: float,
+    radius: int = 26,
+    differ: float = 0.1,
+    miss: float = 0.005,
+    shard_rows: int = 65536,
+    shard_chars: int = 1 << 27,
 ) -> DataFrame:
     """(doc_id, key1, key2, component_id, kept) for every row of ``docs``.
 
@@ -310,17 +350,18 @@ def _marked(
     a table's bucket holds about one unrelated text and all tables together miss a pair with a
     chance of about ``miss``, are the shards. In each a BK-tree of leaders, those in the middle of the
     shard first, takes what lies within ``radius`` bits of one as that leader's candidate, and the
-    rest as leaders, so a group gives rows in proportion to its members. A bucket of more than ``shard_rows`` is dealt into parts, any two
-    of which meet. Candidates are then compared exactly. Where a bucket's members are in several
-    components after that, all its pairs of different components within ``radius`` are compared too, by
-    MinHashes of their shingles; those that may be similar (an estimate no more than DOUBT deviations
-    below) are compared exactly, so that of followers a pair in thousands is lost, and rows are made
-    only of texts that are alike. Texts of the same words are one class, a node of the graph.
+    rest as leaders, so a group gives rows in proportion to its members. A bucket of more than ``shard_rows`` members or
+    ``shard_chars`` of text is dealt into parts, any two of which meet. Candidates are then compared
+    exactly. Where a bucket's members are in several components after that, their texts come to it,
+    and all its pairs of different components within ``radius`` are compared there, by MinHashes of
+    their shingles first; those that may be similar (an estimate no more than DOUBT deviations below)
+    exactly, the likeliest first and none that others connect. So of followers a pair in thousands is
+    lost, and a bucket gives no more links than members. Texts of the same words are one class, a node of the graph.
     ``kept`` marks the row of each component that has the smallest id, of several the smallest text
     hash (``key1``, ``key2``); rows equal in both are marked alike.
     """
     texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), "text")
-    source = texts_of.withColumn("text", F.col("text").cast("binary"))
+    source = texts_of.withColumn("size", F.coalesce(F.length("text"), F.lit(0))).withColumn("text", F.col("text").cast("binary"))
 
     def run(batches):
         for batch in batches:
@@ -329,29 +370,32 @@ def _marked(
             f0, f1 = (pa.array(data[:, i].astype(np.int64)) for i in (0, 1))
             same = pa.array([xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts], pa.binary())
             small, filled = zip(*(minhashes(t, width) for t in texts)) if texts else ((), ())
-            kept = [batch.column(c) for c in ("doc_id", "key1", "key2")]
+            names = ["doc_id", "key1", "key2", "size"]
+            kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*kept, f0, f1, same, pa.array(small, pa.binary()), pa.array(filled, pa.int32())], ["doc_id", "key1", "key2", "f0", "f1", "same", "small", "filled"]
+                [*kept, f0, f1, same, pa.array(small, pa.binary()), pa.array(filled, pa.int32())], [*names, "f0", "f1", "same", "small", "filled"]
             )
 
-    fps = cut(source.mapInArrow(in_worker("simhash", run), "doc_id long, key1 long, key2 long, f0 long, f1 long, same binary, small binary, filled int"))
+    fps = cut(source.mapInArrow(in_worker("simhash", run), "doc_id long, key1 long, key2 long, size int, f0 long, f1 long, same binary, small binary, filled int"))
     whose = F.struct("doc_id", "key1", "key2")
-    nodes = fps.where("doc_id is not null").groupBy("same", "f0", "f1").agg(F.min(whose).alias("first"), F.min("small").alias("small"), F.min("filled").alias("filled"))
+    nodes = fps.where("doc_id is not null").groupBy("same", "f0", "f1").agg(F.min(whose).alias("first"), F.min("small").alias("small"), F.min("filled").alias("filled"), F.max("size").alias("size"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     bits, tables = _tables(nodes.count(), differ, miss)
     rng = np.random.default_rng(17)
-    keys = []
+    masks = np.zeros((tables, 2), np.uint64)
     for t in range(tables):
-        chosen = rng.choice(128, bits, replace=False)
-        masks = [int(np.array([sum(1 << int(b) % 64 for b in chosen if b // 64 == half)], np.uint64).view(np.int64)[0]) for half in (0, 1)]
-        keys.append(F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(masks[0])), F.col("f1").bitwiseAND(F.lit(masks[1]))))
-    routed = nodes.select("node", "f0", "f1", F.posexplode(F.array(*keys)).alias("table", "key"))
-    shared = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parted = routed.join(shared, "key").withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
+        for b in rng.choice(128, bits, replace=False):
+            masks[t, b // 64] |= np.uint64(1) << np.uint64(b % 64)
+    signed = masks.view(np.int64).tolist()
+    keys = [F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(m[0])), F.col("f1").bitwiseAND(F.lit(m[1]))) for t, m in enumerate(signed)]
+    routed = nodes.select("node", "f0", "f1", "size", F.posexplode(F.array(*keys)).alias("table", "key"))
+    shared = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).where("n > 1")
+    parts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("chars") / shard_chars))).cast("int")
+    parted = routed.join(shared.select("key", parts.alias("parts")), "key")
     parted = parted.withColumn("own", F.pmod(F.xxhash64("table", "node"), F.col("parts")).cast("int"))
     # A part alone meets itself; of several, any two meet.
-    parted = parted.withColumn("other", F.explode(F.expr("if(parts = 1, array(0), filter(sequence(0, parts - 1), x -> x <> own))")))
-    cells = parted.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "f0", "f1")
+    parted = parted.withColumn("other", F.explode(F.expr("if(parts <= 1, array(0), filter(sequence(0, parts - 1), x -> x <> own))")))
+    cells = parted.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "table", "node", "f0", "f1")
 
     cells = cut(cells)
 
@@ -377,25 +421,39 @@ def _marked(
 
     def others(batches):
         for _, group in sorted_groups(batches, "cell"):
-            _, code, size = np.unique(group.column("part").to_numpy(), return_inverse=True, return_counts=True)
-            if len(size) == 1:
-                continue
+            part = group.column("part").to_numpy()
+            _, code, size = np.unique(part, return_inverse=True, return_counts=True)
             # The largest component asks no one: each pair comes from its smaller side.
             rank = np.argsort(np.argsort(-size, kind="stable"), kind="stable")[code]
-            node, filled = group.column("node").to_numpy(), group.column("filled").to_numpy()
+            filled = group.column("filled").to_numpy()
             bits = np.stack([group.column(c).to_numpy() for c in ("f0", "f1")], 1).view(np.uint64)
             small = np.frombuffer(b"".join(group.column("small").to_pylist()), np.uint8).reshape(-1, BINS)
+            earlier = masks[: group.column("table")[0].as_py()]
             asking = np.flatnonzero(rank > 0)
-            step = max(1, (1 << 21) // len(node))
+            step = max(1, (1 << 21) // len(part))
+            found = []
             for lo in range(0, len(asking), step):
                 own = asking[lo : lo + step]
                 far = np.bitwise_count(bits[own][:, None, :] ^ bits[None, :, :]).sum(2)
                 i, j = np.nonzero((far <= radius) & (rank[None, :] < rank[own][:, None]))
                 for at in range(0, len(i), 1 << 17):
                     p, q = own[i[at : at + (1 << 17)]], j[at : at + (1 << 17)]
-                    least = similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / np.minimum(filled[p], filled[q]))
-                    keep = (small[p] == small[q]).mean(1) >= least
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(node[p[keep]]), "b": pa.array(node[q[keep]])})
+                    alike = (small[p] == small[q]).mean(1)
+                    keep = alike >= similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / np.minimum(filled[p], filled[q]))
+                    p, q, alike = p[keep], q[keep], alike[keep]
+                    # The first table in which a pair meets answers for it.
+                    differ = bits[p] ^ bits[q]
+                    new = np.ones(len(p), bool)
+                    for mask in earlier:
+                        new &= (differ & mask).any(1)
+                    found.append((p[new], q[new], alike[new]))
+            if found:
+                p, q, alike = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(-alike, kind="stable")
+                linked = _links_of(p[order].tolist(), q[order].tolist(), part.tolist(), group.column("text"), width, similarity)
+                a, b = zip(*linked) if linked else ((), ())
+                node = group.column("node")
+                yield pa.RecordBatch.from_arrays([pa.array([node[i].as_py() for i in x], pa.int64()) for x in (a, b)], ["a", "b"])
 
     def verify(batches):
         for batch in batches:
@@ -422,11 +480,14 @@ def _marked(
     linked = compared(first)
     # Where nobody has a leader, all are leaders, and no two of them are near.
     led = cells.join(met.select("cell").distinct(), "cell", "left_semi")
-    named = led.join(connected_components(linked), "node", "left").join(nodes.select("node", "small", "filled"), "node")
-    named = named.select("cell", "node", "f0", "f1", F.coalesce("component", "node").alias("part"), "small", "filled")
-    second = ordered(named.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(in_worker("simhash", others), "a long, b long"))
-    second = cut(second.join(first, ["a", "b"], "left_anti"))
-    parts = connected_components(linked.union(compared(second)))
+    named = cut(led.join(connected_components(linked), "node", "left").select("cell", "table", "node", "f0", "f1", F.coalesce("component", "node").alias("part")))
+    mixed = named.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("cell")
+    open_ = cut(named.join(mixed, "cell", "left_semi"))
+    wanted = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "first.*", "small", "filled")
+    told = cut(wanted.join(texts_of, ["doc_id", "key1", "key2"]).groupBy("node", "small", "filled").agg(F.first("text").alias("text")))
+    held = open_.join(told, "node").select("cell", "table", "node", "f0", "f1", "part", "small", "filled", "text")
+    second = held.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(in_worker("simhash", others), "a long, b long")
+    parts = connected_components(linked.union(cut(second)))
     labels = nodes.join(parts, "node", "left").select("same", "first", F.coalesce("component", "node").alias("component"))
     firsts = labels.groupBy("component").agg(F.min("first").alias("leader"))
     labels = labels.join(firsts, "component").select("same", "leader")

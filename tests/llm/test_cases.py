@@ -227,6 +227,20 @@ def test_seeds_of_very_long_words(spark):
 # --- near-duplicates
 
 
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_any_key_layout_brings_near_fingerprints_together(radius):
+    rng = random.Random(19)
+    for count in (10, 10**8, 10**11, 10**16):
+        masks = simhash._masks(count, radius)
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), radius):
+                b ^= 1 << bit
+            assert any(a & m == b & m for m in masks)
+    assert len(simhash._masks(10**6, 3)) == 4 and len(simhash._masks(10**9, 3)) == 10
+
+
 def test_different_texts_of_one_id_stay(spark):
     rng = random.Random(11)
     a, b = _prose(rng, 100), _prose(rng, 100)
