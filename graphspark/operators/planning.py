@@ -120,3 +120,54 @@ def yes_no_metrics(rows: DataFrame, target: str, prediction: str) -> DataFrame:
     yes, no = p.contains("yes"), p.contains("no")
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     return rows.agg(share((yes != no) & (yes == want)).alias("accuracy"), share(yes & no).alias("ambiguous"), share(~yes & ~no).alias("indeterminate"))
+
+
+#: Replicates, permutations and bisection steps of a search for the detectable effect.
+MDE_PRESETS = {"fast": (50, 200, 5), "full": (200, 500, 8)}
+
+
+def mde_settings(preset: str = "fast", replicates: int | None = None, permutations: int | None = None, steps: int | None = None) -> dict[str, int]:
+    """A preset with single values replaced; values must be positive."""
+    if preset not in MDE_PRESETS:
+        raise ValueError(f"unknown preset {preset!r}")
+    given = dict(zip(("replicates", "permutations", "steps"), (replicates, permutations, steps)))
+    out = {k: v if given[k] is None else given[k] for k, v in zip(given, MDE_PRESETS[preset])}
+    if min(out.values()) < 1:
+        raise ValueError("settings must be positive")
+    return out
+
+
+def task_delta_range(joined: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
+    """(group, low, high): the smallest and largest mean change over tasks."""
+    per = joined.groupBy(*group, "task").agg((F.avg(F.col(b).cast("double")) - F.avg(F.col(a).cast("double"))).alias("d"))
+    return per.groupBy(*group).agg(F.min("d").alias("low"), F.max("d").alias("high"))
+
+
+def forced_rows(frame: DataFrame, group: list[str]) -> DataFrame:
+    """(group, forced_wrong, looped): endless rows that score 0 though they were right, and those that repeat a right answer."""
+    count = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long"))
+    return frame.groupBy(*group).agg(count("truncated_but_correct").alias("forced_wrong"), count("looped_on_correct_answer").alias("looped"))
+
+
+def recommended_count(cells: DataFrame, delta: float, pilot: int) -> DataFrame:
+    """``cells`` (mde, flagged) with the pairs that would show a change of ``delta``, null with a reason where none can be said."""
+    reason = F.when(F.col("mde").isNull(), "nothing changed").when(F.col("flagged"), "truncated").otherwise(F.lit(None).cast("string"))
+    return cells.withColumn("reason", reason).withColumn("count", F.when(reason.isNull(), F.ceil(F.pow(F.col("mde") / delta, 2) * pilot).cast("long")))
+
+
+def ladder_matrix(rows: DataFrame, rungs: DataFrame, carries: float = 0.85) -> DataFrame:
+    """(model, rung, accuracy, n, dropped, band): accuracy by rung of difficulty, capped and overflown rows counted apart."""
+    lost = F.coalesce("hit_cap", F.lit(False)) | F.coalesce("overflow", F.lit(False))
+    per = rows.groupBy("model", "rung").agg(F.avg(F.when(~lost, F.col("exact").cast("double"))).alias("accuracy"), F.sum((~lost).cast("long")).alias("n"), F.sum(lost.cast("long")).alias("dropped"))
+    band = F.when(F.col("accuracy").isNull(), "unread").when(F.col("accuracy") >= carries, "ceiling").when(F.col("accuracy") < 0.25, "floor").otherwise("readable")
+    return per.join(F.broadcast(rungs), "rung").withColumn("band", band)
+
+
+def retrieval_matrix(rows: DataFrame) -> DataFrame:
+    """(model, k, position, magnitude, accuracy, n, dropped) with pooled rows, where position or magnitude is null."""
+    lost = F.coalesce("hit_cap", F.lit(False))
+    sets = [["model", "k", "position", "magnitude"], ["model", "k", "position"], ["model", "k"]]
+    out = rows.withColumn("_lost", lost).groupingSets(sets, "model", "k", "position", "magnitude").agg(
+        F.avg(F.when(~F.col("_lost"), F.col("exact").cast("double"))).alias("accuracy"), F.sum((~F.col("_lost")).cast("long")).alias("n"), F.sum(F.col("_lost").cast("long")).alias("dropped")
+    )
+    return out.select("model", "k", "position", "magnitude", "accuracy", "n", "dropped")

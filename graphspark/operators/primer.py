@@ -106,7 +106,8 @@ def parse(primers: DataFrame) -> DataFrame:
     """(…, components, degree, clustering, rwse, filler, ns) from a column ``primer``.
 
     degree and clustering are maps by node, rwse maps (node, k) strings to values, filler and ns are
-    sorted node arrays. Sentences that fit no legal form raise.
+    sorted node arrays. Sentences that fit no legal form raise, and so do two values of one node; a
+    value said twice is one.
     """
     s = F.col("_s")
     rows = primers.withColumn("_s", sentences(F.col("primer")))
@@ -116,7 +117,7 @@ def parse(primers: DataFrame) -> DataFrame:
 
     def values(pattern: str, kind: str) -> Column:
         hits = F.filter(s, lambda x: x.rlike(pattern))
-        return F.map_from_entries(F.transform(hits, lambda x: F.struct(node(x), F.regexp_extract(x, pattern, 1).cast(kind))))
+        return F.map_from_entries(F.array_distinct(F.transform(hits, lambda x: F.struct(node(x), F.regexp_extract(x, pattern, 1).cast(kind)))))
 
     walk = r"([0-9]+\.[0-9]{2}) after ([0-9]+) steps?"
     steps = F.flatten(
@@ -134,12 +135,17 @@ def parse(primers: DataFrame) -> DataFrame:
         F.when(F.size(stated) > 0, F.regexp_extract(stated[0], "([0-9]+)", 1).try_cast("int")).alias("components"),
         values("degree ([0-9]+)", "int").alias("degree"),
         values(r"clustering coefficient ([0-9]+\.[0-9]{2})", "double").alias("clustering"),
-        F.map_from_entries(steps).alias("rwse"),
-        F.array_sort(F.transform(F.filter(s, lambda x: x.contains("simply present")), node)).alias("filler"),
+        F.map_from_entries(F.array_distinct(steps)).alias("rwse"),
+        F.array_sort(F.array_distinct(F.transform(F.filter(s, lambda x: x.contains("simply present")), node))).alias("filler"),
         F.array_sort(F.array_distinct(F.transform(F.filter(s, lambda x: x.startswith("Node ")), node))).alias("ns"),
     )
 
 
+def is_empty() -> Column:
+    """Whether a parsed primer states nothing."""
+    return F.col("components").isNull() & (F.size("ns") == 0)
+
+
 def says_about(primer: Column, target: Column) -> Column:
     """The sentences about one node."""
     return F.array_join(F.filter(sentences(primer), lambda s: s.startswith(F.concat(F.lit("Node "), target.cast("string"), F.lit(" ")))), " ")

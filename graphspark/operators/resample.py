@@ -71,59 +71,3 @@ def cluster_bootstrap(joined: DataFrame, cell: Sequence[str], cluster: str, a: s
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.select(*cell).schema) + ", delta double, low double, high double"
     return sums.groupBy(*cell).applyInPandas(run, schema)
-
-
-def label_permutation(rows: DataFrame, cell: Sequence[str], group: str, label: str, value: str, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """(cell, gap, p): difference of means by a 0/1 label, labels permuted within groups.
-
-    Only the label counts and the values of a group matter, so groups of one label drop out.
-    """
-    base = rows.select(*cell, group, F.col(label).cast("int").alias("_l"), F.col(value).cast("double").alias("_v"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([group, "_v", "_l"])
-        x, v = pdf["_l"].to_numpy(), pdf["_v"].to_numpy()
-        if x.min() == x.max():
-            return pd.DataFrame([(*key, None, None)])
-        gap = lambda m: v[m == 1].mean() - v[m == 0].mean()
-        seen, rng, hits = gap(x), np.random.default_rng(seed), 0
-        cuts = np.flatnonzero(pdf[group].to_numpy()[1:] != pdf[group].to_numpy()[:-1]) + 1
-        for _ in range(draws):
-            mixed = np.concatenate([rng.permutation(part) for part in np.split(x, cuts)])
-            hits += abs(gap(mixed)) >= abs(seen)
-        return pd.DataFrame([(*key, float(seen), (hits + 1) / (draws + 1))])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*cell).schema) + ", gap double, p double"
-    return base.groupBy(*cell).applyInPandas(run, schema)
-
-
-def detectable_effect(joined: DataFrame, cell: Sequence[str], cluster: str, a: str, b: str, power: float = 0.8, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """(cell, mde): the smallest gain, as a share, that a sign test on clusters finds at ``power``.
-
-    Simulated: discordant pairs keep their number, and more of them turn into gains until the test
-    rejects in enough replicates.
-    """
-    sums = _cluster_sums(joined, cell, cluster, a, b)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, changed = int(pdf["n"].sum()), int(pdf["changed"].sum())
-        rng = np.random.default_rng(seed)
-        if changed == 0:
-            return pd.DataFrame([(*key, None)])
-
-        def found(gain: float) -> float:
-            share = min(1.0, 0.5 + gain * n / (2 * changed))
-            wins = rng.binomial(changed, share, replicates)
-            z = np.abs(2 * wins - changed) / np.sqrt(changed)
-            return float((z >= 1.959964).mean())
-
-        lo, hi = 0.0, changed / n
-        if found(hi) < power:
-            return pd.DataFrame([(*key, None)])
-        for _ in range(12):
-            mid = (lo + hi) / 2
-            lo, hi = (lo, mid) if found(mid) >= power else (mid, hi)
-        return pd.DataFrame([(*key, float(hi))])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.select(*cell).schema) + ", mde double"
-    return sums.groupBy(*cell).applyInPandas(run, schema)

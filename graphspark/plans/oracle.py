@@ -256,8 +256,8 @@ SQL: dict[str, str] = {
           LEFT JOIN edges e ON e.graph_id = t.graph_id AND e.u = least(a, b) AND e.v = greatest(a, b)),
         maj AS (SELECT gold FROM ee GROUP BY gold ORDER BY count(*) DESC, gold DESC LIMIT 1)
         SELECT 'edge_existence' AS task, round(avg(CAST(coalesce(said, (SELECT gold FROM maj)) = gold AS INTEGER)), 9) AS bar, count(*) AS n FROM ee
-        UNION ALL SELECT 'edge_count', round(avg(CAST(h = m AS INTEGER)), 9), count(*) FROM (SELECT graph_id, CAST(sum(degree) / 2 AS BIGINT) AS h FROM deg GROUP BY graph_id) JOIN (SELECT n.graph_id, count(e.u) AS m FROM nn n LEFT JOIN edges e USING (graph_id) GROUP BY n.graph_id) USING (graph_id)
-        UNION ALL SELECT 'node_degree', round(avg(CAST(degree = k AS INTEGER)), 9), count(*) FROM tg JOIN deg ON deg.graph_id = tg.graph_id AND deg.node = tg.a JOIN (SELECT t.graph_id AS g, count(x.nbr) AS k FROM tg t LEFT JOIN arcs x ON x.graph_id = t.graph_id AND x.node = t.a GROUP BY t.graph_id) ON g = tg.graph_id"""
+        UNION ALL SELECT 'edge_count', round(avg(CAST(h = m AS INTEGER)), 9), count(*) FROM (SELECT graph_id, CAST(sum(degree) / 2 AS BIGINT) AS h FROM deg JOIN tg USING (graph_id) WHERE b IS NOT NULL GROUP BY graph_id) JOIN (SELECT n.graph_id, count(e.u) AS m FROM nn n LEFT JOIN edges e USING (graph_id) GROUP BY n.graph_id) USING (graph_id)
+        UNION ALL SELECT 'node_degree', round(avg(CAST(degree = k AS INTEGER)), 9), count(*) FROM (SELECT * FROM tg WHERE b IS NOT NULL) tg JOIN deg ON deg.graph_id = tg.graph_id AND deg.node = tg.a JOIN (SELECT t.graph_id AS g, count(x.nbr) AS k FROM tg t LEFT JOIN arcs x ON x.graph_id = t.graph_id AND x.node = t.a GROUP BY t.graph_id) ON g = tg.graph_id"""
     ),
     "extract_integer": _on_frame("SELECT event_id, pred, pred_first FROM said"),
     "extract_boolean": rf"""
@@ -366,7 +366,7 @@ SQL: dict[str, str] = {
         """, nn AS (SELECT graph_id, count(*) AS n, CAST(sum(degree) / 2 AS BIGINT) AS m, count(*) FILTER (degree > 0) AS live, count(*) FILTER (degree >= 2) AS branching FROM deg GROUP BY graph_id),
         full_ AS (SELECT graph_id, count(*) AS f FROM deg JOIN nn USING (graph_id) WHERE degree = n - 1 GROUP BY graph_id), comp AS (SELECT graph_id, count(*) AS c FROM labels WHERE node = component GROUP BY graph_id),
         q AS (SELECT t.graph_id, n, m, live, branching, coalesce(f, 0) AS f, c, x.degree AS da, y.degree AS db, b, CASE WHEN e.u IS NULL THEN 'No' ELSE 'Yes' END AS edge FROM tg t JOIN nn USING (graph_id) JOIN comp USING (graph_id) LEFT JOIN full_ USING (graph_id)
-          JOIN deg x ON x.graph_id = t.graph_id AND x.node = a LEFT JOIN deg y ON y.graph_id = t.graph_id AND y.node = b LEFT JOIN edges e ON e.graph_id = t.graph_id AND e.u = least(a, b) AND e.v = greatest(a, b)),
+          JOIN deg x ON x.graph_id = t.graph_id AND x.node = a LEFT JOIN deg y ON y.graph_id = t.graph_id AND y.node = b LEFT JOIN edges e ON e.graph_id = t.graph_id AND e.u = least(a, b) AND e.v = greatest(a, b) WHERE b IS NOT NULL),
         r AS (SELECT 'edge_existence' AS task, 'degree_zero_no_edge' AS rule, CASE WHEN da = 0 OR db = 0 THEN 'No' END AS said, edge AS gold FROM q WHERE b IS NOT NULL
           UNION ALL SELECT 'edge_existence', 'degree_full_edge', CASE WHEN da = n - 1 OR db = n - 1 THEN 'Yes' END, edge FROM q WHERE b IS NOT NULL
           UNION ALL SELECT 'edge_existence', 'rwse_zero_no_edge', NULL, edge FROM q WHERE b IS NOT NULL

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.functions import answers, claims, detect, fmt, probability
-from graphspark.operators import encode, inference, primer, resample, solver, structure, tasks
+from graphspark.operators import encode, inference, primer, resample, solver, statistics, structure, tasks
 from graphspark.operators import rewire as rewiring
+from graphspark.plans import study
 from graphspark.sources import graphs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,12 @@ def _round(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
 
 
 def _graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The order tables' graphs, kept while a query reads them several times; lost parts are made again."""
+    """The order tables' graphs. Their two tables share the shuffle that they are made from."""
+    return graphs.order_graphs(spark, d)
+
+
+def _kept_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The same, kept while a query reads them many times; lost parts are made again."""
     edges, nodes = graphs.order_graphs(spark, d)
     return edges.persist(), nodes.persist()
 
@@ -76,7 +82,7 @@ def rwse2(spark, d):
 
 @query
 def rwse3(spark, d):
-    return _round(structure.return_probabilities(*_graphs(spark, d), steps=3).drop("rwse2"), "rwse3")
+    return _round(structure.statistics_by_graph(*_graphs(spark, d)).select("graph_id", "node", "rwse3"), "rwse3")
 
 
 @query
@@ -103,12 +109,12 @@ def rendered_clustering_sd(spark, d):
 
 @query
 def topology_row(spark, d):
-    return _round(structure.topology(*_graphs(spark, d)), "density_real", "mean_degree", "mean_clustering")
+    return _round(structure.topology(*_kept_graphs(spark, d)), "density_real", "mean_degree", "mean_clustering")
 
 
 @query
 def rwse_degree_corr(spark, d):
-    return _round(structure.rwse_degree_correlation(*_graphs(spark, d)), "r", places=6)
+    return _round(structure.rwse_degree_correlation(*_kept_graphs(spark, d)), "r", places=6)
 
 
 def _gold(task: str) -> Query:
@@ -146,7 +152,7 @@ def multiset_diff(spark, d):
 @query
 def rewire_triangles(spark, d):
     """Triangles before and after rewiring either way; degrees stay."""
-    edges, nodes = _graphs(spark, d)
+    edges, nodes = _kept_graphs(spark, d)
     low, high = (rewiring.rewire(edges, nodes, up, times=1) for up in (False, True))
     count = lambda e, name: structure.triangle_count(e, nodes).select("graph_id", F.col("n_triangles").alias(name))
     return count(edges, "before").join(count(low, "low"), "graph_id").join(count(high, "high"), "graph_id")
@@ -200,7 +206,7 @@ for _condition in ("components", "degree", "filler", "clustering", "rwse", "all"
 @query
 def primer_roundtrip_check(spark, d):
     """Nodes whose degree does not come back from the text: none."""
-    edges, nodes = _graphs(spark, d)
+    edges, nodes = _kept_graphs(spark, d)
     parsed = primer.parse(primer.render(edges, nodes, "degree")).select("graph_id", F.explode("degree").alias("node", "said"))
     both = structure.degrees(edges, nodes).join(parsed, ["graph_id", "node"], "full")
     return both.where("said is null or degree is null or said <> degree").select("graph_id", "node", "degree", "said")
@@ -216,7 +222,7 @@ def primer_parse_degree(spark, d):
 @query
 def prompt_stats(spark, d):
     """Median characters that each condition's primer adds."""
-    edges, nodes = _graphs(spark, d)
+    edges, nodes = _kept_graphs(spark, d)
     rows = None
     for c in ("components", "degree", "filler"):
         one = primer.render(edges, nodes, c).select(F.lit(c).alias("condition"), F.length("primer").alias("chars"))
@@ -226,7 +232,7 @@ def prompt_stats(spark, d):
 
 @query
 def prompt_build(spark, d):
-    edges, nodes = _graphs(spark, d)
+    edges, nodes = _kept_graphs(spark, d)
     asked = tasks.targets(nodes).select("graph_id", "a", "b", tasks.question("node_degree").alias("question"))
     texts = primer.render(edges, nodes, "degree").join(encode.encode(edges, nodes), "graph_id").join(asked, "graph_id")
     return texts.select("graph_id", primer.build_prompt(F.col("primer"), F.col("text"), F.col("question")).alias("prompt"))
@@ -235,36 +241,40 @@ def prompt_build(spark, d):
 # --- the solver --------------------------------------------------------------------------------
 
 
-def _contexts(spark: SparkSession, d: str, task: str, condition: str) -> DataFrame:
-    """Parsed primers with targets and gold answers; n is granted, m is not."""
-    edges, nodes = _graphs(spark, d)
-    gold = tasks.gold(task, edges, nodes, tasks.targets(nodes)).select("graph_id", "a", "b", F.substring_index("gold", ",", 1 if task == "cycle_check" else -1).alias("short"), "gold")
-    parsed = primer.parse(primer.render(edges, nodes, condition))
-    rows = parsed.join(gold, "graph_id").withColumn("m", F.lit(None).cast("int"))
+def _contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed degree primers with targets and the gold answers of every task; n is granted, m is not."""
+    edges, nodes = _kept_graphs(spark, d)
+    parsed = primer.parse(primer.render(edges, nodes, "degree"))
+    rows = parsed.join(study.facts(edges, nodes).select("graph_id", "a", "b", "golds"), "graph_id").withColumn("m", F.lit(None).cast("int"))
     return rows.withColumn("n", F.when(F.size("ns") > 0, F.size("ns")).cast("int"))
 
 
 @query
 def solver_theorems(spark, d):
     """How often each rule on stated degrees answers, and how often rightly."""
-    out = None
-    for task in ("edge_existence", "node_degree", "cycle_check"):
-        rows = _contexts(spark, d, task, "degree")
-        one = solver.theorem_table(rows, task, "short" if task == "cycle_check" else "gold").select(F.lit(task).alias("task"), "rule", "fired", "right")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = _contexts(spark, d)
+    said = [
+        F.struct(F.lit(task).alias("task"), F.lit(name).alias("rule"), answer.alias("said"), F.col("golds")[task].alias("gold"))
+        for task in ("edge_existence", "node_degree", "cycle_check") for name, answer in solver.theorems()[task]
+    ]
+    one = rows.select(F.explode(F.array(*said)).alias("x")).select("x.*")
+    right = F.col("said") == F.when(F.col("task") == "cycle_check", F.substring_index("gold", ",", 1)).otherwise(F.col("gold"))
+    return one.groupBy("task", "rule").agg(F.count("said").alias("fired"), F.sum(F.when(right, 1).otherwise(0)).alias("right"))
 
 
 @query
 def solver_bars(spark, d):
-    """Accuracy of theorems with the majority answer behind them, for stated degrees."""
-    out = None
-    for task in ("edge_existence", "edge_count", "node_degree"):
-        rows = _contexts(spark, d, task, "degree")
-        base = inference.majority(rows, [], "gold", largest=True)
-        one = solver.solve(rows, task, base).agg(F.avg((F.col("solved") == F.col("gold")).cast("double")).alias("bar"), F.count(F.lit(1)).alias("n"))
-        one = one.select(F.lit(task).alias("task"), "bar", "n")
-        out = one if out is None else out.unionByName(one)
+    """Accuracy of theorems with the majority answer behind them, for stated degrees: one pass for all tasks."""
+    said = [
+        F.struct(F.lit(task).alias("task"), F.coalesce(*(answer for _, answer in solver.theorems()[task])).alias("said"), F.col("golds")[task].alias("gold"))
+        for task in ("edge_existence", "edge_count", "node_degree")
+    ]
+    one = _contexts(spark, d).select(F.explode(F.array(*said)).alias("x")).select("x.*")
+    counts = one.groupBy("task", "said", "gold").agg(F.count(F.lit(1)).alias("k"))
+    golds = counts.groupBy("task", "gold").agg(F.sum("k").alias("k"))
+    base = golds.groupBy("task").agg(F.max_by("gold", F.struct("k", "gold")).alias("base"))
+    hit = (F.coalesce("said", "base") == F.col("gold")).cast("double")
+    out = counts.join(F.broadcast(base), "task").groupBy("task").agg((F.sum(hit * F.col("k")) / F.sum("k")).alias("bar"), F.sum("k").alias("n"))
     return _round(out, "bar")
 
 
@@ -376,7 +386,7 @@ def score_rows(spark, d):
 @query
 def score_set_f1(spark, d):
     """F1 of the neighbours of one target read for another's."""
-    edges, nodes = _graphs(spark, d)
+    edges, nodes = _kept_graphs(spark, d)
     near = structure.neighbours(edges).select("graph_id", "node", "nbrs")
     t = tasks.targets(nodes)
     two = t.join(near.select("graph_id", F.col("node").alias("a"), F.col("nbrs").alias("na")), ["graph_id", "a"], "left").join(
@@ -555,12 +565,13 @@ def perm_clustered(spark, d):
 
 @query
 def mde_sim(spark, d):
-    return resample.detectable_effect(_pairs(spark, d), ["condition"], "unit", "correct_a", "correct_b")
+    """The smallest effect that the exact sign test finds with a power of 0.8."""
+    return _round(statistics.detectable_effect(_pairs(spark, d), ["condition"]), "mde")
 
 
 @query
 def perm_within(spark, d):
-    return resample.label_permutation(frame(spark, d), ["condition"], "arm", "truncated", "n_tokens", draws=200)
+    return _round(statistics.label_permutation(frame(spark, d), ["condition"], ["arm"], "truncated", "n_tokens", draws=200), "gap", "p")
 
 
 # --- detectors ---------------------------------------------------------------------------------

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphspark.functions import claims, detect
-from graphspark.operators import encode, inference, prompts, reports, solver, statistics, tasks
+from graphspark.functions import answers, claims, detect
+from graphspark.operators import encode, features, inference, prompts, reports, solver, statistics, structure, tasks
 from graphspark.plans import study
 from graphspark.plans.oracle import GRAPHS, REACH
 from graphspark.sources import graphs
@@ -606,6 +606,97 @@ def report_contrast(spark, d):
     return _round(grams.crossJoin(total).select("gram", (F.col("degree") / F.col("n_degree") - F.col("none") / F.col("n_none")).alias("shift")), "shift")
 
 
+# --- answers held against the graph ------------------------------------------------------------
+
+
+@report(
+    """, c AS (SELECT arm, condition, density, graph_id, ids, pred FROM frame WHERE task = 'connected_nodes' AND NOT hit_cap AND pred IS NOT NULL)
+  SELECT e.arm, e.condition, count(*) AS n, round(avg(CAST((NOT regexp_matches(c.pred, '(?i)no nodes?') AND list_contains(c.ids, CAST(e.b AS VARCHAR))) = (e.pred = 'Yes') AS INTEGER)), 9) AS agree
+  FROM frame e JOIN c USING (arm, condition, density, graph_id) WHERE e.task = 'edge_existence' AND NOT e.hit_cap AND e.pred IS NOT NULL GROUP BY ALL"""
+)
+def report_pdconsist(spark, d):
+    """Does an answer on an edge agree with the arm's own list of the node's neighbours?"""
+    f = study.frame(spark, d).where("not hit_cap and pred is not null")
+    keys = ["arm", "condition", "density", "graph_id"]
+    lists = f.where("task = 'connected_nodes'").select(*keys, answers.node_set(F.col("pred")).alias("ids"))
+    j = f.where("task = 'edge_existence'").join(lists, keys)
+    agree = claims.consistent(F.col("ids"), F.col("b"), F.col("pred") == "Yes").cast("int")
+    return _round(j.groupBy("arm", "condition").agg(F.count(F.lit(1)).alias("n"), F.avg(agree).alias("agree")), "agree")
+
+
+@report(
+    """, w AS (SELECT arm, graph_id, a, CAST(pred AS INTEGER) AS v FROM frame WHERE task = 'node_degree' AND NOT hit_cap AND exact = 0 AND pred IS NOT NULL),
+  k AS (SELECT w.arm, w.graph_id, w.a, w.v, count(*) FILTER (abs(x.node - a) = 1) AS near, count(*) FILTER (abs(x.node - a) = 1 AND x.degree = v) AS hit, count(*) FILTER (abs(x.node - a) > 1) AS rest, count(*) FILTER (abs(x.node - a) > 1 AND x.degree = v) AS same
+    FROM (SELECT *, row_number() OVER () AS i FROM w) w JOIN deg x USING (graph_id) GROUP BY w.arm, w.graph_id, w.a, w.v, w.i)
+  SELECT arm, count(*) AS wrong, count(*) FILTER (hit > 0) AS copied, round(sum(1 - pow(1 - CASE WHEN rest > 0 THEN same / rest ELSE 0.0 END, near)), 6) AS expected FROM k GROUP BY arm"""
+)
+def report_lcopy(spark, d):
+    """Wrong degrees that a neighbouring id has, and how many would by chance."""
+    edges, nodes = graphs.order_graphs(spark, d)
+    known = structure.degrees(edges, nodes).groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("node", "degree"))).alias("ds"))
+    rows = study.frame(spark, d).where("task = 'node_degree' and not hit_cap and exact = 0 and pred is not null").join(known, "graph_id")
+    near = detect.copy_kind(F.col("pred"), F.col("exact"), F.col("hit_cap"), F.col("ds"), F.col("a")) == "near"
+    chance = claims.near_chance(F.col("a"), F.col("pred").cast("int"), F.col("ds"))
+    return _round(rows.groupBy("arm").agg(F.count(F.lit(1)).alias("wrong"), F.sum(near.cast("long")).alias("copied"), F.sum(chance).alias("expected")), "expected", places=6)
+
+
+@report(
+    r""", s AS (SELECT arm, condition, target_degree, gold, regexp_extract(response, '(?i)\bnode [0-9]+ is connected to nodes ([0-9]+(?:, [0-9]+)*)\.', 1) AS l FROM frame WHERE task = 'connected_nodes')
+  SELECT arm, condition, count(*) AS lists, count(*) FILTER (l = gold) AS "right", round(avg(len(string_split(l, ', ')) - target_degree), 9) AS excess FROM s WHERE l <> '' GROUP BY ALL"""
+)
+def report_ndlist(spark, d):
+    """Lists of neighbours as answers state them, against the graph's."""
+    rows = study.frame(spark, d).where("task = 'connected_nodes'").select("arm", "condition", "nbrs", F.explode(claims.statements("response")).alias("s"))
+    right = (F.array_sort("s.nbrs") == F.array_sort("nbrs")).cast("long")
+    return _round(rows.groupBy("arm", "condition").agg(F.count(F.lit(1)).alias("lists"), F.sum(right).alias("right"), F.avg(F.size("s.nbrs") - F.size("nbrs")).alias("excess")), "excess")
+
+
+@report(
+    """, q AS (SELECT p.*, x.degree + y.degree AS ds FROM paired p JOIN tg USING (graph_id) JOIN deg x ON x.graph_id = p.graph_id AND x.node = tg.a JOIN deg y ON y.graph_id = p.graph_id AND y.node = tg.b WHERE task = 'edge_existence' AND gold_is_yes = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY density ORDER BY ds, arm, graph_id, condition) AS k, count(*) OVER (PARTITION BY density) AS m FROM q)
+  SELECT CAST(CASE WHEN m > 1 THEN greatest(0, ceil(4 * (k - 1) / (m - 1)) - 1) ELSE 0 END AS INTEGER) AS stratum, count(*) AS n, round(avg(CAST(coalesce(pred_a = 'Yes', false) AS INTEGER)), 9) AS without, round(avg(CAST(coalesce(pred_b = 'Yes', false) AS INTEGER)), 9) AS stated FROM r GROUP BY 1"""
+)
+def report_eedegree(spark, d):
+    """False alarms by quarters of the pair's degree sum within density."""
+    edges, nodes = graphs.order_graphs(spark, d)
+    asked = tasks.targets(nodes).where("b is not null")
+    values = structure.degrees(edges, nodes).select("graph_id", "node", F.col("degree").cast("string").alias("degree"), F.lit("0").alias("clustering"), F.lit("0").alias("rwse2"))
+    sums = features.pair_features(values, asked).select("graph_id", "degree_sum")
+    rows = _pairs(spark, d).where("task = 'edge_existence' and gold_is_yes = 0").join(sums, "graph_id")
+    ranked = inference.quartile_strata(rows, ["density"], ["degree_sum", "arm", "graph_id", "condition"])
+    yes = lambda s: F.avg(F.coalesce(F.col(f"pred_{s}") == "Yes", F.lit(False)).cast("int"))
+    return _round(ranked.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), yes("a").alias("without"), yes("b").alias("stated")), "without", "stated")
+
+
+@report(
+    """, r AS (SELECT graph_id, node, least(2, floor(3 * (rank() OVER (PARTITION BY graph_id ORDER BY degree) + (count(*) OVER (PARTITION BY graph_id, degree) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY graph_id))) AS t FROM deg)
+  SELECT condition, CAST(t AS INTEGER) AS tercile, count(*) AS n, round(100 * (avg(correct_b) - avg(correct_a)), 9) AS delta FROM paired p JOIN r ON r.graph_id = p.graph_id AND r.node = p.a WHERE task = 'node_degree' GROUP BY ALL"""
+)
+def report_pdtercile(spark, d):
+    """The effect by where the queried node's degree ranks in its graph."""
+    thirds = features.degree_terciles(*graphs.order_graphs(spark, d)).withColumnRenamed("node", "a")
+    rows = _pairs(spark, d).where("task = 'node_degree'").join(thirds, ["graph_id", "a"])
+    return _round(rows.groupBy("condition", "tercile").agg(F.count(F.lit(1)).alias("n"), (100 * (F.avg("correct_b") - F.avg("correct_a"))).alias("delta")), "delta")
+
+
+def report_informativeness(spark, d):
+    """How far printed clustering pins the degrees of a graph."""
+    values = features.printed_values(*graphs.order_graphs(spark, d))
+    return _round(features.informativeness(values, ["clustering"]), "share", "gain")
+
+
+def report_blindbar(spark, d):
+    """A lookup of degrees by printed clustering, fitted on even graphs, against the majority on odd ones."""
+    edges, nodes = graphs.order_graphs(spark, d)
+    values = features.printed_values(edges, nodes).select("graph_id", F.col("node").alias("a"), F.col("clustering").alias("key"), F.col("degree").alias("gold"))
+    rows = values.join(tasks.targets(nodes).select("graph_id", "a"), ["graph_id", "a"])
+    fit, test = rows.where("graph_id % 2 = 0"), rows.where("graph_id % 2 = 1")
+    base = F.broadcast(inference.majority(fit, [], "gold", largest=True).select(F.col("answer").alias("base")))
+    judged = solver.apply_lookup(test, solver.fit_lookup(fit, ["key"]), ["key"]).crossJoin(base)
+    hit = lambda c: F.avg((c == F.col("gold")).cast("double"))
+    return _round(judged.agg(F.count(F.lit(1)).alias("n"), hit(F.coalesce("answer", "base")).alias("lookup"), hit(F.col("base")).alias("majority")), "lookup", "majority")
+
+
 # --- prompts read back, rules fitted -----------------------------------------------------------
 
 
@@ -699,9 +790,21 @@ def island_bounds(spark, d):
 
 QUERIES |= {
     f.__name__: f
-    for f in (parse_incident, parse_adjacency, parse_prompts, retrieval_probe, solver_ranked, solver_inflation, solver_cells, solver_reconstruction, island_bounds)
+    for f in (parse_incident, parse_adjacency, parse_prompts, retrieval_probe, solver_ranked, solver_inflation, solver_cells, solver_reconstruction, island_bounds, report_informativeness, report_blindbar)
 }
+_PRINTED = "printf('%.2f', round(clustering, 6))"
 SQL |= {
+    "report_informativeness": _on_graphs(
+        f""", v AS (SELECT graph_id, {_PRINTED} AS c, degree FROM clus), k AS (SELECT graph_id, c, degree, count(*) AS k FROM v GROUP BY ALL), h AS (SELECT graph_id, sum(k) AS h FROM (SELECT graph_id, c, max(k) AS k FROM k GROUP BY ALL) GROUP BY graph_id),
+        b AS (SELECT graph_id, max(k) AS mode, sum(k) AS n FROM (SELECT graph_id, degree, count(*) AS k FROM v GROUP BY ALL) GROUP BY graph_id)
+        SELECT graph_id, round(h / n, 9) AS share, round(CASE WHEN mode < n THEN (h / n - mode / n) / (1 - mode / n) ELSE 0.0 END, 9) AS gain FROM h JOIN b USING (graph_id)"""
+    ),
+    "report_blindbar": _on_graphs(
+        f""", v AS (SELECT c.graph_id, {_PRINTED} AS key, CAST(c.degree AS VARCHAR) AS gold FROM clus c JOIN tg ON tg.graph_id = c.graph_id AND tg.a = c.node),
+        k AS (SELECT key, gold, count(*) AS n FROM v WHERE graph_id % 2 = 0 GROUP BY ALL), t AS (SELECT key, gold AS said FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, gold DESC) = 1),
+        m AS (SELECT gold AS base FROM v WHERE graph_id % 2 = 0 GROUP BY gold ORDER BY count(*) DESC, gold DESC LIMIT 1)
+        SELECT count(*) AS n, round(avg(CAST(coalesce(said, base) = gold AS INTEGER)), 9) AS lookup, round(avg(CAST(base = gold AS INTEGER)), 9) AS majority FROM v CROSS JOIN m LEFT JOIN t USING (key) WHERE graph_id % 2 = 1"""
+    ),
     "parse_incident": _on_graphs("SELECT graph_id, u, v FROM edges"),
     "parse_adjacency": _on_graphs("SELECT graph_id, u, v FROM edges"),
     "parse_prompts": _on_graphs(

@@ -200,3 +200,14 @@ def expand_hops(start: DataFrame, links: DataFrame, hops: int) -> DataFrame:
         front = front.join(both, front["id"] == both["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         seen = seen.union(front.select("id", F.lit(hop)))
     return seen
+
+
+def without_attributes(nodes: DataFrame) -> DataFrame:
+    """Nodes without blocks, names or positions."""
+    return nodes.select("graph_id", "node").distinct()
+
+
+def gaps_in_ids(nodes: DataFrame) -> DataFrame:
+    """Graphs whose nodes are not 0 to n - 1: a check before nodes are named that should find nothing."""
+    per = nodes.groupBy("graph_id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count_distinct("node").alias("n"))
+    return per.where((F.col("low") != 0) | (F.col("high") != F.col("n") - 1))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from graphspark.plans import oracle, queries
+from graphspark.plans import oracle, queries, reports
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ["orders", "lineitem", "customer", "events", "documents", "labels", "conversations"]
@@ -26,12 +26,19 @@ def _rows(df):
     return sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["node_degree", "clustering_coeff", "rwse3", "topology_row", "incident_text", "primer_all", "effect_main", "grouping_levels", "solver_threshold_fit", "score_rows"])
+@pytest.mark.parametrize("name", ["node_degree", "clustering_coeff", "rwse3", "topology_row", "incident_text", "primer_all", "effect_main", "grouping_levels", "solver_threshold_fit", "score_rows", "solver_theorems", "extract_boolean", "named_cycles"])
 def test_query_matches_sql(spark, duck, name):
     mine, theirs = queries.QUERIES[name](spark, DATA).toPandas(), duck.execute(oracle.SQL[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert _rows(mine) == _rows(theirs)
 
 
+@pytest.mark.parametrize("name", ["frame_main", "report_main", "report_bands", "report_ccanswer", "report_pdsource", "report_lcopy", "report_joint", "report_contrast", "parse_incident", "parse_prompts", "island_bounds"])
+def test_report_matches_sql(spark, duck, name):
+    mine, theirs = reports.QUERIES[name](spark, DATA).toPandas(), duck.execute(reports.SQL[name]).df()
+    assert sorted(mine.columns) == sorted(theirs.columns)
+    assert _rows(mine) == _rows(theirs)
+
+
 def test_every_sql_has_a_query():
-    assert set(oracle.SQL) <= set(queries.QUERIES)
+    assert set(oracle.SQL) <= set(queries.QUERIES) and set(reports.SQL) <= set(reports.QUERIES)
