@@ -81,6 +81,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the licence scan that SQL can say: words, and the places of the base phrases, -1 for none."""
+    none = F.lit(-1).cast("long")
+    bounds = [F.coalesce(c, none).alias(c) for c in ("first_word", "last_word")]
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", *bounds, "base_labels")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the search for personal data that SQL can say: matches of the fixed patterns."""
+    return pii.find_pii(_read(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_redirects": op2_redirects,
@@ -92,10 +104,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_subspaces": op9_subspaces,
     "op10_simhash": op10_simhash,
+    "license_base": license_base,
+    "pii_counts": pii_counts,
 }
 
 SQL: dict[str, str] = {
     "op2_redirects": sql.OP2,
     "op4_topk": sql.OP4,
     "op9_subspaces": sql.OP9,
+    "license_base": sql.LICENSE_BASE,
+    "pii_counts": sql.PII_COUNTS,
 }

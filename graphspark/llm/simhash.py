@@ -309,13 +309,22 @@ def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, **sea
     return found.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
+def _shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The sorted hashes of ``_shingle_set``."""
+    words = (text or b"").lower().split()
+    width = min(width, len(words)) or 1
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if words else [b""]
+    return np.unique(np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64))
+
+
 def _links_of(p: list[int], q: list[int], part: list[int], texts: pa.ChunkedArray, width: int, similarity: float) -> list[tuple[int, int]]:
     """Those of the pairs (p, q) that are similar and not connected already, by their parts or by earlier ones."""
-    sets: dict[int, set] = {}
+    sets: dict[int, np.ndarray] = {}
 
-    def shingles(i: int) -> set:
+    def shingles(i: int) -> np.ndarray:
         if i not in sets:
-            sets[i] = _shingle_set(texts[i].as_py(), width)
+            text = texts[i].as_py()
+            sets[i] = _shingle_hashes(None if text is None else text.encode(), width)
         return sets[i]
 
     forest, out = Forest(), []
@@ -325,7 +334,7 @@ def _links_of(p: list[int], q: list[int], part: list[int], texts: pa.ChunkedArra
         a, b = shingles(i), shingles(j)
         if min(len(a), len(b)) < similarity * max(len(a), len(b)):
             continue
-        both = len(a & b)
+        both = len(np.intersect1d(a, b, assume_unique=True))
         if both / (len(a) + len(b) - both) >= similarity:
             forest.join(part[i], part[j])
             out.append((i, j))
@@ -352,11 +361,12 @@ def _marked(
     shard first, takes what lies within ``radius`` bits of one as that leader's candidate, and the
     rest as leaders, so a group gives rows in proportion to its members. A bucket of more than ``shard_rows`` members or
     ``shard_chars`` of text is dealt into parts, any two of which meet. Candidates are then compared
-    exactly. Where a bucket's members are in several components after that, their texts come to it,
-    and all its pairs of different components within ``radius`` are compared there, by MinHashes of
-    their shingles first; those that may be similar (an estimate no more than DOUBT deviations below)
-    exactly, the likeliest first and none that others connect. So of followers a pair in thousands is
-    lost, and a bucket gives no more links than members. Texts of the same words are one class, a node of the graph.
+    exactly. Whoever candidates connect is a family. Where its members are in
+    several components after that, they come together once, and all its pairs of different components
+    within ``radius`` are compared, by MinHashes of their shingles first; those that may be similar (an
+    estimate no more than DOUBT deviations below) by the shingles' hashes, the likeliest first and none
+    that others connect. So of followers a pair in thousands is lost, and a family gives no more links
+    than members. Texts of the same words are one class, a node of the graph.
     ``kept`` marks the row of each component that has the smallest id, of several the smallest text
     hash (``key1``, ``key2``); rows equal in both are marked alike.
     """
@@ -388,14 +398,18 @@ def _marked(
             masks[t, b // 64] |= np.uint64(1) << np.uint64(b % 64)
     signed = masks.view(np.int64).tolist()
     keys = [F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(m[0])), F.col("f1").bitwiseAND(F.lit(m[1]))) for t, m in enumerate(signed)]
-    routed = nodes.select("node", "f0", "f1", "size", F.posexplode(F.array(*keys)).alias("table", "key"))
+    def dealt(rows: DataFrame, group: str, whole: DataFrame) -> DataFrame:
+        """``rows`` with ``own`` and ``other``: a group over the limits goes into parts, and any two of them meet."""
+        many = F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("chars") / shard_chars), F.lit(1))
+        parted = rows.join(whole.select(group, F.least("n", many).cast("int").alias("parts")), group)
+        parted = parted.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("parts")).cast("int"))
+        return parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    place = F.struct(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    routed = nodes.select("node", "f0", "f1", "size", F.explode(F.array(*keys)).alias("key"))
     shared = routed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).where("n > 1")
-    parts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("chars") / shard_chars))).cast("int")
-    parted = routed.join(shared.select("key", parts.alias("parts")), "key")
-    parted = parted.withColumn("own", F.pmod(F.xxhash64("table", "node"), F.col("parts")).cast("int"))
-    # A part alone meets itself; of several, any two meet.
-    parted = parted.withColumn("other", F.explode(F.expr("if(parts <= 1, array(0), filter(sequence(0, parts - 1), x -> x <> own))")))
-    cells = parted.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "table", "node", "f0", "f1")
+    # A part alone meets itself in its own cell; in one of two parts it meets itself again, which is no harm.
+    cells = dealt(routed, "key", shared).where("parts = 1 or own <> other").select(F.xxhash64("key", place).alias("cell"), "node", "f0", "f1")
 
     cells = cut(cells)
 
@@ -405,48 +419,45 @@ def _marked(
 
     def lead(batches):
         def pairs():
-            for cell, group in sorted_groups(batches, "cell"):
+            for _, group in sorted_groups(batches, "cell"):
                 leaders, owner = BKTree(), {}  # equal sketches: the first one leads
                 ids, values = group.column("node").to_pylist(), members(group)
                 for i in _from_the_middle(group):
                     hits = leaders.within(values[i], radius)
-                    yield from ((cell, ids[i], owner[h]) for h in hits)
+                    yield from ((ids[i], owner[h]) for h in hits)
                     if not hits:
                         leaders.add(values[i])
                         owner[values[i]] = ids[i]
 
         found = pairs()
         while block := list(islice(found, 50_000)):
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip(("cell", "a", "b"), zip(*block))})
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip(("a", "b"), zip(*block))})
 
     def others(batches):
         for _, group in sorted_groups(batches, "cell"):
-            part = group.column("part").to_numpy()
+            part, own = (group.column(c).to_numpy() for c in ("part", "own"))
             _, code, size = np.unique(part, return_inverse=True, return_counts=True)
             # The largest component asks no one: each pair comes from its smaller side.
             rank = np.argsort(np.argsort(-size, kind="stable"), kind="stable")[code]
+            apart = own.min() != own.max()
             filled = group.column("filled").to_numpy()
             bits = np.stack([group.column(c).to_numpy() for c in ("f0", "f1")], 1).view(np.uint64)
             small = np.frombuffer(b"".join(group.column("small").to_pylist()), np.uint8).reshape(-1, BINS)
-            earlier = masks[: group.column("table")[0].as_py()]
             asking = np.flatnonzero(rank > 0)
-            step = max(1, (1 << 21) // len(part))
+            step = max(1, (1 << 19) // len(part))
             found = []
             for lo in range(0, len(asking), step):
-                own = asking[lo : lo + step]
-                far = np.bitwise_count(bits[own][:, None, :] ^ bits[None, :, :]).sum(2)
-                i, j = np.nonzero((far <= radius) & (rank[None, :] < rank[own][:, None]))
-                for at in range(0, len(i), 1 << 17):
-                    p, q = own[i[at : at + (1 << 17)]], j[at : at + (1 << 17)]
+                mine = asking[lo : lo + step]
+                near = np.bitwise_count(bits[mine, None, 0] ^ bits[None, :, 0]) + np.bitwise_count(bits[mine, None, 1] ^ bits[None, :, 1]) <= radius
+                near &= rank[None, :] < rank[mine][:, None]
+                if apart:
+                    near &= own[None, :] != own[mine][:, None]
+                i, j = np.nonzero(near)
+                for at in range(0, len(i), 1 << 15):
+                    p, q = mine[i[at : at + (1 << 15)]], j[at : at + (1 << 15)]
                     alike = (small[p] == small[q]).mean(1)
                     keep = alike >= similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / np.minimum(filled[p], filled[q]))
-                    p, q, alike = p[keep], q[keep], alike[keep]
-                    # The first table in which a pair meets answers for it.
-                    differ = bits[p] ^ bits[q]
-                    new = np.ones(len(p), bool)
-                    for mask in earlier:
-                        new &= (differ & mask).any(1)
-                    found.append((p[new], q[new], alike[new]))
+                    found.append((p[keep].astype(np.int32), q[keep].astype(np.int32), alike[keep].astype(np.float32)))
             if found:
                 p, q, alike = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(-alike, kind="stable")
@@ -475,17 +486,18 @@ def _marked(
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    met = cut(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(in_worker("simhash", lead), "cell long, a long, b long"))
-    first = cut(ordered(met))
+    first = cut(ordered(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(in_worker("simhash", lead), "a long, b long")))
     linked = compared(first)
-    # Where nobody has a leader, all are leaders, and no two of them are near.
-    led = cells.join(met.select("cell").distinct(), "cell", "left_semi")
-    named = cut(led.join(connected_components(linked), "node", "left").select("cell", "table", "node", "f0", "f1", F.coalesce("component", "node").alias("part")))
-    mixed = named.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("cell")
-    open_ = cut(named.join(mixed, "cell", "left_semi"))
-    wanted = nodes.join(open_.select("node").distinct(), "node", "left_semi").select("node", "first.*", "small", "filled")
-    told = cut(wanted.join(texts_of, ["doc_id", "key1", "key2"]).groupBy("node", "small", "filled").agg(F.first("text").alias("text")))
-    held = open_.join(told, "node").select("cell", "table", "node", "f0", "f1", "part", "small", "filled", "text")
+    # A family: whoever is connected by candidates, similar or not. Its members come together once.
+    family = connected_components(first).withColumnRenamed("component", "family")
+    named = cut(family.join(connected_components(linked), "node", "left").select("family", "node", F.coalesce("component", "node").alias("part")))
+    mixed = named.groupBy("family").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("family")
+    told = nodes.select("node", "first.*", "f0", "f1", "small", "filled", "size").join(named.join(mixed, "family", "left_semi"), "node")
+    told = cut(told.select("family", "node", "part", "size", "doc_id", "key1", "key2", "f0", "f1", "small", "filled"))
+    whole = told.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    texts = texts_of.join(told.select("doc_id", "key1", "key2"), ["doc_id", "key1", "key2"], "left_semi").groupBy("doc_id", "key1", "key2").agg(F.first("text").alias("text"))
+    held = dealt(told, "family", whole).join(texts, ["doc_id", "key1", "key2"])
+    held = held.select(F.xxhash64("family", place).alias("cell"), "node", "own", "part", "f0", "f1", "small", "filled", "text")
     second = held.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(in_worker("simhash", others), "a long, b long")
     parts = connected_components(linked.union(cut(second)))
     labels = nodes.join(parts, "node", "left").select("same", "first", F.coalesce("component", "node").alias("component"))

@@ -88,3 +88,29 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, low.component_id, v.vec_id = low.component_id AS kept
 FROM v JOIN low ON low.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
+
+#: The places of the base phrases among a text's words; -1 for none.
+LICENSE_BASE = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, len(w) AS n,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS a,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS b,
+    list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS c FROM t
+)
+SELECT doc_id, n AS n_words, len(a) + len(b) + len(c) AS n_base, coalesce(list_min(list_concat(a, b, c)) - 1, -1) AS first_word, coalesce(list_max(list_concat(a, b, c)) - 1, -1) AS last_word,
+  array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p
+"""
+
+PII_COUNTS = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([ -]?[0-9])+'), lambda m: regexp_extract_all(m, '[0-9]')) AS c,
+    list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][ ().0-9-]+[0-9]'), lambda m: len(regexp_extract_all(m, '[0-9]'))) AS p FROM documents
+)
+SELECT doc_id, len(e) AS n_email, len(list_filter(i, lambda m: list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255)) AS n_ip,
+  len(list_filter(c, lambda d: len(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(d) + 1), lambda k: CASE WHEN (len(d) - k) % 2 = 0 THEN CAST(d[k] AS INTEGER)
+    ELSE (2 * CAST(d[k] AS INTEGER)) // 10 + (2 * CAST(d[k] AS INTEGER)) % 10 END)) % 10 = 0)) AS n_card,
+  len(list_filter(p, lambda k: k BETWEEN 9 AND 15)) AS n_phone FROM t
+"""

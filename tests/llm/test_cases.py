@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphspark.llm import common, embed, langid, packing, pii, simhash, spm, substring, topk
+from graphspark.llm import common, embed, langid, packing, pii, simhash, spm, substring, topk, urls
 from graphspark.llm.queries import public_vocabulary
 
 WORDS = [a + b for a in ("ka", "ro", "ti", "mu", "sel", "bri", "ul") for b in ("dan", "ver", "lis", "pon", "gra", "tor", "e")]
@@ -29,6 +29,38 @@ def _odd(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *ODD_VALUES) for i, t in rows], schema)
 
 
+# --- redirects
+
+
+def test_aliases_of_chains_and_cycles_against_a_plain_search(spark):
+    rng = random.Random(20)
+    rules = [("allow", "good.net/"), ("block", "bad.net/"), ("block", "bad.net/x/"), ("allow", "bad.net/x/ok/")]
+    hosts = ["good.net", "bad.net", "sub.bad.net", "a.org", "b.org", "c.org"]
+    urls_ = [f"http://{rng.choice(hosts)}/{rng.choice(['', 'x/', 'x/ok/'])}{i}" for i in range(240)]
+    pages, near = [], {u: set() for u in urls_}
+    for i, u in enumerate(urls_):
+        html = ""
+        if rng.random() < 0.7:
+            v = urls_[(i + 1) % 240] if rng.random() < 0.5 else rng.choice(urls_[i - i % 40 : i - i % 40 + 40])
+            html = f'<link rel="canonical" href="{v}">' if rng.random() < 0.5 else f'<meta http-equiv="refresh" content="0; url={v}">'
+            near[u].add(v)
+            near[v].add(u)
+        pages.append((i, u, html))
+
+    def own(u):
+        host, path = u[7:].split("/", 1)
+        fits = [(len(r), what) for what, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    for i, u, _ in pages:
+        seen, todo = {u}, [u]
+        while todo:
+            todo = [w for v in todo for w in near[v] if w not in seen and not seen.add(w)]
+        told = {own(v) for v in seen} - {None} if len(seen) > 1 else set()
+        assert got[i] == (own(u) or ("allow" if "allow" in told else "block" if "block" in told else "allow"))
+
+
 # --- packing
 
 

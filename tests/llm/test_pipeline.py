@@ -64,12 +64,12 @@ def test_empty_table(spark, tables, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-@pytest.mark.parametrize("name", ["op2_redirects", "op4_topk", "op9_subspaces"])
+@pytest.mark.parametrize("name", ["op2_redirects", "op4_topk", "op9_subspaces", "license_base", "pii_counts"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     mine, theirs = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(queries.SQL[name]).df()
     cols = sorted(theirs.columns)
