@@ -46,6 +46,11 @@ def cells(joined: DataFrame, bars: DataFrame) -> DataFrame:
     return per.join(F.broadcast(bars), ["task", "condition"], "left").withColumns({"flagged": worst >= FLAG, "tmax": worst, "carries": F.coalesce(F.col("bar") >= CARRIES, F.lit(False))})
 
 
+def fold() -> Column:
+    """Which half a graph belongs to: by pairs of fours of its id, which the densities go through."""
+    return F.floor(F.col("graph_id") / 4) % 2
+
+
 def banded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("band", inference.banded(F.col("baseline"), BANDS))
 
@@ -64,7 +69,7 @@ def by_band_and_threshold(rows: DataFrame, thresholds: Sequence[float] = (0.05,
 
 def split_half(joined: DataFrame, bars: DataFrame) -> DataFrame:
     """(band, carries, points, delta): cells binned on the graphs of one parity, measured on the other's, both ways."""
-    even = F.col("graph_id") % 2 == 0
+    even = fold() == 0
     half = lambda c, keep: F.avg(F.when(keep, F.col(c)))
     per = joined.where(F.col("task").isin(*VARYING)).groupBy(*CELL).agg(
         F.greatest(F.avg("truncated_a"), F.avg("truncated_b")).alias("tmax"),
@@ -80,7 +85,7 @@ def split_half(joined: DataFrame, bars: DataFrame) -> DataFrame:
 
 def crossfit(joined: DataFrame, route_tasks: Sequence[tuple[str, str]]) -> DataFrame:
     """(task, points, r, slope): effect on one parity's graphs against the accuracy without on the other's, route cells only."""
-    even = F.col("graph_id") % 2 == 0
+    even = fold() == 0
     half = lambda c, keep: F.avg(F.when(keep, F.col(c)))
     keep = F.lit(False)
     for t, c in route_tasks:
@@ -237,7 +242,7 @@ def joint(frame: DataFrame) -> DataFrame:
 
 def best_by_fold(joined: DataFrame) -> DataFrame:
     """(arm, task, condition, chosen, kept): the condition with the largest gain on even graphs, and its gain on odd ones."""
-    even = F.col("graph_id") % 2 == 0
+    even = fold() == 0
     d = F.col("correct_b") - F.col("correct_a")
     per = joined.groupBy("arm", "task", "condition").agg((100 * F.avg(F.when(even, d))).alias("x"), (100 * F.avg(F.when(~even, d))).alias("y")).where("x is not null and y is not null")
     best = F.min_by(F.struct("condition", "x", "y"), F.struct(-F.col("x"), F.col("condition")))

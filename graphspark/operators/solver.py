@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -341,7 +341,7 @@ def _mean(values: Column) -> Column:
 
 
 def features() -> dict[str, Column]:
-    """What fitted rules read off a parsed primer; null where it is not stated or granted."""
+    """What fitted rules read off a parsed primer; null where it is not stated or granted (``others``: 100)."""
     a, b, n, m = F.col("a"), F.col("b"), _nodes_known(), _edges_known()
     two = F.map_values(F.map_filter("rwse", lambda k, v: k.endswith(":2")))
     pairs = n * (n - 1) / 2
@@ -358,18 +358,33 @@ def features() -> dict[str, Column]:
         "walk3": 2.0 * m * F.coalesce(_returns(a, 3), F.lit(0.0)),
         "pairs": pairs,
         "clustered_pairs": clustered * pairs,
+        "others": F.coalesce(n - 1, F.lit(100)),
     }
 
 
+def with_features(rows: DataFrame, task: str) -> DataFrame:
+    """(graph_id, fold, gold, theorem_answer, theorem, f_...) of contexts: all that the rules of a task read, once.
+
+    Primers are parsed text; what is kept of them here is a few numbers, which every fit reads anew.
+    """
+    said = apply_theorems(rows, task)
+    names = sorted({r for rule in RULES if rule.task == task for r in (*rule.reads, *filter(None, [rule.most]))})
+    return said.select("graph_id", "fold", "gold", "theorem_answer", "theorem", *(features()[n].alias(f"f_{n}") for n in names))
+
+
+def _read(rows: DataFrame) -> dict[str, Column]:
+    return {n: F.col(f"f_{n}") if f"f_{n}" in rows.columns else c for n, c in features().items()}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A rule with parameters: ``lookup`` (majority by ``reads``), ``cut`` (Yes above), ``line`` or ``sign``."""
+    """A rule with parameters: ``lookup`` (majority by ``reads``), ``cut`` (Yes above), ``line`` (up to ``most``) or ``sign``."""
 
     name: str
     task: str
     how: str
     reads: tuple[str, ...]
-    most: Callable[[], Column] = field(default=lambda: F.lit(float("inf")), compare=False)
+    most: str | None = None
 
 
 #: In the order of their names' fixed list; ``sign`` has nothing to fit.
@@ -381,8 +396,8 @@ RULES = (
     Rule("edge_existence_clustering_density", "edge_existence", "cut", ("mean_clustering",)),
     Rule("edge_existence_rwse_density", "edge_existence", "cut", ("mean_rwse2",)),
     Rule("edge_existence_chung_lu", "edge_existence", "cut", ("chung_lu",)),
-    Rule("node_degree_stationary", "node_degree", "line", ("walk2", "walk3"), lambda: F.coalesce(_nodes_known() - 1, F.lit(100))),
-    Rule("edge_count_from_clustering", "edge_count", "line", ("clustered_pairs", "pairs"), lambda: features()["pairs"]),
+    Rule("node_degree_stationary", "node_degree", "line", ("walk2", "walk3"), "others"),
+    Rule("edge_count_from_clustering", "edge_count", "line", ("clustered_pairs", "pairs"), "pairs"),
 )
 
 
@@ -391,7 +406,7 @@ class Fitted:
 
     def __init__(self, rule: Rule, fit: DataFrame, gold: str = "gold") -> None:
         self.rule = rule
-        read = features()
+        read = _read(fit)
         self.table: DataFrame | None = None
         self.value: float | list[float] | None = None
         if rule.how == "lookup":
@@ -405,7 +420,7 @@ class Fitted:
 
     def answers(self, rows: DataFrame, name: str) -> DataFrame:
         """``rows`` with the rule's answer as a column ``name``; null where it does not apply."""
-        rule, read = self.rule, features()
+        rule, read = self.rule, _read(rows)
         x = read[rule.reads[0]]
         if rule.how == "lookup":
             keys = [f"_{r}" for r in rule.reads]
@@ -418,7 +433,7 @@ class Fitted:
         if rule.how == "cut":
             return rows.withColumn(name, F.when(x.isNotNull(), F.when(x > self.value, "Yes").otherwise("No")))
         raw = sum((read[r] * c for r, c in zip(rule.reads, self.value)), F.lit(self.value[-1]))
-        bounded = F.least(F.greatest(raw, F.lit(0.0)), rule.most())
+        bounded = F.least(F.greatest(raw, F.lit(0.0)), read[rule.most])
         known = raw.isNotNull()
         return rows.withColumn(name, F.when(known, F.bround(bounded).cast("long").cast("string")))
 
@@ -439,7 +454,7 @@ def fit_rules(task: str, fit: DataFrame, gold: str = "gold") -> list[Fitted]:
 
 def solve(rows: DataFrame, task: str, fallback: DataFrame, fitted: Sequence[Fitted] = ()) -> DataFrame:
     """``rows`` with ``solved``: theorems in order, then fitted rules, then the majority answer."""
-    said = apply_theorems(rows, task)
+    said = rows if "theorem_answer" in rows.columns else apply_theorems(rows, task)
     for i, f in enumerate(fitted):
         said = f.answers(said, f"_f{i}")
     base = F.broadcast(fallback.select(F.col("answer").alias("_base")))

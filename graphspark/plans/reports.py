@@ -128,8 +128,8 @@ def report_flagged(spark, d):
 
 
 _FOLDS = f""", halves AS (SELECT arm, task, density, condition, greatest(avg(truncated_a), avg(truncated_b)) AS tmax,
-  avg(correct_a) FILTER (graph_id % 2 = 0) AS b0, 100 * (avg(correct_b) FILTER (graph_id % 2 = 1) - avg(correct_a) FILTER (graph_id % 2 = 1)) AS d0,
-  avg(correct_a) FILTER (graph_id % 2 = 1) AS b1, 100 * (avg(correct_b) FILTER (graph_id % 2 = 0) - avg(correct_a) FILTER (graph_id % 2 = 0)) AS d1 FROM paired WHERE {_VARYING} GROUP BY ALL),
+  avg(correct_a) FILTER (CAST(floor(graph_id / 4) AS BIGINT) % 2 = 0) AS b0, 100 * (avg(correct_b) FILTER (CAST(floor(graph_id / 4) AS BIGINT) % 2 = 1) - avg(correct_a) FILTER (CAST(floor(graph_id / 4) AS BIGINT) % 2 = 1)) AS d0,
+  avg(correct_a) FILTER (CAST(floor(graph_id / 4) AS BIGINT) % 2 = 1) AS b1, 100 * (avg(correct_b) FILTER (CAST(floor(graph_id / 4) AS BIGINT) % 2 = 0) - avg(correct_a) FILTER (CAST(floor(graph_id / 4) AS BIGINT) % 2 = 0)) AS d1 FROM paired WHERE {_VARYING} GROUP BY ALL),
   points AS (SELECT task, condition, b0 AS baseline, d0 AS delta FROM halves WHERE tmax < 0.15 UNION ALL SELECT task, condition, b1, d1 FROM halves WHERE tmax < 0.15)"""
 
 
@@ -452,7 +452,7 @@ def report_vsequiv(spark, d):
     return _round(statistics.equivalent(rows, ["task", "condition"], ["density"], draws=1000), "delta", "low", "high", "p")
 
 
-@report(", g AS (SELECT arm, task, condition, 100 * avg(correct_b - correct_a) FILTER (graph_id % 2 = 0) AS x, 100 * avg(correct_b - correct_a) FILTER (graph_id % 2 = 1) AS y FROM paired GROUP BY ALL) SELECT arm, task, condition, round(x, 9) AS chosen, round(y, 9) AS kept FROM g WHERE x IS NOT NULL AND y IS NOT NULL QUALIFY row_number() OVER (PARTITION BY arm, task ORDER BY x DESC, condition) = 1")
+@report(", g AS (SELECT arm, task, condition, 100 * avg(correct_b - correct_a) FILTER (CAST(floor(graph_id / 4) AS BIGINT) % 2 = 0) AS x, 100 * avg(correct_b - correct_a) FILTER (CAST(floor(graph_id / 4) AS BIGINT) % 2 = 1) AS y FROM paired GROUP BY ALL) SELECT arm, task, condition, round(x, 9) AS chosen, round(y, 9) AS kept FROM g WHERE x IS NOT NULL AND y IS NOT NULL QUALIFY row_number() OVER (PARTITION BY arm, task ORDER BY x DESC, condition) = 1")
 def report_vscross(spark, d):
     return _round(reports.best_by_fold(_pairs(spark, d)), "chosen", "kept")
 
@@ -733,7 +733,7 @@ def retrieval_probe(spark, d):
 
 
 def _known_contexts(spark: SparkSession, d: str, task: str) -> DataFrame:
-    """Contexts with the statistics that a primer states, as parsed, folds by parity; kept, as fits read them often."""
+    """Contexts with the statistics that a primer states, as parsed, folds by parity."""
     from graphspark.operators import primer
 
     edges, nodes = graphs.order_graphs(spark, d)
@@ -741,14 +741,19 @@ def _known_contexts(spark: SparkSession, d: str, task: str) -> DataFrame:
     gold = tasks.gold(task, edges, nodes, asked).select("graph_id", "a", "b", F.substring_index("gold", ",", 1 if task == "cycle_check" else -1).alias("gold"))
     parsed = primer.parse(primer.render(edges, nodes, "all"))
     rows = parsed.join(gold, "graph_id").where("b is not null").withColumn("m", F.lit(None).cast("int")).withColumn("fold", F.col("graph_id") % 2)
-    return rows.withColumn("n", F.size("ns").cast("int")).persist()
+    return rows.withColumn("n", F.size("ns").cast("int"))
+
+
+def _feature_rows(spark: SparkSession, d: str, task: str) -> DataFrame:
+    """What the rules of a task read, kept, as fits read it often."""
+    return solver.with_features(_known_contexts(spark, d, task), task).persist()
 
 
 def solver_ranked(spark, d):
     """Fitted rules in their order, with coverage and accuracy on the other half of the graphs."""
     out = None
     for task in ("edge_existence", "node_count"):
-        rows = _known_contexts(spark, d, task)
+        rows = _feature_rows(spark, d, task)
         one = solver.rule_table(rows.where("fold = 0"), rows.where("fold = 1"), task).select(F.lit(task).alias("task"), "rule", "how", "coverage", "accuracy")
         out = one if out is None else out.unionByName(one)
     return _round(out, "coverage", "accuracy")
@@ -756,7 +761,7 @@ def solver_ranked(spark, d):
 
 def solver_inflation(spark, d):
     """A lookup's accuracy on the graphs it was fitted on, and on others."""
-    rows = _known_contexts(spark, d, "node_count")
+    rows = _feature_rows(spark, d, "node_count")
     return _round(solver.inflation(rows.where("fold = 0"), rows.where("fold = 1"), "node_count"), "in_sample", "out_of_sample")
 
 
@@ -764,7 +769,7 @@ def solver_cells(spark, d):
     """The bar of each task: majority, and the solver with theorems, fitted rules and majority behind them."""
     out = None
     for task in ("edge_existence", "node_degree", "edge_count", "node_count"):
-        rows = _known_contexts(spark, d, task)
+        rows = _feature_rows(spark, d, task)
         one = solver.score_cell(rows.where("fold = 0"), rows.where("fold = 1"), task).select(F.lit(task).alias("task"), "rows", "baseline_answer", "baseline", "shortcut")
         out = one if out is None else out.unionByName(one)
     return _round(out, "baseline", "shortcut")

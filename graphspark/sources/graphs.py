@@ -25,13 +25,12 @@ def order_graphs(spark: SparkSession, sf_dir: str, size: int = 40) -> tuple[Data
     """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.pmod("l_partkey", F.lit(size)).cast("int").alias("node"))
-    bought = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-    sets = bought.groupBy(F.col("o_custkey").alias("graph_id"), "o_orderkey").agg(F.sort_array(F.collect_set("node")).alias("ns"))
-    nodes = sets.select("graph_id", F.explode("ns").alias("node")).distinct()
-    pairs = F.flatten(
-        F.transform("ns", lambda a: F.transform(F.filter("ns", lambda b: b > a), lambda b: F.struct(a.alias("u"), b.alias("v"))))
-    )
-    edges = sets.select("graph_id", F.explode(pairs).alias("e")).select("graph_id", "e.u", "e.v").distinct()
+    bought = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("graph_id"), "o_orderkey", "node")
+    # Dealt by order once: what follows up to the edges' own distinct needs no other shuffle.
+    sets = bought.where("graph_id is not null and o_orderkey is not null and node is not null").repartition("graph_id", "o_orderkey").distinct()
+    nodes = sets.select("graph_id", "node").distinct()
+    other = sets.withColumnRenamed("node", "v")
+    edges = sets.withColumnRenamed("node", "u").join(other, ["graph_id", "o_orderkey"]).where("u < v").select("graph_id", "u", "v").distinct()
     return edges, nodes
 
 
