@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import embed, langid, licenses, packing, pii, simhash, spm, sql, substring, topk, urls
+from graphspark.llm import embed, fim, langid, licenses, packing, pii, simhash, spm, sql, substring, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(_read(spark, sf_dir, "documents"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", restored))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the licence scan that SQL can say: words, and the places of the base phrases, -1 for none."""
     none = F.lit(-1).cast("long")
@@ -104,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_subspaces": op9_subspaces,
     "op10_simhash": op10_simhash,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "license_base": license_base,
     "pii_counts": pii_counts,
 }
@@ -112,6 +120,7 @@ SQL: dict[str, str] = {
     "op2_redirects": sql.OP2,
     "op4_topk": sql.OP4,
     "op9_subspaces": sql.OP9,
+    "op13_fill_in_middle": sql.OP13,
     "license_base": sql.LICENSE_BASE,
     "pii_counts": sql.PII_COUNTS,
 }

@@ -114,3 +114,21 @@ SELECT doc_id, len(e) AS n_email, len(list_filter(i, lambda m: list_max(list_tra
     ELSE (2 * CAST(d[k] AS INTEGER)) // 10 + (2 * CAST(d[k] AS INTEGER)) % 10 END)) % 10 = 0)) AS n_card,
   len(list_filter(p, lambda k: k BETWEEN 9 AND 15)) AS n_phone FROM t
 """
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), k AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w,
+    list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS UBIGINT)) AS g FROM t
+), c AS (
+  SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n, least(g[1] % (len(w) + 1), g[2] % (len(w) + 1)) AS lo, greatest(g[1] % (len(w) + 1), g[2] % (len(w) + 1)) AS hi,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR g[3] % 100 >= 90 THEN 'plain' WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k
+), p AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(w[1:lo], ''), '') AS a, coalesce(array_to_string(w[lo + 1:hi], ''), '') AS m, coalesce(array_to_string(w[hi + 1:n], ''), '') AS z FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
