@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import embed, fim, langid, licenses, packing, pii, simhash, spm, sql, substring, topk, urls
+from graphspark.llm import embed, fim, langid, licenses, packing, pii, simhash, spm, sql, substring, topk, urls, whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten_all(_read(spark, sf_dir, "embeddings"), components=32).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.fill_in_middle(_read(spark, sf_dir, "documents"))
     restored = fim.restore(F.col("output"), F.col("form"))
@@ -95,6 +99,11 @@ def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", *bounds, "base_labels")
 
 
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the whitening that SQL can say: the fit list's size and exact deviations."""
+    return op11_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the search for personal data that SQL can say: matches of the fixed patterns."""
     return pii.find_pii(_read(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -111,9 +120,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_subspaces": op9_subspaces,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
     "op13_fill_in_middle": op13_fill_in_middle,
     "license_base": license_base,
     "pii_counts": pii_counts,
+    "whitening_base": whitening_base,
 }
 
 SQL: dict[str, str] = {
@@ -123,4 +134,5 @@ SQL: dict[str, str] = {
     "op13_fill_in_middle": sql.OP13,
     "license_base": sql.LICENSE_BASE,
     "pii_counts": sql.PII_COUNTS,
+    "whitening_base": sql.WHITENING_BASE,
 }

@@ -132,3 +132,19 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_c
   sha256(text) AS restored_sha256
 FROM p
 """
+
+WHITENING_BASE = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * c::DOUBLE) AS HUGEINT) + 1000000) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), e AS (
+  SELECT row_number() OVER () AS r, vec_id, x FROM v
+), u AS (
+  SELECT r, vec_id, unnest(x) AS x, unnest(range(len(x))) AS i FROM e
+), s AS (
+  SELECT i, sum(x) AS s, count(*) AS n FROM u GROUP BY i
+)
+SELECT any_value(u.vec_id) AS vec_id, CAST(any_value(s.n) AS BIGINT) AS n, CAST(sum((s.n * u.x - s.s) * (s.n * u.x - s.s)) AS BIGINT) AS deviation
+FROM u JOIN s USING (i) GROUP BY u.r
+"""
