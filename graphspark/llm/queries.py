@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphspark.llm import embed, fim, langid, licenses, packing, pii, simhash, spm, sql, substring, topk, urls, whiten
+from graphspark.llm import embed, fim, langid, licenses, packing, pii, simhash, spm, sql, substring, topk, toxicity, urls, whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten_all(_read(spark, sf_dir, "embeddings"), components=32).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.fill_in_middle(_read(spark, sf_dir, "documents"))
     restored = fim.restore(F.col("output"), F.col("form"))
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_subspaces": op9_subspaces,
     "op10_simhash": op10_simhash,
     "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
     "op13_fill_in_middle": op13_fill_in_middle,
     "license_base": license_base,
     "pii_counts": pii_counts,
