@@ -233,6 +233,27 @@ def test_passages_go_where_rows_have_odd_names_and_ids(spark):
     assert texts[None].text == shared and texts[4].text is None and texts[5].text == ""
 
 
+def test_texts_that_share_an_id_are_cut_by_their_own_offsets(spark):
+    rng = random.Random(21)
+    shared, more = _prose(rng, 90), _prose(rng, 90)
+    rows = [(1, f"{_prose(rng, 30)} {shared}"), (2, f"{_prose(rng, 40)} {shared} {_prose(rng, 20)}"), (2, _prose(rng, 200)), (2, _prose(rng, 30)), (3, f"{more} {_prose(rng, 50)}")]
+    rows += [(4, f"{_prose(rng, 25)} {more}"), (4, f"{more} {_prose(rng, 35)}"), (None, shared), (5, None), (6, ""), (2, rows[2][1])]
+    docs = _odd(spark, rows)
+    numbers = [(r.row.doc_id, r.row.text, r.doc) for r in substring.numbered(docs).collect()]
+    assert len(numbers) == len(rows) and len({n for _, _, n in numbers if n is not None}) == len({(i, t) for i, t in rows if i is not None and t is not None})
+    assert {n for i, _, n in numbers if i in (1, 3, 6)} == {1, 3, 6} and all(2 in {n for i, _, n in numbers if i == 2} for _ in (0,))
+    out = substring.cut_shared(docs)
+    assert out.columns == docs.columns
+    texts = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert len(texts) == len(rows)
+    # What shares nothing stays whole, whatever the other texts of its id lose.
+    for i in (2, 3, 10):
+        assert (2, rows[i][1]) in texts
+    assert (0, shared) in texts and (1, rows[0][1]) in texts and (3, rows[4][1]) in texts
+    assert sum(shared in t for i, t in texts if i in (1, 2)) == 1 and sum(more in t for i, t in texts if i in (3, 4)) == 1
+    assert sum(r.n_chars != len(r.text or "") for r in out.where("doc_id in (2, 4)").collect()) == 0
+
+
 def test_seeds_carry_the_words_beside_them():
     rng = random.Random(14)
     words = [f"w{rng.randrange(500)}" for _ in range(300)]

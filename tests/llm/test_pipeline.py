@@ -47,6 +47,17 @@ def test_stages_take_effect(spark, tables):
     assert all(private[i] == texts[i] for i in clean)
 
 
+def test_passages_of_one_text_leave_other_texts_of_its_id_alone(spark, tables):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+    shared = prose(70)
+    texts = [(1, f"{prose(60)} {shared}"), (2, f"{shared} {prose(60)}"), (2, prose(150)), (3, prose(90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["shared_passages"](spark, docs, tables[0]).collect()]
+    assert len(out) == 4 and all(t in out for t in (texts[0], texts[2], texts[3]))
+    assert all(shared not in t for i, t in out if i == 2)
+
+
 def test_run_packs_what_is_left(spark, tables):
     folder, texts = tables
     rows = corpus_pipeline.run(spark, folder).collect()
