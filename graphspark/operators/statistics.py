@@ -104,6 +104,51 @@ def balanced_effects(joined: DataFrame, cell: Sequence[str], gold: str, value: s
     return _grouped(counted, cell, run, "n long, delta double, p double")
 
 
+def _one_of(chance: float, times: int) -> np.ndarray:
+    """The chances of 0, 1, ... hits in so many trials of one chance: powers by squaring, then a product."""
+    out, power = np.ones(1), np.array([1 - chance, chance])
+    while times:
+        if times & 1:
+            out = np.convolve(out, power)
+        times >>= 1
+        if times:
+            power = np.convolve(power, power)
+    return out
+
+
+def poisson_binomial_tail(chances: np.ndarray, times: np.ndarray, hits: int) -> float:
+    """The chance of ``hits`` or more in independent trials of unequal chances, exact to double precision.
+
+    ``times`` says how many trials have each chance. What is certain is counted, not convolved.
+    """
+    keep = (chances > 0) & (chances < 1) & (times > 0)
+    hits -= int(times[chances >= 1].sum())
+    if hits <= 0:
+        return 1.0
+    parts = sorted((_one_of(float(q), int(n)) for q, n in zip(chances[keep], times[keep])), key=len)
+    while len(parts) > 1:  # the two shortest first
+        a, b = parts.pop(0), parts.pop(0)
+        parts.append(np.convolve(a, b))
+        parts.sort(key=len)
+    law = parts[0] if parts else np.ones(1)
+    return float(min(1.0, law[hits:].sum())) if hits < len(law) else 0.0
+
+
+def hits_by_chance(rows: DataFrame, group: Sequence[str], chance: str, hit: str) -> DataFrame:
+    """(group, n, hits, expected, p): how many hits, how many by chance, and the chance of as many or more.
+
+    Each row has a chance of its own; rows of one chance are counted before they come together, and
+    the sum's law is the product of theirs. Rows without a chance are left out.
+    """
+    counted = rows.where(F.col(chance).isNotNull() & ~F.isnan(F.col(chance).cast("double"))).groupBy(*group, F.col(chance).cast("double").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(hit).cast("long")).alias("_k"))
+
+    def run(pdf: pd.DataFrame) -> dict:
+        q, n, k = pdf["_q"].to_numpy(), pdf["_n"].to_numpy(np.int64), int(pdf["_k"].sum())
+        return {"n": int(n.sum()), "hits": k, "expected": float((q * n).sum()), "p": poisson_binomial_tail(q, n, k)}
+
+    return _grouped(counted, group, run, "n long, hits long, expected double, p double")
+
+
 def label_permutation(rows: DataFrame, cell: Sequence[str], group: Sequence[str], label: str, value: str, draws: int = 1000, seed: int = 0) -> DataFrame:
     """(cell, gap, p): difference of means by a 0/1 label, labels permuted within groups.
 

@@ -133,11 +133,6 @@ _FOLDS = f""", halves AS (SELECT arm, task, density, condition, greatest(avg(tru
   points AS (SELECT task, condition, b0 AS baseline, d0 AS delta FROM halves WHERE tmax < 0.15 UNION ALL SELECT task, condition, b1, d1 FROM halves WHERE tmax < 0.15)"""
 
 
-@report(_FOLDS + f" SELECT {_BAND} AS band, bar >= 0.85 AS carries, count(*) AS points, round(avg(delta), 9) AS delta FROM points JOIN bars USING (task, condition) WHERE baseline IS NOT NULL AND delta IS NOT NULL GROUP BY ALL")
-def report_splithalf(spark, d):
-    return _round(reports.split_half(_pairs(spark, d), _bars(spark)), "delta")
-
-
 @report(
     _FOLDS
     + """, routes AS (SELECT * FROM points WHERE ((task = 'node_degree' AND condition IN ('degree', 'all', 'rwse')) OR (task = 'edge_count' AND condition IN ('degree', 'all'))) AND baseline IS NOT NULL AND delta IS NOT NULL),
@@ -341,29 +336,10 @@ def report_comp(spark, d):
     return _round(out, "delta")
 
 
-@report(
-    _CELLS
-    + """, b AS (SELECT arm, task, density, count(*) AS k, bool_or(flagged) AS f, avg(delta) FILTER (condition <> 'all') AS m, max(delta) FILTER (condition = 'all') AS w FROM cells WHERE condition IN ('degree', 'clustering', 'rwse', 'all') GROUP BY ALL)
-  SELECT count(*) AS combinations, round(avg(w - m), 9) AS excess FROM b WHERE k = 4 AND NOT f"""
-)
-def report_bundle(spark, d):
-    return _round(reports.bundle(_cells(spark, d)), "excess")
-
-
 #: Thousands of characters that a primer of forty nodes has.
 KCHARS = {"components": 0.037, "degree": 0.891, "clustering": 1.629, "filler": 1.829, "rwse": 2.949, "all": 4.691}
 
 
-@report(
-    f""", ch(condition, kchars) AS (VALUES {', '.join(f"('{c}', CAST({k} AS DOUBLE))" for c, k in KCHARS.items())}), l AS (SELECT arm, task, condition, {_EFF}, greatest(avg(truncated_a), avg(truncated_b)) AS tmax FROM paired WHERE {_VARYING} GROUP BY ALL),
-  m AS (SELECT arm, task, max(tmax) AS tmax, regr_slope(delta, kchars) FILTER (condition <> 'filler') AS slope, regr_intercept(delta, kchars) FILTER (condition <> 'filler') AS icpt, max(delta) FILTER (condition = 'filler') AS fd, max(kchars) FILTER (condition = 'filler') AS fk FROM l JOIN ch USING (condition) GROUP BY ALL)
-  SELECT arm, task, round(slope, 6) AS slope, round(fd - (icpt + slope * fk), 6) AS filler_gap FROM m WHERE tmax < 0.15"""
-)
-def report_length(spark, d):
-    chars = spark.createDataFrame(list(KCHARS.items()), "condition string, kchars double")
-    return _round(reports.length_slopes(_pairs(spark, d), chars), "slope", "filler_gap", places=6)
-
-
 @report("SELECT arm, condition, count(*) AS n, round(avg(CAST(coalesce(TRY_CAST(pred AS BIGINT) = n_nodes - 1, false) AS INTEGER)), 9) AS one_less, round(avg(exact), 9) AS exact FROM frame WHERE task = 'node_count' AND NOT hit_cap GROUP BY ALL")
 def report_nodecount(spark, d):
     rows = study.frame(spark, d).where("task = 'node_count' and not hit_cap")
@@ -390,11 +366,6 @@ def report_lmde(spark, d):
     return _round(reports.detectability(_pairs(spark, d)), "median_mde", places=6)
 
 
-@report(_CELLS + f" SELECT {_BAND} AS band, CASE WHEN condition = 'filler' THEN 'filler' WHEN carries THEN 'carrying' ELSE 'side' END AS kind, count(*) AS cells, CAST(sum(fixed) AS BIGINT) AS fixed, CAST(sum(broke) AS BIGINT) AS broke, round(ln((sum(fixed) + 0.5) / (sum(broke) + 0.5)), 9) AS log_odds FROM cells WHERE NOT flagged GROUP BY ALL")
-def report_bandlor(spark, d):
-    return _round(reports.band_log_odds(_cells(spark, d)), "log_odds")
-
-
 @report(
     """, j AS (SELECT d.arm, d.condition, d.correct AS cd, n.correct AS cn, d.truncated + n.truncated = 0 AND d.parsed + n.parsed = 2 AND TRY_CAST(d.pred AS INTEGER) = CASE WHEN regexp_matches(n.pred, '(?i)no nodes?') THEN 0 ELSE len(list_distinct(regexp_extract_all(n.pred, '-?[0-9]+'))) END AS agree
   FROM frame d JOIN frame n USING (arm, density, graph_id, condition) WHERE d.task = 'node_degree' AND n.task = 'connected_nodes')
@@ -429,12 +400,6 @@ def report_main(spark, d):
     return _round(out, "delta", "d_truncated", "d_error", "p", "q")
 
 
-@report()
-def report_main_intervals(spark, d):
-    """The same effects with bootstrap intervals over graphs within density."""
-    return _round(statistics.effects(_main(spark, d), ["arm", "task", "control", "condition"], ["density"], draws=1000), "delta", "low", "high", "p")
-
-
 @report("SELECT task, condition, bar FROM bars WHERE bar > 0.5")
 def report_bars(spark, d):
     return _bars(spark).where("bar > 0.5")
@@ -624,22 +589,6 @@ def report_pdconsist(spark, d):
     return _round(j.groupBy("arm", "condition").agg(F.count(F.lit(1)).alias("n"), F.avg(agree).alias("agree")), "agree")
 
 
-@report(
-    """, w AS (SELECT arm, graph_id, a, CAST(pred AS INTEGER) AS v FROM frame WHERE task = 'node_degree' AND NOT hit_cap AND exact = 0 AND pred IS NOT NULL),
-  k AS (SELECT w.arm, w.graph_id, w.a, w.v, count(*) FILTER (abs(x.node - a) = 1) AS near, count(*) FILTER (abs(x.node - a) = 1 AND x.degree = v) AS hit, count(*) FILTER (abs(x.node - a) > 1) AS rest, count(*) FILTER (abs(x.node - a) > 1 AND x.degree = v) AS same
-    FROM (SELECT *, row_number() OVER () AS i FROM w) w JOIN deg x USING (graph_id) GROUP BY w.arm, w.graph_id, w.a, w.v, w.i)
-  SELECT arm, count(*) AS wrong, count(*) FILTER (hit > 0) AS copied, round(sum(1 - pow(1 - CASE WHEN rest > 0 THEN same / rest ELSE 0.0 END, near)), 6) AS expected FROM k GROUP BY arm"""
-)
-def report_lcopy(spark, d):
-    """Wrong degrees that a neighbouring id has, and how many would by chance."""
-    edges, nodes = graphs.order_graphs(spark, d)
-    known = structure.degrees(edges, nodes).groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("node", "degree"))).alias("ds"))
-    rows = study.frame(spark, d).where("task = 'node_degree' and not hit_cap and exact = 0 and pred is not null").join(known, "graph_id")
-    near = detect.copy_kind(F.col("pred"), F.col("exact"), F.col("hit_cap"), F.col("ds"), F.col("a")) == "near"
-    chance = claims.near_chance(F.col("a"), F.col("pred").cast("int"), F.col("ds"))
-    return _round(rows.groupBy("arm").agg(F.count(F.lit(1)).alias("wrong"), F.sum(near.cast("long")).alias("copied"), F.sum(chance).alias("expected")), "expected", places=6)
-
-
 @report(
     r""", s AS (SELECT arm, condition, target_degree, gold, regexp_extract(response, '(?i)\bnode [0-9]+ is connected to nodes ([0-9]+(?:, [0-9]+)*)\.', 1) AS l FROM frame WHERE task = 'connected_nodes')
   SELECT arm, condition, count(*) AS lists, count(*) FILTER (l = gold) AS "right", round(avg(len(string_split(l, ', ')) - target_degree), 9) AS excess FROM s WHERE l <> '' GROUP BY ALL"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphspark.functions import answers, detect
 from graphspark.operators import inference, structure, tasks
-from graphspark.sources import graphs
+from graphspark.sources import graphs, io
 
 TASKS = ("node_count", "edge_count", "node_degree", "edge_existence", "connected_nodes", "cycle_check")
 CONDITIONS = ("none", "filler", "components", "degree", "clustering", "rwse", "all")
@@ -97,9 +97,13 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored responses, the first of each (arm, task, density, graph, condition)."""
-    rows = inference.first_rows(responses(spark, sf_dir), [*KEYS, "condition"], ["event_id"])
-    return scored(rows)
+    """Scored responses, the first of each (arm, task, density, graph, condition).
+
+    A session derives the frame once and writes it; every block then reads the columns it needs.
+    """
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "events")]
+    make = lambda: scored(inference.first_rows(responses(spark, sf_dir), [*KEYS, "condition"], ["event_id"]))
+    return io.derived(spark, "study-frame", inputs, make)
 
 
 def scored(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -232,7 +234,8 @@ class PagedRows(DataSource):
 
     Options: ``page`` size, ``retries``, and ``fetch``, the import path (``module:function``) of a
     function (offset, length) -> list of JSON objects. With ``total`` pages are read side by side;
-    without it one task goes on until a page comes short. ``limit`` reads so many rows at most.
+    without it one task goes on until a page comes short. ``limit`` reads so many rows at most;
+    ``offsets`` (numbers, comma-separated) reads the pages that begin there.
     """
 
     @classmethod
@@ -253,8 +256,11 @@ class _PagedReader(DataSourceReader):
         if self.limit >= 0 and self.total >= 0:
             self.total = min(self.total, self.limit)
         self.retries, self.fetch = int(options.get("retries", 3)), options["fetch"]
+        self.offsets = [int(o) for o in options.get("offsets", "").split(",") if o]
 
     def partitions(self) -> list[InputPartition]:
+        if self.offsets:
+            return [_Page(o) for o in self.offsets]
         return [_Page(o) for o in range(0, self.total, self.page)] if self.total >= 0 else [_Page(-1)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -263,7 +269,8 @@ class _PagedReader(DataSourceReader):
         module, _, function = self.fetch.partition(":")
         fetch: Callable = getattr(importlib.import_module(module), function)
         if partition.offset >= 0:
-            yield from self._page(fetch, partition.offset, min(self.page, self.total - partition.offset))
+            bounds = [self.page, *(b - partition.offset for b in (self.total, self.limit) if b >= 0)]
+            yield from self._page(fetch, partition.offset, min(bounds))
             return
         offset = 0
         while self.limit < 0 or offset < self.limit:
@@ -287,11 +294,72 @@ class _PagedReader(DataSourceReader):
             yield offset + i, json.dumps(row, sort_keys=True)
 
 
-def cached_rows(spark: SparkSession, path: str, count: int | None = None, **options) -> DataFrame:
-    """The first ``count`` rows of a paged API, read once and kept as Parquet under ``path``."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        spark.dataSource.register(PagedRows)
-        spark.read.format("paged_rows").options(**options).load().write.mode("overwrite").parquet(path)
-    rows = spark.read.parquet(path)
+def cached_rows(spark: SparkSession, path: str, count: int | None = None, pages_at_once: int = 64, **options) -> DataFrame:
+    """The first ``count`` rows of a paged API, each page fetched once and kept as Parquet under ``path``.
+
+    Pages are fetched so many at a time, side by side, and what is fetched stays when a later page
+    fails: the next call goes on from there. What was fetched with other options (another function,
+    page size, limit or total) is kept apart.
+    """
+    page, limit, total = (int(options.get(k, d)) for k, d in (("page", 100), ("limit", -1), ("total", -1)))
+    known = {k: str(v) for k, v in options.items() if k != "retries"}
+    folder = f"{path}/{hashlib.sha256(json.dumps(known, sort_keys=True).encode()).hexdigest()[:16]}"
+    bound = min([x for x in (limit, total) if x >= 0], default=None)
+    spark.dataSource.register(PagedRows)
+    have, short = _pages(spark, folder, page)
+    at = 0
+    while (bound is None or at < bound) and not (bound is None and short):
+        wanted = [o for o in range(at, at + page * pages_at_once, page) if o not in have and (bound is None or o < bound)]
+        at += page * pages_at_once
+        if wanted:
+            read = spark.read.format("paged_rows").options(**options, offsets=",".join(map(str, wanted))).load()
+            read.withColumn("page", (F.floor(F.col("offset") / page) * page).cast("long")).write.mode("append").partitionBy("page").parquet(folder)
+            have, short = _pages(spark, folder, page)
+            short = short or max(wanted) not in have
+    rows = spark.read.schema("offset long, row string, page long").parquet(folder).drop("page") if have else spark.createDataFrame([], "offset long, row string")
     return rows if count is None else rows.orderBy("offset").limit(count)
+
+
+def _pages(spark: SparkSession, folder: str, page: int) -> tuple[set[int], bool]:
+    """The pages kept under a folder, and whether one of them came short, which makes it the last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return set(), False
+    sizes = spark.read.schema("offset long, row string, page long").parquet(folder).groupBy("page").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r.page for r in sizes}, any(r.n < page for r in sizes)
+
+
+# --- tables that are derived once ---------------------------------------------------------------
+
+_DERIVED: dict[tuple[str, str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where executors and driver both write: the session's checkpoint folder, or else one under the warehouse."""
+    chosen = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return chosen or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_derived"
+
+
+def _stamp(spark: SparkSession, path: str) -> str:
+    """Size and time of what a path holds: changes when the table is written anew."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{path}:{fs.getContentSummary(at).getLength()}:{fs.getFileStatus(at).getModificationTime()}"
+
+
+def derived(spark: SparkSession, name: str, inputs: Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` derives from the tables at ``inputs``: written by a session's first call, read by later ones.
+
+    It is written again if an input has changed since, or if the table is gone.
+    """
+    key = (spark.sparkContext.applicationId, name, "|".join(_stamp(spark, p) for p in inputs))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    path = _DERIVED.get(key)
+    if path is not None:
+        done = hadoop(f"{path}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.parquet(path)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    make().write.parquet(path)
+    _DERIVED[key] = path
+    return spark.read.parquet(path)

@@ -95,3 +95,54 @@ def test_generation_hook(spark):
     prompts = spark.createDataFrame([("a", "long prompt"), ("b", "p")], "instance_id string, prompt string")
     got = {r.instance_id: r.response for r in responses.generate(prompts, lambda texts: [t.upper() for t in texts]).collect()}
     assert got == {"a": "LONG PROMPT", "b": "P"}
+
+
+API = """
+import os
+
+
+def fetch(offset, length):
+    with open(f"{FOLDER}/asked-{offset}-{len(os.listdir(FOLDER))}", "w"):
+        pass
+    if offset == 60 and os.path.exists(f"{FOLDER}/down"):
+        raise OSError("page is down")
+    return [{"i": i} for i in range(offset, min(77, offset + length))]
+"""
+
+
+@pytest.mark.parametrize("known", [{"total": 77}, {}])
+def test_pages_are_kept_when_a_later_one_fails(spark, tmp_path, known):
+    """77 rows; the page at 60 fails while a marker file stands."""
+    asked, module = tmp_path / "asked", f"paging_api_{len(known)}"
+    asked.mkdir()
+    (asked / "down").touch()
+    (tmp_path / f"{module}.py").write_text(API + f"\nFOLDER = {str(asked)!r}\n")
+    spark.sparkContext.addPyFile(str(tmp_path / f"{module}.py"))
+    options = {"page": 20, "retries": 1, "fetch": f"{module}:fetch"} | known
+    store = str(tmp_path / "kept")
+    pages = lambda: sorted(int(p.name.split("-")[1]) for p in asked.glob("asked-*"))
+    with pytest.raises(Exception, match="down"):
+        io.cached_rows(spark, store, pages_at_once=1, **options)
+    assert set(pages()) == {0, 20, 40, 60} and pages().count(20) == 1
+    (asked / "down").unlink()
+    rows = io.cached_rows(spark, store, pages_at_once=1, **options)
+    assert [r.offset for r in rows.orderBy("offset").collect()] == list(range(77))
+    assert [pages().count(p) for p in (0, 20, 40)] == [1, 1, 1]
+    # All is there now; other options are other tables, and a limit is remembered.
+    again = len(pages())
+    assert io.cached_rows(spark, store, count=5, **options).count() == 5 and len(pages()) == again
+    assert io.cached_rows(spark, store, **options, limit=30).count() == 30
+    assert io.cached_rows(spark, store, **options).count() == 77
+
+
+def test_derived_tables_are_made_once_and_follow_their_inputs(spark, tmp_path):
+    source, made = str(tmp_path / "source"), []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(source).selectExpr("id * 2 as twice")
+
+    spark.range(5).write.parquet(source)
+    assert [io.derived(spark, "twice", [source], make).count() for _ in range(2)] == [5, 5] and len(made) == 1
+    spark.range(7).write.mode("overwrite").parquet(source)
+    assert io.derived(spark, "twice", [source], make).count() == 7 and len(made) == 2
