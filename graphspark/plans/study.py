@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphspark.functions import answers, detect
 from graphspark.operators import inference, structure, tasks
+from graphspark.operators.runs import generations
 from graphspark.sources import graphs, io
 
 TASKS = ("node_count", "edge_count", "node_degree", "edge_existence", "connected_nodes", "cycle_check")
@@ -96,14 +97,19 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("said", F.expr(SAID_SQL)).withColumn("response", F.expr(TEXT_SQL)).drop("said")
 
 
-def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored responses, the first of each (arm, task, density, graph, condition).
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scored response, with the ``generation`` it is of its question: the first event that asks it, the second, and so on.
 
-    A session derives the frame once and writes it; every block then reads the columns it needs.
+    A session derives this table once and writes it; every block then reads the columns it needs.
     """
     inputs = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "events")]
-    make = lambda: scored(inference.first_rows(responses(spark, sf_dir), [*KEYS, "condition"], ["event_id"]))
-    return io.derived(spark, "study-frame", inputs, make)
+    make = lambda: generations(scored(responses(spark, sf_dir)), [*KEYS, "condition"], "event_id")
+    return io.derived(spark, "study-runs", inputs, make)
+
+
+def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored responses, the first of each (arm, task, density, graph, condition)."""
+    return runs(spark, sf_dir).where("generation = 1").drop("generation")
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -187,8 +193,8 @@ said AS (
       THEN CAST(list_sort(list_distinct(regexp_extract_all(pred, '-?[0-9]+'))) = list_sort(list_distinct(regexp_extract_all(gold, '-?[0-9]+'))) AS INTEGER)
     WHEN task IN ('edge_existence', 'cycle_check') THEN CAST(coalesce(regexp_matches(pred, '(?i)\byes\b') = regexp_matches(gold, '(?i)\byes\b'), false) AS INTEGER)
     ELSE CAST(rtrim(pred, '.') = rtrim(gold, '.') AS INTEGER) END AS exact FROM said
-), kept AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY arm, task, density, graph_id, condition ORDER BY event_id) = 1),
-frame AS (
+), kept AS (SELECT *, row_number() OVER (PARTITION BY arm, task, density, graph_id, condition ORDER BY event_id) AS generation FROM judged),
+runs AS (
   SELECT *, CASE WHEN hit_cap THEN 'truncated' WHEN exact = 1 THEN 'correct' ELSE 'wrong' END AS outcome, CAST(NOT hit_cap AND exact = 1 AS INTEGER) AS correct, CAST(hit_cap AS INTEGER) AS truncated,
     CASE WHEN task IN ('node_count', 'edge_count', 'node_degree') THEN CAST(pred AS BIGINT) - CAST(gold AS BIGINT) END AS signed_error,
     CASE WHEN task IN ('node_count', 'edge_count', 'node_degree') THEN abs(CAST(pred AS BIGINT) - CAST(gold AS BIGINT)) END AS abs_error,
@@ -198,7 +204,7 @@ frame AS (
     len(regexp_extract_all(response, '(?i)\bNode\s+[0-9]+')) AS n_node_mentions,
     CASE WHEN task = 'connected_nodes' THEN list_distinct(regexp_extract_all(coalesce(pred, ''), '-?[0-9]+')) END AS ids, CASE WHEN task = 'connected_nodes' THEN list_distinct(regexp_extract_all(gold, '-?[0-9]+')) END AS gold_ids,
     CASE WHEN pred IS NULL THEN 0.0 WHEN task <> 'connected_nodes' THEN exact WHEN len(ids) + len(gold_ids) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(ids, gold_ids)) / (len(ids) + len(gold_ids)) END AS f1 FROM kept
-), paired AS (
+), frame AS (SELECT * EXCLUDE (generation) FROM runs WHERE generation = 1), paired AS (
   SELECT a.arm, a.task, a.density, a.graph_id, b.condition, a.correct AS correct_a, b.correct AS correct_b, a.truncated AS truncated_a, b.truncated AS truncated_b, a.gold_is_yes, a.pred AS pred_a, b.pred AS pred_b,
     a.gold, a.exact AS exact_a, b.exact AS exact_b, a.abs_error AS abs_error_a, b.abs_error AS abs_error_b, a.signed_error AS signed_error_a, b.signed_error AS signed_error_b, a.n_tokens AS n_tokens_a, b.n_tokens AS n_tokens_b,
     a.f1 AS f1_a, b.f1 AS f1_b, a.response AS response_a, b.response AS response_b, a.a, a.target_degree, a.n_nodes, a.n_components
