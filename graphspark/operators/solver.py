@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -150,37 +149,90 @@ def peeled_neighbours(nodes: pd.Series, degree: pd.Series, target: pd.Series) ->
     return pd.Series([one(*row) for row in zip(nodes, degree, target)], dtype=object)
 
 
-def _fitting_sums(values: list[float], need: int, low: float, high: float) -> Iterator[list[int]]:
-    """Indices of the ``need`` values, sorted ascending, whose sum lies in [low, high]: a search that
-    leaves a branch as soon as its smallest or largest completion misses."""
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    n = len(values)
-    eps = 1e-12
+#: Half of the last printed decimal, with room for exact ties.
+_HALF, _ROOM = 0.005, 1e-9
 
-    def extend(start: int, left: int, so_far: float, taken: list[int]) -> Iterator[list[int]]:
-        if left == 0:
-            if low <= so_far <= high:
-                yield list(taken)
+
+def _counts(values: Sequence[float], sizes: Sequence[int], need: int, low: float, high: float) -> Iterator[list[int]]:
+    """How many of each class to take, ``need`` in all, so that the sum of their values lies in [low, high].
+
+    Values ascend. A branch is left as soon as the smallest or the largest sum that completes it
+    misses; both are sums over a run of what remains.
+    """
+    runs = []
+    for i in range(len(values) + 1):
+        flat = [v for v, n in zip(values[i:], sizes[i:]) for _ in range(n)]
+        runs.append(np.concatenate([[0.0], np.cumsum(flat)]))
+
+    def extend(i: int, left: int, so_far: float, taken: list[int]) -> Iterator[list[int]]:
+        run = runs[i]
+        if left >= len(run) or so_far + run[left] > high or so_far + run[-1] - run[len(run) - 1 - left] < low:
             return
-        for i in range(start, n - left + 1):
-            least = so_far + total[i + left] - total[i]
-            if least > high + eps:
-                return
-            if so_far + values[i] + total[n] - total[n - left + 1] < low - eps:
-                continue
-            taken.append(i)
-            yield from extend(i + 1, left - 1, so_far + values[i], taken)
-            taken.pop()
+        if i == len(values):
+            yield list(taken)
+            return
+        for k in range(min(left, sizes[i]) + 1):
+            yield from extend(i + 1, left - k, so_far + k * values[i], [*taken, k])
 
     return extend(0, need, 0.0, [])
 
 
-#: Half of the last printed decimal, with room for exact ties; candidate sets up to which a search is made.
-_HALF, _ROOM, CANDIDATES = 0.005, 1e-9, 400_000
+def _possible(degree: dict[int, int], back: dict[int, dict[int, float]], t: int) -> dict[int, tuple[bool, bool]]:
+    """For each other node whether its own two-step return lets it be a neighbour of ``t``, and whether it lets it be none.
+
+    Degree times probability is the sum of 1/degree over a node's neighbours. Without ``t`` that is a
+    sum over so many of the others, and such a sum has a least and a greatest value.
+    """
+    known = sorted((1.0 / x, v) for v, x in degree.items() if x > 0 and v != t)
+    run = np.concatenate([[0.0], np.cumsum([x for x, _ in known])])
+    rank = {v: i for i, (_, v) in enumerate(known)}
+    out = {}
+    for j, d in degree.items():
+        said = back.get(j, {}).get(2)
+        if j == t or d == 0:
+            continue
+        if said is None:
+            out[j] = (True, True)
+            continue
+        own, others = 1.0 / d, len(known) - 1
+        # The least and the greatest sum of k others: j's own place in the order is skipped.
+        least = lambda k: run[k] if rank[j] >= k else run[k + 1] - own
+        most = lambda k: run[-1] - run[-1 - k] if rank[j] < len(known) - k else run[-1] - run[-2 - k] - own
+        slack = _HALF * d + _ROOM
+
+        def within(k: int, rest: float) -> bool:
+            return 0 <= k <= others and least(k) <= rest + slack and most(k) >= rest - slack
+
+        out[j] = (within(d - 1, d * said - 1.0 / degree[t]), within(d, d * said))
+    return out
+
+
+def _closing(degrees: Sequence[int], clustering: float | None, three: float | None) -> bool:
+    """Whether neighbours of these degrees can have the edges among them that clustering and three-step return state.
+
+    The coefficient, as printed, leaves a few numbers of edges; degree times probability is twice the
+    sum of 1/(degree * degree) over them, and so many products have a least and a greatest sum.
+    """
+    d = len(degrees)
+    if d < 2 or clustering is None or three is None:
+        return True
+    inverse = 1.0 / np.array(degrees, float)
+    ascending = np.sort(np.outer(inverse, inverse)[np.triu_indices(d, 1)])
+    numbers = np.arange(len(ascending) + 1)
+    numbers = numbers[np.abs(numbers / len(ascending) - clustering) <= _HALF + _ROOM]
+    smallest = np.concatenate([[0.0], np.cumsum(ascending)])[numbers]
+    largest = np.concatenate([[0.0], np.cumsum(ascending[::-1])])[numbers]
+    stated, slack = d * three / 2, _HALF * d / 2 + _ROOM
+    return bool(((smallest <= stated + slack) & (largest >= stated - slack)).any())
 
 
 def _reconstructed(degree: dict[int, int], clustering: dict[int, float], back: dict[int, dict[int, float]], t: int) -> str | None:
-    """The one neighbour list of ``t`` that degrees, clustering and return probabilities leave."""
+    """The one neighbour list of ``t`` that degrees, clustering and return probabilities leave.
+
+    Nodes of one degree that may or may not be neighbours are alike in all that is stated of ``t``, so
+    the search is for how many of each degree: its size follows the distinct degrees, not the nodes.
+    A solution that takes some of a class but not all leaves a choice, and so do two solutions.
+    """
     if t not in degree:
         return None
     settled, joined, apart = _peel(list(degree), list(degree.values()), t)
@@ -189,56 +241,28 @@ def _reconstructed(degree: dict[int, int], clustering: dict[int, float], back: d
     d, own = degree[t], back.get(t, {}).get(2)
     if own is None or d == 0:
         return None
-    free = sorted((v for v in degree if v != t and degree[v] > 0 and v not in joined and v not in apart), key=lambda v: (-degree[v], v))
-    need = d - len(joined)
-    if need < 0 or need > len(free) or math.comb(len(free), need) > CANDIDATES:
-        return None
-    # Two steps back: d times the probability is the sum of 1/degree over the neighbours.
-    inverse = {v: 1.0 / x for v, x in degree.items() if x > 0}
-    rest = d * own - sum(inverse[v] for v in joined)
-    room = _HALF * d + _ROOM
-
-    # What every other node's own sum leaves for a place among, or apart from, t's neighbours.
-    allowed: dict[int, tuple[bool, bool]] = {}
-    for j in degree:
-        said = back.get(j, {}).get(2)
-        if j == t or degree[j] == 0 or said is None:
-            continue
-        pool = sorted(x for v, x in inverse.items() if v not in (j, t))
-        fits = []
-        for beside in (True, False):
-            count = degree[j] - beside
-            if 0 <= count <= len(pool):
-                wanted = degree[j] * said - (inverse[t] if beside else 0.0)
-                slack = _HALF * degree[j] + _ROOM
-                fits.append(sum(pool[:count]) - slack <= wanted <= sum(pool[len(pool) - count :]) + slack)
-            else:
-                fits.append(False)
-        allowed[j] = (fits[0], fits[1])
-
-    def closes(chosen: list[int]) -> bool:
-        """Clustering tells the edges among the neighbours, three steps back the sum of their products."""
-        c, three = clustering.get(t), back.get(t, {}).get(3)
-        if d < 2 or c is None or three is None:
-            return True
-        pairs = d * (d - 1) / 2
-        least, most = max(0, int((c - _HALF) * pairs - _ROOM + 1)), int((c + _HALF) * pairs + _ROOM)
-        if most < least:
-            least = most = round(c * pairs)
-        products = sorted(inverse[x] * inverse[y] for i, x in enumerate(chosen) for y in chosen[i + 1 :])
-        run = np.concatenate([[0.0], np.cumsum(products)])
-        slack, wanted = _HALF * d / 2 + _ROOM, d * three / 2
-        return any(run[k] - slack <= wanted <= run[-1] - run[len(products) - k] + slack for k in range(least, min(most, len(products)) + 1))
-
-    found: list[list[int]] = []
-    for picked in _fitting_sums([inverse[v] for v in free], need, rest - room, rest + room):
-        chosen = sorted([*joined, *(free[i] for i in picked)])
-        inside = set(chosen)
-        if closes(chosen) and all(ok[0] if j in inside else ok[1] for j, ok in allowed.items()):
-            found.append(chosen)
-            if len(found) > 1:
+    inside, classes = set(joined), {}
+    for v, (beside, away) in _possible(degree, back, t).items():
+        if v in inside or v in apart:
+            if not (beside if v in inside else away):
                 return None
-    return _listed(found[0]) if found else None
+        elif not beside and not away:
+            return None
+        elif not away:
+            inside.add(v)
+        elif beside:
+            classes.setdefault(degree[v], []).append(v)
+    kinds = sorted(classes, reverse=True)
+    rest, room = d * own - sum(1.0 / degree[v] for v in inside), _HALF * d + _ROOM
+    found: list[int] | None = None
+    for counts in _counts([1.0 / k for k in kinds], [len(classes[k]) for k in kinds], d - len(inside), rest - room, rest + room) if d >= len(inside) else ():
+        taken = [k for k, n in zip(kinds, counts) for _ in range(n)]
+        if not _closing([*(degree[v] for v in inside), *taken], clustering.get(t), back.get(t, {}).get(3)):
+            continue
+        if found is not None or any(0 < n < len(classes[k]) for k, n in zip(kinds, counts)):
+            return None
+        found = [*inside, *(v for k, n in zip(kinds, counts) if n for v in classes[k])]
+    return _listed(found) if found is not None else None
 
 
 @F.pandas_udf(T.StringType())

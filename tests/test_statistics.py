@@ -157,6 +157,39 @@ def test_reconstruction_against_all_graphs():
     assert answered > 0.4 * len(stats)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_reconstruction_against_every_set_of_neighbours(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(25):
+        n = int(rng.integers(5, 9))
+        a = np.triu(rng.random((n, n)) < rng.uniform(0.2, 0.8), 1).astype(float)
+        a += a.T
+        d = a.sum(1).astype(int)
+        p = np.divide(a, d[:, None], out=np.zeros_like(a), where=d[:, None] > 0)
+        c = np.round(np.divide(np.diag(a @ a @ a), d * (d - 1), out=np.zeros(n), where=d > 1), 2)
+        two, three = np.round(np.diag(p @ p), 2), np.round(np.diag(p @ p @ p), 2)
+        settled, joined, apart = solver._peel(list(range(n)), d.tolist(), 0)
+        if settled or d[0] == 0:
+            continue
+        fitting = []
+        for near in itertools.combinations([v for v in range(1, n) if d[v]], d[0]):
+            if not set(joined) <= set(near) or set(apart) & set(near) or abs(sum(1 / d[v] for v in near) - d[0] * two[0]) > 0.005 * d[0] + 1e-9:
+                continue
+            possible = True
+            for j in range(1, n):
+                if d[j]:
+                    pool = sorted(1 / d[v] for v in range(1, n) if v != j and d[v])
+                    k, rest = (d[j] - 1, d[j] * two[j] - 1 / d[0]) if j in near else (d[j], d[j] * two[j])
+                    possible &= k <= len(pool) and sum(pool[:k]) - 0.005 * d[j] - 1e-9 <= rest <= sum(pool[len(pool) - k :]) + 0.005 * d[j] + 1e-9
+            products = sorted(1 / d[u] / d[v] for u, v in itertools.combinations(near, 2))
+            edges = [e for e in range(len(products) + 1) if not products or abs(e / len(products) - c[0]) <= 0.005 + 1e-9]
+            half, slack = d[0] * three[0] / 2, 0.0025 * d[0] + 1e-9
+            if possible and (d[0] < 2 or any(sum(products[:e]) - slack <= half <= sum(products[len(products) - e :]) + slack for e in edges)):
+                fitting.append(solver._listed(near))
+        got = solver._reconstructed(dict(enumerate(d.tolist())), dict(enumerate(c.tolist())), {i: {2: float(two[i]), 3: float(three[i])} for i in range(n)}, 0)
+        assert fitting and got == (fitting[0] if len(fitting) == 1 else None)
+
+
 def test_island_posterior(spark):
     answers = spark.createDataFrame([("x", "a", 3), ("x", "b", 1), ("y", "a", 2)], "degrees string, answer string, k int")
     b = solver.island_bounds(answers).first()
