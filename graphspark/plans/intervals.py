@@ -16,7 +16,10 @@ DRAWS, SPLITS = 200, 400
 GRAPH = "graph_id"
 
 _W = f", w AS ({draws.weights_sql('paired', GRAPH, DRAWS)})"
-_DELTA = 100 * (F.col("up") - F.col("down")) / F.col("n")
+
+
+def _delta() -> Column:
+    return 100 * (F.col("up") - F.col("down")) / F.col("n")
 
 
 def _changes() -> dict[str, Column]:
@@ -28,7 +31,7 @@ def _changes() -> dict[str, Column]:
 def _with_interval(point: DataFrame, rows: DataFrame, group: list[str], percent: float = 95.0) -> DataFrame:
     """``point`` (one row a group) with the interval of the paired effect over draws of graphs."""
     drawn = draws.resampled(rows, group, GRAPH, _changes(), DRAWS)
-    return point.join(draws.interval(drawn, group, _DELTA, percent), group)
+    return point.join(draws.interval(drawn, group, _delta(), percent), group)
 
 
 _UP = "CASE WHEN correct_b > correct_a THEN 1 ELSE 0 END"
@@ -105,7 +108,7 @@ def report_length(spark: SparkSession, d: str) -> DataFrame:
     rows = _pairs(spark, d)
     lines = rows.where(F.col("task").isin(*reports.VARYING) & (F.col("condition") != "filler"))
     drawn = draws.resampled(lines, ["arm", "task", "condition"], GRAPH, _changes(), DRAWS).join(F.broadcast(chars), "condition")
-    fitted = drawn.groupBy("arm", "task", "draw").agg(F.regr_slope(_DELTA, F.col("kchars")).alias("s"))
+    fitted = drawn.groupBy("arm", "task", "draw").agg(F.regr_slope(_delta(), F.col("kchars")).alias("s"))
     out = reports.length_slopes(rows, chars).join(draws.interval(fitted, ["arm", "task"], F.col("s")), ["arm", "task"])
     return _round(out, "slope", "filler_gap", "low", "high", places=6)
 
@@ -125,7 +128,7 @@ def report_bundle(spark: SparkSession, d: str) -> DataFrame:
     cells = _cells(spark, d)
     wanted = cells.where(F.col("condition").isin(*_PARTS)).groupBy("arm", "task", "density").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("flagged").cast("int")).alias("f")).where(f"k = {len(_PARTS)} and f = 0")
     rows = _pairs(spark, d).where(F.col("condition").isin(*_PARTS)).join(F.broadcast(wanted.select("arm", "task", "density")), ["arm", "task", "density"])
-    drawn = draws.resampled(rows, reports.CELL, GRAPH, _changes(), DRAWS).withColumn("delta", _DELTA)
+    drawn = draws.resampled(rows, reports.CELL, GRAPH, _changes(), DRAWS).withColumn("delta", _delta())
     whole = F.col("condition") == "all"
     gap = F.max(F.when(whole, F.col("delta"))) - F.avg(F.when(~whole, F.col("delta")))
     per = drawn.groupBy("arm", "task", "density", "draw").agg(gap.alias("e"), F.count(F.lit(1)).alias("k")).where(F.col("k") == len(_PARTS))

@@ -276,23 +276,6 @@ def report_cyclecons(spark, d):
     return _round(j.groupBy("arm", "condition").agg(F.count(F.lit(1)).alias("n"), F.count("m").alias("counted"), F.avg(agree).alias("agree")), "agree")
 
 
-_CYCLES = r""", w AS (SELECT event_id, arm, condition, graph_id, pred, regexp_extract_all(response, '[0-9]+(?:\s*->\s*[0-9]+){2,}')[1] AS walk FROM frame WHERE task = 'cycle_check'),
-  s AS (SELECT event_id, graph_id, CAST(unnest(regexp_extract_all(walk, '[0-9]+')[:-2]) AS INTEGER) AS x, CAST(unnest(regexp_extract_all(walk, '[0-9]+')[2:]) AS INTEGER) AS y FROM w WHERE walk IS NOT NULL),
-  v AS (SELECT s.event_id, count(*) AS steps, count(e.u) AS hits FROM s LEFT JOIN edges e ON e.graph_id = s.graph_id AND e.u = least(x, y) AND e.v = greatest(x, y) GROUP BY s.event_id)"""
-
-
-@report(_CYCLES + " SELECT arm, condition, count(*) AS n, count(*) FILTER (steps IS NULL) AS none, count(*) FILTER (hits = steps) AS real, count(*) FILTER (hits < steps) AS invented FROM w LEFT JOIN v USING (event_id) GROUP BY ALL")
-def report_ccanswer(spark, d):
-    """What answers on cycles rest on: a cycle of the graph, an invented one, or none."""
-    rows = study.frame(spark, d).where("task = 'cycle_check'").select("arm", "condition", "graph_id", "response")
-    edges, _ = graphs.order_graphs(spark, d)
-    known = edges.groupBy("graph_id").agg(F.collect_list(F.struct("u", "v")).alias("es"))
-    read = rows.withColumns({"found": claims.cycles("response"), "two": claims.two_cycle("response")}).join(known, "graph_id")
-    on = claims.rests_on(F.col("found"), F.col("es"), F.col("two"))
-    count = lambda k: F.sum((F.col("rests") == k).cast("long")).alias(k)
-    return read.withColumn("rests", on).groupBy("arm", "condition").agg(F.count(F.lit(1)).alias("n"), count("none"), count("real"), count("invented"))
-
-
 @report(
     r""", st AS (SELECT event_id, graph_id, arm, unnest(regexp_extract_all(response, '(?i)\bnode [0-9]+ is connected to node [0-9]+\.')) AS s FROM frame WHERE task = 'edge_existence'),
   k AS (SELECT arm, graph_id, CAST(regexp_extract_all(s, '[0-9]+')[1] AS INTEGER) AS x, CAST(regexp_extract_all(s, '[0-9]+')[2] AS INTEGER) AS y FROM st)
