@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphspark.functions import answers
-from graphspark.operators import inference, prompts, structure
+from graphspark.functions import answers, claims, detect
+from graphspark.operators import features, inference, prompts, structure
 
 RESPONSE_KEY = ("model", "instance_id", "condition", "style", "node_naming")
 
@@ -145,9 +145,43 @@ def flip_sheet(frame: DataFrame, key: Sequence[str], per_kind: int, seed: int =
     )
 
 
-def pattern_frame(frame: DataFrame, flags: Sequence[Column]) -> DataFrame:
-    """A frame with one 0/1 column a text pattern, in one projection."""
-    return frame.select("*", *flags)
+def graph_facts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph_id, degrees map, edges array, printed array): what responses are held against.
+
+    ``printed`` are the decimals that a graph's primers print, of clustering and return probabilities.
+    """
+    values = features.printed_values(edges, nodes)
+    per = values.groupBy("graph_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("node"), F.col("degree").cast("int")))).alias("degrees"),
+        F.array_distinct(F.flatten(F.collect_list(F.array("clustering", "rwse2", "rwse3")))).alias("printed"),
+    )
+    known = edges.groupBy("graph_id").agg(F.collect_list(F.struct("u", "v")).alias("edges"))
+    return per.join(known, "graph_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<u:int,v:int>>")))
+
+
+def pattern_frame(frame: DataFrame, facts: DataFrame) -> DataFrame:
+    """A frame with one 0/1 column for each of the 22 patterns, null for tasks that a pattern does not belong to.
+
+    Also ``table_right`` (the share of a degree table's values that are right, where there is a table),
+    ``chain`` (the first broken step from degrees to an edge count), ``copied`` and ``copy_chance`` (a
+    wrong degree that a neighbouring id has). ``frame`` has task, response, pred, exact, hit_cap, a, b and
+    nbrs; ``facts`` is what ``graph_facts`` gives: one join by graph serves all patterns.
+    """
+    text, task = F.coalesce("response", F.lit("")), F.col("task")
+    j = frame.join(facts, "graph_id")
+    j = j.withColumns({"_table": F.when(task == "edge_count", claims.degree_table(text, F.array_max(F.map_keys("degrees")) + 1)), "_targets": F.array("a", "b")})
+    table = F.coalesce("_table", F.create_map().cast("map<int,int>"))
+    told = F.map_entries(table)
+    right = F.size(F.filter(told, lambda e: F.try_element_at("degrees", e["key"]) == e["value"])) / F.size(told)
+    pred = F.when(~F.col("hit_cap"), F.col("pred").try_cast("int"))
+    chain = F.when(task == "edge_count", claims.edge_chain(table, F.col("degrees"), claims.halving(text), pred, F.col("hit_cap")))
+    copied = F.when(task == "node_degree", detect.copy_kind(F.col("pred"), F.col("exact"), F.col("hit_cap"), F.col("degrees"), F.col("a")))
+    flags = [*detect.pattern_flags(text, F.col("_targets"), task, F.col("nbrs")), *detect.numeric_flags(text, task, table, F.col("degrees"), F.col("edges"), F.col("printed"))]
+    more = [
+        F.when((task == "edge_count") & (F.size(table) >= detect.TABLE_SHARE * F.size("degrees")), right).alias("table_right"), chain.alias("chain"), copied.alias("copied"),
+        F.when(copied.isNotNull(), claims.near_chance(F.col("a"), F.col("pred").try_cast("int"), F.col("degrees"))).alias("copy_chance"),
+    ]
+    return j.select(*frame.columns, *flags, *more)
 
 
 def run_summaries(frame: DataFrame) -> DataFrame:
@@ -205,17 +239,45 @@ def in_order(rows: DataFrame, value: str, order: str) -> DataFrame:
     return rows.groupBy(value).agg(F.min(order).alias("first")).orderBy("first")
 
 
-def budget_groups(rows: DataFrame, length: str, budget: int) -> DataFrame:
-    """``rows`` with ``chunk``: taken by length, so many that the longest times their number stays within a budget.
+def budget_groups(rows: DataFrame, length: str, budget: int, key: str, group: Sequence[str] = (), salts: int = 64) -> DataFrame:
+    """``rows`` with ``chunk`` (long, from 0 in each group): greedy cuts of the rows in order of length.
 
-    A row's chunk follows from its length alone, so no order over all rows is needed: rows of lengths
-    of one power of a quarter octave share chunks of as many as the longest of them allows.
+    A chunk takes rows, shortest first, for as long as its number times its longest stays within the
+    budget, and one row at least: what a loop over the sorted rows would cut. That loop's state when
+    it comes to a length follows from how many rows of each shorter length there are, so it runs over
+    the distinct lengths of a group only. Within a length, rows are numbered over ``salts`` parts by the
+    hash of ``key``, which must tell rows apart, so that no task numbers all rows of a common length.
     """
-    step = F.floor(4 * F.log2(F.greatest(F.col(length), F.lit(1))))
-    size = F.greatest(F.lit(1), F.floor(budget / F.pow(F.lit(2.0), (step + 1) / 4)))
-    place = F.row_number().over(Window.partitionBy("_step").orderBy(length)) - 1
-    out = rows.withColumn("_step", step).withColumn("_size", size).withColumn("_place", place)
-    return out.withColumn("chunk", F.concat_ws("-", F.col("_step").cast("string"), F.floor(F.col("_place") / F.col("_size")).cast("string"))).drop("_step", "_size", "_place")
+    part = list(group)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    sizes = salted.groupBy(*part, length, "_salt").agg(F.count(F.lit(1)).alias("_k"))
+    ahead = Window.partitionBy(*part, length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(ahead), F.lit(0)))
+    lengths = sizes.groupBy(*part, length).agg(F.sum("_k").alias("_n"))
+    runs = lengths.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col(length).cast("long").alias("l"), F.col("_n").alias("n")))).alias("_runs"))
+    entry = "array<struct<l:bigint,open:bigint,chunk:bigint>>"
+
+    def step(seen: Column, run: Column) -> Column:
+        most = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(run["l"], F.lit(1)))).cast("long")
+        # What the open chunk still takes, then whole chunks, then what is left open.
+        room = F.when(seen["open"] > 0, F.least(run["n"], F.greatest(most - seen["open"], F.lit(0)))).otherwise(F.lit(0)).cast("long")
+        rest = run["n"] - room
+        started = F.ceil(rest / most).cast("long")
+        chunk = seen["chunk"] + started
+        left = F.when(rest == 0, seen["open"] + room).otherwise(rest - (started - 1) * most)
+        return F.struct(left.cast("long").alias("open"), chunk.cast("long").alias("chunk"), F.concat(seen["out"], F.array(F.struct(run["l"].alias("l"), seen["open"].alias("open"), seen["chunk"].alias("chunk"))).cast(entry)).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("open"), F.lit(-1).cast("long").alias("chunk"), F.array().cast(entry).alias("out"))
+    entries = runs.select(*part, F.inline(F.aggregate("_runs", zero, step, lambda seen: seen["out"]))).withColumnsRenamed({"l": "_l", "open": "_open", "chunk": "_chunk"})
+    inside = F.row_number().over(Window.partitionBy(*part, length, "_salt").orderBy(key)) - 1
+    placed = salted.withColumn("_in", inside).join(offsets.drop("_k"), [*part, length, "_salt"])
+    entries = entries.withColumnsRenamed({g: f"_g_{g}" for g in part})
+    on = [F.col(length).cast("long") == F.col("_l"), *(F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in part)]
+    j = placed.join(entries, on).withColumn("_r", F.col("_before") + F.col("_in"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("_l"), F.lit(1)))).cast("long")
+    room = F.when(F.col("_open") > 0, F.greatest(most - F.col("_open"), F.lit(0))).otherwise(F.lit(0))
+    chunk = F.when(F.col("_r") < room, F.col("_chunk")).otherwise(F.col("_chunk") + 1 + F.floor((F.col("_r") - room) / most))
+    return j.select(*rows.columns, chunk.cast("long").alias("chunk"))
 
 
 def balanced_pick(rows: DataFrame, factors: Sequence[str], k: int, key: str) -> DataFrame:

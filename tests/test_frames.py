@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from graphspark.functions import detect
 from graphspark.operators import encode, frames, prompts, rewire, structure
 from graphspark.sources import graphs
 
@@ -132,5 +135,44 @@ def test_joins_that_check(spark):
     rows = spark.createDataFrame([(i, i % 3, i % 2) for i in range(30)], "i int, a int, b int")
     picked = frames.balanced_pick(rows, ["a", "b"], 6, "i").collect()
     assert sorted((r.a, r.b) for r in picked) == [(a, b) for a in range(3) for b in range(2)]
-    chunks = frames.budget_groups(spark.range(1, 400).withColumnRenamed("id", "n"), "n", 1000).groupBy("chunk").agg(F.max("n").alias("m"), F.count("n").alias("k"))
-    assert chunks.where("m * k > 1000 and k > 1").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budget_cuts_equal_the_loop(spark, seed):
+    rng = random.Random(seed)
+    kinds = [lambda: rng.randrange(1, 60), lambda: rng.choice([7, 7, 7, 30]), lambda: int(rng.expovariate(0.05)), lambda: rng.choice([5, 2000])]
+    rows = [(i, i % 2 if seed else 0, kinds[seed]()) for i in range(rng.randrange(150, 400))]
+    df = spark.createDataFrame(rows, "id long, g int, n int")
+    got = frames.budget_groups(df, "n", 500, "id", ["g"], salts=5)
+    assert got.columns == ["id", "g", "n", "chunk"] and got.count() == len(rows)
+    mine = {}
+    for r in got.collect():
+        mine.setdefault((r.g, r.chunk), []).append(r.n)
+    want, open_ = {}, {}
+    for _, g, n in sorted(rows, key=lambda r: r[2]):
+        chunk = open_.setdefault(g, [])
+        if chunk and (len(chunk) + 1) * n > 500:
+            chunk = open_[g] = []
+        if not chunk:
+            want.setdefault(g, []).append(chunk)
+        chunk.append(n)
+    assert {k: sorted(v) for k, v in mine.items()} == {(g, i): c for g, chunks in want.items() for i, c in enumerate(chunks)}
+    assert frames.budget_groups(df.limit(0), "n", 500, "id").count() == 0
+
+
+def test_patterns_held_against_the_graph(spark):
+    edges = spark.createDataFrame([(1, u, v) for u, v in ((0, 1), (0, 2), (1, 2), (2, 3))], "graph_id long, u int, v int")
+    nodes = spark.createDataFrame([(1, i) for i in range(4)], "graph_id long, node int")
+    table = "Node 0: 2\nNode 1: 2\nNode 2: 3\nNode 3: 1"
+    cases = [
+        ("edge_count", table + "\nThe sum is 8, and 8 / 2 = 4.", "4", 1), ("edge_count", table.replace("Node 2: 3", "Node 2: 2") + "\n8 / 2 = 4", "4", 1), ("edge_count", "Node 0: 2", "4", 1),
+        ("cycle_check", "See 0 -> 1 -> 2 -> 0.", "Yes", 1), ("cycle_check", "See 0 -> 1 -> 3 -> 0.", "Yes", 1), ("cycle_check", "No walk, but more edges than a tree.", "Yes", 1),
+        ("node_degree", "Its connections are explicitly listed as: 0, 1, 3", "3", 1), ("node_degree", "The degree of node 2 is 1.", "1", 0), ("node_degree", "The clustering is 0.33 there.", "3", 1), ("node_degree", "It is 0.335.", "3", 1),
+    ]
+    frame = spark.createDataFrame([(i, 1, t, x, p, e, False, 2, 0, [0, 1, 3]) for i, (t, x, p, e) in enumerate(cases)], "i int, graph_id long, task string, response string, pred string, exact int, hit_cap boolean, a int, b int, nbrs array<int>")
+    got = frames.pattern_frame(frame, frames.graph_facts(edges, nodes)).orderBy("i").collect()
+    assert len(detect.TEXT_PATTERNS) == 17 and len(detect.NUMERIC_PATTERNS) == 5
+    assert [(r.degree_table, r.degree_table_right, r.chain) for r in got[:3]] == [(1, 1, "right"), (1, 0, "values"), (0, 0, "no table")] and got[1].table_right == 0.75
+    assert [(r.cycle_named, r.cycle_real, r.tree_bound) for r in got[3:6]] == [(1, 1, 0), (1, 0, 0), (0, 0, 1)]
+    assert [(r.retrieve, r.quotes_primer_value) for r in got[6:]] == [(0, 0), (1, 0), (1, 1), (1, 0)]
+    assert got[7].copied == "near" and abs(got[7].copy_chance - 0.0) < 1e-12 and got[6].copied is None and got[3].retrieve is None
