@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphspark.functions.probability import binomial_two_sided
+from graphspark.sources.shared import settled
 
 
 def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -190,8 +191,9 @@ def running_sums(rows: DataFrame, order: str, sums: dict[str, str], group: Seque
     rows of a group. Group columns must not be null. ``following`` names the next row's ``order``, null for the last.
     """
     part = list(group)
-    edges = rows.groupBy(*part).agg(F.percentile_approx(order, F.array(*(F.lit(i / bins) for i in range(1, max(bins, 2))))).alias("_edges"))
-    binned = rows.join(F.broadcast(edges), part or None, "inner") if part else rows.crossJoin(F.broadcast(edges))
+    # Approximate percentiles depend on how partial results are merged: they are written down, so that every reader has the same bins.
+    edges = settled(rows.groupBy(*part).agg(F.percentile_approx(order, F.array(*(F.lit(i / bins) for i in range(1, max(bins, 2))))).alias("_edges")))
+    binned = rows.join(edges, part, "inner") if part else rows.crossJoin(edges)
     binned = binned.withColumn("_bin", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(order))), F.lit(0))).drop("_edges")
     totals = binned.groupBy(*part, "_bin").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()), F.min(order).alias("_low"))
     before = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -200,7 +202,7 @@ def running_sums(rows: DataFrame, order: str, sums: dict[str, str], group: Seque
     )
     inside = Window.partitionBy(*part, "_bin").orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = binned.join(F.broadcast(start), [*part, "_bin"]).withColumns({n: F.sum(c).over(upto) + F.col(f"_s_{n}") for n, c in sums.items()})
+    out = binned.join(start, [*part, "_bin"]).withColumns({n: F.sum(c).over(upto) + F.col(f"_s_{n}") for n, c in sums.items()})
     if following:
         out = out.withColumn(following, F.coalesce(F.lead(order).over(inside), F.col("_next")))
     return out.drop("_bin", "_next", *(f"_s_{n}" for n in sums))

@@ -9,6 +9,7 @@ from graphspark.functions.fmt import two_decimals
 from graphspark.operators.rewire import rewire
 from graphspark.operators.structure import clustering, modal_degree_share
 from graphspark.sources.graphs import fixed_size_random
+from graphspark.sources.shared import settled
 
 #: Fixed values: (nodes, mean degree, prompt tokens) of the difficulty rungs.
 RUNGS = (
@@ -63,7 +64,7 @@ def screen(spark: SparkSession, n: int, mean_degree: float, graphs: int = 8, see
     if graphs < 2:
         raise ValueError("a screen needs at least two graphs")
     keys = spark.range(graphs).select((F.col("id") + seed).alias("graph_id"))
-    edges = fixed_size_random(n, round(mean_degree * n / 2), keys).persist()
+    edges = settled(fixed_size_random(n, round(mean_degree * n / 2), keys))
     nodes = keys.select("graph_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("node"))
     spread = lambda e: clustering(e, nodes).groupBy("graph_id").agg(F.stddev_pop(two_decimals(F.col("clustering")).cast("double")).alias("sd"))
     share = modal_degree_share(edges, nodes).agg(F.avg("share").alias("modal_share"), F.stddev_pop("share").alias("modal_share_sd"))

@@ -98,8 +98,12 @@ def balanced_effects(joined: DataFrame, cell: Sequence[str], gold: str, value: s
             return {"n": int(sum(h[2] for h in halves))}
         delta = sum(50 * (up - down) / n for up, down, n in halves)
         (x, p), (y, q) = (_sign_sums(up + down) for up, down, _ in halves)
-        change = np.abs(50 * (x[:, None] / halves[0][2] + y[None, :] / halves[1][2]))
-        return {"n": sum(h[2] for h in halves), "delta": float(delta), "p": float(min(1.0, (p[:, None] * q[None, :])[change >= abs(delta) - 1e-9].sum()))}
+        # Both sums ascend: for each value of one, the other must lie beyond a bound on either side.
+        x, y, far = 50 * x / halves[0][2], 50 * y / halves[1][2], abs(delta) - 1e-9
+        upto = np.concatenate([[0.0], np.cumsum(q)])
+        below, above = np.searchsorted(y, -far - x, "right"), np.searchsorted(y, far - x, "left")
+        tail = np.where(below >= above, upto[-1], upto[below] + upto[-1] - upto[above])
+        return {"n": sum(h[2] for h in halves), "delta": float(delta), "p": float(min(1.0, (p * tail).sum()))}
 
     return _grouped(counted, cell, run, "n long, delta double, p double")
 
@@ -197,19 +201,22 @@ def trend(rows: DataFrame, cell: Sequence[str], level: str, value: str, draws: i
         mean = (c.sum(0) * v).sum() / m.sum()
         dx = x - (m * x).sum() / m.sum()
 
-        def both(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            s = counts @ v
+        def both(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return (s * dx).sum(-1) / (m * dx * dx).sum(), (m * (s / m - mean) ** 2).sum(-1)
 
-        slope, between = both(c)
+        slope, between = both(c @ v)
         rng = np.random.default_rng([seed, *m.tolist()])
-        drawn = np.zeros((draws, len(x), len(v)), np.int64)
-        for d in range(draws):
-            left = c.sum(0)
-            for i, size in enumerate(m):
-                drawn[d, i] = rng.multivariate_hypergeometric(left, int(size))
-                left = left - drawn[d, i]
-        slopes, squares = both(drawn)
+        # All draws together: a level takes its rows from what is left, one value after another.
+        left, sums = np.tile(c.sum(0), (draws, 1)), np.zeros((draws, len(x)))
+        for i, size in enumerate(m):
+            want, rest = np.full(draws, size), left.sum(1)
+            for k, value in enumerate(v):
+                rest = rest - left[:, k]
+                got = rng.hypergeometric(left[:, k], rest, want) if rest.any() or want.any() else np.zeros(draws, np.int64)
+                left[:, k] -= got
+                want = want - got
+                sums[:, i] += got * value
+        slopes, squares = both(sums)
         p = lambda hits: float((hits.sum() + 1) / (draws + 1))
         return {"slope": float(slope), "between": float(between), "p_slope": p(np.abs(slopes) >= abs(slope) - 1e-12), "p_between": p(squares >= between - 1e-12)}
 

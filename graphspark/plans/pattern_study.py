@@ -15,7 +15,7 @@ from graphspark.operators import draws, frames, reports, shifts, structure
 from graphspark.plans import study
 from graphspark.plans.claims_study import WALKS_SQL, _listed
 from graphspark.plans.reports import _CONFLICT, _EFF, _P, _bars, _cells, _pairs, _round, report
-from graphspark.sources import graphs, io
+from graphspark.sources import graphs, shared
 
 _TIE = 1e-12
 ALL_PATTERNS = detect.TEXT_PATTERNS | detect.NUMERIC_PATTERNS
@@ -46,7 +46,7 @@ def _frame(spark: SparkSession, d: str) -> DataFrame:
         texts = rows.join(table, "graph_id").withColumn("response", F.expr(TEXT_SQL))
         return frames.pattern_frame(texts, frames.graph_facts(edges, nodes))
 
-    return io.derived(spark, "study-patterns", [f"{d}/{t}.parquet" for t in ("lineitem", "orders", "events")], make)
+    return shared.derived(spark, "study-patterns", [f"{d}/{t}.parquet" for t in ("lineitem", "orders", "events")], make)
 
 
 def _in(name: str) -> str:

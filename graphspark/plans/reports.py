@@ -12,6 +12,7 @@ from graphspark.operators import encode, features, inference, prompts, reports,
 from graphspark.plans import study
 from graphspark.plans.oracle import GRAPHS, REACH
 from graphspark.sources import graphs
+from graphspark.sources.shared import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -677,8 +678,8 @@ def _known_contexts(spark: SparkSession, d: str, task: str) -> DataFrame:
 
 
 def _feature_rows(spark: SparkSession, d: str, task: str) -> DataFrame:
-    """What the rules of a task read, kept, as fits read it often."""
-    return solver.with_features(_known_contexts(spark, d, task), task).persist()
+    """What the rules of a task read, written down, as fits read it often."""
+    return settled(solver.with_features(_known_contexts(spark, d, task), task))
 
 
 def solver_ranked(spark, d):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphspark.functions import answers, detect
 from graphspark.operators import inference, structure, tasks
 from graphspark.operators.runs import generations
-from graphspark.sources import graphs, io
+from graphspark.sources import graphs, shared
 
 TASKS = ("node_count", "edge_count", "node_degree", "edge_existence", "connected_nodes", "cycle_check")
 CONDITIONS = ("none", "filler", "components", "degree", "clustering", "rwse", "all")
@@ -104,7 +104,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     inputs = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "events")]
     make = lambda: generations(scored(responses(spark, sf_dir)), [*KEYS, "condition"], "event_id")
-    return io.derived(spark, "study-runs", inputs, make)
+    return shared.derived(spark, "study-runs", inputs, make)
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:

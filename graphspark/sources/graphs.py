@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphspark.sources.shared import derived, settled
+
 EDGES = "graph_id long, u int, v int"
 NODES = "graph_id long, node int"
 
@@ -19,10 +21,18 @@ SPLIT_SEEDS = {"train": 9876, "test": 1234, "valid": 5432}
 
 
 def order_graphs(spark: SparkSession, sf_dir: str, size: int = 40) -> tuple[DataFrame, DataFrame]:
-    """One graph per customer: nodes are part classes bought, edges join what one order holds.
+    """(edges, nodes), one graph per customer: nodes are part classes bought, edges join what one order holds.
 
-    An order has a handful of lines, so pairing them within the order is linear in the table.
+    A session derives the two tables once and writes them, sorted by graph within their files; whatever
+    reads graphs then starts from a scan.
     """
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem")]
+    made = lambda part: lambda: _order_graphs(spark, sf_dir, size)[part].sortWithinPartitions("graph_id")
+    return derived(spark, f"order-edges-{size}", inputs, made(0)), derived(spark, f"order-nodes-{size}", inputs, made(1))
+
+
+def _order_graphs(spark: SparkSession, sf_dir: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """An order has a handful of lines, so pairing them within the order is linear in the table."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.pmod("l_partkey", F.lit(size)).cast("int").alias("node"))
     bought = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("graph_id"), "o_orderkey", "node")
@@ -112,7 +122,7 @@ def generate(spark: SparkSession, keys: DataFrame) -> tuple[DataFrame, DataFrame
                 out += [(r.graph_id, *e) for e in sorted(_random_graph(r.algorithm, n, rng, r.low, r.high))]
             yield pd.DataFrame(out, columns=["graph_id", "u", "v"]).astype({"graph_id": "int64", "u": "int32", "v": "int32"})
 
-    made = keys.mapInPandas(run, EDGES).persist()
+    made = settled(keys.mapInPandas(run, EDGES))
     return made.where("u >= 0"), made.where("u < 0").select("graph_id", F.col("v").alias("node"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphspark.operators.structure import degrees
-from graphspark.sources import io
+from graphspark.sources import io, shared
 from graphspark.streaming import responses
 
 
@@ -143,6 +143,12 @@ def test_derived_tables_are_made_once_and_follow_their_inputs(spark, tmp_path):
         return spark.read.parquet(source).selectExpr("id * 2 as twice")
 
     spark.range(5).write.parquet(source)
-    assert [io.derived(spark, "twice", [source], make).count() for _ in range(2)] == [5, 5] and len(made) == 1
+    assert [shared.derived(spark, "twice", [source], make).count() for _ in range(2)] == [5, 5] and len(made) == 1
     spark.range(7).write.mode("overwrite").parquet(source)
-    assert io.derived(spark, "twice", [source], make).count() == 7 and len(made) == 2
+    assert shared.derived(spark, "twice", [source], make).count() == 7 and len(made) == 2
+
+
+def test_settled_tables_are_computed_once(spark):
+    once = shared.settled(spark.range(50).selectExpr("id", "rand() as x", "array(id) as a"))
+    assert once.collect() == once.collect() and once.columns == ["id", "x", "a"]
+    assert shared.settled(spark.range(0)).count() == 0

@@ -53,7 +53,7 @@ def test_eight_kinds_of_change(spark, effect, truncated, q, states, kind):
 
 def test_slope_with_a_level_for_each_band(spark):
     rng = np.random.default_rng(3)
-    rows = [("a", b, float(x), 10.0 * b + 2.0 * x + float(rng.normal(0, 0.3)), f"{b}/{i}") for b in range(3) for i, x in enumerate(rng.uniform(0, 1, 15))]
+    rows = [("a", b, float(x), 10.0 * b + 2.0 * float(x) + float(rng.normal(0, 0.3)), f"{b}/{i}") for b in range(3) for i, x in enumerate(rng.uniform(0, 1, 15))]
     rows += [("b", b, float(x), 10.0 * b + float(rng.normal(0, 1)), f"{b}/{i}") for b in range(3) for i, x in enumerate(rng.uniform(0, 1, 15))]
     rows += [("c", b, 1.0, float(b), f"{b}/0") for b in range(3)]
     df = spark.createDataFrame(rows, "cell string, band int, x double, y double, unit string")
