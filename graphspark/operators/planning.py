@@ -17,6 +17,15 @@ RUNGS = (
     (80, 8, 3448), (60, 12, 3489), (60, 16, 4407), (80, 12, 4688), (120, 8, 5409), (80, 16, 5931),
     (120, 12, 7373), (160, 8, 7576), (120, 16, 9344), (160, 12, 10330), (200, 12, 13277), (300, 8, 15136),
 )
+#: What reading a primer alone gives away of a task, as audited: the answer, part of it, or nothing.
+SHORTCUT_AUDIT = {
+    ("degree", "node_count"): "shortcut", ("clustering", "node_count"): "shortcut", ("rwse", "node_count"): "shortcut", ("filler", "node_count"): "shortcut", ("components", "node_count"): "none",
+    ("degree", "edge_count"): "shortcut", ("clustering", "edge_count"): "partial", ("rwse", "edge_count"): "none", ("filler", "edge_count"): "none", ("components", "edge_count"): "none",
+    ("degree", "node_degree"): "shortcut", ("clustering", "node_degree"): "none", ("rwse", "node_degree"): "partial", ("filler", "node_degree"): "none", ("components", "node_degree"): "none",
+    ("degree", "cycle_check"): "partial", ("clustering", "cycle_check"): "partial", ("rwse", "cycle_check"): "partial", ("filler", "cycle_check"): "none", ("components", "cycle_check"): "shortcut",
+    ("degree", "edge_existence"): "partial", ("clustering", "edge_existence"): "partial", ("rwse", "edge_existence"): "partial", ("filler", "edge_existence"): "none", ("components", "edge_existence"): "none",
+    ("degree", "connected_nodes"): "partial", ("clustering", "connected_nodes"): "none", ("rwse", "connected_nodes"): "none", ("filler", "connected_nodes"): "none", ("components", "connected_nodes"): "none",
+}
 #: Tokens at which reading starts to fail, is known to fail, and fails in the middle.
 READING = (1505, 3105, 6305)
 
@@ -172,3 +181,29 @@ def retrieval_matrix(rows: DataFrame) -> DataFrame:
         F.avg(F.when(~F.col("_lost"), F.col("exact").cast("double"))).alias("accuracy"), F.sum((~F.col("_lost")).cast("long")).alias("n"), F.sum(F.col("_lost").cast("long")).alias("dropped")
     )
     return out.select("model", "k", "position", "magnitude", "accuracy", "n", "dropped")
+
+
+# --- what a primer alone answers -----------------------------------------------------------------
+
+
+def audit(spark: SparkSession) -> DataFrame:
+    """(condition, task, label): what a primer alone gives away, as audited by hand."""
+    return spark.createDataFrame([(c, t, label) for (c, t), label in SHORTCUT_AUDIT.items()], "condition string, task string, label string")
+
+
+def verdicts(cells: DataFrame, decided: float = 0.99) -> DataFrame:
+    """``cells`` (condition, task, rung, baseline, shortcut) with ``gap`` in points, ``decided`` and ``label``.
+
+    A cell is decided where the shortcut answers nearly all: a model run adds nothing there. ``label`` is
+    the audit's, null for conditions outside it.
+    """
+    known = audit(cells.sparkSession)
+    out = cells.join(F.broadcast(known), ["condition", "task"], "left")
+    return out.withColumns({"gap": 100 * (F.col("shortcut") - F.col("baseline")), "decided": F.col("shortcut") >= decided})
+
+
+def best_arm(scores: DataFrame, group: list[str], arm: str, score: str, tolerance: float = 1e-12) -> DataFrame:
+    """(group, arm, score): the best arm of each group; of those within ``tolerance`` of it the first by name."""
+    top = scores.groupBy(*group).agg(F.max(score).alias("_top"))
+    near = scores.join(top, group).where(F.col(score) >= F.col("_top") - tolerance)
+    return near.groupBy(*group).agg(F.min_by(F.struct(arm, score), arm).alias("_b")).select(*group, F.col(f"_b.{arm}").alias(arm), F.col(f"_b.{score}").alias(score))

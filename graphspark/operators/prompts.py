@@ -151,13 +151,13 @@ def reworded(question: Column) -> Column:
 # --- corpora -------------------------------------------------------------------------------------
 
 
-def build_corpus(edges: DataFrame, nodes: DataFrame, names: Sequence[str], conditions: Sequence[str], style: str = "zero_shot", prefix: Column | None = None) -> DataFrame:
+def build_corpus(edges: DataFrame, nodes: DataFrame, names: Sequence[str], conditions: Sequence[str], style: str = "zero_shot", prefix: Column | None = None, asked: DataFrame | None = None) -> DataFrame:
     """Prompt rows of every graph, task and condition; one question a graph and task for all conditions.
 
     Graphs of fewer nodes than a task asks about have no row of it. ``prefix`` is what stands in
-    instance_id between the task and the graph.
+    instance_id between the task and the graph, ``asked`` the queried nodes (graph_id, a, b), else drawn.
     """
-    asked = tasks.targets(nodes)
+    asked = asked if asked is not None else tasks.targets(nodes)
     sizes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).cast("int").alias("nodes"))
     counts = edges.groupBy("graph_id").agg(F.count(F.lit(1)).cast("int").alias("edges"))
     texts = encode.encode(edges, nodes)
