@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphspark.functions.spans import let
 from graphspark.operators import encode, primer, tasks
 
 #: How texts about graphs open, list edges and ask.
@@ -33,6 +34,13 @@ def _ints(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
 
 
+def _last_of_each(pairs: Column, key: str, value: str) -> Column:
+    """Key -> value of an array of pairs, the last of equal keys: sorted by key and place, so that equal ones are neighbours."""
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p[key].alias("k"), i.alias("i"), p[value].alias("v"))))
+    last = lambda all_: F.filter(all_, lambda p, i: F.coalesce(F.get(all_, i + 1)["k"] != p["k"], F.lit(True)))
+    return F.map_from_entries(F.transform(let(placed, last), lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value"))))
+
+
 def _edge(a: Column, b: Column) -> Column:
     return F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
 
@@ -55,12 +63,7 @@ def incident_lines(text: Column) -> Column:
     """Node -> its line, of an encoding with one line a node; the last of equal nodes counts."""
     lines = F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
     pairs = F.transform(lines, lambda x: F.struct(_ints(x)[0].alias("node"), x.alias("line")))
-    kept = F.aggregate(
-        pairs,
-        F.array().cast("array<struct<node:int,line:string>>"),
-        lambda out, p: F.concat(F.filter(out, lambda o: o["node"] != p["node"]), F.array(p)),
-    )
-    return F.map_from_entries(kept)
+    return _last_of_each(pairs, "node", "line")
 
 
 def incident_edges(text: Column) -> Column:
@@ -124,9 +127,7 @@ def stated(text: Column, feature: str) -> Column:
         value = lambda s: F.regexp_extract(s, rx, 2).cast(kind)
     found = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
     pairs = F.transform(found, lambda s: F.struct(F.regexp_extract(s, rx, 1).cast("int").alias("k"), value(s).alias("v")))
-    keys = F.transform(pairs, lambda p: p["k"])
-    last = F.filter(pairs, lambda p, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), p["k"]) == 0)
-    return F.map_from_entries(last)
+    return _last_of_each(pairs, "k", "v")
 
 
 def nodes_listed(text: Column) -> Column:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from graphspark.plans import intervals, oracle, queries, reports  # noqa: F401
+from graphspark.plans import claims_study, density_study, intervals, lesson_queries, oracle, pattern_study, queries, reports, reruns  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ["orders", "lineitem", "customer", "events", "documents", "labels", "conversations"]
@@ -33,7 +33,7 @@ def test_query_matches_sql(spark, duck, name):
     assert _rows(mine) == _rows(theirs)
 
 
-@pytest.mark.parametrize("name", ["frame_main", "report_main", "report_bands", "report_ccanswer", "report_pdsource", "report_lcopy", "report_joint", "report_contrast", "parse_incident", "parse_prompts", "island_bounds", "report_main_intervals", "report_bandlor", "report_length", "report_bundle", "report_splithalf", "report_copyerr", "report_equivalence"])
+@pytest.mark.parametrize("name", ["frame_main", "report_main", "report_bands", "report_ccanswer", "report_pdsource", "report_lcopy", "report_joint", "report_contrast", "parse_incident", "parse_prompts", "island_bounds", "report_main_intervals", "report_bandlor", "report_length", "report_bundle", "report_splithalf", "report_copyerr", "report_equivalence", "report_rerun", "report_replic", "report_naming", "report_rewiring", "report_ccwhere", "report_cnsource", "report_eepairs", "pattern_frame", "report_rptasks", "report_pvn", "report_ddpools", "hobby_questions", "training_rows"])
 def test_report_matches_sql(spark, duck, name):
     mine, theirs = reports.QUERIES[name](spark, DATA).toPandas(), duck.execute(reports.SQL[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
