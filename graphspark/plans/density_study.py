@@ -23,7 +23,7 @@ def _pools(rows: DataFrame) -> DataFrame:
 
 
 @report(
-    """, dg AS (SELECT density, graph_id, any_value(n_nodes) AS n, any_value(n_edges) AS m, any_value(gold) AS gold FROM frame WHERE task = 'node_degree' GROUP BY ALL), bb AS (SELECT density, gold, count(*) AS k FROM dg GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY density ORDER BY count(*) DESC, gold) = 1)
+    """, dg AS (SELECT density, graph_id, any_value(n_nodes) AS n, any_value(n_edges) AS m, any_value(gold) AS gold FROM frame WHERE task = 'node_degree' GROUP BY ALL), bb AS (SELECT density, gold, count(*) AS k FROM dg GROUP BY density, gold QUALIFY row_number() OVER (PARTITION BY density ORDER BY count(*) DESC, gold) = 1)
   SELECT dg.density, count(*) AS graphs, round(avg(n), 6) AS nodes, round(avg(m), 6) AS edges, round(avg(CAST(dg.gold AS INTEGER)), 6) AS gold, any_value(bb.gold) AS constant, round(any_value(k) / count(*), 6) AS blind FROM dg JOIN bb USING (density) GROUP BY dg.density"""
 )
 def report_ddsetup(spark: SparkSession, d: str) -> DataFrame:

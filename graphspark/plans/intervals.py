@@ -99,7 +99,7 @@ _CH = f"ch(condition, kchars) AS (VALUES {', '.join(f"('{c}', CAST({k} AS DOUBLE
   m AS (SELECT arm, task, max(tmax) AS tmax, regr_slope(delta, kchars) FILTER (condition <> 'filler') AS slope, regr_intercept(delta, kchars) FILTER (condition <> 'filler') AS icpt, max(delta) FILTER (condition = 'filler') AS fd, max(kchars) FILTER (condition = 'filler') AS fk FROM l JOIN ch USING (condition) GROUP BY ALL){_W},
   per AS (SELECT arm, task, condition, graph_id, count(*) AS n, sum({_UP}) AS up, sum({_DOWN}) AS down FROM paired WHERE {_VARYING} AND condition <> 'filler' GROUP BY ALL),
   v AS (SELECT arm, task, condition, draw, 100.0 * (sum(w.w * up) - sum(w.w * down)) / sum(w.w * n) AS delta FROM per JOIN w USING (graph_id) WHERE w.w > 0 GROUP BY ALL),
-  f AS (SELECT arm, task, draw, regr_slope(delta, kchars) AS s FROM v JOIN ch USING (condition) GROUP BY ALL), ci AS (SELECT arm, task, quantile_cont(s, 0.025) AS low, quantile_cont(s, 0.975) AS high FROM f GROUP BY ALL)
+  f AS (SELECT arm, task, draw, CASE WHEN count(DISTINCT kchars) > 1 THEN regr_slope(delta, kchars) END AS s FROM v JOIN ch USING (condition) GROUP BY ALL), ci AS (SELECT arm, task, quantile_cont(s, 0.025) AS low, quantile_cont(s, 0.975) AS high FROM f GROUP BY ALL)
   SELECT arm, task, round(slope, 6) AS slope, round(fd - (icpt + slope * fk), 6) AS filler_gap, round(low, 6) AS low, round(high, 6) AS high FROM m JOIN ci USING (arm, task) WHERE tmax < 0.15"""
 )
 def report_length(spark: SparkSession, d: str) -> DataFrame:
