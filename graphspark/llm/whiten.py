@@ -235,7 +235,7 @@ def whiten_all(vectors: DataFrame, components: int = 32, vector_col: str = "embe
     One row for every usable vector and component, from 1 by falling eigenvalue, up to ``components``.
     Entries are taken as whole numbers, floor(64 * c) + 1000000. Vectors that are null, empty, or hold
     null, non-finite or immense (2^56) entries give no rows and take no part in the fit. Vectors of
-    another length are a fit list of their own. A component of no variance does not exist: equal
+    another length are a fit list of their own, read in passes of its own. A component of no variance does not exist: equal
     vectors, or a single one, have none and so give no rows. Copies and rows of one id count as often
     as they come, null ids stay, other columns are not read, and an empty table gives no rows.
     """
