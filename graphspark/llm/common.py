@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of what nothing refers to any more.
+
+    A table that was handed to ``cut`` is still held while ``cut`` runs; its files can go only after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _HELD: dict[str, Callable[[], None]] = {}
 
 
