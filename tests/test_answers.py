@@ -42,6 +42,13 @@ def test_extraction_cases(spark):
     assert {i: got[i] for i in got} == {i: want for i, (_, _, want) in enumerate(CASES)}
 
 
+def test_words_end_at_letters_beyond_ascii(spark):
+    """As the SQL reads them: a letter beyond ASCII is no part of a word."""
+    df = spark.createDataFrame([("\nNo\u00f1asci\u00f3nque esos",), ("Nothing; yes_no",), ("\u00e9yes \u00fc",), ("no nodes\u00f1 no",)], "t string")
+    assert [r.x for r in df.select(answers.boolean_answer(F.col("t")).alias("x")).collect()] == ["No", None, "Yes", "No"]
+    assert [r.x for r in df.select(answers.yes_no(F.col("t")).alias("x")).collect()] == ["No", None, "Yes", "No"]
+
+
 def test_unknown_task_raises(spark):
     with pytest.raises(Exception, match="unknown task"):
         spark.createDataFrame([("x", "nope")], "text string, task string").select(answers.answer(F.col("text"), F.col("task"))).collect()
