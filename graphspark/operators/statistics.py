@@ -226,25 +226,41 @@ def trend(rows: DataFrame, cell: Sequence[str], level: str, value: str, draws: i
 # --- sign tests, power ---------------------------------------------------------------------------
 
 
-def _rejecting(changed: int, alpha: float) -> np.ndarray:
-    """Which numbers of wins among ``changed`` differing pairs the exact sign test rejects."""
-    sums, chance = _sign_sums(changed)
-    order = np.argsort(-np.abs(sums), kind="stable")
-    tail = np.empty(changed + 1)
-    far = np.abs(sums)
-    tail[order] = [chance[far >= far[i]].sum() for i in order]
-    return tail <= alpha + 1e-12
+#: Standard deviations from its mean beyond which a binomial's chances are below the smallest double.
+_REACH = 40
 
 
-def _power(changed: int, share: float, alpha: float) -> float:
+def _near_mean(k: int, share: float) -> tuple[int, np.ndarray]:
+    """(first, chances) of a binomial count of k, from ``first`` on, as far as a double holds them.
+
+    Ratios of neighbours are summed away from the mode, so that nothing of the size of log k! comes up.
+    """
+    if share <= 0 or share >= 1:
+        return (k if share >= 1 else 0), np.ones(1)
+    reach = math.ceil(_REACH * math.sqrt(k * share * (1 - share))) + _REACH**2
+    mode = min(k, int((k + 1) * share))
+    lo, hi = max(0, mode - reach), min(k, mode + reach)
+    i = np.arange(lo, hi, dtype=float)
+    steps = np.log((k - i) / (i + 1)) + (math.log(share) - math.log1p(-share))
+    logs = np.concatenate([-np.cumsum(steps[: mode - lo][::-1])[::-1], [0.0], np.cumsum(steps[mode - lo :])])
+    chances = np.exp(logs)
+    return lo, chances / chances.sum()
+
+
+def _lower_bound(changed: int, alpha: float) -> int:
+    """The most wins among ``changed`` differing pairs that the exact sign test rejects as too few; -1 if none are."""
+    first, chance = _near_mean(changed, 0.5)
+    below = chance[: max(0, (changed + 1) // 2 - first)]
+    return first - 1 + int((2 * np.cumsum(below) <= alpha + 1e-12).sum())
+
+
+def _power(changed: int, share: float, alpha: float, bound: int | None = None) -> float:
     """The chance that the exact sign test rejects if each differing pair is a win with chance ``share``."""
-    if changed == 0:
+    bound = _lower_bound(changed, alpha) if bound is None else bound
+    if bound < 0:
         return 0.0
-    i = np.arange(changed + 1)
-    with np.errstate(divide="ignore"):
-        logs = np.array([math.lgamma(changed + 1) - math.lgamma(x + 1) - math.lgamma(changed - x + 1) for x in i])
-        wins = np.where(i > 0, i * np.log(max(share, 1e-300)), 0) + np.where(changed - i > 0, (changed - i) * np.log(max(1 - share, 1e-300)), 0)
-    return float(np.exp(logs + wins)[_rejecting(changed, alpha)].sum())
+    first, chance = _near_mean(changed, share)
+    return float(chance[: max(0, bound + 1 - first)].sum() + chance[max(0, changed - bound - first) :].sum())
 
 
 def detectable_effect(joined: DataFrame, cell: Sequence[str], value: str = "correct", power: float = 0.8, alpha: float = 0.05) -> DataFrame:
@@ -259,11 +275,12 @@ def detectable_effect(joined: DataFrame, cell: Sequence[str], value: str = "corr
         c = pdf[list(PATTERNS)].to_numpy(np.int64).sum(0)
         n, changed = int(c.sum()), int(c[1] + c[2])
         out = {"n": n, "changed": changed}
-        if changed and _power(changed, 1.0, alpha) >= power:
+        bound = _lower_bound(changed, alpha)
+        if changed and _power(changed, 1.0, alpha, bound) >= power:
             lo, hi = 0.5, 1.0
             for _ in range(40):
                 mid = (lo + hi) / 2
-                lo, hi = (lo, mid) if _power(changed, mid, alpha) >= power else (mid, hi)
+                lo, hi = (lo, mid) if _power(changed, mid, alpha, bound) >= power else (mid, hi)
             out["mde"] = float((2 * hi - 1) * changed / n)
         return out
 

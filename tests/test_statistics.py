@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -73,6 +74,20 @@ def test_power_of_the_sign_test(spark):
     assert 120 < n < 260
 
 
+def test_power_of_millions_of_pairs():
+    """As exact sums say for a few pairs; for millions as the normal law says, in a blink."""
+    for k, share in ((1, 0.9), (6, 1.0), (21, 0.7), (400, 0.57)):
+        p = [min(1.0, 2 * sum(math.comb(k, i) for i in range(min(w, k - w) + 1)) / 2**k) for w in range(k + 1)]
+        power = sum(math.comb(k, w) * share**w * (1 - share) ** (k - w) for w in range(k + 1) if p[w] <= 0.05)
+        assert math.isclose(statistics._power(k, share, 0.05), power, rel_tol=1e-9, abs_tol=1e-12)
+    began = time.time()
+    for k in (3_000_000, 300_000_000):
+        shift = 2 * math.sqrt(k) * 0.0014
+        normal = 0.5 * math.erfc((1.959964 - shift) / math.sqrt(2)) + 0.5 * math.erfc((1.959964 + shift) / math.sqrt(2))
+        assert abs(statistics._power(k, 0.5014, 0.05) - normal) < 2e-3
+    assert time.time() - began < 5
+
+
 def test_distributions(spark):
     one = spark.range(1).select(
         statistics.fisher_exact(F.lit(3), F.lit(1), F.lit(1), F.lit(3)).alias("f"), statistics.binomial_greater(F.lit(7), F.lit(10), F.lit(0.5)).alias("b"), statistics.correlation_p(F.lit(0.5), F.lit(12)).alias("r"),
