@@ -138,6 +138,19 @@ def test_max_flow_and_formatting(spark):
     assert [r.j for r in phrases.select(join_phrases(F.col("p")).alias("j")).collect()] == ["a", "a and b", "a, b, and c"]
 
 
+def test_flows_of_many_graphs(spark):
+    """Flows over 3,000 graphs against closed forms: a task streams over its graphs, with no call between engines for each."""
+    arcs = spark.createDataFrame([(g, *e) for g in range(3000) for e in ((0, 1, 1 + g % 7), (1, 2, 1 + g % 5), (0, 2, 4), (0, 2, 1))], "graph_id long, u int, v int, weight int")
+    asked = spark.createDataFrame([(g, *q) for g in range(3001) for q in ((0, 2), (2, 0), (1, 1), (2, 9))], "graph_id long, src int, dst int")
+    flows = structure.max_flow(arcs, asked)
+    assert "Grouped" not in (plan := flows._jdf.queryExecution().toString()) and "CoGroup" not in plan
+    rows = flows.collect()
+    assert len(rows) == 4 * 3001
+    for r in rows:
+        known = 5 + min(1 + r.graph_id % 7, 1 + r.graph_id % 5) if {r.src, r.dst} == {0, 2} and r.graph_id < 3000 else 0
+        assert r.flow == known
+
+
 def test_generators_repeat_and_spread(spark):
     keys = graphs.pool_keys(spark, 16, seed=5)
     counts = sorted(r["count"] for r in keys.groupBy("algorithm").count().collect())
