@@ -42,3 +42,16 @@ def test_report_matches_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(oracle.SQL) <= set(queries.QUERIES) and set(reports.SQL) <= set(reports.QUERIES)
+
+
+def test_primers_are_parsed_once_for_all_tasks(spark, monkeypatch):
+    """Four tasks read one table of what primers state, not four parses of every text."""
+    from graphspark.operators import primer
+
+    calls, parse = [], primer.parse
+    monkeypatch.setattr(primer, "parse", lambda rows: calls.append(1) or parse(rows))
+    monkeypatch.setattr("graphspark.sources.shared._DERIVED", {})
+    for task in ("edge_count", "node_count"):
+        rows = reports._known_contexts(spark, DATA, task)
+        assert rows.where("size(ns) = n and degree is not null").count() == rows.count() > 0
+    assert len(calls) == 1
