@@ -158,3 +158,21 @@ def test_generators_repeat_and_spread(spark):
     first, second = (sorted(map(tuple, graphs.generate(spark, keys)[0].collect())) for _ in range(2))
     assert first == second and first
     assert graphs.labelled_graphs(spark, 4).count() == 64
+
+
+@pytest.mark.parametrize("limits", [{"adaptive.autoBroadcastJoinThreshold": "10m"}, {"adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "adaptive.skewJoin.skewedPartitionFactor": "0.5"}], ids=["broadcast", "split"])
+def test_graphs_stay_whole_above_joins_dealt_by_graph(spark, limits):
+    limits = {f"spark.sql.{k}": v for k, v in ({"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false"} | limits).items()}
+    rows = spark.range(22_000).select((F.col("id") % 2000).alias("graph_id"), F.floor(F.col("id") / 2000).cast("int").alias("node"))
+    edges = rows.where("node < 10").select("graph_id", F.col("node").alias("u"), (F.col("node") + 1).alias("v"))
+    wanted = spark.range(2000).where("id % 3 <> 1").select(F.col("id").alias("graph_id")).distinct()
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        edges, nodes = (x.join(wanted, "graph_id", "left_semi") for x in (edges, rows))
+        got = structure.statistics_by_graph(edges, nodes).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("ends")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 1333 and all((r.n, r.ends) == (11, 20) for r in got)
