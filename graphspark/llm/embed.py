@@ -1,23 +1,24 @@
-"""Embedding near-duplicates: range joins on rotated subspaces, found links verified exactly."""
+"""Embedding near-duplicates: range joins of boxes in rotated subspaces, found links verified exactly."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.common import Forest, cut, in_worker, sorted_groups
+from graphspark.llm.common import Forest, cut, in_worker, tidy
 from graphspark.llm.components import connected_components
 
-#: Vectors that a subspace's cells are fitted on, at most; every vector is routed and compared.
+#: Vectors that the boxes are fitted on, at most; every vector is dealt to its box and compared.
 SAMPLE = 4096
-_SLACK = 1e-6
-#: Bits of a part's number in the key of a place where parts meet.
-_PART_BITS = 15
-_PART_MASK = (1 << _PART_BITS) - 1
+#: Bytes of vectors in one block, at most.
+BLOCK_BYTES = 4 << 20
+#: Rows of a tile, pairs of a product, and pairs verified at once.
+_TILE, _PRODUCT, _VERIFIED = 512, 2 << 20, 100_000
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -27,7 +28,7 @@ def rotation(d: int, seed: int = 7) -> np.ndarray:
 
 
 class Cells:
-    """A k-d split of one subspace into axis-parallel boxes that cover all of it."""
+    """A k-d split of space into axis-parallel boxes that cover all of it; neighbours have near numbers."""
 
     def __init__(self, sample: np.ndarray, depth: int) -> None:
         self.axis: list[int] = []
@@ -56,32 +57,18 @@ class Cells:
         self.high[me] = self._grow(x[~below], depth - 1)
         return me
 
-    def route(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, home): the leaf of every row, and the leaves of higher number within reach.
-
-        A pair of rows at most ``radius`` apart meets in the home leaf of one of the two.
-        """
-        home = np.empty(len(x), np.int64)
-        rows, leaves = [], []
-        stack = [(self.root, np.arange(len(x)), np.ones(len(x), bool))]
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        """The box of every row, from 1."""
+        out = np.empty(len(x), np.int32)
+        stack = [(self.root, np.arange(len(x)))]
         while stack:
-            node, idx, own = stack.pop()
-            if len(idx) == 0:
-                continue
+            node, idx = stack.pop()
             if node < 0:
-                home[idx[own]] = -node
-                rows.append(idx)
-                leaves.append(np.full(len(idx), -node))
-                continue
-            v = x[idx, self.axis[node]]
-            low = v < self.at[node]
-            near_low, near_high = v < self.at[node] + radius, v >= self.at[node] - radius
-            stack.append((self.low[node], idx[near_low], (own & low)[near_low]))
-            stack.append((self.high[node], idx[near_high], (own & ~low)[near_high]))
-        row, leaf = np.concatenate(rows), np.concatenate(leaves)
-        keep = leaf >= home[row]
-        row, leaf = row[keep], leaf[keep]
-        return row, leaf, leaf == home[row]
+                out[idx] = -node
+            elif len(idx):
+                low = x[idx, self.axis[node]] < self.at[node]
+                stack += [(self.low[node], idx[low]), (self.high[node], idx[~low])]
+        return out
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -90,27 +77,26 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _square(d: np.ndarray) -> np.ndarray:
-    """Row sums of squares, added column by column: the same for a row whatever its batch."""
-    out = np.zeros(len(d))
-    for c in range(d.shape[1]):
-        out += d[:, c] * d[:, c]
-    return out
-
-
 class _Subspaces:
     def __init__(self, d: int, block: int, threshold: float) -> None:
         self.turn = rotation(d)
         count = max(1, d // block)
-        cuts = np.linspace(0, d, count + 1).astype(int)
-        self.ranges = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-        budget = 2 * (1 - threshold)
-        self.budgets = [budget * (hi - lo) / d for lo, hi in self.ranges]
+        self.starts = np.linspace(0, d, count + 1).astype(int)[:-1]
+        #: Squared distance of a linked pair at most, over all subspaces, with room for rounding.
+        self.budget = 2 * (1 - threshold) + 1e-4
         self.d = d
         self.threshold = threshold
+        #: More than a product in single precision of two unit vectors can be off.
+        self.slack = 1.2e-7 * (d + 16)
 
-    def radius(self, b: int) -> float:
-        return math.sqrt(self.budgets[b]) + _SLACK
+    def apart(self, low: np.ndarray, high: np.ndarray, boxes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Squared distance of one box to each of ``boxes``, subspace by subspace until it is beyond the budget."""
+        out = np.zeros(len(boxes[0]))
+        for lo, hi in zip(self.starts, [*self.starts[1:], self.d]):
+            near = np.flatnonzero(out <= self.budget)
+            gap = np.maximum(0, np.maximum(boxes[0][near, lo:hi] - high[lo:hi], low[lo:hi] - boxes[1][near, lo:hi]))
+            out[near] += (gap * gap).sum(1)
+        return out
 
 
 def _tiles(x: np.ndarray, idx: np.ndarray, size: int) -> list[np.ndarray]:
@@ -125,49 +111,54 @@ def _tiles(x: np.ndarray, idx: np.ndarray, size: int) -> list[np.ndarray]:
     return _tiles(x, order[:half], size) + _tiles(x, order[half:], size)
 
 
-def _pairs_of_cell(x: np.ndarray, home: np.ndarray, b: int, space: _Subspaces, part_of: np.ndarray | None = None, tile: int = 256):
-    """Yield arrays (i, j) of linked rows that this cell answers for; i is at home here.
+@dataclass
+class _Block:
+    node: np.ndarray
+    copies: np.ndarray
+    #: Unit vectors in double and in single precision, tile by tile.
+    unit: np.ndarray
+    single: np.ndarray
+    #: Where tiles begin and end, and their boxes in the rotated space.
+    cuts: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
-    With ``part_of``, only pairs of two different parts.
-    """
-    y = _normal(x)
+
+def _block(node: bytes, copies: bytes, x: bytes, kind: type, space: _Subspaces) -> _Block:
+    y = _normal(np.frombuffer(x, kind).reshape(-1, space.d).astype(np.float64))
     z = y @ space.turn
-    lo, hi = space.ranges[b]
-    part = np.ascontiguousarray(z[:, lo:hi], np.float32)
-    half = 0.5 * (part * part).sum(1, keepdims=True)
-    one = np.ones_like(half)
-    # One product gives -1/2 squared distance.
-    left, right = np.hstack([part, -half, -one]), np.hstack([part, one, half])
-    reach = np.float32(-0.5 * space.radius(b) ** 2 - 1e-5)
-    tiles = _tiles(part, np.flatnonzero(home), tile)
-    homes = len(tiles)
-    tiles += _tiles(part, np.flatnonzero(~home), tile)
-    low, high = (np.array([how(part[t], axis=0) for t in tiles]) for how in (np.min, np.max))
-    place = np.empty(len(x), np.int64)
-    place[np.concatenate(tiles)] = np.arange(len(x))
-    for t in range(homes):
-        # Tiles in reach of this one; each pair of homes once.
-        apart = np.maximum(0, np.maximum(low[t:] - high[t], low[t] - high[t:]))
-        other = np.concatenate([tiles[t + u] for u in np.flatnonzero((apart * apart).sum(1) <= -2 * reach)])
-        mine = tiles[t]
-        hits = np.flatnonzero(left[mine] @ right[other].T >= reach)
-        i, j = mine[hits // len(other)], other[hits % len(other)]
-        keep = place[j] > place[i]
-        if part_of is not None:
-            keep &= part_of[i] != part_of[j]
-        i, j = i[keep], j[keep]
-        for s in range(0, len(i), 500_000):
-            p, q = i[s : s + 500_000], j[s : s + 500_000]
-            same = np.einsum("ij,ij->i", y[p], y[q]) >= space.threshold
-            p, q = p[same], q[same]
-            # The first subspace within its budget answers for a pair, so that each counts once.
-            first = np.full(len(p), -1)
-            for c in range(b + 1):
-                lo_c, hi_c = space.ranges[c]
-                within = _square(z[p, lo_c:hi_c] - z[q, lo_c:hi_c]) <= space.budgets[c] + 1e-9
-                first[(first < 0) & within] = c
-            answer = first == b
-            yield p[answer], q[answer]
+    tiles = _tiles(z, np.arange(len(y)), _TILE)
+    order = np.concatenate(tiles)
+    low, high = (np.array([how(z[t], axis=0) for t in tiles]) for how in (np.min, np.max))
+    node, copies = (np.frombuffer(c, np.int64)[order] for c in (node, copies))
+    y = y[order]
+    return _Block(node, copies, y, y.astype(np.float32), np.cumsum([0, *map(len, tiles)]), low, high)
+
+
+def _links(a: _Block, b: _Block, same: bool, space: _Subspaces):
+    """Yield arrays (i, j) of linked rows of two blocks, or of one with itself, then each pair once."""
+    for t in range(len(a.low)):
+        lo, hi = a.cuts[t], a.cuts[t + 1]
+        near = np.flatnonzero(space.apart(a.low[t], a.high[t], (b.low, b.high)) <= space.budget)
+        if same:
+            near = near[near >= t]
+        # Tiles in reach, as many at once as a product has room for.
+        wide = max(1, _PRODUCT // _TILE // _TILE)
+        for s in range(0, len(near), wide):
+            other = np.concatenate([np.arange(b.cuts[u], b.cuts[u + 1]) for u in near[s : s + wide]])
+            product = a.single[lo:hi] @ b.single[other].T
+            hits = np.flatnonzero(product >= np.float32(space.threshold - space.slack))
+            i, j, told = hits // len(other), other[hits % len(other)], product.ravel()[hits]
+            i = i + lo
+            if same:
+                i, j, told = (c[j > i] for c in (i, j, told))
+            sure = told >= np.float32(space.threshold + space.slack)
+            unsure = np.flatnonzero(~sure)
+            for v in range(0, len(unsure), _VERIFIED):
+                at = unsure[v : v + _VERIFIED]
+                sure[at] = np.einsum("ij,ij->i", a.unit[i[at]], b.unit[j[at]]) >= space.threshold
+            if sure.any():
+                yield i[sure], j[sure]
 
 
 def near_duplicates(
@@ -183,15 +174,18 @@ def near_duplicates(
     as a row of its own. Rows with a null id stay, count as links, and are never kept. Empty tables
     give no rows.
 
-    A rotated unit vector is split into subspaces of about ``block`` dimensions. Squared distance
-    is at most 2 - 2 * threshold for a linked pair, so some subspace holds at most its share. Each
-    subspace is cut into boxes (fitted on at most SAMPLE vectors); a vector goes to its own box and
-    to the higher-numbered ones within reach, and whole vectors travel, so a box verifies its pairs
-    at once and returns link counts and a spanning forest instead of links. A box of more than twice
-    ``leaf_rows`` is dealt into parts, any two of which meet, so that no task holds a hot box whole.
+    Unit vectors are rotated and split into subspaces of about ``block`` dimensions. They are laid out
+    by k-d boxes (fitted on at most SAMPLE vectors), in parts of about ``leaf_rows`` that are packed into
+    blocks. Squared distance is at most 2 - 2 * threshold for a linked pair, so a block meets those
+    whose box is within that budget over all subspaces, and so do the tiles of two blocks; what meets is
+    compared whole. Blocks are read where they lie, so each vector is written once, however many
+    it meets: work is quadratic where boxes part little, disk and memory are not. A pair of parts
+    hands on link counts and spanning edges instead of links. Classes are told apart by their
+    vectors, and rows find theirs by a 128-bit hash.
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must lie between 0.5 and 1")
+    spark = vectors.sparkSession
     v = F.col("v")
     usable = (
         v.isNotNull()
@@ -202,13 +196,15 @@ def near_duplicates(
     # Adding 0.0 makes one zero of the two, so that equal vectors group.
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda c: c + F.lit(0).cast("float")).alias("v"))
     rows = rows.withColumn("v", F.when(usable, v))
+    keys = [F.when(v.isNotNull(), F.xxhash64(F.lit(i), v)).alias(f"h{i}") for i in (1, 2)]
     classes = rows.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"))
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = cut(classes.select("*", *keys, F.monotonically_increasing_id().alias("node")))
+    tidy(spark)
 
     found: list[DataFrame] = []
-    for d in [r.d for r in classes.select(F.size("v").alias("d")).distinct().collect()]:
-        same = classes.where(F.size("v") == d)
-        found.append(_cell_results(same, _Subspaces(d, block, threshold), leaf_rows))
+    for d, total in [(r.d, r.n) for r in classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()]:
+        if total > 1:
+            found.append(_linked(classes.where(F.size("v") == d), total, _Subspaces(d, block, threshold), leaf_rows))
     counted = "node long, links long, other long"
     if found:
         results = found[0]
@@ -216,18 +212,21 @@ def near_duplicates(
             results = results.union(more)
         results = cut(results)
     else:
-        results = vectors.sparkSession.createDataFrame([], counted)
+        results = spark.createDataFrame([], counted)
+    del found
+    tidy(spark)
     direct = results.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(results.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Vectors stay behind from here on.
+    named = classes.drop("v").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     table = (
         named.join(lowest, "component")
         .join(direct, "node", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     )
-    out = rows.join(table, "v", "left")
-    component = F.when(v.isNull(), F.col("id")).otherwise(F.col("component_id"))
+    out = rows.select("id", *keys).join(table, ["h1", "h2"], "left")
+    component = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias("vec_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -236,105 +235,126 @@ def near_duplicates(
     )
 
 
-def _cell_results(classes: DataFrame, space: _Subspaces, leaf_rows: int) -> DataFrame:
-    """Link counts (node, links, null) and spanning edges (node, null, other) of vectors of one length."""
-    total = classes.count()
-    depth = max(0, math.ceil(math.log2(max(1, total) / leaf_rows)))
-    depth = min(depth, int(math.log2(SAMPLE)) - 3)
+def _blocks(classes: DataFrame, total: int, space: _Subspaces, leaf_rows: int) -> DataFrame:
+    """(block, node, copies, x, low, high): vectors of one length, packed in the order of their boxes.
+
+    ``node``, ``copies`` and ``x`` hold the rows' bytes, ``low`` and ``high`` the box of all in the
+    rotated space. A part has about ``leaf_rows`` rows, fewer where there would be fewer than four parts.
+    """
+    depth = min(max(0, math.ceil(math.log2(total / _TILE))), int(math.log2(SAMPLE)) - 3)
     sample = [r.v for r in classes.orderBy(F.xxhash64(F.lit(3), "node")).limit(SAMPLE).select("v").collect()]
-    turned = _normal(np.array(sample, np.float64)) @ space.turn
-    cells = [Cells(turned[:, lo:hi], depth) for lo, hi in space.ranges]
+    cells = Cells(_normal(np.array(sample, np.float64)) @ space.turn, depth)
+    parts = max(min(4, total // 2048), -(-total // leaf_rows))
+    width = 4 if classes.schema["v"].dataType.elementType.simpleString() == "float" else 8
+    most = max(1, min(leaf_rows // 2, BLOCK_BYTES // (width * space.d)))
 
-    kind = classes.schema["v"].dataType.elementType.simpleString()
-    arrow = pa.float32() if kind == "float" else pa.float64()
-    width = arrow.bit_width // 8
+    def values(batch):
+        return np.ascontiguousarray(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, space.d))
 
-    def census(batches):
-        held = np.zeros((len(space.ranges), 1 + max(c.leaves for c in cells)), np.int64)
+    def lay(batches):
         for batch in batches:
             if batch.num_rows:
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, space.d)
-                z = _normal(x.astype(np.float64)) @ space.turn
-                for b, (lo, hi) in enumerate(space.ranges):
-                    held[b] += np.bincount(cells[b].route(z[:, lo:hi], space.radius(b))[1], minlength=held.shape[1])
-        b, leaf = np.nonzero(held)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(leaf * len(space.ranges) + b), "n": pa.array(held[b, leaf])})
-
-    # At most SAMPLE / 8 boxes a subspace, so their sizes are few.
-    parts: dict[int, int] = {}
-    if total > 2 * leaf_rows:
-        sizes = classes.select("v").mapInArrow(census, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        parts = {r.cell: -(-r.n // leaf_rows) for r in sizes.where(F.col("n") > 2 * leaf_rows).collect()}
-        if max(parts.values(), default=1) >= 1 << _PART_BITS:
-            raise ValueError("a box has too many parts: raise leaf_rows")
-
-    def dealt(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, key, part): the places in which rows of cells meet; two parts of a cell share one."""
-        key, row = cell << 2 * _PART_BITS, np.arange(len(cell))
-        if not parts:
-            return row, key, np.zeros(len(cell), np.int32)
-        count = np.array([parts.get(c, 1) for c in cell.tolist()])
-        own = (node * 0x9E3779B1 % (1 << 31)) % count
-        row = np.repeat(row, count)
-        other = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        low, high = np.minimum(own[row], other), np.maximum(own[row], other)
-        return row, key[row] | low << _PART_BITS | high, own[row].astype(np.int32)
-
-    def route(batches):
+                x = values(batch)
+                leaf = cells.leaf_of(_normal(x.astype(np.float64)) @ space.turn)
+                offsets = pa.py_buffer((np.arange(len(x) + 1) * space.d * width).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(x), [None, offsets, pa.py_buffer(x)])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("node"), batch.column("copies"), packed], ["leaf", "node", "copies", "x"])
+
+    def packed(tables):
+        node, copies = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in ("node", "copies"))
+        x = b"".join(e for t in tables for e in t.column("x").to_pylist())
+        z = _normal(np.frombuffer(x, np.float32 if width == 4 else np.float64).reshape(-1, space.d).astype(np.float64)) @ space.turn
+        low, high = (pa.array([c.tolist()], pa.list_(pa.float64())) for c in (z.min(0), z.max(0)))
+        bytes_ = [pa.array([c], pa.binary()) for c in (node.tobytes(), copies.tobytes(), x)]
+        return pa.RecordBatch.from_arrays([*bytes_, low, high], ["node", "copies", "x", "low", "high"])
+
+    def pack(batches):
+        held, n = [], 0
         for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, space.d)
-            packed = np.ascontiguousarray(x).view(np.uint8).reshape(n, -1)
-            z = _normal(x.astype(np.float64)) @ space.turn
-            node = batch.column("node").to_numpy()
-            copies = batch.column("copies").to_numpy()
-            for b, (lo, hi) in enumerate(space.ranges):
-                row, leaf, home = cells[b].route(z[:, lo:hi], space.radius(b))
-                place, key, part = dealt(leaf * len(space.ranges) + b, node[row])
-                row, home = row[place], home[place]
-                offsets = pa.py_buffer((np.arange(len(row) + 1) * space.d * width).astype(np.int32))
-                data = pa.py_buffer(np.ascontiguousarray(packed[row]))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "cell": pa.array(key),
-                        "part": pa.array(part),
-                        "home": pa.array(home),
-                        "node": pa.array(node[row]),
-                        "copies": pa.array(copies[row]),
-                        "x": pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, data]),
-                    }
-                )
+            while batch.num_rows:
+                take = batch.slice(0, most - n)
+                batch = batch.slice(len(take))
+                held.append(take)
+                n += len(take)
+                if n == most:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
+
+    laid = classes.select("node", "copies", "v").mapInArrow(in_worker("embed", lay), "leaf int, node long, copies long, x binary")
+    laid = laid.repartitionByRange(parts, "leaf", "node").sortWithinPartitions("leaf", "node").coalesce(parts)
+    blocks = laid.mapInArrow(in_worker("embed", pack), "node binary, copies binary, x binary, low array<double>, high array<double>")
+    return cut(blocks.withColumn("block", F.monotonically_increasing_id()))
+
+
+def _linked(classes: DataFrame, total: int, space: _Subspaces, leaf_rows: int) -> DataFrame:
+    """Link counts (node, links, null) and spanning edges (node, null, other) of vectors of one length."""
+    blocks = _blocks(classes, total, space, leaf_rows)
+    tidy(classes.sparkSession)
+    kind = np.float32 if classes.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
+    a, b = (blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in blocks.columns)) for side in "ab")
+    gap = F.zip_with(
+        F.zip_with("b_low", "a_high", lambda x, y: x - y),
+        F.zip_with("a_low", "b_high", lambda x, y: x - y),
+        lambda x, y: F.greatest(x, y, F.lit(0.0)),
+    )
+    near = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= space.budget
+    # Every pair of parts is a task that reads both where they lie; nothing is shuffled.
+    met = a.hint("shuffle_replicate_nl").join(b, (F.col("a_block") <= F.col("b_block")) & near)
 
     def compare(batches):
-        for cell, table in sorted_groups(batches, "cell"):
-            n = table.num_rows
-            if n < 2:
-                continue
-            x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32 if width == 4 else np.float64)
-            x = x.reshape(n, space.d).astype(np.float64)
-            home = table.column("home").to_numpy()
-            node = table.column("node").to_numpy()
-            copies = table.column("copies").to_numpy()
-            counts = np.zeros(n, np.int64)
-            forest = Forest()
-            low, high = cell >> _PART_BITS & _PART_MASK, cell & _PART_MASK
-            part_of = None if low == high else table.column("part").to_numpy()
-            for i, j in _pairs_of_cell(x, home, (cell >> 2 * _PART_BITS) % len(space.ranges), space, part_of):
-                np.add.at(counts, i, copies[j])
-                np.add.at(counts, j, copies[i])
-                for a, b in zip(i.tolist(), j.tolist()):
-                    forest.join(a, b)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        forest = Forest()
+        last: tuple[int, _Block] | None = None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                if last is None or last[0] != r["a_block"]:
+                    last = r["a_block"], _block(r["a_node"], r["a_copies"], r["a_x"], kind, space)
+                left, same = last[1], r["a_block"] == r["b_block"]
+                right = left if same else _block(r["b_node"], r["b_copies"], r["b_x"], kind, space)
+                counts = [held.setdefault(r[f"{side}_block"], (x.node, np.zeros(len(x.node), np.int64)))[1] for side, x in (("a", left), ("b", right))]
+                # Rows of both under one number, and the component that each is known to be in.
+                shift = 0 if same else len(left.node)
+                node = left.node if same else np.concatenate([left.node, right.node])
+                label = np.arange(len(node))
+                for i, j in _links(left, right, same, space):
+                    counts[0] += np.bincount(i, right.copies[j], len(left.node)).astype(np.int64)
+                    counts[1] += np.bincount(j, left.copies[i], len(right.node)).astype(np.int64)
+                    new = label[i] != label[j + shift]
+                    if new.any():
+                        label = _merged(label, label[i[new]], label[j[new] + shift])
+                root = np.full(len(node), np.iinfo(np.int64).max)
+                np.minimum.at(root, label, node)
+                for member, top in zip(node[root[label] != node].tolist(), root[label][root[label] != node].tolist()):
+                    forest.join(member, top)
+        for node, counts in held.values():
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node[some]), pa.array(counts[some]), pa.nulls(len(some), pa.int64())], ["node", "links", "other"]
             )
-            a, b = (np.array(e, np.int64) for e in forest.edges())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[a]), pa.nulls(len(a), pa.int64()), pa.array(node[b])], ["node", "links", "other"]
-            )
-
-    routed = classes.select("node", "copies", "v").mapInArrow(in_worker("embed", route), "cell long, part int, home boolean, node long, copies long, x binary")
-    near = routed.repartition("cell").sortWithinPartitions("cell")
-    return near.mapInArrow(in_worker("embed", compare), "node long, links long, other long")
+        members, roots = forest.edges()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(members, pa.int64()), pa.nulls(len(members), pa.int64()), pa.array(roots, pa.int64())], ["node", "links", "other"]
+        )
+
+    wanted = [c for c in met.columns if not c.endswith(("_low", "_high"))]
+    return met.select(*wanted).mapInArrow(in_worker("embed", compare), "node long, links long, other long")
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after each of ``a`` has become one with its ``b``: every round hands on the smaller of two."""
+    up = np.arange(len(label))
+    while True:
+        x, y = up[a], up[b]
+        if (x == y).all():
+            return up[label]
+        low = np.minimum(x, y)
+        np.minimum.at(up, x, low)
+        np.minimum.at(up, y, low)
+        while True:
+            down = up[up]
+            if (down == up).all():
+                break
+            up = down

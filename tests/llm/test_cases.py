@@ -404,3 +404,24 @@ def test_workers_forget_after_each_task():
     assert list(out) == [] and not packing._TOKENIZERS[path].words and not packing._TOKENIZERS[path].runs
     list(common.in_worker("other", lambda batches: batches)([]))
     assert not packing._TOKENIZERS
+
+
+def test_vectors_are_shuffled_a_fixed_number_of_times(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[5990:] = x[:10] + 0.01
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+    def shuffled():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    sent = []
+    for leaf in (4000, 500):
+        before = shuffled()
+        got = {r.vec_id: r for r in embed.near_duplicates(rows, 0.9, leaf_rows=leaf).collect()}
+        sent.append((shuffled() - before) / x.nbytes)
+        assert all((got[i].n_links, got[5990 + i].component_id) == (1, i) for i in range(10))
+    # As many more parts, no more copies of a vector.
+    assert max(sent) < 4, sent
