@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphspark.functions import detect
 from graphspark.operators import encode, frames, prompts, rewire, structure
+from graphspark.plans import queries
 from graphspark.sources import graphs
 
 
@@ -93,6 +94,52 @@ def test_many_graphs_are_rewired_in_time(spark):
     assert {r.m for r in both} == {edges.count()} and time.time() - began < 12
 
 
+def test_graphs_side_by_side_are_rewired_as_in_turn():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    graphs, per = np.array([5, -3, 7, 10**12, 11, 12]), [(12, 0.4), (2, 1.0), (30, 0.2), (64, 0.1), (9, 1.0), (20, 0.3)]
+    ends = [np.argwhere(np.triu(rng.random((n, n)) < p, 1)) for n, p in per]
+    flat = np.concatenate([e + g * rewire.WORD for g, e in enumerate(ends)])
+    sizes = np.array([len(e) for e in ends])
+    for up in (False, True):
+        for times in (1, 3):
+            got = np.stack(rewire._abreast(graphs, sizes, *flat.T, up, times, 4), 1)
+            turn = [rewire._in_turn(int(g), n, e, up, times, 4) for g, (n, _), e in zip(graphs, per, ends)]
+            want = np.concatenate([t + g * rewire.WORD for g, t in enumerate(turn)])
+            assert (np.sort(got, 1) == np.sort(want, 1)).all() and (got != flat).any()
+
+
+def test_triangles_are_counted_where_graphs_are_rewired(spark):
+    """No table of edges is joined with itself: from six times sf0.1 on, such joins took the driver's memory or time."""
+    rng = random.Random(3)
+    rows = {(g, u, v) for g, n, m in ((1, 10, 22), (2, 90, 260), (3, 25, 70)) for u, v in (sorted(rng.sample(range(n), 2)) for _ in range(m))}
+    edges = spark.createDataFrame([*sorted(rows), (1, 4, 4), (6, 2, 2)], "graph_id long, u int, v int")
+    nodes = spark.createDataFrame([(g, i) for g, n in ((1, 10), (2, 90), (3, 25), (4, 3), (6, 3)) for i in range(n)], "graph_id long, node int")
+    got = rewire.rewired_triangles(edges, nodes, times=2, seed=6).persist()
+    for name, after in (("before", edges), ("low", rewire.rewire(edges, nodes, False, 2, 6)), ("high", rewire.rewire(edges, nodes, True, 2, 6))):
+        want = structure.triangle_count(after, nodes).collect()
+        assert {(r.graph_id, r[name]) for r in got.collect()} == {tuple(r) for r in want}
+        assert rewire.broken_invariants(edges, after, nodes).count() == 0
+    assert all(r.low <= r.before <= r.high for r in got.collect()) and {r.graph_id for r in got.collect()} == {1, 2, 3, 4, 6}
+    query = queries.QUERIES["rewire_triangles"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in query._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_hold_whole_graphs(spark):
+    rows = [(g, i, i + 1) for g, n in ((1, 7), (2, 1), (3, 12), (4, 3), (9, 30), (10, 2)) for i in range(n)]
+
+    def told(graphs, sizes, u, v):
+        assert len(graphs) <= 2 and len(u) == len(v) == sizes.sum() and (v == u + 1).all()
+        yield graphs, sizes
+
+    edges = spark.createDataFrame(rows, "graph_id long, u int, v int")
+    for most in (1, 5, 1000):
+        got = structure.per_batch(edges, told, "graph_id long, n int", graphs=2, rows=most).collect()
+        assert sorted(tuple(r) for r in got) == [(1, 7), (2, 1), (3, 12), (4, 3), (9, 30), (10, 2)]
+    assert structure.per_batch(edges.where("false"), told, "graph_id long, n int").count() == 0
+
+
 RUN = "instance_id string, task string, condition string, style string, gold string, model string, response string, n_new_tokens int, hit_cap boolean"
 
 
