@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphspark.operators import encode, prompts, tasks
+from graphspark.operators import encode, primer, prompts, tasks
 from graphspark.operators.planning import RUNGS
-from graphspark.operators.rewire import rewired_pair
+from graphspark.operators.rewire import levels, rewired_pair
 from graphspark.operators.structure import per_graph
 from graphspark.sources.graphs import fixed_size_random
 from graphspark.sources.shared import settled
@@ -168,24 +168,47 @@ def rung_tag(n: Column, degree: Column) -> Column:
     return F.concat(F.lit("n"), n.cast("string"), F.lit("k"), degree.cast("string"))
 
 
-def levelled_corpus(edges: DataFrame, nodes: DataFrame, rung: DataFrame, task: str, conditions: Sequence[str], rewired: bool = True, times: int = 3, seed: int = 0) -> DataFrame:
+def levelled_corpus(edges: DataFrame, nodes: DataFrame, rung: DataFrame | Column, task: str, conditions: Sequence[str], rewired: bool = True, times: int = 3, seed: int = 0) -> DataFrame:
     """Prompt rows (instance_id ``task/rung/level/graph``, ...) of base graphs, and of each rewired low and high.
 
-    ``rung`` is (graph_id, rung). A graph's question is drawn once and asked at every level and under
-    every condition, so that all are paired. Graphs of a level are numbered apart while prompts are built.
+    ``rung`` is (graph_id, rung), or a column over ``nodes``, the number of a graph's nodes. A graph's question
+    is drawn once and asked at every level and under every condition, so that all are paired. Graphs of a level
+    are numbered apart while prompts are built. Questions on degrees under conditions that state no more than
+    degrees and clustering are built where graphs are rewired, without a join.
     """
-    levels = {"base": edges}
+    stated = {part for c in conditions for part in primer.CONDITIONS[c]}
+    if rewired and task == "node_degree" and stated <= {"degree", "clustering"}:
+        named = _degree_corpus(edges, nodes, conditions, times, seed)
+    else:
+        named = _joined_corpus(edges, nodes, task, conditions, rewired, times, seed)
+    named = named.withColumn("rung", rung) if isinstance(rung, Column) else named.join(rung, "graph_id")
+    return named.withColumn("instance_id", F.concat_ws("/", F.lit(task), "rung", "level", F.col("graph_id").cast("string")))
+
+
+def _degree_corpus(edges: DataFrame, nodes: DataFrame, conditions: Sequence[str], times: int, seed: int) -> DataFrame:
+    """What ``_joined_corpus`` gives for questions on degrees, each prompt from the one row that the rewiring pass has of its graph and level."""
+    rows = levels(edges, nodes, [("low", False, seed), ("high", True, seed + 1)], times)
+    rows = rows.select("graph_id", "level", "edges", F.col("near").alias("all"), F.filter("near", lambda x: F.size(x["nbrs"]) > 0).alias("near"), F.transform("near", lambda x: x["node"]).alias("ns"))
+    rows = rows.withColumns({"a": tasks.target_order(F.col("ns"), seed)[0]["n"], "b": F.lit(None), "es": F.col("near"), "text": encode.incident()})
+    said = F.array(*(F.struct(F.lit(c).alias("condition"), primer.rendered(F.col("all"), c).alias("primer")) for c in conditions))
+    gold = F.filter("all", lambda x: x["node"] == F.col("a"))[0]["degree"].cast("string")
+    rows = rows.select("graph_id", "level", "edges", "text", tasks.question("node_degree").alias("question"), gold.alias("gold"), F.size("ns").alias("nodes"), F.inline(said))
+    prompt = primer.build_prompt(F.col("primer"), F.col("text"), F.col("question"))
+    return rows.select("graph_id", F.lit("node_degree").alias("task"), "condition", F.lit("zero_shot").alias("style"), prompt.alias("prompt"), "gold", "nodes", "edges", "level")
+
+
+def _joined_corpus(edges: DataFrame, nodes: DataFrame, task: str, conditions: Sequence[str], rewired: bool, times: int, seed: int) -> DataFrame:
+    tables = {"base": edges}
     if rewired:
         pair = settled(rewired_pair(edges, nodes, times, seed))
-        levels |= {lv: pair.where(F.col("level") == lv).drop("level") for lv in ("low", "high")}
+        tables |= {lv: pair.where(F.col("level") == lv).drop("level") for lv in ("low", "high")}
     asked = tasks.targets(nodes, seed)
     out = None
-    for level, es in levels.items():
+    for level, es in tables.items():
         rows = prompts.build_corpus(es, nodes, [task], conditions, prefix=F.lit(level), asked=asked)
         rows = rows.withColumn("graph_id", F.element_at(F.split("instance_id", "/"), -1).cast("long")).withColumn("level", F.lit(level))
         out = rows if out is None else out.unionByName(rows)
-    named = out.join(rung, "graph_id")
-    return named.withColumn("instance_id", F.concat_ws("/", F.lit(task), "rung", "level", F.col("graph_id").cast("string")))
+    return out
 
 
 def ladder(spark: SparkSession, count: int, rungs: Sequence[str] = (), seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:

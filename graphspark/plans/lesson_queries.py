@@ -46,8 +46,7 @@ def training_rows(spark: SparkSession, d: str) -> DataFrame:
 def rewired_prompts(spark: SparkSession, d: str) -> DataFrame:
     """A rewiring corpus over all graphs: three levels, two conditions, one question a graph."""
     edges, nodes = graphs.order_graphs(spark, d)
-    sizes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-    rung = sizes.select("graph_id", F.concat(F.lit("n"), (F.floor(F.col("n") / 10) * 10).cast("string")).alias("rung"))
+    rung = F.concat(F.lit("n"), (F.floor(F.col("nodes") / 10) * 10).cast("string"))
     rows = lessons.levelled_corpus(edges, nodes, rung, "node_degree", ["none", "clustering"], times=1)
     return rows.select("instance_id", "rung", "level", "condition", "gold", "nodes", "edges", F.element_at(F.regexp_extract_all("prompt", F.lit("degree of node ([0-9]+)"), F.lit(1)), -1).alias("asked"))
 

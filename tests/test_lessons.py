@@ -95,6 +95,22 @@ def test_levels_share_a_question_and_ladders_their_rungs(spark):
         assert len({r.prompt for r in mine if r.condition == "none"}) == 3
 
 
+def test_degree_corpora_leave_the_rewiring_pass_whole(spark):
+    """The same rows and texts as joins give, loops, lone nodes and a graph of more than 64 nodes among them, but without a join."""
+    rng = random.Random(5)
+    rows = {(g, u, v) for g, n, m in ((1, 10, 22), (2, 90, 260), (3, 25, 70)) for u, v in (sorted(rng.sample(range(n), 2)) for _ in range(m))}
+    edges = spark.createDataFrame([*sorted(rows), (6, 0, 2), (6, 2, 2)], "graph_id long, u int, v int")
+    nodes = spark.createDataFrame([(g, i) for g, n in ((1, 12), (2, 90), (3, 25), (4, 3), (6, 3)) for i in range(n)], "graph_id long, node int")
+    args = (edges, nodes, "node_degree", ["none", "degree", "clustering"])
+    rung = nodes.groupBy("graph_id").agg(F.concat(F.lit("n"), F.count(F.lit(1)).cast("string")).alias("rung"))
+    got = lessons.levelled_corpus(edges, nodes, F.concat(F.lit("n"), F.col("nodes").cast("string")), *args[2:], times=2, seed=3)
+    want = lessons._joined_corpus(*args, True, 2, 3).join(rung, "graph_id").withColumn("instance_id", F.concat_ws("/", F.lit("node_degree"), "rung", "level", F.col("graph_id").cast("string")))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.columns) == sorted(want.columns) and dict(got.dtypes) == dict(want.dtypes)
+    table = lambda df: sorted(map(tuple, df.select(*sorted(want.columns)).collect()))
+    assert table(got) == table(want) and len(table(got)) == 5 * 3 * 3
+
+
 def test_verdicts_and_best_arms(spark):
     cells = spark.createDataFrame([("degree", "edge_count", 3, 0.1, 1.0), ("filler", "edge_count", 3, 0.1, 0.1), ("all", "edge_count", 3, 0.1, 0.98)], "condition string, task string, rung int, baseline double, shortcut double")
     got = {r.condition: r for r in planning.verdicts(cells).collect()}
